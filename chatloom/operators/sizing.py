@@ -1,0 +1,15 @@
+"""Size check before a side of a join is broadcast."""
+
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def fits_broadcast(df, max_bytes=BROADCAST_BYTES):
+    """Whether the rows of ``df``, as text, stay below ``max_bytes``.
+
+    Counts one narrow sum on the cluster; nothing but the sum comes to the driver.
+    """
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    total = df.agg(F.sum(width.cast("bigint"))).first()[0]
+    return (total or 0) <= max_bytes
