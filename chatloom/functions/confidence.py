@@ -2,17 +2,24 @@
 
 from pyspark.sql import functions as F
 
-from chatloom.functions.text import words
+from chatloom.functions.text import bound, words
 
 LABELS = ("low", "medium", "high")
 
 
 def confidence_label(question, answer, context):
     """Share of distinct answer words found in question or context, in thirds."""
-    answer_words = F.array_distinct(words(F.coalesce(answer, F.lit(""))))
     support = words(F.concat_ws(" ", question, context))
-    hit, n = F.size(F.array_intersect(answer_words, support)), F.size(answer_words)
-    return F.when((n == 0) | (hit * 3 < n), "low").when(hit * 3 < n * 2, "medium").otherwise("high")
+
+    def counts(answer_words):
+        return F.struct(F.size(F.array_intersect(answer_words, support)).alias("hit"), F.size(answer_words).alias("n"))
+
+    def label(c):
+        return (F.when((c["n"] == 0) | (c["hit"] * 3 < c["n"]), "low")
+                .when(c["hit"] * 3 < c["n"] * 2, "medium").otherwise("high"))
+
+    answer_words = F.array_distinct(words(F.coalesce(answer, F.lit(""))))
+    return bound(bound(answer_words, counts), label)
 
 
 def normalise_label(raw):

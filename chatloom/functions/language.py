@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chatloom.functions.text import words
+from chatloom.functions.text import bound, words
 
 UNDETERMINED = "und"
 
@@ -16,20 +16,26 @@ STOP_WORDS = {
 
 
 def evidence(col, stop_words=None):
-    """Language -> number of stop-word occurrences, as columns."""
-    stop_words = stop_words or STOP_WORDS
-    lists = {lang: sorted(set(text.split())) for lang, text in stop_words.items()}
-    all_words = sorted({w for ws in lists.values() for w in ws})
+    """Number of stop-word occurrences per language, in the order of ``stop_words``."""
+    lists = [sorted(set(text.split())) for text in (stop_words or STOP_WORDS).values()]
+    all_words = sorted(set().union(*lists))
+
+    def occurrences(listed):
+        return lambda known: F.size(F.filter(known, lambda t: t.isin(listed)))
+
     known = F.filter(words(col), lambda t: t.isin(all_words))
-    return {lang: F.size(F.filter(known, lambda t, ws=ws: t.isin(ws))) for lang, ws in lists.items()}
+    return bound(known, lambda k: F.array(*[occurrences(listed)(k) for listed in lists]))
 
 
 def detect_language(col, stop_words=None):
-    """Code of the language with most evidence; ``und`` without any."""
-    counts = evidence(col, stop_words)
-    best = F.greatest(*counts.values())
-    code = F.coalesce(*[F.when((n == best) & (n > 0), F.lit(lang)) for lang, n in counts.items()])
-    return F.coalesce(code, F.lit(UNDETERMINED))
+    """Code of the language with most evidence, the first one on a tie; ``und`` without any."""
+    codes = F.array(*[F.lit(lang) for lang in (stop_words or STOP_WORDS)])
+
+    def best(counts):
+        at = F.array_position(counts, F.array_max(counts)).cast("int")
+        return F.when(F.array_max(counts) > 0, F.element_at(codes, at)).otherwise(UNDETERMINED)
+
+    return F.coalesce(bound(evidence(col, stop_words), best), F.lit(UNDETERMINED))
 
 
 def decoded(col):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatloom.functions.redaction import DEFAULT_REPLACEMENT, deidentified, redact_card_text
+from chatloom.functions.redaction import CARD_PATTERN, DEFAULT_REPLACEMENT, INFO_TYPES, deidentified, redact_card_text
 from chatloom.functions.text import phrase_pattern
 
 # Reasons, refusal text, category name and threshold.
@@ -43,7 +43,10 @@ LEXICON = {
 
 @dataclass(frozen=True)
 class Outcome:
-    """Result of one rail: three columns of the same row."""
+    """Result of one rail: three columns of the same row.
+
+    ``blocked_reason`` only counts where ``is_blocked`` is true.
+    """
 
     is_blocked: Column
     blocked_reason: Column
@@ -51,7 +54,7 @@ class Outcome:
 
     def struct(self):
         return F.struct(self.is_blocked.alias("is_blocked"),
-                        self.blocked_reason.alias("blocked_reason"),
+                        F.when(self.is_blocked, self.blocked_reason).otherwise("").alias("blocked_reason"),
                         self.modified_text.alias("modified_text"))
 
 
@@ -67,14 +70,15 @@ class GuardRail(ABC):
 
 def blocks(condition, reason):
     """Outcome that blocks where ``condition`` is true and never modifies."""
-    condition = F.coalesce(condition, F.lit(False))
-    return Outcome(condition, F.when(condition, F.lit(reason)).otherwise(F.lit("")), F.lit(""))
+    return Outcome(F.coalesce(condition, F.lit(False)), F.lit(reason), F.lit(""))
 
 
-def modifies(text, changed):
-    """Outcome that never blocks and carries ``changed`` where it differs from ``text``."""
-    return Outcome(F.lit(False), F.lit(""),
-                   F.when(changed != text, changed).otherwise(F.lit("")))
+def modifies(found, changed):
+    """Outcome that never blocks and carries ``changed`` where ``found`` is true.
+
+    Most texts hold nothing to change, so the cheap test comes first.
+    """
+    return Outcome(F.lit(False), F.lit(""), F.when(found, changed).otherwise(F.lit("")))
 
 
 def term_hits(text, terms):
@@ -141,7 +145,7 @@ class CardRail(GuardRail):
     name = "card"
 
     def process(self, text):
-        return modifies(text, redact_card_text(text))
+        return modifies(text.rlike(CARD_PATTERN), redact_card_text(text))
 
 
 class DeidentifyRail(GuardRail):
@@ -151,7 +155,8 @@ class DeidentifyRail(GuardRail):
         self.info_types, self.replacement = list(info_types), replacement
 
     def process(self, text):
-        return modifies(text, deidentified(text, self.info_types, self.replacement))
+        found = text.rlike("|".join(f"(?:{INFO_TYPES[t]})" for t in self.info_types))
+        return modifies(found, deidentified(text, self.info_types, self.replacement))
 
 
 class CategoriesRail(GuardRail):

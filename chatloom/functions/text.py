@@ -12,11 +12,23 @@ def words(col):
     return F.regexp_extract_all(F.lower(col), F.lit(WORD), F.lit(0))
 
 
+def bound(value, body):
+    """``body`` of a value that is computed once, however often the body uses it.
+
+    Inside a lambda the optimizer does not share repeated parts, so a costly value
+    goes through a one-element array.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(tokens, n):
     """All runs of ``n`` tokens joined by a blank; empty for shorter inputs."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def of(ws):
+        starts = F.sequence(F.lit(1), F.size(ws) - (n - 1))
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(ws, i, n), " "))
+        return F.when(F.size(ws) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, of)
 
 
 def phrase_pattern(phrases):

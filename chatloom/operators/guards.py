@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from chatloom.functions.rails import chain, lexicon_categories
+from chatloom.functions.rails import Outcome, chain, lexicon_categories
 from chatloom.functions.redaction import CARD_REPLACEMENT, DEFAULT_REPLACEMENT, deidentified, findings, redact_card_text
-from chatloom.functions.text import phrase_pattern, primary_text, style, words
+from chatloom.functions.text import bound, phrase_pattern, primary_text, style, words
 from chatloom.operators.sizing import fits_broadcast
 
 __all__ = ["redact_cards", "redact_card_parts", "deidentify", "inspect", "moderate", "moderate_by_table",
@@ -12,6 +12,9 @@ __all__ = ["redact_cards", "redact_card_parts", "deidentify", "inspect", "modera
            "CARD_REPLACEMENT"]
 
 
+_OUTCOME_PARTS = ("is_blocked", "blocked_reason", "modified_text")
+
+
 def redact_cards(df, col):
     """Add ``redacted`` and ``was_redacted``."""
     redacted = redact_card_text(F.col(col))
@@ -91,9 +94,17 @@ def tool_call_guard(df):
 
 
 def apply_guards(df, col, rails):
-    """Add ``is_blocked``, ``reason`` and ``final_text``; every rail sees the original text."""
-    blocked, reason, final = chain(F.col(col), [r.process(F.col(col)) for r in rails])
-    return df.withColumns({"is_blocked": blocked, "reason": reason, "final_text": final})
+    """Add ``is_blocked``, ``reason`` and ``final_text``; every rail sees the original text.
+
+    Each rail is evaluated once, in a projection of its own below the merge.
+    """
+    outcomes = [r.process(F.col(col)) for r in rails]
+    evaluated = df.withColumns({
+        f"__{part}_{i}": getattr(o, part) for i, o in enumerate(outcomes) for part in _OUTCOME_PARTS})
+    named = [Outcome(*[F.col(f"__{part}_{i}") for part in _OUTCOME_PARTS]) for i in range(len(outcomes))]
+    blocked, reason, final = chain(F.col(col), named)
+    merged = evaluated.withColumns({"is_blocked": blocked, "reason": reason, "final_text": final})
+    return merged.drop(*[c for c in evaluated.columns if c not in df.columns])
 
 
 def guard_message(df, parts_col, rails, role_col="role"):
@@ -104,10 +115,16 @@ def guard_message(df, parts_col, rails, role_col="role"):
     it stay as they came.
     """
     def checked(part):
-        blocked, reason, final = chain(part["text"], [r.process(part["text"]) for r in rails])
-        empty = part["text"].isNull() | (part["text"] == "")
-        return F.struct((~empty & blocked).alias("blocked"), reason.alias("reason"),
-                        F.when(empty | blocked, part["text"]).otherwise(final).alias("text"))
+        evaluated = F.struct(*[r.process(part["text"]).struct().alias(f"r{i}") for i, r in enumerate(rails)])
+
+        def merged(outcomes):
+            named = [Outcome(*[outcomes[f"r{i}"][p] for p in _OUTCOME_PARTS]) for i in range(len(rails))]
+            blocked, reason, final = chain(part["text"], named)
+            return F.struct(blocked.alias("blocked"), reason.alias("reason"),
+                            F.when(blocked, part["text"]).otherwise(final).alias("text"))
+
+        unchecked = F.struct(F.lit(False).alias("blocked"), F.lit(None).cast("string").alias("reason"), part["text"].alias("text"))
+        return F.when(part["text"] != "", bound(evaluated, merged)).otherwise(unchecked)
 
     is_user = F.col(role_col) == "user"
     outcomes = df.withColumn("__outcomes", F.when(is_user, F.transform(F.col(parts_col), checked)))
