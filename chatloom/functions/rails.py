@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatloom.functions.redaction import CARD_PATTERN, DEFAULT_REPLACEMENT, INFO_TYPES, deidentified, redact_card_text
-from chatloom.functions.text import phrase_pattern
+from chatloom.functions.redaction import CARD_PATTERN, DEFAULT_REPLACEMENT, deidentified, may_hold, redact_card_text
+from chatloom.functions.text import bound, has_phrase, holds_any
 
 # Reasons, refusal text, category name and threshold.
 PROFANITY_REASON = "Profanity detected"
@@ -82,9 +82,10 @@ def modifies(found, changed):
 
 
 def term_hits(text, terms):
-    """How often any of the terms occurs as a whole word."""
+    """How often any of the terms (lower case) occurs as a whole word; NULL for no text."""
     body = "|".join(sorted(set(terms), key=lambda t: (-len(t), t)))
-    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])"))
+    count = F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])"))
+    return F.when(holds_any(text, terms), count).when(text.isNotNull(), 0)
 
 
 def lexicon_categories(text, lexicon):
@@ -93,12 +94,11 @@ def lexicon_categories(text, lexicon):
     Confidence is hits / (hits + 1): one hit is exactly 0.5, which a strict
     threshold of 0.5 lets pass. No text means no categories.
     """
-    scored = []
-    for name, terms in lexicon.items():
-        hits = term_hits(text, terms)
-        scored.append(F.struct(F.lit(name).alias("name"), (hits / (hits + 1)).alias("confidence")))
-    return F.coalesce(F.filter(F.array(*scored), lambda c: c["confidence"] > 0),
-                      F.array().cast("array<struct<name:string,confidence:double>>"))
+    names = F.array(*[F.lit(name) for name in lexicon])
+    hits = F.array(*[term_hits(text, terms) for terms in lexicon.values()])
+    scored = F.transform(hits, lambda h, i: F.struct(
+        F.get(names, i).alias("name"), (h / (h + 1)).alias("confidence")))
+    return F.filter(scored, lambda c: c["confidence"] > 0)
 
 
 def category_confidence(categories, name=PROFANITY_CATEGORY):
@@ -124,8 +124,7 @@ class ProfanityRail(GuardRail):
         if self.categories is not None:
             confidence = category_confidence(self.categories(text))
         else:
-            hits = term_hits(text, self.terms)
-            confidence = hits / (hits + 1)
+            confidence = bound(term_hits(text, self.terms), lambda hits: hits / (hits + 1))
         return blocks(confidence > self.threshold, PROFANITY_REASON)
 
 
@@ -135,10 +134,10 @@ class JailbreakRail(GuardRail):
     name = "jailbreak"
 
     def __init__(self, rules=None):
-        self.pattern = phrase_pattern(rules or JAILBREAK_RULES)
+        self.rules = rules or JAILBREAK_RULES
 
     def process(self, text):
-        return blocks(text.rlike(self.pattern), REFUSAL_TEXT)
+        return blocks(has_phrase(text, self.rules), REFUSAL_TEXT)
 
 
 class CardRail(GuardRail):
@@ -155,8 +154,8 @@ class DeidentifyRail(GuardRail):
         self.info_types, self.replacement = list(info_types), replacement
 
     def process(self, text):
-        found = text.rlike("|".join(f"(?:{INFO_TYPES[t]})" for t in self.info_types))
-        return modifies(found, deidentified(text, self.info_types, self.replacement))
+        changed = deidentified(text, self.info_types, self.replacement)
+        return modifies(may_hold(text, self.info_types) & (changed != text), changed)
 
 
 class CategoriesRail(GuardRail):

@@ -1,6 +1,7 @@
 """Text expressions: tokens, n-grams, primary text, prompts, style and phrases."""
 
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -45,6 +46,22 @@ def phrase_pattern(phrases):
     return rf"(?i)(^|[^\p{{L}}\p{{N}}])({body})($|[^\p{{L}}\p{{N}}])"
 
 
+def holds_any(text, terms):
+    """Whether the lower-cased text holds any term as a substring.
+
+    A byte search, many times faster than a regular expression; used to skip the
+    expression on texts it cannot match.
+    """
+    terms = list(dict.fromkeys(terms))
+    return bound(F.lower(text), lambda low: reduce(lambda a, b: a | b, [low.contains(t) for t in terms]))
+
+
+def has_phrase(text, phrases):
+    """Whether the text holds any of the phrases as whole words, ignoring case."""
+    longest = [max((w for w in p.lower().split() if w != "*"), key=len) for p in phrases]
+    return holds_any(text, longest) & text.rlike(phrase_pattern(phrases))
+
+
 def primary_text(parts):
     """First non-empty ``text`` of a parts array, ``''`` when there is none."""
     non_empty = F.filter(parts, lambda p: p["text"] != "")

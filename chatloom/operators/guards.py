@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.rails import Outcome, chain, lexicon_categories
 from chatloom.functions.redaction import CARD_REPLACEMENT, DEFAULT_REPLACEMENT, deidentified, findings, redact_card_text
-from chatloom.functions.text import bound, phrase_pattern, primary_text, style, words
+from chatloom.functions.text import bound, has_phrase, primary_text, style, words
 from chatloom.operators.sizing import fits_broadcast
 
 __all__ = ["redact_cards", "redact_card_parts", "deidentify", "inspect", "moderate", "moderate_by_table",
@@ -41,9 +41,8 @@ def deidentify(df, col, info_types, replacement=DEFAULT_REPLACEMENT):
 def inspect(df, id_col, col, info_types):
     """(id, info_type, n) for every type found in a text."""
     pairs = findings(F.col(col), info_types)
-    counted = df.select(id_col, F.explode(F.array(*[
-        F.struct(F.lit(t).alias("info_type"), n.alias("n")) for t, n in pairs])).alias("__f"))
-    return counted.select(id_col, "__f.*").filter("n > 0")
+    counted = df.select(id_col, *[n.alias(t) for t, n in pairs])
+    return counted.unpivot(id_col, [t for t, _ in pairs], "info_type", "n").filter("n > 0")
 
 
 def moderate(df, col, lexicon):
@@ -57,7 +56,7 @@ def moderate_by_table(df, id_col, col, lexicon):
     The join comes before the count: while the lexicon's measured size allows a
     broadcast, only words that are in it ever leave their task.
     """
-    tokens = df.select(id_col, F.explode(words(F.col(col))).alias("term"))
+    tokens = df.select(id_col, F.explode_outer(words(F.col(col))).alias("term"))
     terms = lexicon.select("category", "term").distinct()
     if fits_broadcast(terms):
         terms = F.broadcast(terms)
@@ -115,7 +114,9 @@ def guard_message(df, parts_col, rails, role_col="role"):
     it stay as they came.
     """
     def checked(part):
-        evaluated = F.struct(*[r.process(part["text"]).struct().alias(f"r{i}") for i, r in enumerate(rails)])
+        outcomes = [r.process(part["text"]) for r in rails]
+        evaluated = F.struct(*[F.struct(*[getattr(o, p).alias(p) for p in _OUTCOME_PARTS]).alias(f"r{i}")
+                               for i, o in enumerate(outcomes)])
 
         def merged(outcomes):
             named = [Outcome(*[outcomes[f"r{i}"][p] for p in _OUTCOME_PARTS]) for i in range(len(rails))]
@@ -152,7 +153,7 @@ def tag_refusals(df, col, phrases=None):
     """Add ``reply_kind``: the first category with a matching phrase, else ``answer``."""
     kind = F.lit("answer")
     for category, listed in reversed(list((phrases or REPLY_PHRASES).items())):
-        kind = F.when(F.col(col).rlike(phrase_pattern(listed)), category).otherwise(kind)
+        kind = F.when(has_phrase(F.col(col), listed), category).otherwise(kind)
     return df.withColumn("reply_kind", kind)
 
 

@@ -6,6 +6,10 @@ from chatloom.functions.text import ngrams, words
 from chatloom.operators.sizing import BROADCAST_BYTES, fits_broadcast
 
 
+# The outer form of explode is used throughout: for the plain one the optimizer adds a
+# size filter below that would build every array twice. Empty inputs give a NULL run,
+# which joins with nothing.
+
 def _distinct_grams(text_col, n):
     return F.array_distinct(ngrams(words(F.col(text_col)), n))
 
@@ -18,15 +22,15 @@ def leakage(texts, protected, n=8, text_id="id", item_id="item_id", text_col="te
     run, and the pairs found are counted exactly from their texts.
     """
     items = protected.select(F.col(item_id), F.col(text_col).alias("__item_text"))
-    theirs = items.select(item_id, F.explode(_distinct_grams("__item_text", n)).alias("__gram"))
+    theirs = items.select(item_id, F.explode_outer(_distinct_grams("__item_text", n)).alias("__gram"))
     if fits_broadcast(theirs, broadcast_bytes):
-        ours = texts.select(text_id, F.explode(_distinct_grams(text_col, n)).alias("__gram"))
+        ours = texts.select(text_id, F.explode_outer(_distinct_grams(text_col, n)).alias("__gram"))
         return (ours.join(F.broadcast(theirs), "__gram")
                 .groupBy(text_id, item_id).agg(F.count(F.lit(1)).alias("n_shared")))
 
     def hashed(df, id_col, col):
         runs = F.array_distinct(F.transform(ngrams(words(F.col(col)), n), F.xxhash64))
-        return df.select(id_col, F.explode(runs).alias("__hash"))
+        return df.select(id_col, F.explode_outer(runs).alias("__hash"))
 
     pairs = (hashed(texts, text_id, text_col).join(hashed(items, item_id, "__item_text"), "__hash")
              .select(text_id, item_id).distinct())

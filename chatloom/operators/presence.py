@@ -12,12 +12,17 @@ TTL_S = 6000          # fixed value: lifetime of a connection in seconds
 SLIDING_TTL_S = 60    # fixed value: lifetime that each message refreshes
 SLOTS_PER_WINDOW = 4  # lifetimes per slot of the interval job: 1.25 copies of each event
 
-_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+_EPOCH = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
 
 
 def epoch_us(ts):
     """Microseconds since 1970 of a timestamp without time zone, whatever the session zone."""
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), ts)
+    seconds = (ts - _EPOCH).cast("interval second").cast("decimal(18,6)")
+    return (seconds * 1_000_000).cast("bigint")
+
+
+def from_epoch_us(us):
+    return _EPOCH + F.make_dt_interval(secs=us.cast("decimal(18,0)") / F.lit(1_000_000))
 
 
 def plus_seconds(ts, seconds):
@@ -25,7 +30,12 @@ def plus_seconds(ts, seconds):
 
 
 def _slot(ts, seconds):
-    return F.floor(epoch_us(ts) / (seconds * 1_000_000))
+    return _floor_div(epoch_us(ts), seconds * 1_000_000)
+
+
+def _floor_div(value, by):
+    by = F.lit(by).cast("bigint")
+    return F.call_function("div", value - F.pmod(value, by), by)
 
 
 def presence_intervals(events, ttl_s=TTL_S, slots=SLOTS_PER_WINDOW):
@@ -41,7 +51,7 @@ def presence_intervals(events, ttl_s=TTL_S, slots=SLOTS_PER_WINDOW):
     reaches_back = _slot(plus_seconds(F.col("ts"), -ttl_s), width)
     spread = events.select(
         "session_id", "ts", "event_id", "kind", home.alias("__home"),
-        F.explode(F.array_distinct(F.array(reaches_back, home))).alias("__slot"))
+        F.explode(F.sequence(reaches_back, home)).alias("__slot"))
     w = Window.partitionBy("session_id", "__slot").orderBy("ts", "event_id")
     following = spread.withColumn("__next", F.lead("ts").over(w))
     own = following.filter((F.col("__slot") == F.col("__home")) & (F.col("kind") == "connect"))
@@ -90,7 +100,7 @@ def gap_sessions(arrivals, gap_s=SLIDING_TTL_S, slot_s=3600):
         raise ValueError("a slot must be at least as long as the gap")
     rows = (arrivals.filter("session_id IS NOT NULL")
             .select("session_id", epoch_us(F.col("ts")).alias("__us"))
-            .withColumn("__slot", F.floor(F.col("__us") / slot_us)))
+            .withColumn("__slot", _floor_div(F.col("__us"), slot_us)))
     inner = Window.partitionBy("session_id", "__slot").orderBy("__us")
     starts = F.when(F.col("__us") - F.lag("__us").over(inner) < gap_us, 0).otherwise(1)
     spans = (rows.withColumn("__new", starts)
@@ -110,7 +120,6 @@ def gap_sessions(arrivals, gap_s=SLIDING_TTL_S, slot_s=3600):
               .groupBy("session_id", "__span")
               .agg(F.min("__first").alias("__first"), F.max("__last").alias("__last"),
                    F.sum("n_messages").alias("n_messages")))
-    stamp = lambda us: F.timestamp_add("MICROSECOND", us, F.expr(_EPOCH))
     return (inside.unionByName(merged.select(*columns))
-            .select("session_id", stamp(F.col("__first")).alias("start_ts"),
-                    stamp(F.col("__last") + gap_us).alias("end_ts"), "n_messages"))
+            .select("session_id", from_epoch_us(F.col("__first")).alias("start_ts"),
+                    from_epoch_us(F.col("__last") + gap_us).alias("end_ts"), "n_messages"))

@@ -68,8 +68,7 @@ def _events(spark, d):
 
 @query
 def s1_chat_requests(spark, d):
-    accepted, rejected = requests.split_requests(fx.view(spark, d, "requests"))
-    return accepted.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rejected)
+    return requests.with_reject_reason(fx.view(spark, d, "requests"))
 
 
 @query
@@ -112,9 +111,8 @@ def s5_client_frames_sse(spark, d):
 def s6_outcome_split(spark, d):
     queued = fx.arrival_envelopes(fx.view(spark, d, "arrivals"))
     gated = presence.with_online(env.decode_envelopes(queued), _intervals(spark, d))
-    parts = env.split_outcomes(gated.withColumn("publish_failed", F.col("message_id") % 10 == 0))
-    columns = ["message_id", "session_id", "outcome", "reason", "delivery_attempt"]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(*columns)
+    judged = env.with_outcome(gated.withColumn("publish_failed", F.col("message_id") % 10 == 0))
+    return judged.select("message_id", "session_id", "outcome", "reason", "delivery_attempt")
 
 
 # Projections and scalar functions
@@ -177,7 +175,8 @@ def g2_findings(spark, d):
 @query
 def g3_moderation(spark, d):
     scored = guards.moderate(_messages(spark, d), "text", rails.LEXICON)
-    return scored.select("msg_id", F.explode("categories").alias("c")).select("msg_id", "c.name", "c.confidence")
+    return scored.select("msg_id", F.size("categories").alias("n_categories"), *[
+        rails.category_confidence(F.col("categories"), name).alias(name.lower()) for name in rails.LEXICON])
 
 
 @query
@@ -262,8 +261,7 @@ def g12_style_audit(spark, d):
 
 @query
 def j1_presence_gate(spark, d):
-    online, offline = presence.presence_gate(fx.view(spark, d, "arrivals"), _intervals(spark, d))
-    return online.withColumn("online", F.lit(True)).unionByName(offline.withColumn("online", F.lit(False)))
+    return presence.with_online(fx.view(spark, d, "arrivals"), _intervals(spark, d))
 
 
 @query

@@ -7,6 +7,8 @@ changing values of some rows (never by leaving rows out).
 
 from pyspark.sql import functions as F
 
+from chatloom.sources.tables import spread
+
 SQL = {
     # Guard input: a role change or a single rude word is added to some texts.
     "messages": """
@@ -98,13 +100,18 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
+# Tables whose rows are long texts, with a key that spreads them evenly.
+TEXT_TABLES = {"documents": "doc_id"}
+
+
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def stream(spark, sf_dir, name):
     """A table as a bounded stream. The pattern fits a single file and a folder of files."""
-    schema = table(spark, sf_dir, name).schema
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 

@@ -231,7 +231,12 @@ def oracle_sql():
                CASE WHEN {redact('p')} <> p THEN {redact('p')} ELSE array_to_string(parts, chr(10)) END AS text FROM chosen"""
     sql["g2_deidentify"] = f"{cte('messages')} SELECT msg_id, {_deidentified('text')} AS text FROM messages"
     sql["g2_findings"] = _findings()
-    sql["g3_moderation"] = sql["g3_moderation_by_table"] = _moderation()
+    counted = ", ".join(f"{hits('text', terms)} AS {name.lower()}" for name, terms in LEXICON.items())
+    present = " + ".join(f"CASE WHEN {name.lower()} > 0 THEN 1 ELSE 0 END" for name in LEXICON)
+    levels = ", ".join(f"CASE WHEN {n} > 0 THEN {n} / ({n} + 1) END AS {n}" for n in (name.lower() for name in LEXICON))
+    sql["g3_moderation"] = f"""{cte('messages')}, h AS (SELECT msg_id, {counted} FROM messages)
+        SELECT msg_id, CAST({present} AS INTEGER) AS n_categories, {levels} FROM h"""
+    sql["g3_moderation_by_table"] = _moderation()
     sql["g3_profanity_guard"] = f"""{cte('messages')} SELECT msg_id, {profane('text')} AS is_blocked,
         CASE WHEN {profane('text')} THEN {lit(PROFANITY_REASON)} ELSE '' END AS reason FROM messages"""
     sql["g4_jailbreak_screen"] = f"""{cte('messages')} SELECT msg_id, {jailbreak('text')} AS refused,

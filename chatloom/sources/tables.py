@@ -1,0 +1,15 @@
+"""Reading tables."""
+
+FULL_SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df, key):
+    """Distribute a small table over all cores before costly work per row.
+
+    A table below one full split per core, such as a single file with one row group,
+    would leave most cores idle. A table beyond that is read as it lies: its splits
+    keep every core busy, and no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * FULL_SPLIT_BYTES else df
