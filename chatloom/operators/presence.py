@@ -12,17 +12,18 @@ TTL_S = 6000          # fixed value: lifetime of a connection in seconds
 SLIDING_TTL_S = 60    # fixed value: lifetime that each message refreshes
 SLOTS_PER_WINDOW = 4  # lifetimes per slot of the interval job: 1.25 copies of each event
 
-_EPOCH = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+def _epoch():
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
 
 
 def epoch_us(ts):
     """Microseconds since 1970 of a timestamp without time zone, whatever the session zone."""
-    seconds = (ts - _EPOCH).cast("interval second").cast("decimal(18,6)")
+    seconds = (ts - _epoch()).cast("interval second").cast("decimal(18,6)")
     return (seconds * 1_000_000).cast("bigint")
 
 
 def from_epoch_us(us):
-    return _EPOCH + F.make_dt_interval(secs=us.cast("decimal(18,0)") / F.lit(1_000_000))
+    return _epoch() + F.make_dt_interval(secs=us.cast("decimal(18,0)") / F.lit(1_000_000))
 
 
 def plus_seconds(ts, seconds):

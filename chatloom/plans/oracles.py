@@ -317,4 +317,15 @@ def oracle_sql():
       SELECT msg_id, failed, open_blocked, CASE WHEN open_blocked THEN 'Digits detected' ELSE '' END AS open_reason,
              closed_blocked, CASE WHEN failed THEN {lit(PROFANITY_ERROR_REASON)} WHEN closed_blocked THEN 'Digits detected' ELSE '' END AS closed_reason
       FROM j"""
+    # A stream over the whole input answers the same question as its batch twin.
+    sql["t1_envelope_stream"] = f"""{GATED}, judged AS (SELECT *, CASE WHEN message_id % 31 = 0 THEN 'decode_error'
+          WHEN NOT online THEN 'offline' END AS reason FROM gated)
+      SELECT message_id, session_id, reason, CASE WHEN reason IS NULL THEN {CHANNEL} END AS channel,
+             CASE WHEN reason IS NULL THEN 'delivered' ELSE 'retry' END AS outcome,
+             CASE WHEN reason IS NULL THEN content END AS content FROM judged"""
+    sql["t2_presence_stream"] = sql["j1_presence_gate"]
+    sql["t3_sliding_presence_stream"] = GAPS
+    sql["t4_redelivery_stream"] = ATTEMPTS
+    sql["t5_guard_stream"] = sql["g6_guard_chain"]
+    sql["t6_reply_fold_stream"] = sql["a1_reply_fold"]
     return sql
