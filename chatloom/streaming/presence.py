@@ -7,87 +7,105 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from chatloom.operators.presence import SLIDING_TTL_S, TTL_S
 
-ARRIVAL, CONNECT, DISCONNECT = 2, 1, 0
-SHARDS = 8
+DISCONNECT, CONNECT, ARRIVAL = 0, 1, 2
+SHARDS = 8       # parts of a session's arrivals, so that a busy session is spread over tasks
+BUCKETS_PER_PARTITION = 16  # state groups per shuffle partition; more of them keep each one smaller
 
-_ROW_SCHEMA = "us long, id long, kind int, payload string"
-_STATE_SCHEMA = "last_us long, last_kind int, us array<long>, id array<long>, kind array<int>, payload array<string>"
+_STATE_SCHEMA = ("open_session array<string>, open_shard array<int>, open_us array<long>, session array<string>, "
+                 "shard array<int>, us array<long>, id array<long>, kind array<int>, payload array<string>")
 _OUT_SCHEMA = "session_id string, message_id long, us long, payload string, online boolean"
+_COLUMNS = ["session", "shard", "us", "id", "kind", "payload"]
+
+
+def _decide(rows, ttl_us):
+    """Online flags of arrivals and the connects still standing, for rows of many sessions.
+
+    Each arrival takes the last connect or disconnect before it in its session. At the
+    same time, connects and disconnects in id order come before arrivals.
+    """
+    rows = rows.assign(late=rows["kind"] == ARRIVAL).sort_values(["session", "shard", "us", "late", "id"], kind="stable")
+    kind, us = rows["kind"].to_numpy(dtype=np.int64), rows["us"].to_numpy(dtype=np.int64)
+    place = np.arange(len(rows))
+    group = rows.groupby(["session", "shard"], sort=False).ngroup().to_numpy()
+    first = np.r_[True, group[1:] != group[:-1]]
+    start = np.maximum.accumulate(np.where(first, place, 0))
+    last_event = np.maximum.accumulate(np.where(kind != ARRIVAL, place, -1))
+    known = last_event >= start
+    at = np.where(known, last_event, 0)
+    standing = known & (kind[at] == CONNECT)
+    online = standing & (us < us[at] + ttl_us)
+    arrivals = kind == ARRIVAL
+    ends = np.r_[first[1:], True] & standing
+    return rows[arrivals], online[arrivals], rows.iloc[at[ends]]
 
 
 def _gate(ttl_us):
-    """Handler of one session shard: decides arrivals whose past is complete.
+    """Handler of one bucket of sessions: decides arrivals whose past is complete.
 
     Rows wait until the watermark has passed them, because a micro-batch may bring
-    them in any order. Of the past only the last connect or disconnect is kept.
+    them in any order. Of the past only connects that still stand are kept.
     """
     def handle(key, frames, state):
-        last_us, last_kind, held = 0, DISCONNECT, None
+        parts = [f[_COLUMNS] for f in frames]
         if state.exists:
-            last_us, last_kind, us, ids, kinds, payloads = state.get
-            held = pd.DataFrame({"us": us, "id": ids, "kind": kinds, "payload": payloads})
-        frames = [f[["us", "id", "kind", "payload"]] for f in frames]
-        rows = pd.concat([f for f in [held, *frames] if f is not None and len(f)] or
-                         [pd.DataFrame({"us": [], "id": [], "kind": [], "payload": []})])
-        watermark_us = state.getCurrentWatermarkMs() * 1000
-        ready = rows[rows["us"] <= watermark_us]
-        waiting = rows[rows["us"] > watermark_us]
+            held = state.get
+            opened = pd.DataFrame({"session": held[0], "shard": held[1], "us": held[2]})
+            parts.append(opened.assign(id=-1, kind=CONNECT, payload=None))
+            parts.append(pd.DataFrame(dict(zip(_COLUMNS, held[3:]))))
+        rows = pd.concat([p for p in parts if len(p)])
+        watermark_ms = state.getCurrentWatermarkMs()
+        passed = rows["us"] <= watermark_ms * 1000
+        ready, waiting = rows[passed], rows[~passed]
+        opened = ready.iloc[:0]
         if len(ready):
-            # At the same time, connects and disconnects in id order come before arrivals.
-            ready = ready.assign(late=ready["kind"] == ARRIVAL).sort_values(["us", "late", "id"], kind="stable")
-            kinds, us = ready["kind"].to_numpy(dtype=np.int64), ready["us"].to_numpy(dtype=np.int64)
-            at = np.where(kinds == ARRIVAL, 0, np.arange(1, len(kinds) + 1))
-            at = np.maximum.accumulate(at)
-            known_kind, known_us = np.append(last_kind, kinds)[at], np.append(last_us, us)[at]
-            online = (known_kind == CONNECT) & (us < known_us + ttl_us)
-            last_kind, last_us = int(known_kind[-1]), int(known_us[-1])
-            chosen = kinds == ARRIVAL
-            if chosen.any():
-                yield pd.DataFrame({
-                    "session_id": key[0], "message_id": ready["id"].to_numpy(dtype=np.int64)[chosen], "us": us[chosen],
-                    "payload": ready["payload"].to_numpy()[chosen], "online": online[chosen]})
-        expired = last_kind != CONNECT or last_us + ttl_us <= watermark_us
-        if len(waiting) == 0 and expired:
+            arrivals, online, opened = _decide(ready, ttl_us)
+            opened = opened[opened["us"] + ttl_us > watermark_ms * 1000]
+            if len(arrivals):
+                yield pd.DataFrame({"session_id": arrivals["session"].to_numpy(), "message_id": arrivals["id"].to_numpy(),
+                                    "us": arrivals["us"].to_numpy(), "payload": arrivals["payload"].to_numpy(), "online": online})
+        if not len(waiting) and not len(opened):
             state.remove()
             return
-        state.update((last_us, last_kind, waiting["us"].astype("int64").tolist(), waiting["id"].astype("int64").tolist(),
-                      waiting["kind"].astype("int64").tolist(), waiting["payload"].tolist()))
-        wake_us = int(waiting["us"].min()) if len(waiting) else last_us + ttl_us
-        state.setTimeoutTimestamp(max(wake_us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        state.update((*[opened[c].tolist() for c in ("session", "shard", "us")], *[waiting[c].tolist() for c in _COLUMNS]))
+        wake_us = min([waiting["us"].min()] if len(waiting) else (opened["us"] + ttl_us).tolist())
+        state.setTimeoutTimestamp(max(int(wake_us) // 1000 + 1, watermark_ms + 1))
 
     return handle
 
 
-def presence_rows(arrivals, events, shards=SHARDS):
-    """Arrivals and presence events as one keyed stream.
+def bucket_count(df):
+    """Number of state groups; like that of the partitions, fixed for the life of a checkpoint."""
+    return BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    The arrivals of a session are divided into shards, so that a busy session is
-    spread over tasks; the few connects and disconnects go to every shard.
-    """
+
+def presence_rows(arrivals, events, shards=SHARDS):
+    """Arrivals and presence events as one stream of sharded session rows."""
     us = F.unix_micros("ts")
     left = arrivals.select(
-        "session_id", F.pmod(F.xxhash64("message_id"), F.lit(shards)).cast("int").alias("shard"), "ts",
-        us.alias("us"), F.col("message_id").alias("id"), F.lit(ARRIVAL).alias("kind"), "payload")
+        F.col("session_id").alias("session"), F.pmod(F.xxhash64("message_id"), F.lit(shards)).cast("int").alias("shard"),
+        "ts", us.alias("us"), F.col("message_id").alias("id"), F.lit(ARRIVAL).alias("kind"), "payload")
     right = events.select(
-        "session_id", F.explode(F.array(*[F.lit(s) for s in range(shards)])).alias("shard"), "ts",
-        us.alias("us"), F.col("event_id").alias("id"),
+        F.col("session_id").alias("session"), F.explode(F.array(*[F.lit(s) for s in range(shards)])).alias("shard"),
+        "ts", us.alias("us"), F.col("event_id").alias("id"),
         F.when(F.col("kind") == "connect", CONNECT).otherwise(DISCONNECT).alias("kind"),
         F.lit(None).cast("string").alias("payload"))
     return left.unionByName(right)
 
 
-def presence_stream(arrivals, events, ttl_s=TTL_S, delay="1 hour", shards=SHARDS, side=None):
+def presence_stream(arrivals, events, ttl_s=TTL_S, delay="1 hour", shards=SHARDS, buckets=None, side=None):
     """Streaming gate: each arrival of (message_id, session_id, ts, payload) with ``online``.
 
     ``ts`` is a timestamp with time zone. Rows more than ``delay`` behind are dropped
     and counted by the query's progress. Arrivals without a session are offline and
-    need no state. ``side`` is an optional stream of rows like those of
-    ``presence_rows``.
+    need no state. Sessions share the state of a bucket, which is worked on as one table;
+    more ``buckets`` keep each one smaller. The connects and disconnects of a session, few next to its
+    arrivals, go to every shard. ``side`` is an optional stream of further rows.
     """
     rows = presence_rows(arrivals.filter("session_id IS NOT NULL"), events, shards)
     if side is not None:
         rows = rows.unionByName(side)
-    gated = (rows.withWatermark("ts", delay).groupBy("session_id", "shard")
+    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("session", "shard"), F.lit(buckets or bucket_count(rows))))
+    gated = (keyed.withWatermark("ts", delay).groupBy("bucket")
              .applyInPandasWithState(_gate(ttl_s * 1_000_000), _OUT_SCHEMA, _STATE_SCHEMA, "append",
                                      GroupStateTimeout.EventTimeTimeout))
     stateless = arrivals.filter("session_id IS NULL").select(
@@ -97,7 +115,7 @@ def presence_stream(arrivals, events, ttl_s=TTL_S, delay="1 hour", shards=SHARDS
 
 def presence_flush(ts):
     """A row that moves the watermark and decides nothing."""
-    return {"session_id": F.lit(""), "shard": F.lit(0), "ts": ts, "us": F.unix_micros(ts), "id": F.lit(-1).cast("bigint"),
+    return {"session": F.lit(""), "shard": F.lit(0), "ts": ts, "us": F.unix_micros(ts), "id": F.lit(-1).cast("bigint"),
             "kind": F.lit(DISCONNECT), "payload": F.lit(None).cast("string")}
 
 

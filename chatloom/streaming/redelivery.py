@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from chatloom.operators.delivery import MAX_ATTEMPTS, PUSH_RETRY, outcome_columns
+from chatloom.streaming.presence import bucket_count
 
-_STATE_SCHEMA = "n long, settled boolean, last_us long, us array<long>, tie array<string>, ok array<boolean>"
+_STATE_SCHEMA = ("message array<long>, n array<long>, settled array<boolean>, last_us array<long>, "
+                 "message_id array<long>, us array<long>, tie array<string>, ok array<boolean>")
 _OUT_SCHEMA = "message_id long, n_seen long, first_ok long"
+_KNOWN, _COLUMNS = ["message", "n", "settled", "last_us"], ["message_id", "us", "tie", "ok"]
 
 
 def _first_attempts(max_attempts):
@@ -18,41 +21,73 @@ def _first_attempts(max_attempts):
     return combine
 
 
+def _advance(known, ready, max_attempts):
+    """Add attempts to the counts of their messages.
+
+    ``known`` has one row per message (n, settled, last_us). Returns it updated, with
+    ``first_ok`` and ``news`` for messages that were settled by these attempts.
+    """
+    ready = ready.sort_values(["message_id", "us", "tie"])
+    before = known["n"].reindex(ready["message_id"]).fillna(0).to_numpy(dtype="int64")
+    place = ready.groupby("message_id").cumcount().to_numpy() + 1 + before
+    ready = ready.assign(place=place, hit=pd.Series(place, index=ready.index).where(ready["ok"] & (place <= max_attempts)))
+    per = ready.groupby("message_id").agg(n=("place", "max"), first_ok=("hit", "min"), last_us=("us", "max"))
+    out = known.reindex(known.index.union(per.index))
+    was_settled = out["settled"].fillna(False).astype(bool)
+    out["n"] = per["n"].reindex(out.index).fillna(out["n"]).astype("int64").clip(upper=max_attempts)
+    out["last_us"] = per["last_us"].reindex(out.index).fillna(out["last_us"]).astype("int64")
+    out["first_ok"] = per["first_ok"].reindex(out.index)
+    done = out["first_ok"].notna() | (out["n"] >= max_attempts)
+    out["news"] = done & ~was_settled
+    out["settled"] = done | was_settled
+    return out
+
+
+def _report(rows):
+    return pd.DataFrame({"message_id": rows.index.to_numpy(dtype="int64"), "n_seen": rows["n"].to_numpy(dtype="int64"),
+                         "first_ok": rows["first_ok"].astype("Int64").array})
+
+
 def _track(max_attempts, idle_us):
+    """Handler of one bucket of messages; attempts wait until the watermark has passed them."""
     def handle(key, frames, state):
-        n, settled, last_us, held = 0, False, 0, []
+        parts = [f[_COLUMNS] for f in frames]
+        known = pd.DataFrame({c: [] for c in _KNOWN})
         if state.exists:
-            n, settled, last_us, us, tie, ok = state.get
-            held = list(zip(us, tie, ok))
-        for f in frames:
-            held.extend(zip(f["us"].tolist(), f["tie"].tolist(), f["ok"].tolist()))
-        watermark_ms = state.getCurrentWatermarkMs()
-        held.sort(key=lambda r: r[:2])
-        while held and held[0][0] <= watermark_ms * 1000 and not settled:
-            last_us, _, ok = held.pop(0)
-            n += 1
-            if ok or n >= max_attempts:
-                settled = True
-                yield pd.DataFrame({"message_id": [key[0]], "n_seen": [n], "first_ok": pd.array([n if ok else None], dtype="Int64")})
-        if settled:
-            last_us = max([last_us] + [r[0] for r in held])
-            held = []
-        else:
-            held = held[:max_attempts - n]
-        if not held and last_us + idle_us <= watermark_ms * 1000:
-            if not settled and n:
-                yield pd.DataFrame({"message_id": [key[0]], "n_seen": [n], "first_ok": pd.array([None], dtype="Int64")})
+            held = state.get
+            known = pd.DataFrame(dict(zip(_KNOWN, held[:4])))
+            parts.append(pd.DataFrame(dict(zip(_COLUMNS, held[4:]))))
+        known = known.set_index("message")
+        parts = [p for p in parts if len(p)]
+        rows = pd.concat(parts) if parts else pd.DataFrame({c: [] for c in _COLUMNS})
+        watermark_us = state.getCurrentWatermarkMs() * 1000
+        passed = rows["us"] <= watermark_us
+        waiting = rows[~passed].sort_values(["us", "tie"])
+        if passed.any():
+            known = _advance(known, rows[passed].astype({"ok": bool}), max_attempts)
+            if known["news"].any():
+                yield _report(known[known["news"]])
+        # Of what waits, only attempts that can still count are kept.
+        finished = known.index[known["settled"].astype(bool)]
+        waiting = waiting[~waiting["message_id"].isin(finished)].groupby("message_id", sort=False).head(max_attempts)
+        idle = (known["last_us"] + idle_us <= watermark_us) & ~known.index.isin(waiting["message_id"])
+        pending = known[idle & ~known["settled"].astype(bool)]
+        if len(pending):
+            yield _report(pending.assign(first_ok=None))
+        known = known[~idle]
+        if not len(known) and not len(waiting):
             state.remove()
             return
-        us, tie, ok = ([list(c) for c in zip(*held)] if held else ([], [], []))
-        state.update((n, settled, last_us, us, tie, ok))
-        wake_us = held[0][0] if held else last_us + idle_us
-        state.setTimeoutTimestamp(max(wake_us // 1000 + 1, watermark_ms + 1))
+        state.update((known.index.astype("int64").tolist(), known["n"].astype("int64").tolist(), known["settled"].astype(bool).tolist(),
+                      known["last_us"].astype("int64").tolist(), waiting["message_id"].astype("int64").tolist(),
+                      waiting["us"].astype("int64").tolist(), waiting["tie"].tolist(), waiting["ok"].astype(bool).tolist()))
+        wakes = waiting["us"].tolist()[:1] + ([known["last_us"].min() + idle_us] if len(known) else [])
+        state.setTimeoutTimestamp(max(int(min(wakes)) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
     return handle
 
 
-def redelivery_stream(attempts, max_attempts=MAX_ATTEMPTS, policy=PUSH_RETRY, idle_s=None, delay="1 hour", side=None):
+def redelivery_stream(attempts, max_attempts=MAX_ATTEMPTS, policy=PUSH_RETRY, idle_s=None, delay="1 hour", buckets=None, side=None):
     """Outcome of each message of a stream of attempts (message_id, ts, tie, ok).
 
     Attempts are taken in order of (``ts``, ``tie``) once the watermark has passed
@@ -66,7 +101,8 @@ def redelivery_stream(attempts, max_attempts=MAX_ATTEMPTS, policy=PUSH_RETRY, id
     if side is not None:
         rows = rows.unionByName(side)
     combined = rows.mapInPandas(_first_attempts(max_attempts), rows.schema)
-    counted = (combined.withWatermark("ts", delay).groupBy("message_id")
+    keyed = combined.withColumn("bucket", F.pmod(F.xxhash64("message_id"), F.lit(buckets or bucket_count(rows))))
+    counted = (keyed.withWatermark("ts", delay).groupBy("bucket")
                .applyInPandasWithState(_track(max_attempts, int(idle_s * 1_000_000)), _OUT_SCHEMA, _STATE_SCHEMA, "append",
                                        GroupStateTimeout.EventTimeTimeout))
     n_used, outcome, delay_s = outcome_columns(F.col("n_seen"), F.col("first_ok"), max_attempts, policy)
