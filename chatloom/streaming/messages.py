@@ -14,7 +14,7 @@ def guard_stream(stream, col, rails):
     return apply_guards(stream, col, rails)
 
 
-def envelope_outcomes(envelopes, events, ttl_s=TTL_S, delay="1 hour", shards=SHARDS, deduplicate=False, side=None):
+def envelope_outcomes(envelopes, events, ttl_s=TTL_S, delay="1 hour", shards=SHARDS, buckets=None, deduplicate=False, side=None):
     """Decode, gate and frame a stream of envelopes (message_id, ts, data, attributes).
 
     Gives (message_id, session_id, channel, value, reason, outcome). The queue may
@@ -24,7 +24,7 @@ def envelope_outcomes(envelopes, events, ttl_s=TTL_S, delay="1 hour", shards=SHA
         envelopes = envelopes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["message_id"])
     decoded = decode_envelopes(envelopes)
     gated = presence_stream(decoded.filter("decode_ok").select("message_id", "session_id", "ts", "payload"),
-                            events, ttl_s, delay, shards, side)
+                            events, ttl_s, delay, shards, buckets, side)
     readable = gated.select("message_id", "session_id", "payload", "online", F.lit(True).alias("decode_ok"))
     broken = decoded.filter("NOT decode_ok").select(
         "message_id", "session_id", F.lit(None).cast("string").alias("payload"), F.lit(False).alias("online"), "decode_ok")
