@@ -29,7 +29,7 @@ def leakage(texts, protected, n=8, text_id="id", item_id="item_id", text_col="te
                 .groupBy(text_id, item_id).agg(F.count(F.lit(1)).alias("n_shared")))
 
     def hashed(df, id_col, col):
-        runs = F.array_distinct(F.transform(ngrams(words(F.col(col)), n), F.xxhash64))
+        runs = F.array_distinct(F.transform(ngrams(words(F.col(col)), n), lambda run: F.xxhash64(run)))
         return df.select(id_col, F.explode_outer(runs).alias("__hash"))
 
     pairs = (hashed(texts, text_id, text_col).join(hashed(items, item_id, "__item_text"), "__hash")

@@ -14,14 +14,18 @@ def guard_stream(stream, col, rails):
     return apply_guards(stream, col, rails)
 
 
-def envelope_outcomes(envelopes, events, ttl_s=TTL_S, delay="1 hour", shards=SHARDS, buckets=None, deduplicate=False, side=None):
+def drop_repeats(envelopes, delay="1 hour"):
+    """The first of envelopes with the same ``message_id`` that come within ``delay``."""
+    return envelopes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["message_id"])
+
+
+def envelope_outcomes(envelopes, events, ttl_s=TTL_S, delay="1 hour", shards=SHARDS, buckets=None, side=None):
     """Decode, gate and frame a stream of envelopes (message_id, ts, data, attributes).
 
     Gives (message_id, session_id, channel, value, reason, outcome). The queue may
-    deliver an envelope twice; ``deduplicate`` drops repeats within ``delay``.
+    deliver an envelope twice and repeats pass; put ``drop_repeats`` into a job before
+    this one to remove them.
     """
-    if deduplicate:
-        envelopes = envelopes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["message_id"])
     decoded = decode_envelopes(envelopes)
     gated = presence_stream(decoded.filter("decode_ok").select("message_id", "session_id", "ts", "payload"),
                             events, ttl_s, delay, shards, buckets, side)

@@ -33,7 +33,7 @@ def _advance(known, ready, max_attempts):
     ready = ready.assign(place=place, hit=pd.Series(place, index=ready.index).where(ready["ok"] & (place <= max_attempts)))
     per = ready.groupby("message_id").agg(n=("place", "max"), first_ok=("hit", "min"), last_us=("us", "max"))
     out = known.reindex(known.index.union(per.index))
-    was_settled = out["settled"].fillna(False).astype(bool)
+    was_settled = out["settled"].eq(True)
     out["n"] = per["n"].reindex(out.index).fillna(out["n"]).astype("int64").clip(upper=max_attempts)
     out["last_us"] = per["last_us"].reindex(out.index).fillna(out["last_us"]).astype("int64")
     out["first_ok"] = per["first_ok"].reindex(out.index)
