@@ -56,6 +56,10 @@ SQL = {
                CASE WHEN (conv_id + turn) % 9 = 0 THEN NULL ELSE text END AS text,
                concat('content ', CAST(turn AS STRING)) AS content_str
         FROM {conversations}""",
+    # Runs that raised an exception.
+    "failed_runs": """
+        SELECT DISTINCT CAST(conv_id AS STRING) AS session_id, conv_id AS invocation_id
+        FROM {conversations} WHERE role = 'system'""",
     "subscriptions": """
         SELECT n_nationkey AS subscriber_id,
                CASE WHEN n_nationkey = 0 THEN 'user_*'
@@ -85,7 +89,7 @@ SQL = {
         FROM {documents}""",
     "translations": """
         SELECT CAST(conv_id AS STRING) AS session_id, turn, concat('translated: ', text) AS translated
-        FROM {conversations} WHERE role = 'assistant' AND conv_id % 3 <> 0""",
+        FROM {conversations} WHERE role = 'assistant' AND turn > 1""",
     "replies": """
         SELECT doc_id AS msg_id,
                CASE WHEN doc_id % 19 = 0 THEN concat('Sorry, I couldn''t find the information. ', text)
@@ -100,18 +104,28 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
-# Tables whose rows are long texts, with a key that spreads them evenly.
-TEXT_TABLES = {"documents": "doc_id"}
+# Tables with costly work per row or per key, and the column that spreads them evenly.
+SPREAD_BY = {"documents": "doc_id", "lineitem": "l_orderkey"}
+
+_schemas = {}
+
+
+def read(spark, sf_dir, name):
+    """A supplied table; its schema is read from a file footer once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def table(spark, sf_dir, name):
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    df = read(spark, sf_dir, name)
+    return spread(df, SPREAD_BY[name]) if name in SPREAD_BY else df
 
 
 def stream(spark, sf_dir, name):
     """A table as a bounded stream. The pattern fits a single file and a folder of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    schema = read(spark, sf_dir, name).schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 

@@ -288,8 +288,8 @@ def oracle_sql():
       r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s)
       SELECT * FROM r WHERE rank <= 5"""
     sql["a1_reply_fold"] = f"{cte('agent_rows')}, {LAST_ERROR} SELECT * FROM folded"
-    sql["a1_reply_fold_failed"] = f"""{cte('agent_rows')}, {LAST_ERROR} SELECT session_id, invocation_id, sender,
-        CASE WHEN invocation_id % 23 = 0 THEN 'system_error' ELSE content END AS content FROM folded"""
+    sql["a1_reply_fold_failed"] = f"""{cte('agent_rows', 'failed_runs')}, {LAST_ERROR} SELECT session_id, invocation_id, sender,
+        CASE WHEN invocation_id IN (SELECT invocation_id FROM failed_runs) THEN 'system_error' ELSE content END AS content FROM folded"""
     sql["a2_receiver_counts"] = f"""{cte('arrivals', 'subscriptions')} SELECT message_id, {CHANNEL} AS channel,
         count(subscriber_id) AS n_receivers FROM arrivals LEFT JOIN subscriptions ON {CHANNEL} GLOB pattern GROUP BY ALL"""
     sql["a3_outcome_report"] = f"""{cte('messages')}, g AS ({_guard_sql()}),
@@ -312,7 +312,7 @@ def oracle_sql():
         SELECT msg_id, {jailbreak('text')} AS is_blocked, CASE WHEN {jailbreak('text')} THEN {lit(REFUSAL_TEXT)} END AS reason,
         CASE WHEN {jailbreak('text')} THEN {lit(REFUSAL_TEXT)} ELSE regexp_replace(text, '!{{2,}}', '!', 'g') END AS final_text FROM s"""
     sql["u2_model_rail"] = f"""{cte('messages')}, s AS (SELECT msg_id, contains(text, '|') AS failed,
-        len(regexp_extract_all(text, '[0-9]')) / length(text) > 0.01 AS over FROM messages WHERE text <> ''),
+        len(regexp_extract_all(text, '[0-9]')) / greatest(length(text), 1) > 0.01 AS over FROM messages),
       j AS (SELECT msg_id, failed, over AND NOT failed AS open_blocked, failed OR over AS closed_blocked FROM s)
       SELECT msg_id, failed, open_blocked, CASE WHEN open_blocked THEN 'Digits detected' ELSE '' END AS open_reason,
              closed_blocked, CASE WHEN failed THEN {lit(PROFANITY_ERROR_REASON)} WHEN closed_blocked THEN 'Digits detected' ELSE '' END AS closed_reason

@@ -5,10 +5,17 @@ from pyspark.sql import functions as F
 from chatloom.functions.frames import channel_name, frame_value
 from chatloom.operators.delivery import MAX_ATTEMPTS
 from chatloom.operators.replies import SENDER
+from chatloom.schemas import ENVELOPE
 
 OUTCOMES = ("delivered", "retry", "dead_letter")
 
 
+def read_envelopes(spark, path, streaming=False, fmt="json"):
+    """Push envelopes with their fixed schema, flattened."""
+    reader = spark.readStream if streaming else spark.read
+    return flatten_envelopes(reader.schema(ENVELOPE).format(fmt).load(path))
+
+
 def flatten_envelopes(envelopes):
     """The message fields of nested envelopes as columns; missing attributes are empty."""
     return envelopes.select(
@@ -50,6 +57,16 @@ def encode_replies(df):
     return df.withColumns({"data": data, "attributes": attributes})
 
 
+def queue_rows(df):
+    """Encoded replies in the shape of a Kafka sink: (key, value, headers).
+
+    There is no key: replies are published without an ordering guarantee.
+    """
+    headers = F.transform(F.map_entries("attributes"), lambda e: F.struct(
+        e["key"].alias("key"), F.encode(e["value"], "utf-8").alias("value")))
+    return df.select(F.lit(None).cast("binary").alias("key"), F.unbase64("data").alias("value"), headers.alias("headers"))
+
+
 def channel_frames(df):
     """Add ``channel`` and ``value`` to rows of (session_id, payload)."""
     return df.withColumns({"channel": channel_name(F.col("session_id")),

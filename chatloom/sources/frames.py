@@ -5,6 +5,12 @@ from pyspark.sql import functions as F
 DONE_MARK = "[DONE]"  # fixed value: end of an answer in the event stream
 
 
+def client_lines(spark, path, streaming=False):
+    """Lines of text files as a column ``line``."""
+    reader = spark.readStream if streaming else spark.read
+    return reader.text(path).withColumnRenamed("value", "line")
+
+
 def _json_type(value):
     return F.schema_of_variant(value)
 

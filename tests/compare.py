@@ -1,9 +1,10 @@
 """Run catalog queries next to their SQL twins and report differences.
 
     python tests/compare.py [sf_dir] [name ...]
+
+COMPARE_CONF holds further Spark settings as key=value pairs joined by semicolons.
 """
 
-import math
 import os
 import sys
 import time
@@ -29,21 +30,17 @@ def _key(row):
     return tuple((v is None, str(type(v)), v if v is not None else 0) for v in row)
 
 
-def _clean(v):
-    return round(v, 9) if isinstance(v, float) and not math.isnan(v) else v
-
-
 def differences(df, con, sql):
     """A short text per difference; empty when columns, types and rows agree."""
     names = sorted(df.columns)
-    ours = sorted((tuple(_clean(v) for v in r) for r in df.select(*names).collect()), key=_key)
+    ours = sorted((tuple(r) for r in df.select(*names).collect()), key=_key)
     cur = con.execute(sql)
     theirs_names = [c[0] for c in cur.description]
     types = {c[0]: str(c[1]) for c in cur.description}
     if sorted(theirs_names) != names:
         return [f"columns {names} vs {sorted(theirs_names)}"], len(ours)
     order = [theirs_names.index(n) for n in names]
-    theirs = sorted((tuple(_clean(r[i]) for i in order) for r in cur.fetchall()), key=_key)
+    theirs = sorted((tuple(r[i] for i in order) for r in cur.fetchall()), key=_key)
     out = []
     for name, kind in df.dtypes:
         if KINDS.get(types[name], types[name]) != kind:
@@ -62,7 +59,8 @@ def main(argv):
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:] or list(queries())
-    spark = build_session("compare", "local[8]", 8, {"spark.ui.enabled": "false"})
+    conf = dict(pair.split("=", 1) for pair in os.environ.get("COMPARE_CONF", "").split(";") if pair)
+    spark = build_session("compare", "local[8]", 8, {"spark.ui.enabled": "false", **conf})
     spark.sparkContext.setLogLevel("ERROR")
     con, oracle, failed = duck(sf_dir), oracle_sql(), 0
     for name in names:

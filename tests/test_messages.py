@@ -152,3 +152,22 @@ def test_failed_run_drops_its_text(spark):
     failed = spark.createDataFrame([("s", 1), ("s", 2)], "session_id string, invocation_id long")
     out = {r.invocation_id: r.content for r in replies.fold_replies(df, failed).collect()}
     assert out == {1: "system_error", 2: "system_error"}
+
+
+def test_file_sources_and_queue_rows(spark, tmp_path):
+    folder = str(tmp_path / "envelopes")
+    row = ((b64('{"a": 1}'), "7", "t", {"session_id": "s"}), "sub")
+    spark.createDataFrame([row], ENVELOPE).write.json(folder)
+    out = envelopes.decode_envelopes(envelopes.read_envelopes(spark, folder)).first()
+    assert (out.messageId, out.session_id, out.payload) == ("7", "s", '{"a": 1}')
+    assert envelopes.read_envelopes(spark, folder, streaming=True).isStreaming
+    accepted, rejected = requests.chat_requests(spark, folder, streaming=True)
+    assert accepted.isStreaming and rejected.isStreaming
+
+    lines = str(tmp_path / "lines")
+    spark.createDataFrame([("raw",), ("",)], "value string").write.text(lines)
+    assert [r.kind for r in frames.read_frames(frames.client_lines(spark, lines)).collect()] == ["raw"]
+
+    queued = envelopes.queue_rows(envelopes.encode_replies(spark.createDataFrame([("s", "ü")], "session_id string, content string"))).first()
+    assert queued.key is None and json.loads(bytes(queued.value)) == {"sender": "system", "content": "ü"}
+    assert [(h.key, bytes(h.value)) for h in queued.headers] == [("session_id", b"s")]
