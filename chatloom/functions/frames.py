@@ -15,6 +15,17 @@ def session_from_channel(channel):
     return F.replace(channel, F.lit(CHANNEL_PREFIX), F.lit(""))
 
 
+def valid_json(text):
+    """Whether the whole text is one JSON value, with nothing before or after it.
+
+    Spark's JSON readers stop after the first value. What is a value inside an object
+    and also the only one inside an array has no room for anything else.
+    """
+    in_object = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    in_array = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
+    return F.coalesce((F.size(in_object) == 1) & (in_array == 1), F.lit(False))
+
+
 def frame_value(session_id, payload_json):
     """``{"session_id": .., "data": ..}`` around a payload that is JSON already.
 
@@ -29,6 +40,6 @@ def frame_content(frame_json):
     """``data`` of a frame as JSON text: ``{}`` when the key is absent, ``null`` when null."""
     frame = F.try_parse_json(frame_json)
     data = F.try_variant_get(frame, "$.data", "variant")
-    return (F.when(frame.isNull(), F.lit(None).cast("string"))
+    return (F.when(frame.isNull() | ~valid_json(frame_json), F.lit(None).cast("string"))
             .when(data.isNull(), F.lit("{}"))
             .otherwise(F.to_json(data)))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chatloom.functions.frames import channel_name, frame_value
+from chatloom.functions.frames import channel_name, frame_value, valid_json
 from chatloom.operators.delivery import MAX_ATTEMPTS
 from chatloom.operators.replies import SENDER
 from chatloom.schemas import ENVELOPE
@@ -42,7 +42,7 @@ def decode_envelopes(df):
     """
     text = payload_text(F.col("data"))
     return (df.withColumn("payload", text)
-            .withColumn("payload", F.when(F.try_parse_json(F.col("payload")).isNotNull(), F.col("payload")))
+            .withColumn("payload", F.when(valid_json(F.col("payload")), F.col("payload")))
             .withColumns({"session_id": F.try_element_at(F.col("attributes"), F.lit("session_id")),
                           "decode_ok": F.col("payload").isNotNull()}))
 

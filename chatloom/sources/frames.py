@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from chatloom.functions.frames import valid_json
+
 DONE_MARK = "[DONE]"  # fixed value: end of an answer in the event stream
 
 
@@ -48,7 +50,8 @@ def read_frames(lines, mode="ws", col="line"):
         fields = {"kind": kind, "session_id": F.when(is_message, _field_text(session)),
                   "content": F.when(is_message, content).otherwise(text)}
     elif mode == "sse":
-        inner = F.try_parse_json(F.try_variant_get(F.try_parse_json(text), "$.msg", "string"))
+        quoted = F.try_variant_get(F.try_parse_json(text), "$.msg", "string")
+        inner = F.when(valid_json(quoted), F.try_parse_json(quoted))
         readable, content = _content(inner)
         shown = inner.isNotNull() & readable & ~content.isin("null", "false", "")
         kind = F.when(text.contains(DONE_MARK), "done").when(shown, "message")

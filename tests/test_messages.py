@@ -17,7 +17,9 @@ def b64(text):
 
 def test_decode_accepts_and_rejects(spark):
     cases = {b64('{"a": 1}'): True, b64('{"a": 1}')[:4] + "\n!" + b64('{"a": 1}')[4:]: True, "!!!": False, "": False,
-             b64("{bad"): False, b64(b"\xff\xfe"): False, "YWI": False, b64("null"): True, b64("3"): True, b64('"ü"'): True}
+             b64("{bad"): False, b64(b"\xff\xfe"): False, "YWI": False, b64("null"): True, b64("3"): True, b64('"ü"'): True,
+             b64('{"a":1} x'): False, b64("1],[2"): False, b64('1, "a": 2'): False, b64("1,2"): False, b64("1} x"): False,
+             b64('{"a":1,"a":2}'): True, b64(" [1, {}] "): True, b64('{"a":[}'): False}
     df = spark.createDataFrame([(i, d, {}) for i, d in enumerate(cases)], "id long, data string, attributes map<string,string>")
     out = envelopes.decode_envelopes(df).orderBy("id").collect()
     assert [r.decode_ok for r in out] == list(cases.values())
@@ -50,10 +52,10 @@ def test_frames_and_channels(spark):
 
 
 def test_frame_content_default(spark):
-    lines = ['{"data": {"a": 1}}', '{"data": null}', "{}", "nonsense"]
+    lines = ['{"data": {"a": 1}}', '{"data": null}', "{}", "nonsense", '{"data": 1} x']
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id long, line string")
     out = [r.c for r in df.orderBy("id").select(frame_content(F.col("line")).alias("c")).collect()]
-    assert out == ['{"a":1}', "null", "{}", None]
+    assert out == ['{"a":1}', "null", "{}", None, None]
 
 
 def read(spark, mode, lines):
