@@ -3,12 +3,21 @@
 from pyspark.sql import functions as F
 
 
-def guard_outcomes(guarded):
-    """(stage, reason) rows of a guarded table: blocked, modified or passed."""
+def guard_outcomes(guarded, col="text"):
+    """(stage, reason) rows of a guarded table: the block reason, ``modified`` or ``passed``."""
     reason = (F.when(F.col("is_blocked"), F.col("reason"))
-              .when(F.col("final_text") != F.col("text"), "modified").otherwise("passed"))
-    stage = F.when(F.col("is_blocked"), "blocked").otherwise("forwarded")
-    return guarded.select(stage.alias("stage"), reason.alias("reason"))
+              .when(F.col("final_text") != F.col(col), "modified").otherwise("passed"))
+    return guarded.select(F.lit("guard").alias("stage"), reason.alias("reason"))
+
+
+def tool_outcomes(judged):
+    """(stage, reason) rows of judged tool calls: the reason or ``allowed``."""
+    return judged.select(F.lit("tool").alias("stage"), F.coalesce("reason", F.lit("allowed")).alias("reason"))
+
+
+def delivery_outcomes(judged):
+    """(stage, reason) rows of judged envelopes: the reason or ``delivered``."""
+    return judged.select(F.lit("delivery").alias("stage"), F.coalesce("reason", F.lit("delivered")).alias("reason"))
 
 
 def outcome_report(outcomes):

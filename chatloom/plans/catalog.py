@@ -308,7 +308,11 @@ def a2_receiver_counts(spark, d):
 
 @query
 def a3_outcome_report(spark, d):
-    return report.outcome_report(report.guard_outcomes(_guarded(spark, d)))
+    tools = guards.tool_call_guard(fx.tool_calls(fx.view(spark, d, "tool_queries")))
+    happened = (report.guard_outcomes(_guarded(spark, d))
+                .unionByName(report.tool_outcomes(tools))
+                .unionByName(report.delivery_outcomes(s6_outcome_split(spark, d))))
+    return report.outcome_report(happened)
 
 
 # Windows

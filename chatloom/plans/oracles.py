@@ -292,9 +292,12 @@ def oracle_sql():
         CASE WHEN invocation_id IN (SELECT invocation_id FROM failed_runs) THEN 'system_error' ELSE content END AS content FROM folded"""
     sql["a2_receiver_counts"] = f"""{cte('arrivals', 'subscriptions')} SELECT message_id, {CHANNEL} AS channel,
         count(subscriber_id) AS n_receivers FROM arrivals LEFT JOIN subscriptions ON {CHANNEL} GLOB pattern GROUP BY ALL"""
-    sql["a3_outcome_report"] = f"""{cte('messages')}, g AS ({_guard_sql()}),
-      o AS (SELECT CASE WHEN is_blocked THEN 'blocked' ELSE 'forwarded' END AS stage,
-                   CASE WHEN is_blocked THEN reason WHEN redacted <> text THEN 'modified' ELSE 'passed' END AS reason FROM g)
+    sql["a3_outcome_report"] = f"""WITH g AS ({sql['g6_guard_chain']}), t AS ({sql['g5_tool_call_admission']}),
+      d AS ({sql['s6_outcome_split']}), m AS ({cte('messages')} SELECT msg_id, text FROM messages),
+      o AS (SELECT 'guard' AS stage, CASE WHEN is_blocked THEN reason WHEN final_text <> text THEN 'modified' ELSE 'passed' END AS reason
+              FROM g JOIN m USING (msg_id)
+            UNION ALL SELECT 'tool', coalesce(reason, 'allowed') FROM t
+            UNION ALL SELECT 'delivery', coalesce(reason, 'delivered') FROM d)
       SELECT stage, reason, count(*) AS n, CAST(grouping(stage, reason) AS INTEGER) AS level FROM o GROUP BY ROLLUP (stage, reason)"""
     sql["w1_pending_user_turns"] = f"""{cte('turns')} SELECT session_id, turn, text FROM (SELECT *, row_number() OVER (
         PARTITION BY session_id ORDER BY turn DESC) AS n FROM turns) WHERE n = 1 AND role = 'user'"""
