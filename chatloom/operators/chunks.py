@@ -3,12 +3,14 @@
 A plain window puts a whole session into one task. Here each session is cut into
 chunks, the window runs inside the chunks, and only the few rows next to a chunk
 border take part in a second window over the session. Sessions that fit into one
-chunk never reach the second step.
+chunk never reach the second step; when all do, it is left out of the plan.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chatloom.operators.sizing import keys_beyond
+
 CHUNK_ROWS = 65536
 
 _CHUNK, _POS, _LEFT = "__chunk", "__pos", "__left"
@@ -27,10 +29,13 @@ def with_lookback(df, key, order, depth, columns, chunk=CHUNK_ROWS):
         _POS: F.row_number().over(inner),
         **{name: make(inner) for name, make in columns.items()},
     })
+    out = df.columns + list(columns)
+    long_sessions = keys_beyond(df, [key], order, chunk)
+    if long_sessions is None:
+        return marked.select(*out)
     settled = marked.filter((F.col(_CHUNK) == 0) | (F.col(_POS) > depth))
 
     # Rows that must look into an earlier chunk, and the rows they can see there.
-    long_sessions = df.filter(F.col(order) >= chunk).select(key).distinct()
     edges = (chunked.join(long_sessions, key, "left_semi")
              .withColumns({_POS: F.row_number().over(inner),
                            _LEFT: F.count(F.lit(1)).over(Window.partitionBy(key, _CHUNK)) - F.row_number().over(inner)})
@@ -38,7 +43,6 @@ def with_lookback(df, key, order, depth, columns, chunk=CHUNK_ROWS):
     outer = Window.partitionBy(key).orderBy(order)
     mended = (edges.withColumns({name: make(outer) for name, make in columns.items()})
               .filter((F.col(_CHUNK) > 0) & (F.col(_POS) <= depth)))
-    out = df.columns + list(columns)
     return settled.select(*out).unionByName(mended.select(*out))
 
 

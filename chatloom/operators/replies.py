@@ -7,6 +7,9 @@ events change nothing, and a run without finals still gives an empty reply.
 
 from pyspark.sql import functions as F
 
+from chatloom.functions.text import bound
+from chatloom.operators.sizing import keys_beyond
+
 # Sender and special contents of a reply.
 SENDER = "system"
 ERROR_CONTENT = "error"
@@ -40,8 +43,7 @@ def _folded(steps):
 
 def fold_expression(steps):
     """Reply content of an array of (order, reset, text) steps."""
-    folded = _folded(steps)
-    return F.concat(F.when(folded["reset"], ERROR_CONTENT).otherwise(""), folded["text"])
+    return bound(_folded(steps), lambda f: F.concat(F.when(f["reset"], ERROR_CONTENT).otherwise(""), f["text"]))
 
 
 def step(order):
@@ -73,13 +75,23 @@ def fold_replies(events, failed=None, chunk=CHUNK_EVENTS):
     ``failed`` holds the (session_id, invocation_id) of runs that raised; their reply
     is the fixed exception text instead of what they had so far.
     """
-    pieces = fold_pieces(events, chunk)
-    # Pieces that change nothing stay behind; the others make up the text of the reply.
-    kept = F.when(F.col("reset") | (F.col("text") != ""), F.struct("chunk", "reset", "text"))
-    replies = (pieces.groupBy("session_id", "invocation_id")
-               .agg(F.collect_list(kept).alias("__steps"))
-               .select("session_id", "invocation_id", F.lit(SENDER).alias("sender"),
-                       fold_expression(F.col("__steps")).alias("content")))
+    run = ["session_id", "invocation_id"]
+
+    def folded(steps):
+        return steps.select(*run, F.lit(SENDER).alias("sender"), fold_expression(F.col("__steps")).alias("content"))
+
+    def at_once(rows):
+        return with_steps(rows).groupBy(*run).agg(F.collect_list("__step").alias("__steps"))
+
+    long_runs = keys_beyond(events, run, "seq", chunk)
+    if long_runs is None:
+        replies = folded(at_once(events))
+    else:
+        # Long runs are folded per chunk first; pieces that change nothing stay behind.
+        pieces = fold_pieces(events.join(long_runs, run, "left_semi"), chunk)
+        kept = F.when(F.col("reset") | (F.col("text") != ""), F.struct("chunk", "reset", "text"))
+        replies = folded(at_once(events.join(long_runs, run, "left_anti"))).unionByName(
+            folded(pieces.groupBy(*run).agg(F.collect_list(kept).alias("__steps"))))
     if failed is None:
         return replies
     raised = failed.select("session_id", "invocation_id", F.lit(True).alias("__raised")).distinct()

@@ -5,11 +5,28 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 256 * 1024 * 1024
 
 
-def fits_broadcast(df, max_bytes=BROADCAST_BYTES):
-    """Whether the rows of ``df``, as text, stay below ``max_bytes``.
+def measured_bytes(df):
+    """Size of the rows of ``df`` as text; 0 only when there are none.
 
-    Counts one narrow sum on the cluster; nothing but the sum comes to the driver.
+    One narrow sum on the cluster; nothing but the sum comes to the driver.
     """
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
-    total = df.agg(F.sum(width.cast("bigint"))).first()[0]
-    return (total or 0) <= max_bytes
+    return df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+
+
+def fits_broadcast(df, max_bytes=BROADCAST_BYTES):
+    return measured_bytes(df) <= max_bytes
+
+
+def keys_beyond(df, keys, order, limit):
+    """Keys that have rows at position ``limit`` or later; None when there are none.
+
+    The condition on the position is pushed to the scan, where statistics skip most of
+    the data. The keys are marked for broadcast when they fit, so that picking their
+    rows does not shuffle the table.
+    """
+    found = df.filter(F.col(order) >= limit).select(*keys).distinct()
+    size = measured_bytes(found)
+    if size == 0:
+        return None
+    return F.broadcast(found) if size <= BROADCAST_BYTES else found
