@@ -2,11 +2,14 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from chatloom.plans import stream_catalog  # noqa: F401
+from chatloom.plans.catalog import QUERIES
+from chatloom.plans.oracles import oracle_sql
 from tests.compare import differences, duck
 
 SF = "/root/testdata/sf0.001"
-STREAMS = {n for n in queries() if n.endswith("_stream")}
+STREAMS = {n for n in QUERIES if n.endswith("_stream")}
 
 
 @pytest.fixture(scope="module")
@@ -15,23 +18,23 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(oracle_sql())
 
 
 def test_entry(spark):
     assert entry(spark).columns == ["msg_id", "is_blocked", "reason", "final_text"]
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_twin(spark, con, name):
-    found, rows = differences(queries()[name](spark, SF), con, oracle_sql()[name])
+    found, rows = differences(QUERIES[name](spark, SF), con, oracle_sql()[name])
     assert found == []
     assert rows > 0 or name == "j4_leakage"
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
 def test_plan_has_no_cross_join_and_no_global_window(spark, name):
-    plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Exchange SinglePartition", "BatchEvalPython"):
         assert bad not in plan
     # Spread tables come in once per reference, and only needed columns are read.
