@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from chatloom.llm import bpe
+from chatloom.llm import bpe, langid, secret_scan, warc
 from chatloom.llm.columns import table
 
 QUERIES = {}
@@ -21,3 +21,39 @@ def op1_byte_bpe(spark, d):
     """Encode every document, decode the ids, and give digests of both."""
     ids = bpe.encode(table(spark, d, "documents"), RANK_FILE, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(ids, RANK_FILE, public_tokenizers.PATTERN))
+
+
+@query
+def op8_language_id(spark, d):
+    """Language of every document by a model of those that are not held out."""
+    docs = table(spark, d, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_secret_scan(spark, d):
+    """Counts, positions and a digest of the secrets in every document."""
+    return secret_scan.digests(secret_scan.scan(table(spark, d, "documents")))
+
+
+@query
+def op10_warc_packages(spark, d):
+    """Write every page to packages of WARC records and read all records back."""
+    records = warc.read_packages(warc.archive(table(spark, d, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op10_warc_packages"] = """
+WITH p AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), f AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+

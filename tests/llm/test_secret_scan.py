@@ -1,0 +1,84 @@
+"""Spans of the automaton against the plain patterns on whole texts."""
+
+import hashlib
+import random
+import re
+
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from chatloom.llm import secret_scan
+from chatloom.llm.catalog import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(text, rules=secret_scan.RULES):
+    """Positions by scanning the whole UTF-8 text with each exact pattern."""
+    data, out = (text or "").encode(), []
+    for kind, rule in enumerate(rules):
+        for m in re.finditer(rule.exact.encode(), data):
+            if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                out.append((len(data[:m.start()].decode()), kind, len(data[:m.end()].decode())))
+    return sorted(out)
+
+
+WORDS = ["password", "API_key", "token", "Secret", "=", ":", " ", "  ", '"', "'", "AKIA", "ABCDEFGH12345678", "0123456789abcdef",
+         "deadbeef", "é", "漢", "\n", ",", ".", "x", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "ghp_" + "a1B2" * 9,
+         "xoxb-1234567890-abc", "https://user:pass@host/", "-----BEGIN RSA PRIVATE KEY-----", "/+_-="]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(WORDS), max_size=12).map("".join), max_size=5))
+def test_spans_equal_the_plain_patterns(texts):
+    assert secret_scan.spans(pa.array(texts, pa.string())) == [brute(t) for t in texts]
+
+
+def test_every_rule_is_found_by_the_automaton():
+    samples = ["password='hunter2hunter2'", "AKIA" + "A" * 16, "f" * 16, "-----BEGIN PRIVATE KEY-----",
+               "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "ghs_" + "x" * 36, "xoxp-0123456789", "ftp://a:b@c"]
+    for kind, (sample, rule) in enumerate(zip(samples, secret_scan.RULES)):
+        assert kind in [k for _, k, _ in secret_scan.spans(pa.array([sample]))[0]], rule.kind
+
+
+def test_automaton_is_minimal():
+    a = secret_scan.compile_rules(secret_scan.RULES[:3])
+    step, n = a.step.reshape(-1, 256) // 256, len(a.accepts)
+    assert len({tuple(r) + (x,) for r, x in zip(step.tolist(), a.accepts.tolist())}) == n
+    assert set(step.ravel().tolist()) == set(range(n))
+
+
+def test_query_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    names = [r.kind for r in secret_scan.RULES]
+    want = []
+    for r in rows:
+        found = brute(r.text)
+        base = [f"{names[k]}:{a}:{b}" for a, k, b in found if k < 3]
+        want.append((r.doc_id, *[sum(k == i for _, k, _ in found) for i in range(3)],
+                     hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(f"{names[k]}:{a}:{b}" for a, k, b in found)))
+    got = QUERIES["op9_secret_scan"](spark, SF)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert any(w[1] or w[3] for w in want)
+
+
+def test_edge_cases_and_long_texts(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choices(WORDS, k=30_000)) + "a" * 200_000
+    rows = [(1, None, 1), (2, "", 2), (3, long, 3), (3, long, 3), (None, "ü AKIA" + "A" * 16, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secret_scan.scan(docs).collect()}
+    names = [r.kind for r in secret_scan.RULES]
+    assert got[1] == got[2] == []
+    assert got[3] == [(a, names[k], b) for a, k, b in brute(long)]
+    assert got[None] == [(2, "access", 22)]
+    assert secret_scan.scan(docs).count() == 5 and secret_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(1, "a token=abcdef0123456789abcd, b", "k"), (2, None, "k"), (3, "clean", None)],
+                                 "doc_id long, text string, spans string")
+    got = secret_scan.redact(docs)
+    assert got.columns == docs.columns
+    assert [r.text for r in got.orderBy("doc_id").collect()] == ["a [SECRET], b", None, "clean"]
