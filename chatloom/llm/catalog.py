@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from chatloom.llm import bpe, langid, secret_scan, warc
+from chatloom.llm import bpe, langid, neardup, secret_scan, warc
 from chatloom.llm.columns import table
 
 QUERIES = {}
@@ -23,6 +23,12 @@ def op1_byte_bpe(spark, d):
     return bpe.digests(bpe.decode(ids, RANK_FILE, public_tokenizers.PATTERN))
 
 
+@query
+def op6_minhash_near_duplicates(spark, d):
+    """Component of every document by links of at least 85 per cent of 3-word shingles."""
+    return neardup.near_duplicates(table(spark, d, "documents"), width=3, percent=85)
+
+
 @query
 def op8_language_id(spark, d):
     """Language of every document by a model of those that are not held out."""
