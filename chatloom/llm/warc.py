@@ -7,6 +7,7 @@ finds the stored members, and reads ranges of the record member by the index.
 """
 
 import hashlib
+import itertools
 import json
 import struct
 import uuid
@@ -97,8 +98,8 @@ class _Stream:
 
 
 def _write_package(system, path, records, limit):
-    """Write records until the limit; (number of records, whether some may be left)."""
-    index, offset, full = [], 0, False
+    """Write records until the limit and give their number."""
+    index, offset = [], 0
     with system.open_output_stream(path) as sink, zipfile.ZipFile(_Stream(sink), "w", zipfile.ZIP_STORED) as package:
         with package.open(RECORDS, "w", force_zip64=True) as member:
             for key, data in records:
@@ -106,12 +107,11 @@ def _write_package(system, path, records, limit):
                 index.append(json.dumps({"id": key, "offset": offset, "length": len(data)}))
                 offset += len(data)
                 if offset >= limit:
-                    full = True
                     break
         with package.open(INDEX, "w", force_zip64=True) as member:
             for start in range(0, len(index), 4096):
                 member.write(("\n".join(index[start:start + 4096]) + "\n").encode())
-    return len(index), full
+    return len(index)
 
 
 def write_packages(pages, folder, id_col="page_id", url_col="url", payload_col="html",
@@ -132,12 +132,12 @@ def write_packages(pages, folder, id_col="page_id", url_col="url", payload_col="
                     page, url, html, digest, refers = (c[row].as_py() for c in batch.columns)
                     yield page, _gzip(record(page, url, (html or "").encode(), digest, refers, date))
 
-        rest, number, full = records(), 0, True
+        rest, number = records(), 0
         for first in rest:
-            path = f"{base}/{name}-{number}.wacz"
-            written, _ = _write_package(system, path, _chain(first, rest), package_bytes)
+            file = f"{name}-{number}.wacz"
+            written = _write_package(system, f"{base}/{file}", itertools.chain([first], rest), package_bytes)
             number += 1
-            yield pa.RecordBatch.from_pydict({"path": [path], "records": [written]})
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{file}"], "records": [written]})
 
     columns = [id_col, url_col, payload_col, "payload_digest", "refers_to"]
     listed = f"{folder}/packages.parquet"
@@ -145,7 +145,7 @@ def write_packages(pages, folder, id_col="page_id", url_col="url", payload_col="
     return pages.sparkSession.read.parquet(listed)
 
 
-def _chain(first, rest):
+def itertools.chain([first], rest):
     yield first
     yield from rest
 
@@ -298,7 +298,9 @@ def read_packages(packages):
         if file:
             file.close()
 
-    spread = ranges(packages).repartition(F.expr("hash(path, start)"))
+    # Rows of ranges are small but stand for much work, so their number of partitions is fixed.
+    spark = packages.sparkSession
+    spread = ranges(packages).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
     return spread.mapInArrow(run, RECORD_SCHEMA)
 
 

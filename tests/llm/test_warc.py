@@ -39,10 +39,10 @@ def test_edge_cases(spark):
     assert warc.read_packages(warc.archive(pages.limit(0))).count() == 0
 
 
-def test_several_packages_and_ranges(spark, tmp_path, monkeypatch):
+def test_several_packages_and_ranges(spark, tmp_path):
     pages = warc.with_revisits(spark.range(500).select(
         F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 50).alias("html")))
-    packages = warc.write_packages(pages.coalesce(2), f"file://{tmp_path}/w", package_bytes=4000)
+    packages = warc.write_packages(pages.coalesce(2), f"file://{tmp_path}/w", package_bytes=2000)
     assert packages.count() > 2
     assert packages.agg(F.sum("records")).first()[0] == 500
     assert sorted(r.page_id for r in warc.read_packages(packages).collect()) == list(range(500))
