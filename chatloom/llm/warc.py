@@ -145,11 +145,6 @@ def write_packages(pages, folder, id_col="page_id", url_col="url", payload_col="
     return pages.sparkSession.read.parquet(listed)
 
 
-def itertools.chain([first], rest):
-    yield first
-    yield from rest
-
-
 # ---- reading
 
 Member = namedtuple("Member", "name method start length")
