@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from chatloom.llm import bpe, langid, neardup, secret_scan, warc
+from chatloom.llm import bpe, langid, mixing, neardup, quality, secret_scan, warc
 from chatloom.llm.columns import table
 
 QUERIES = {}
@@ -23,6 +23,19 @@ def op1_byte_bpe(spark, d):
     return bpe.digests(bpe.decode(ids, RANK_FILE, public_tokenizers.PATTERN))
 
 
+@query
+def op3_quality_rules(spark, d):
+    """Base measures of every document and the verdict of the label model."""
+    return quality.judge(table(spark, d, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query
+def op4_source_mixing(spark, d):
+    """Copies of every document when sources are mixed at the tokens of the corpus, none repeated over four times."""
+    return mixing.mix_sources(table(spark, d, "documents"), most_repeats=4.0)
+
+
 @query
 def op6_minhash_near_duplicates(spark, d):
     """Component of every document by links of at least 85 per cent of 3-word shingles."""
@@ -63,3 +76,49 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+
+ORACLES["op4_source_mixing"] = r"""
+WITH RECURSIVE counted AS (
+    SELECT doc_id, coalesce(source, '') AS source,
+           CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+    FROM documents
+), totals AS (
+    SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS docs FROM counted GROUP BY source HAVING sum(n_tokens) > 0
+), everything AS (
+    SELECT CAST(sum(tokens) AS BIGINT) AS all_tokens FROM totals
+), halving(step, low, high, done) AS (
+    SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE,
+           (SELECT max(1.0 / tokens) * all_tokens / count(*) <= 4.0 FROM totals, everything GROUP BY all_tokens)
+    UNION ALL
+    SELECT step + 1, CASE WHEN ok THEN low ELSE middle END, CASE WHEN ok THEN middle ELSE high END, done
+    FROM (
+        SELECT step, low, high, done, (low + high) / 2 AS middle,
+               (SELECT max(pow(tokens / all_tokens, (low + high) / 2) / tokens) * all_tokens / sum(pow(tokens / all_tokens, (low + high) / 2))
+                FROM totals, everything GROUP BY all_tokens) <= 4.0 AS ok
+        FROM halving WHERE step < 40
+    )
+), chosen AS (
+    SELECT CASE WHEN done THEN 0.0 ELSE high END AS exponent FROM halving WHERE step = 40
+), mix AS (
+    SELECT source, tokens, docs, exponent,
+           CAST(round(pow(tokens / all_tokens, exponent) / sum(pow(tokens / all_tokens, exponent)) OVER () * 1000000000) AS BIGINT) AS n,
+           all_tokens
+    FROM totals, everything, chosen
+), wanted AS (
+    SELECT *, CAST(floor(n * CAST(all_tokens AS DOUBLE) / 1000000000) AS BIGINT) AS wanted FROM mix
+), rows AS (
+    SELECT doc_id, source, n_tokens, tokens, exponent, n, wanted,
+           CAST(('0x' || substr(md5(source || '/' || CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) % CAST(ceil(sqrt(docs)) AS BIGINT) AS block,
+           CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '/' || source), 1, 15)) AS BIGINT) AS place
+    FROM counted JOIN wanted USING (source)
+), ordered AS (
+    SELECT *, CAST(coalesce(sum(n_tokens) OVER (
+        PARTITION BY source
+        ORDER BY CAST(('0x' || substr(md5(source || '/' || CAST(block AS VARCHAR)), 1, 15)) AS BIGINT), block, place, doc_id, n_tokens
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS starts_at
+    FROM rows
+)
+SELECT doc_id, source, n_tokens, round(exponent, 9) AS exponent, n / 1000000000 AS weight, wanted, block,
+       wanted // tokens + CASE WHEN starts_at < wanted % tokens THEN 1 ELSE 0 END AS copies
+FROM ordered
+"""
