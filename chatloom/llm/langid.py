@@ -114,6 +114,19 @@ class Model:
         return total
 
 
+def _predicted(texts, model):
+    """Language and score of each text."""
+    rows = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
+    langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    if rows:
+        logs = model.scores([texts[i] for i in rows])
+        best = logs.argmax(axis=1)
+        scores[rows] = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        for i, b in zip(rows, best):
+            langs[i] = model.languages[b]
+    return langs, scores
+
+
 def predict(docs, model, id_col="doc_id", text_col="text"):
     """Language of each text: id column, ``lang_pred`` string, ``score`` double.
 
@@ -124,17 +137,8 @@ def predict(docs, model, id_col="doc_id", text_col="text"):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        known = shared.value
         for part in slices(batches, 1, BLOCK_BYTES):
-            texts = part.column(1).to_pylist()
-            rows = [i for i, t in enumerate(texts) if has_letter(t)] if known.languages else []
-            langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            if rows:
-                logs = known.scores([texts[i] for i in rows])
-                best = logs.argmax(axis=1)
-                scores[rows] = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-                for i, b in zip(rows, best):
-                    langs[i] = known.languages[b]
+            langs, scores = _predicted(part.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(langs, pa.string()), pa.array(scores)], [id_col, "lang_pred", "score"])
 
@@ -143,6 +147,27 @@ def predict(docs, model, id_col="doc_id", text_col="text"):
     return source.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def accepted(docs, model, least, text_col="text"):
+    """The rows whose language is found with at least this score, all columns as they were.
+
+    Undetermined texts are rejected; while no language was learned, texts with a letter stay.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for part in slices(batches, at, BLOCK_BYTES):
+            texts = part.column(at).to_pylist()
+            if shared.value.languages:
+                langs, scores = _predicted(texts, shared.value)
+                keep = [g != UNDETERMINED and s >= least for g, s in zip(langs, scores)]
+            else:
+                keep = [has_letter(t) for t in texts]
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def is_held_out(id_col="doc_id"):
     """Rows that never train: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))

@@ -222,3 +222,15 @@ def near_duplicates(docs, width=5, percent=80, id_col="doc_id", text_col="text")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs, width=5, percent=80, id_col="doc_id", text_col="text"):
+    """The rows that are kept, with all their columns: one of each group of near duplicates.
+
+    Rows that repeat an id and its text are one document and stay once, whichever of them
+    it is; rows without an id stay.
+    """
+    found = near_duplicates(docs, width, percent, id_col, text_col)
+    ids = found.where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    one = docs.join(ids, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return one.unionByName(docs.where(F.col(id_col).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])

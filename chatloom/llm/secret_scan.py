@@ -311,25 +311,33 @@ def digests(found):
                         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-def redact(docs, text_col="text", mark="[SECRET]", rules=RULES):
+def redact(docs, text_col="text", mark="[SECRET]", rules=RULES, length_col=None):
     """The rows with every secret in the text replaced by a mark; all columns keep their place.
 
-    Overlapping spans are replaced as one. A null text stays null.
+    Overlapping spans are replaced as one. A null text stays null. ``length_col`` gets the
+    code points of a text that changed.
     """
-    names, fields = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    names = docs.columns
     at = names.index(text_col)
 
     def run(batches):
         for part in slices(batches, at, BLOCK_BYTES):
-            texts = part.column(at).to_pylist()
+            texts, changed = part.column(at).to_pylist(), []
             for row, found in enumerate(spans(part.column(at), rules)):
                 if found:
                     texts[row] = _masked(texts[row], found, mark)
+                    changed.append(row)
             columns = list(part.columns)
-            columns[at] = pa.array(texts, part.column(at).type)
+            columns[at] = pa.array(texts, columns[at].type)
+            if length_col:
+                place = names.index(length_col)
+                lengths = columns[place].to_pylist()
+                for row in changed:
+                    lengths[row] = len(texts[row])
+                columns[place] = pa.array(lengths, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _masked(text, found, mark):
