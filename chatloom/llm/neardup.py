@@ -5,10 +5,11 @@
 2. Texts with equal sets form a class; its smallest id stands for it from here on.
 3. Classes that agree in a band of minima share a bucket. All members are compared with the
    smallest id of the bucket: linear in the bucket, whatever its size.
+   Pairs pass the estimate from their signatures first, then full sets are compared.
 4. Links found so far give components. Only in buckets that still hold several components
    are further comparisons needed, and only between components: members outside the
    bucket's largest component are compared, in blocks, with each other and with the rest.
-5. Candidates pass the estimate from their signatures first, then full sets are compared.
+   A block gives back no pairs, only the few links that join its components.
 """
 
 import math
@@ -23,8 +24,10 @@ from chatloom.llm.shingles import mix, shingle_sets
 
 #: Text bytes that are hashed at a time.
 BLOCK_BYTES = 2 << 20
-#: Members of a bucket that are compared as one block.
-BLOCK_ROWS = 256
+#: Sets that are compared as one block: so many, or so many shingles together.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 21
+#: Columns of the incidence matrix that are multiplied at a time.
+COLUMNS = 4096
 #: A pair at the similarity limit is missed by all bands with at most this probability.
 MISS = 1e-6
 
@@ -127,12 +130,19 @@ def _agreeing(pairs, classes, plan):
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs, docs, plan):
-    """Those pairs ``a``, ``b`` whose full sets are similar enough, as ``u``, ``v``."""
+def _items(docs, ids, plan):
+    """The full sets of the documents named in ``ids``: ``id``, ``items``, a row for each id."""
     def sets(batches):
-        for ids, found in _set_batches(batches, plan.width):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in found], pa.binary())], ["id", "items"])
+        for found_ids, found in _set_batches(batches, plan.width):
+            yield pa.RecordBatch.from_arrays(
+                [found_ids, pa.array([s.tobytes() for s in found], pa.binary())], ["id", "items"])
 
+    rows = docs.join(ids.distinct(), "id", "left_semi").select("id", "text").mapInArrow(sets, "id bigint, items binary")
+    return rows.dropDuplicates(["id"])
+
+
+def _verified(pairs, docs, plan):
+    """Those pairs ``a``, ``b`` whose full sets are similar enough, as ``u``, ``v``."""
     def compare(batches):
         for batch in batches:
             keep = []
@@ -142,57 +152,110 @@ def _verified(pairs, docs, plan):
                 keep.append(100 * common >= plan.percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    items = docs.join(named, "id", "left_semi").select("id", "text").mapInArrow(sets, "id bigint, items binary")
-    items = items.dropDuplicates(["id"])
+    items = _items(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), plan)
     both = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a").join(
         items.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
     return both.select("a", "b", "ia", "ib").mapInArrow(compare, "a bigint, b bigint").toDF("u", "v")
 
 
-def _rest(buckets, classes, found, plan):
-    """Pairs of different components in a bucket of three or more that agree in their signatures.
+def _regions(buckets, classes, found):
+    """What is still to be compared: ``region``, ``id``, ``component``, ``own``.
 
-    Members are dealt into blocks of about ``BLOCK_ROWS``; a task sees two blocks of a
-    bucket at a time. Blocks of the bucket's largest component never meet each other, so a
-    bucket costs its size times the number of its other members.
+    A region is made of the buckets of three or more members whose largest component is
+    the same: the members of that component, and with ``own`` all other members. A row is
+    in a region once, however many buckets it shares.
     """
     labelled = buckets.where("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
-    split = sizes.groupBy("key").agg(
-        F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("total"), F.count("*").alias("parts")
-    ).where("parts > 1").select(
-        "key", F.col("top.component").alias("main"),
-        F.ceil(F.col("top.size") / BLOCK_ROWS).cast("int").alias("main_blocks"),
-        F.ceil((F.col("total") - F.col("top.size")) / BLOCK_ROWS).cast("int").alias("own_blocks"))
-    rows = labelled.join(split, "key").withColumn("is_main", F.col("component") == F.col("main"))
-    block = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("own_blocks"))).cast("int")
-    # A task: an own block with itself, with a later own block, or (numbers from 1,000,000,000) with a main block.
-    main_from = 1_000_000_000
-    own = F.sequence(F.lit(0), F.col("own_blocks") - 1)
-    tasks = F.when(
-        F.col("is_main"), F.transform(own, lambda i: F.struct(i.alias("i"), (F.col("block") + main_from).alias("j")))
-    ).otherwise(F.concat(
-        F.transform(own, lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j"))),
-        F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1),
-                    lambda j: F.struct(F.col("block").alias("i"), (j + main_from).alias("j")))))
-    dealt = rows.withColumn("block", block).select("key", "id", "component", F.explode(tasks).alias("task"))
-    dealt = dealt.join(classes.select("id", "sig"), "id")
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("region"), F.count("*").alias("parts"))
+    rows = labelled.join(largest.where("parts > 1").drop("parts"), "key")
+    rows = rows.select("region", "id", "component", (F.col("region") != F.col("component")).alias("own")).distinct()
+    return rows.join(classes.select("id", "n_shingles"), "id")
+
 
+def _dealt(regions):
+    """The rows of regions by task, ``region``, ``i``, ``j``: pairs of blocks, at least one of them of own rows.
+
+    Blocks are bounded in rows and shingles; a small region is one block.
+    """
+    def blocks(rows, shingles):
+        return F.ceil(F.greatest(rows / F.lit(float(BLOCK_ROWS)), shingles / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+
+    own, size = F.col("own"), F.col("n_shingles")
+    sums = regions.groupBy("region").agg(
+        F.count(F.when(own, 1)).alias("own_rows"), F.coalesce(F.sum(F.when(own, size)), F.lit(0)).alias("own_size"),
+        F.count(F.when(~own, 1)).alias("main_rows"), F.coalesce(F.sum(F.when(~own, size)), F.lit(0)).alias("main_size"))
+    sums = sums.select(
+        "region", blocks(F.col("own_rows"), F.col("own_size")).alias("owns"), blocks(F.col("main_rows"), F.col("main_size")).alias("mains"),
+        (blocks(F.col("own_rows") + F.col("main_rows"), F.col("own_size") + F.col("main_size")) == 1).alias("small"))
+    rows = regions.join(sums, "region")
+    block = F.pmod(F.xxhash64("id"), F.when(own, F.col("owns")).otherwise(F.col("mains"))).cast("int")
+    all_own = F.sequence(F.lit(0), F.col("owns") - 1)
+    # Main blocks are numbered behind the own blocks.
+    task = F.when(F.col("small"), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).when(
+        ~own, F.transform(all_own, lambda i: F.struct(i.alias("i"), (F.col("block") + F.col("owns")).alias("j")))
+    ).otherwise(F.concat(
+        F.transform(all_own, lambda i: F.struct(F.least(i, "block").alias("i"), F.greatest(i, "block").alias("j"))),
+        F.transform(F.sequence(F.col("owns"), F.col("owns") + F.col("mains") - 1),
+                    lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))))
+    return rows.withColumn("block", block).select("region", "id", "component", F.explode(task).alias("task")).select(
+        "region", "task.i", "task.j", "id", "component")
+
+
+def common_counts(sets):
+    """The sizes of all pairwise intersections, from products of incidence matrices with bounded columns."""
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(shared.sum()), COLUMNS):
+        low, high = np.searchsorted(column, [start, start + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[low:high], column[low:high] - start] = 1
+        out += part @ part.T
+    return out
+
+
+def _joining(ids, component, sets, plan):
+    """Links between different components, as few as join what is linked at all."""
+    sizes = np.array([len(s) for s in sets])
+    common = common_counts(sets)
+    linked = 100 * common >= plan.percent * (sizes[:, None] + sizes[None, :] - common)
+    _, part = np.unique(component, return_inverse=True)
+    linked &= part[:, None] < part[None, :]
+    left, right = np.nonzero(linked)
+    _, first = np.unique(part[left] * len(ids) + part[right], return_index=True)
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k in first.tolist():
+        a, b = find(int(part[left[k]])), find(int(part[right[k]]))
+        if a != b:
+            root[a] = b
+            yield int(ids[left[k]]), int(ids[right[k]])
+
+
+def _rest(regions, docs, plan):
+    """Links between components within regions, from full sets, as ``u``, ``v``."""
     def meet(table):
-        ids, parts = table.column("id").to_numpy(), table.column("component").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), plan.hashes)
-        left, right = [], []
-        for row in range(len(ids)):
-            other = np.flatnonzero((parts[row + 1:] != parts[row])) + row + 1
-            other = other[(sig[other] == sig[row]).sum(axis=1) >= plan.least_agreement]
-            left += [ids[row]] * len(other)
-            right += ids[other].tolist()
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        links = list(_joining(ids, component, sets, plan))
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
-    pairs = dealt.groupBy("key", "task").applyInArrow(meet, "a bigint, b bigint")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = _dealt(regions).join(_items(docs, regions.select("id"), plan), "id")
+    return rows.groupBy("region", "i", "j").applyInArrow(meet, "u bigint, v bigint")
 
 
 def near_duplicates(docs, width=5, percent=80, id_col="doc_id", text_col="text"):
@@ -207,14 +270,15 @@ def near_duplicates(docs, width=5, percent=80, id_col="doc_id", text_col="text")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     drawn = sketches(docs, plan).checkpoint()
     classes = drawn.where("fa is not null and id is not null").groupBy("fa", "fb").agg(
-        F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")).checkpoint()
+        F.min("id").alias("id"), F.min_by("sig", "id").alias("sig"), F.first("n_shingles").alias("n_shingles")).checkpoint()
     buckets = _buckets(classes, plan).checkpoint()
     pairs = buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = _verified(_agreeing(pairs, classes, plan).checkpoint(), docs, plan).checkpoint()
     found = components(links)
-    rest = _rest(buckets, classes, found, plan).checkpoint()
+    regions = _regions(buckets, classes, found).checkpoint()
+    rest = _rest(regions, docs, plan).checkpoint()
     if not rest.isEmpty():
-        found = components(links.union(_verified(rest, docs, plan)))
+        found = components(links.union(rest))
     found = found.withColumnRenamed("node", "id")
     by_set = classes.select("fa", "fb", "id").join(found, "id", "left").select(
         "fa", "fb", F.coalesce("component", "id").alias("component"))
