@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from chatloom.llm import bpe, langid, mixing, neardup, quality, secret_scan, warc
+from chatloom.llm import bpe, html_text, langid, mixing, neardup, quality, secret_scan, warc
 from chatloom.llm.columns import table
 
 QUERIES = {}
@@ -42,6 +42,12 @@ def op6_minhash_near_duplicates(spark, d):
     return neardup.near_duplicates(table(spark, d, "documents"), width=3, percent=85)
 
 
+@query
+def op7_html_text(spark, d):
+    """Main text of every page."""
+    return html_text.extract(table(spark, d, "pages"))
+
+
 @query
 def op8_language_id(spark, d):
     """Language of every document by a model of those that are not held out."""
