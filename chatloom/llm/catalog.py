@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from chatloom.llm import bpe, html_text, langid, mixing, neardup, quality, secret_scan, warc
+from chatloom.llm import ann, bpe, html_text, langid, mixing, neardup, quality, secret_scan, warc
 from chatloom.llm.columns import table
 
 QUERIES = {}
@@ -23,6 +23,12 @@ def op1_byte_bpe(spark, d):
     return bpe.digests(bpe.decode(ids, RANK_FILE, public_tokenizers.PATTERN))
 
 
+@query
+def op2_hilbert_neighbours(spark, d):
+    """The 20 nearest found by inner product, for every vector whose id is divisible by 20."""
+    return ann.nearest(table(spark, d, "embeddings"), k=20, every=20)
+
+
 @query
 def op3_quality_rules(spark, d):
     """Base measures of every document and the verdict of the label model."""
