@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from chatloom.llm import ann, bpe, html_text, langid, mixing, neardup, quality, secret_scan, warc
+from chatloom.llm import ann, bpe, html_text, langid, lm, mixing, neardup, quality, secret_scan, warc
 from chatloom.llm.columns import table
 
 QUERIES = {}
@@ -42,6 +42,12 @@ def op4_source_mixing(spark, d):
     return mixing.mix_sources(table(spark, d, "documents"), most_repeats=4.0)
 
 
+@query
+def op5_attention_lm(spark, d):
+    """Base and model scores of every document."""
+    return lm.score(table(spark, d, "documents"), RANK_FILE, public_tokenizers.PATTERN)
+
+
 @query
 def op6_minhash_near_duplicates(spark, d):
     """Component of every document by links of at least 85 per cent of 3-word shingles."""
