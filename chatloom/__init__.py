@@ -1,8 +1,7 @@
 """Conversation-log analytics on Spark.
 
 Every public function takes and returns lazy DataFrames or Columns; nothing runs
-until the caller writes or collects the result. The exceptions count something
-small first (see ``operators.sizing`` and ``operators.retrieval``) or run a stream.
+until the caller writes or collects the result. The exceptions run a stream.
 """
 
 import sys

@@ -7,6 +7,11 @@ from chatloom.functions.text import bound, words
 LABELS = ("low", "medium", "high")
 
 
+def third(hit, n):
+    """Label of ``hit`` words found out of ``n``."""
+    return F.when((n == 0) | (hit * 3 < n), "low").when(hit * 3 < n * 2, "medium").otherwise("high")
+
+
 def confidence_label(question, answer, context):
     """Share of distinct answer words found in question or context, in thirds."""
     support = words(F.concat_ws(" ", question, context))
@@ -14,12 +19,8 @@ def confidence_label(question, answer, context):
     def counts(answer_words):
         return F.struct(F.size(F.array_intersect(answer_words, support)).alias("hit"), F.size(answer_words).alias("n"))
 
-    def label(c):
-        return (F.when((c["n"] == 0) | (c["hit"] * 3 < c["n"]), "low")
-                .when(c["hit"] * 3 < c["n"] * 2, "medium").otherwise("high"))
-
     answer_words = F.array_distinct(words(F.coalesce(answer, F.lit(""))))
-    return bound(bound(answer_words, counts), label)
+    return bound(bound(answer_words, counts), lambda c: third(c["hit"], c["n"]))
 
 
 def normalise_label(raw):

@@ -1,5 +1,6 @@
 """Guard rails: what a rail is, the built-in rails and the chain rule."""
 
+import re
 from abc import ABC, abstractmethod
 from dataclasses import dataclass
 from functools import reduce
@@ -83,7 +84,7 @@ def modifies(found, changed):
 
 def term_hits(text, terms):
     """How often any of the terms (lower case) occurs as a whole word; NULL for no text."""
-    body = "|".join(sorted(set(terms), key=lambda t: (-len(t), t)))
+    body = "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
     count = F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])"))
     return F.when(holds_any(text, terms), count).when(text.isNotNull(), 0)
 

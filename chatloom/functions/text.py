@@ -39,7 +39,7 @@ def phrase_pattern(phrases):
     look-around read the same pattern. ``*`` stands for one arbitrary word.
     """
     def one(phrase):
-        parts = [WORD if w == "*" else w for w in phrase.lower().split()]
+        parts = [WORD if w == "*" else re.escape(w) for w in phrase.lower().split()]
         return r"[ \t\r\n]+".join(parts)
 
     body = "|".join(one(p) for p in phrases)

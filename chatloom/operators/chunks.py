@@ -1,48 +1,44 @@
 """Window work on sessions of any length.
 
-A plain window puts a whole session into one task. Here each session is cut into
-chunks, the window runs inside the chunks, and only the few rows next to a chunk
-border take part in a second window over the session. Sessions that fit into one
-chunk never reach the second step; when all do, it is left out of the plan.
+A plain window puts a whole session into one task. Here each session is cut into chunks by
+its ordinals, the window runs inside the chunks, and only the few rows next to a chunk
+border take part in a second window over the session. There is one way for sessions of
+every size: keys may be NULL, ordinals negative, sparse or NULL (such rows come first).
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chatloom.operators.sizing import keys_beyond
-
 CHUNK_ROWS = 65536
 
 _CHUNK, _POS, _LEFT = "__chunk", "__pos", "__left"
+_BEFORE_ALL = -(1 << 62)  # the chunk of rows without an ordinal
+
+
+def _chunked(df, order, chunk):
+    return df.withColumn(_CHUNK, F.coalesce(F.floor(F.col(order) / chunk), F.lit(_BEFORE_ALL)))
 
 
 def with_lookback(df, key, order, depth, columns, chunk=CHUNK_ROWS):
     """Add columns that look at up to ``depth`` rows before each row of a session.
 
     ``columns`` maps a name to a function of a window specification (partitioned and
-    ordered, without a frame). ``order`` is the ordinal of a row in its session,
-    starting at 0; it may have gaps.
+    ordered, without a frame). ``order`` is the ordinal of a row in its session.
     """
-    chunked = df.withColumn(_CHUNK, F.floor(F.col(order) / chunk))
+    chunked = _chunked(df, order, chunk)
     inner = Window.partitionBy(key, _CHUNK).orderBy(order)
     marked = chunked.withColumns({
         _POS: F.row_number().over(inner),
+        _LEFT: F.count(F.lit(1)).over(Window.partitionBy(key, _CHUNK)) - F.row_number().over(inner),
         **{name: make(inner) for name, make in columns.items()},
     })
     out = df.columns + list(columns)
-    long_sessions = keys_beyond(df, [key], order, chunk)
-    if long_sessions is None:
-        return marked.select(*out)
-    settled = marked.filter((F.col(_CHUNK) == 0) | (F.col(_POS) > depth))
-
-    # Rows that must look into an earlier chunk, and the rows they can see there.
-    edges = (chunked.join(long_sessions, key, "left_semi")
-             .withColumns({_POS: F.row_number().over(inner),
-                           _LEFT: F.count(F.lit(1)).over(Window.partitionBy(key, _CHUNK)) - F.row_number().over(inner)})
-             .filter((F.col(_POS) <= depth) | (F.col(_LEFT) < depth)))
-    outer = Window.partitionBy(key).orderBy(order)
-    mended = (edges.withColumns({name: make(outer) for name, make in columns.items()})
-              .filter((F.col(_CHUNK) > 0) & (F.col(_POS) <= depth)))
+    # Every row is in one of two sets: those with enough rows before them in their chunk,
+    # and the first ones of a chunk, which look into the last rows of earlier chunks.
+    settled = marked.filter(F.col(_POS) > depth)
+    edges = marked.filter((F.col(_POS) <= depth) | (F.col(_LEFT) < depth)).drop(*columns)
+    outer = Window.partitionBy(key).orderBy(_CHUNK, _POS)
+    mended = edges.withColumns({name: make(outer) for name, make in columns.items()}).filter(F.col(_POS) <= depth)
     return settled.select(*out).unionByName(mended.select(*out))
 
 
@@ -52,14 +48,13 @@ def with_running_total(df, key, order, totals, chunk=CHUNK_ROWS):
     ``totals`` maps a name to the column to sum. Only one row per chunk takes part
     in the window over the whole session.
     """
-    chunked = df.withColumn(_CHUNK, F.floor(F.col(order) / chunk))
+    chunked = _chunked(df, order, chunk)
     before = Window.partitionBy(key, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inside = chunked.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in totals.items()})
 
     per_chunk = chunked.groupBy(key, _CHUNK).agg(*[F.sum(c).alias(f"__{n}") for n, c in totals.items()])
     earlier = Window.partitionBy(key).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (per_chunk
-               .withColumns({f"__{n}": F.sum(f"__{n}").over(earlier) for n in totals})
-               .filter(F.col(_CHUNK) > 0))
-    joined = inside.join(offsets, [key, _CHUNK], "left")
+    offsets = per_chunk.select(
+        F.col(key).alias("__key"), F.col(_CHUNK).alias("__of"), *[F.sum(f"__{n}").over(earlier).alias(f"__{n}") for n in totals])
+    joined = inside.join(offsets, F.col(key).eqNullSafe(F.col("__key")) & (F.col(_CHUNK) == F.col("__of")), "left")
     return joined.select(*df.columns, *[(F.col(n) + F.coalesce(F.col(f"__{n}"), F.lit(0))).alias(n) for n in totals])

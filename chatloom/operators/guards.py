@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.rails import Outcome, chain, lexicon_categories
 from chatloom.functions.redaction import CARD_REPLACEMENT, DEFAULT_REPLACEMENT, deidentified, findings, redact_card_text
-from chatloom.functions.text import bound, has_phrase, primary_text, style, words
-from chatloom.operators.sizing import fits_broadcast
+from chatloom.functions.text import WORD, bound, has_phrase, primary_text, style, words
 
 __all__ = ["redact_cards", "redact_card_parts", "deidentify", "inspect", "moderate", "moderate_by_table",
            "jailbreak_screen", "tool_call_guard", "apply_guards", "guard_message", "tag_refusals", "style_audit",
@@ -53,13 +52,15 @@ def moderate(df, col, lexicon):
 def moderate_by_table(df, id_col, col, lexicon):
     """(id, name, confidence) rows from a lexicon table (category, term) of any size.
 
-    The join comes before the count: while the lexicon's measured size allows a
-    broadcast, only words that are in it ever leave their task.
+    Texts and lexicon meet on single words; a term that is not one word fails the job,
+    for it could never be found this way. Spark broadcasts the lexicon when its measured
+    size allows, and then only words that are in it ever leave their task.
     """
     tokens = df.select(id_col, F.explode_outer(words(F.col(col))).alias("term"))
-    terms = lexicon.select("category", "term").distinct()
-    if fits_broadcast(terms):
-        terms = F.broadcast(terms)
+    term = F.lower("term")
+    one_word = F.when(term.rlike(f"^{WORD}$"), term).otherwise(
+        F.raise_error(F.concat(F.lit("not a single word: "), F.col("term"))).cast("string"))
+    terms = lexicon.where("term is not null").select("category", one_word.alias("term")).distinct()
     hits = tokens.join(terms, "term").groupBy(id_col, F.col("category").alias("name")).agg(F.count(F.lit(1)).alias("__n"))
     return hits.select(id_col, "name", (F.col("__n") / (F.col("__n") + 1)).alias("confidence"))
 

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import ngrams, words
-from chatloom.operators.sizing import BROADCAST_BYTES, fits_broadcast
 
 
 # The outer form of explode is used throughout: for the plain one the optimizer adds a
@@ -14,27 +13,22 @@ def _distinct_grams(text_col, n):
     return F.array_distinct(ngrams(words(F.col(text_col)), n))
 
 
-def leakage(texts, protected, n=8, text_id="id", item_id="item_id", text_col="text", broadcast_bytes=BROADCAST_BYTES):
+def _hashed(df, id_col, text_col, n):
+    runs = F.array_distinct(F.transform(ngrams(words(F.col(text_col)), n), lambda run: F.xxhash64(run)))
+    return df.select(id_col, F.explode_outer(runs).alias("__hash"))
+
+
+def leakage(texts, protected, n=8, text_id="id", item_id="item_id", text_col="text"):
     """(text id, item id, n_shared): distinct runs of ``n`` words in both texts.
 
-    The protected runs are measured first. While they fit, they are broadcast and the
-    texts are never shuffled. Beyond that, both sides meet on an 8-byte hash of the
-    run, and the pairs found are counted exactly from their texts.
+    Both sides meet on an 8-byte hash of a run; Spark broadcasts the protected hashes when
+    their measured size allows. The pairs found are counted exactly from their texts. Rows
+    that repeat an id count together.
     """
     items = protected.select(F.col(item_id), F.col(text_col).alias("__item_text"))
-    theirs = items.select(item_id, F.explode_outer(_distinct_grams("__item_text", n)).alias("__gram"))
-    if fits_broadcast(theirs, broadcast_bytes):
-        ours = texts.select(text_id, F.explode_outer(_distinct_grams(text_col, n)).alias("__gram"))
-        return (ours.join(F.broadcast(theirs), "__gram")
-                .groupBy(text_id, item_id).agg(F.count(F.lit(1)).alias("n_shared")))
-
-    def hashed(df, id_col, col):
-        runs = F.array_distinct(F.transform(ngrams(words(F.col(col)), n), lambda run: F.xxhash64(run)))
-        return df.select(id_col, F.explode_outer(runs).alias("__hash"))
-
-    pairs = (hashed(texts, text_id, text_col).join(hashed(items, item_id, "__item_text"), "__hash")
+    pairs = (_hashed(texts, text_id, text_col, n).join(_hashed(items, item_id, "__item_text", n), "__hash")
              .select(text_id, item_id).distinct())
     shared = F.size(F.array_intersect(_distinct_grams(text_col, n), _distinct_grams("__item_text", n)))
     return (pairs.join(texts.select(text_id, text_col), text_id).join(items, item_id)
-            .select(text_id, item_id, shared.cast("bigint").alias("n_shared"))
+            .groupBy(text_id, item_id).agg(F.sum(shared).cast("bigint").alias("n_shared"))
             .filter("n_shared > 0"))

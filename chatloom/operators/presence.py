@@ -74,12 +74,14 @@ def with_online(arrivals, intervals, slot_s=TTL_S):
     slotted = intervals.select(
         F.col("session_id").alias("__sid"), "start_ts", "end_ts",
         F.explode(F.sequence(first, last)).alias("__islot"))
-    keyed = arrivals.withColumn("__slot", _slot(F.col("ts"), slot_s))
+    # Rows without a session go round the join: all of them would carry one key.
+    keyed = arrivals.filter("session_id IS NOT NULL").withColumn("__slot", _slot(F.col("ts"), slot_s))
     joined = keyed.join(
         slotted,
         (F.col("session_id") == F.col("__sid")) & (F.col("__slot") == F.col("__islot"))
         & (F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts")), "left")
-    return joined.select(*arrivals.columns, F.col("__sid").isNotNull().alias("online"))
+    found = joined.select(*arrivals.columns, F.col("__sid").isNotNull().alias("online"))
+    return found.unionByName(arrivals.filter("session_id IS NULL").withColumn("online", F.lit(False)))
 
 
 def presence_gate(arrivals, intervals, slot_s=TTL_S):
@@ -92,8 +94,9 @@ def gap_sessions(arrivals, gap_s=SLIDING_TTL_S, slot_s=3600):
     """Online spans when every message keeps its session online for ``gap_s`` seconds.
 
     Rows with less than the gap between them share a span; a span ends ``gap_s``
-    after its last row. Spans are first built inside time slots; only those next to
-    a slot border are merged over the whole session.
+    after its last row. Rows in one bucket narrower than the gap always share a span, so
+    they are counted per bucket first, before the shuffle. Spans are then built inside
+    time slots; only those next to a slot border are merged over the whole session.
     """
     gap_us = gap_s * 1_000_000
     slot_us = slot_s * 1_000_000
@@ -101,13 +104,14 @@ def gap_sessions(arrivals, gap_s=SLIDING_TTL_S, slot_s=3600):
         raise ValueError("a slot must be at least as long as the gap")
     rows = (arrivals.filter("session_id IS NOT NULL")
             .select("session_id", epoch_us(F.col("ts")).alias("__us"))
-            .withColumn("__slot", _floor_div(F.col("__us"), slot_us)))
-    inner = Window.partitionBy("session_id", "__slot").orderBy("__us")
-    starts = F.when(F.col("__us") - F.lag("__us").over(inner) < gap_us, 0).otherwise(1)
+            .groupBy("session_id", _floor_div(F.col("__us"), slot_us).alias("__slot"), _floor_div(F.col("__us"), gap_us).alias("__bucket"))
+            .agg(F.min("__us").alias("__from"), F.max("__us").alias("__to"), F.count(F.lit(1)).alias("__n")))
+    inner = Window.partitionBy("session_id", "__slot").orderBy("__from")
+    starts = F.when(F.col("__from") - F.lag("__to").over(inner) < gap_us, 0).otherwise(1)
     spans = (rows.withColumn("__new", starts)
              .withColumn("__span", F.sum("__new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
              .groupBy("session_id", "__slot", "__span")
-             .agg(F.min("__us").alias("__first"), F.max("__us").alias("__last"), F.count(F.lit(1)).alias("n_messages")))
+             .agg(F.min("__from").alias("__first"), F.max("__to").alias("__last"), F.sum("__n").alias("n_messages")))
 
     slot_start, slot_end = F.col("__slot") * slot_us, (F.col("__slot") + 1) * slot_us
     at_border = (F.col("__first") - slot_start < gap_us) | (slot_end - F.col("__last") <= gap_us)

@@ -8,7 +8,6 @@ events change nothing, and a run without finals still gives an empty reply.
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import bound
-from chatloom.operators.sizing import keys_beyond
 
 # Sender and special contents of a reply.
 SENDER = "system"
@@ -33,7 +32,7 @@ def _effects(events):
     })
 
 
-def _folded(steps):
+def folded_steps(steps):
     """Fold an array of (order, reset, text) structs, in any order, to (reset, text)."""
     start = F.struct(F.lit(False).alias("reset"), F.lit("").alias("text"))
     return F.aggregate(F.array_sort(steps), start, lambda acc, s: F.struct(
@@ -43,7 +42,7 @@ def _folded(steps):
 
 def fold_expression(steps):
     """Reply content of an array of (order, reset, text) steps."""
-    return bound(_folded(steps), lambda f: F.concat(F.when(f["reset"], ERROR_CONTENT).otherwise(""), f["text"]))
+    return bound(folded_steps(steps), lambda f: F.concat(F.when(f["reset"], ERROR_CONTENT).otherwise(""), f["text"]))
 
 
 def step(order):
@@ -65,7 +64,7 @@ def fold_pieces(events, chunk=CHUNK_EVENTS):
     """
     keyed = with_steps(events).withColumn("chunk", F.floor(F.col("seq") / chunk))
     folded = keyed.groupBy("session_id", "invocation_id", "chunk").agg(F.collect_list("__step").alias("__steps"))
-    return folded.select("session_id", "invocation_id", "chunk", _folded(F.col("__steps")).alias("__piece")).select(
+    return folded.select("session_id", "invocation_id", "chunk", folded_steps(F.col("__steps")).alias("__piece")).select(
         "session_id", "invocation_id", "chunk", "__piece.*")
 
 
@@ -80,18 +79,9 @@ def fold_replies(events, failed=None, chunk=CHUNK_EVENTS):
     def folded(steps):
         return steps.select(*run, F.lit(SENDER).alias("sender"), fold_expression(F.col("__steps")).alias("content"))
 
-    def at_once(rows):
-        return with_steps(rows).groupBy(*run).agg(F.collect_list("__step").alias("__steps"))
-
-    long_runs = keys_beyond(events, run, "seq", chunk)
-    if long_runs is None:
-        replies = folded(at_once(events))
-    else:
-        # Long runs are folded per chunk first; pieces that change nothing stay behind.
-        pieces = fold_pieces(events.join(long_runs, run, "left_semi"), chunk)
-        kept = F.when(F.col("reset") | (F.col("text") != ""), F.struct("chunk", "reset", "text"))
-        replies = folded(at_once(events.join(long_runs, run, "left_anti"))).unionByName(
-            folded(pieces.groupBy(*run).agg(F.collect_list(kept).alias("__steps"))))
+    # Runs of any length are folded per chunk first; pieces that change nothing stay behind.
+    kept = F.when(F.col("reset") | (F.col("text") != ""), F.struct("chunk", "reset", "text"))
+    replies = folded(fold_pieces(events, chunk).groupBy(*run).agg(F.collect_list(kept).alias("__steps")))
     if failed is None:
         return replies
     raised = failed.select("session_id", "invocation_id", F.lit(True).alias("__raised")).distinct()

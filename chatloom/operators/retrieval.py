@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-QUERY_BLOCK_ROWS = 16384
+BLOCK_BYTES = 32 * 1024 * 1024  # of a block of vectors, as doubles
 TILE_QUERIES = 256  # queries scored at a time, so that a score tile stays small
 DECIMALS = 6
 
@@ -29,65 +29,57 @@ def _best(scores, ids, k):
     return candidates[np.lexsort((ids[candidates], -scores[candidates]))[:k]]
 
 
-def _search_block(shared_queries, k):
-    """A task function: corpus rows in, the task's ``k`` best per query out."""
-    def search(batches):
-        query_ids, unit_queries = shared_queries.value
-        n = len(query_ids)
-        best_scores, best_ids = [np.empty(0)] * n, [np.empty(0, dtype=np.int64)] * n
-        floors = np.full(n, -np.inf)
-        for batch in batches:
-            batch = batch.filter(batch.column("__vec").is_valid())
-            if batch.num_rows == 0 or n == 0:
-                continue
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            corpus = _unit_matrix(batch.column("__vec")).T
-            for at in range(0, n, TILE_QUERIES):
-                scores = np.round(unit_queries[at:at + TILE_QUERIES] @ corpus, DECIMALS) + 0.0
-                # Queries for which this batch holds nothing as good as their k-th best are done.
-                for i in np.flatnonzero(scores.max(axis=1) >= floors[at:at + TILE_QUERIES]):
-                    q = at + i
-                    both = np.concatenate([best_scores[q], scores[i]])
-                    both_ids = np.concatenate([best_ids[q], ids])
-                    top = _best(both, both_ids, k)
-                    best_scores[q], best_ids[q] = both[top], both_ids[top]
-                    if len(top) == k:
-                        floors[q] = both[top[-1]]
-        counts = [len(s) for s in best_scores]
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, counts)), pa.array(np.concatenate(best_ids)),
-                 pa.array(np.concatenate(best_scores))], ["query_id", "doc_id", "score"])
+def _search_blocks(k):
+    """A task function: a block of queries and a block of corpus rows in, the ``k`` best of each query out."""
+    def search(queries, corpus):
+        query_ids, ids = queries.column("query_id").to_numpy(), corpus.column("doc_id").to_numpy()
+        found_q, found_ids, found_scores = [], [], []
+        if len(query_ids) and len(ids):
+            unit_queries = _unit_matrix(queries.column("__vec").combine_chunks())
+            unit_corpus = _unit_matrix(corpus.column("__vec").combine_chunks()).T
+            for at in range(0, len(query_ids), TILE_QUERIES):
+                scores = np.round(unit_queries[at:at + TILE_QUERIES] @ unit_corpus, DECIMALS) + 0.0
+                for query, own in zip(query_ids[at:at + TILE_QUERIES], scores):
+                    top = _best(own, ids, k)
+                    found_q.append(np.full(len(top), query))
+                    found_ids.append(ids[top])
+                    found_scores.append(own[top])
+        if not found_q:
+            found_q, found_ids, found_scores = [query_ids[:0]], [ids[:0]], [np.empty(0)]
+        return pa.table({"query_id": np.concatenate(found_q), "doc_id": np.concatenate(found_ids), "score": np.concatenate(found_scores)})
     return search
 
 
-def retrieve(queries, corpus, k, block_rows=QUERY_BLOCK_ROWS):
+def _number_of_blocks(vectors, block_bytes):
+    """How many blocks of at most about ``block_bytes`` the vectors make, found when the query runs."""
+    return vectors.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("__vec").cast("bigint") * 8 + 8) / block_bytes)).cast("int")).scalar()
+
+
+def retrieve(queries, corpus, k, block_bytes=BLOCK_BYTES):
     """(query_id, rank, doc_id, score): the ``k`` most similar corpus rows per query.
 
     ``queries`` is (query_id, embedding) and ``corpus`` (doc_id, embedding). Scores
-    are rounded to six places and ties go to the lower id. The corpus is never
-    shuffled or paired up as rows: each batch is multiplied with a block of queries
-    inside its task, and only the best ``k`` per query and task go on. Queries are
-    counted first and cut into blocks of at most about ``block_rows``, so what a task
-    holds does not grow with the data; more queries mean more passes.
+    are rounded to six places and ties go to the lower id. Both sides are dealt by key
+    into blocks bounded in bytes; every pair of blocks is one matrix product in a task,
+    and only the best ``k`` per query and block go on. Nothing runs while the plan is
+    built, and nothing passes through the driver. The search is exact, so its work is
+    queries times corpus.
     """
-    spark = corpus.sparkSession
-    n_blocks = max(1, -(-queries.count() // block_rows))
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("doc_id", corpus.schema["doc_id"].dataType),
         T.StructField("score", T.DoubleType())])
-    vectors = corpus.select("doc_id", F.col("embedding").alias("__vec"))
-    found = None
-    for block in range(n_blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block) if n_blocks > 1 else queries
-        table = part.filter("embedding IS NOT NULL").select("query_id", "embedding").toArrow().combine_chunks()
-        held = (np.array([], dtype=np.int64), np.zeros((0, 0)))
-        if table.num_rows:
-            held = (table.column("query_id").combine_chunks().to_numpy(zero_copy_only=False),
-                    _unit_matrix(table.column("embedding").combine_chunks()))
-        hits = vectors.mapInArrow(_search_block(spark.sparkContext.broadcast(held), k), schema)
-        found = hits if found is None else found.unionByName(hits)
+    asked = queries.filter("embedding IS NOT NULL").select("query_id", F.col("embedding").alias("__vec"))
+    held = corpus.filter("embedding IS NOT NULL").select("doc_id", F.col("embedding").alias("__vec"))
+    q_blocks, c_blocks = _number_of_blocks(asked, block_bytes), _number_of_blocks(held, block_bytes)
+
+    def dealt(rows, key, own, own_blocks, other, other_blocks):
+        placed = rows.withColumn(own, F.pmod(F.xxhash64(key), own_blocks).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), other_blocks - 1)))
+
+    left = dealt(asked, "query_id", "__q", q_blocks, "__c", c_blocks).groupBy("__q", "__c")
+    right = dealt(held, "doc_id", "__c", c_blocks, "__q", q_blocks).groupBy("__q", "__c")
+    found = left.cogroup(right).applyInArrow(_search_blocks(k), schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "doc_id", "score"))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from chatloom.operators.chunks import CHUNK_ROWS, with_lookback, with_running_total
 
+PIECE_TURNS = 1024
+
 
 def pending_user_turns(turns):
     """The last turn of each session, kept only when a user wrote it."""
@@ -20,16 +22,34 @@ def qa_pairs(turns, chunk=CHUNK_ROWS):
             .select("session_id", "turn", F.col("__prev.text").alias("question"), F.col("text").alias("answer")))
 
 
-def history(turns, max_turns, chunk=CHUNK_ROWS):
-    """Each turn with the texts of up to ``max_turns`` turns before it, oldest first."""
-    if max_turns < 1:
-        raise ValueError("max_turns must be at least 1; use history_offsets for the whole past")
+def history(turns, max_turns=None, chunk=CHUNK_ROWS):
+    """Each turn with the texts of the turns before it, oldest first: all, or up to ``max_turns``.
+
+    All of them are as much text as the square of a session; ``transcript_pieces`` with
+    ``history_offsets`` holds the same in the size of the session.
+    """
+    if max_turns is not None and max_turns < 1:
+        raise ValueError("max_turns must be at least 1")
+
+    def context(w, first=Window.unboundedPreceding):
+        return F.array_join(F.collect_list(F.concat("role", F.lit(": "), "text")).over(w.rowsBetween(first, -1)), "\n")
 
-    def context(w):
-        frame = w.rowsBetween(-max_turns, -1)
-        return F.array_join(F.collect_list(F.concat("role", F.lit(": "), "text")).over(frame), "\n")
+    if max_turns is None:
+        return turns.withColumn("context", context(Window.partitionBy("session_id").orderBy("turn")))
+    return with_lookback(turns, "session_id", "turn", max_turns, {"context": lambda w: context(w, -max_turns)}, chunk)
 
-    return with_lookback(turns, "session_id", "turn", max_turns, {"context": context}, chunk)
+
+def transcript_pieces(turns, piece=PIECE_TURNS):
+    """The transcript of each session in ordered pieces: ``piece``, ``first_turn``, ``n_turns``, ``text``.
+
+    A piece holds the turns of ``piece`` consecutive ordinals, so a session of any length
+    stays spread over tasks; the pieces in order, joined by newlines, are the transcript.
+    """
+    line = F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line"))
+    cut = turns.groupBy("session_id", F.floor(F.col("turn") / piece).alias("piece")).agg(F.sort_array(F.collect_list(line)).alias("__lines"))
+    return cut.select("session_id", "piece", F.get("__lines", F.lit(0))["turn"].alias("first_turn"),
+                      F.size("__lines").cast("bigint").alias("n_turns"),
+                      F.array_join(F.transform("__lines", lambda x: x["line"]), "\n").alias("text"))
 
 
 def history_offsets(turns, chunk=CHUNK_ROWS):

@@ -17,13 +17,13 @@ from chatloom.plans import fixtures as fx
 from chatloom.sources import envelopes as env
 from chatloom.sources import frames as client
 from chatloom.sources import requests
-from chatloom.sources.tables import spread
 
 QUERIES = {}
 
 ATTEMPT_ORDER = ("ts", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+# Ordinals of a chunk in the long sessions: many chunks each.
+LONG_CHUNK = 300
 PROMPT = "Rate the answer.\nQuestion: {question}\nAnswer: {answer}\nContext: {context}\nOne of low, medium, high."
-HISTORY_TURNS = 16
 
 
 def query(fn):
@@ -56,7 +56,7 @@ def _intervals(spark, d):
 
 
 def _frames(spark, d):
-    arrivals = fx.view(spark, d, "arrivals")
+    arrivals = fx.view(spark, d, "posts")
     payload = F.to_json(F.struct(F.lit("system").alias("sender"), F.col("content")))
     return env.channel_frames(arrivals.withColumn("payload", payload))
 
@@ -74,7 +74,7 @@ def s1_chat_requests(spark, d):
 
 @query
 def s2_envelope_decode(spark, d):
-    flat = env.flatten_envelopes(fx.envelopes(spread(fx.table(spark, d, "conversations"), "conv_id")))
+    flat = env.flatten_envelopes(fx.envelopes(fx.table(spark, d, "conversations")))
     return env.decode_envelopes(flat).select(
         F.col("messageId").alias("message_id"), "session_id", "decode_ok",
         F.get_json_object("payload", "$.sender").alias("sender"),
@@ -110,7 +110,7 @@ def s5_client_frames_sse(spark, d):
 
 @query
 def s6_outcome_split(spark, d):
-    queued = fx.arrival_envelopes(spread(fx.view(spark, d, "arrivals"), "message_id"))
+    queued = fx.arrival_envelopes(fx.view(spark, d, "arrivals"))
     gated = presence.with_online(env.decode_envelopes(queued), _intervals(spark, d))
     judged = env.with_outcome(gated.withColumn("publish_failed", F.col("message_id") % 10 == 0))
     return judged.select("message_id", "session_id", "outcome", "reason", "delivery_attempt")
@@ -144,7 +144,7 @@ def p4_primary_text(spark, d):
 @query
 def p5_prompt_rendering(spark, d):
     now = F.expr("TIMESTAMP_NTZ '2024-01-02 03:04:05'")
-    with_context = turns.history(fx.view(spark, d, "turns"), 4).select("session_id", "turn", "context")
+    with_context = turns.history(fx.view(spark, d, "turns")).select("session_id", "turn", "context")
     return _pairs(spark, d).join(with_context, ["session_id", "turn"]).select(
         "session_id", "turn", render(PROMPT, {c: F.col(c) for c in ("question", "answer", "context")}).alias("prompt"),
         date_instruction(now).alias("instruction"))
@@ -236,9 +236,13 @@ def g9_apply_translations(spark, d):
 
 @query
 def g10_confidence(spark, d):
-    with_context = turns.history(fx.view(spark, d, "turns"), 4).select("session_id", "turn", "context")
-    rows = _pairs(spark, d).join(with_context, ["session_id", "turn"])
-    return scoring.confidence(rows, "question", "answer", "context").select("session_id", "turn", "confidence")
+    return scoring.session_confidence(fx.view(spark, d, "turns"), _pairs(spark, d))
+
+
+@query
+def g10_confidence_long(spark, d):
+    said = fx.view(spark, d, "long_turns")
+    return scoring.session_confidence(said, turns.qa_pairs(said, LONG_CHUNK))
 
 
 @query
@@ -274,8 +278,7 @@ def j2_subscriptions(spark, d):
 @query
 def j3_direct_delivery(spark, d):
     arrivals = fx.view(spark, d, "arrivals").withColumn("send_failed", F.col("message_id") % 50 == 7)
-    connections = routing.current_connections(fx.view(spark, d, "presence_events"))
-    return routing.direct_delivery(arrivals, connections).select("message_id", "session_id", "status", "connection_id")
+    return routing.direct_delivery(arrivals, fx.view(spark, d, "presence_events")).select("message_id", "session_id", "status", "connection_id")
 
 
 @query
@@ -300,6 +303,11 @@ def a1_reply_fold_failed(spark, d):
     return replies.fold_replies(_events(spark, d), fx.view(spark, d, "failed_runs"))
 
 
+@query
+def a1_reply_pieces(spark, d):
+    return replies.fold_pieces(_events(spark, d), 4)
+
+
 @query
 def a2_receiver_counts(spark, d):
     return routing.receiver_counts(_frames(spark, d), fx.view(spark, d, "subscriptions")).select(
@@ -329,7 +337,28 @@ def w2_qa_pairs(spark, d):
 
 @query
 def w3_history(spark, d):
-    return turns.history(fx.view(spark, d, "turns"), HISTORY_TURNS).select("session_id", "turn", "context")
+    return turns.history(fx.view(spark, d, "turns")).select("session_id", "turn", "context")
+
+
+@query
+def w3_history_long(spark, d):
+    return turns.history(fx.view(spark, d, "long_turns"), 20, LONG_CHUNK).select("session_id", "turn", "context")
+
+
+@query
+def w3_history_offsets_long(spark, d):
+    return turns.history_offsets(fx.view(spark, d, "long_turns"), LONG_CHUNK).select(
+        "session_id", "turn", "n_turns_before", "n_chars_before")
+
+
+@query
+def w3_transcript_pieces(spark, d):
+    return turns.transcript_pieces(fx.view(spark, d, "long_turns"), 8 * LONG_CHUNK)
+
+
+@query
+def w2_qa_pairs_long(spark, d):
+    return turns.qa_pairs(fx.view(spark, d, "long_turns"), LONG_CHUNK)
 
 
 @query
@@ -350,7 +379,7 @@ def w5_presence_intervals(spark, d):
 
 @query
 def t3_sliding_presence_batch(spark, d):
-    return presence.gap_sessions(fx.view(spark, d, "arrivals"))
+    return presence.gap_sessions(fx.view(spark, d, "posts"))
 
 
 # Extension surface

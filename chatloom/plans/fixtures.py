@@ -6,9 +6,6 @@ changing values of some rows (never by leaving rows out).
 """
 
 from pyspark.sql import functions as F
-
-from chatloom.sources.tables import spread
-
 SQL = {
     # Guard input: a role change or a single rude word is added to some texts.
     "messages": """
@@ -35,6 +32,16 @@ SQL = {
                CASE WHEN event_id % 101 = 0 THEN NULL ELSE CAST(user_id AS STRING) END AS session_id,
                ts, event_type AS content
         FROM {events} WHERE event_type IN ('view', 'click', 'purchase')""",
+    # Every event as a message.
+    "posts": """
+        SELECT event_id AS message_id,
+               CASE WHEN event_id % 101 = 0 THEN NULL ELSE CAST(user_id AS STRING) END AS session_id,
+               ts, event_type AS content
+        FROM {events}""",
+    # Few long sessions: each holds every seventh conversation.
+    "long_turns": """
+        SELECT CASE WHEN conv_id % 7 <> 6 THEN CAST(conv_id % 7 AS STRING) END AS session_id,
+               conv_id * 100 + turn AS turn, role, text FROM {conversations}""",
     "tool_queries": """
         SELECT p_partkey AS call_id,
                CASE WHEN p_partkey % 7 = 0 THEN 'get_current_time' ELSE 'vertex_ai_search' END AS tool_name,
@@ -52,7 +59,7 @@ SQL = {
     "agent_rows": """
         SELECT CAST(conv_id AS STRING) AS session_id, conv_id AS invocation_id, turn AS seq,
                role = 'assistant' AS is_final,
-               CASE WHEN role <> 'assistant' AND (conv_id + turn) % 11 = 0 THEN 'E1' END AS error_code,
+               CASE WHEN (role <> 'assistant' OR (conv_id + turn) % 10 = 0) AND (conv_id + turn) % 4 = 0 THEN 'E1' END AS error_code,
                CASE WHEN (conv_id + turn) % 9 = 0 THEN NULL ELSE text END AS text,
                concat('content ', CAST(turn AS STRING)) AS content_str
         FROM {conversations}""",
@@ -104,13 +111,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
-# Tables with costly work per row or per key, and the column that spreads them evenly.
-SPREAD_BY = {"documents": "doc_id", "lineitem": "l_orderkey"}
-
 _schemas = {}
 
 
-def read(spark, sf_dir, name):
+def table(spark, sf_dir, name):
     """A supplied table; its schema is read from a file footer once per path."""
     path = f"{sf_dir}/{name}.parquet"
     if path not in _schemas:
@@ -118,14 +122,9 @@ def read(spark, sf_dir, name):
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def table(spark, sf_dir, name):
-    df = read(spark, sf_dir, name)
-    return spread(df, SPREAD_BY[name]) if name in SPREAD_BY else df
-
-
 def stream(spark, sf_dir, name):
     """A table as a bounded stream. The pattern fits a single file and a folder of files."""
-    schema = read(spark, sf_dir, name).schema
+    schema = table(spark, sf_dir, name).schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
@@ -163,7 +162,9 @@ def tool_calls(queries):
 def agent_events(rows):
     parts = F.when(F.col("text").isNull(), F.array().cast("array<struct<text:string>>")) \
         .otherwise(F.array(F.struct("text")))
-    return rows.withColumns({"has_content": F.lit(True), "parts": parts}).drop("text")
+    # Some finals come without content, among them some with an error code.
+    has_content = ~(F.col("is_final") & ((F.col("invocation_id") + F.col("seq")) % 10 == 0))
+    return rows.withColumns({"has_content": has_content, "parts": parts}).drop("text")
 
 
 def envelopes(conversations):

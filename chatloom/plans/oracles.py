@@ -5,7 +5,7 @@ from chatloom.functions.rails import JAILBREAK_RULES, LEXICON, PROFANITY_ERROR_R
 from chatloom.functions.redaction import CARD_PATTERN, CARD_REPLACEMENT, DEFAULT_REPLACEMENT, INFO_TYPES
 from chatloom.functions.text import WORD, phrase_pattern
 from chatloom.operators.guards import REPLY_PHRASES
-from chatloom.plans.catalog import HISTORY_TURNS, PROMPT
+from chatloom.plans.catalog import LONG_CHUNK, PROMPT
 from chatloom.plans.fixtures import cte
 
 
@@ -56,11 +56,12 @@ PAIRS = """pairs AS (SELECT session_id, turn, question, answer FROM (
            lag(role) OVER w AS before_role, lag(text) OVER w AS question
     FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY turn))
   WHERE role = 'assistant' AND before_role = 'user')"""
+LONG_PAIRS = PAIRS.replace("FROM turns", "FROM long_turns")
 
 
-def past(n):
+def past(n="UNBOUNDED", turns="turns"):
     return f"""past AS (SELECT session_id, turn, coalesce(string_agg(role || ': ' || text, chr(10) ORDER BY turn) OVER (
-    PARTITION BY session_id ORDER BY turn ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), '') AS context FROM turns)"""
+    PARTITION BY session_id ORDER BY turn ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), '') AS context FROM {turns})"""
 
 
 INTERVALS = """intervals AS (SELECT * FROM (
@@ -78,12 +79,14 @@ PARTS = """parts AS (SELECT msg_id, CASE WHEN msg_id % 5 = 0 THEN 'model' ELSE '
 
 PRIMARY = "coalesce(list_filter(parts, lambda p: p <> '')[1], '')"
 
-LAST_ERROR = """marked AS (SELECT *, max(CASE WHEN NOT is_final AND error_code IS NOT NULL THEN seq END)
+APPENDS = "(is_final AND NOT (is_final AND (invocation_id + seq) % 10 = 0))"
+
+LAST_ERROR = f"""marked AS (SELECT *, {APPENDS} AS appends, max(CASE WHEN NOT {APPENDS} AND error_code IS NOT NULL THEN seq END)
     OVER (PARTITION BY session_id, invocation_id) AS error_at FROM agent_rows),
   folded AS (SELECT session_id, invocation_id, 'system' AS sender,
     CASE WHEN max(error_at) IS NULL THEN '' ELSE 'error' END || coalesce(
       string_agg(coalesce(text, content_str), '' ORDER BY seq)
-        FILTER (WHERE is_final AND (error_at IS NULL OR seq > error_at)), '') AS content
+        FILTER (WHERE appends AND (error_at IS NULL OR seq > error_at)), '') AS content
   FROM marked GROUP BY session_id, invocation_id)"""
 
 
@@ -162,8 +165,8 @@ SOURCE_KIND = "CASE WHEN tool_name <> 'vertex_ai_search' THEN 'unknown_tool'"
 
 GATED = f"{cte('arrivals', 'presence_events')}, {INTERVALS}, gated AS (SELECT a.*, {ONLINE} AS online FROM arrivals a)"
 
-GAPS = f"""{cte('arrivals')}, marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 60 SECOND THEN 0 ELSE 1 END AS fresh
-      FROM arrivals WHERE session_id IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY ts)),
+GAPS = f"""{cte('posts')}, marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 60 SECOND THEN 0 ELSE 1 END AS fresh
+      FROM posts WHERE session_id IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY ts)),
     spans AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS span FROM marked)
     SELECT session_id, min(ts) AS start_ts, max(ts) + INTERVAL 60 SECOND AS end_ts, count(*) AS n_messages
     FROM spans GROUP BY session_id, span"""
@@ -198,8 +201,8 @@ def oracle_sql():
         CASE WHEN conv_id % 10 NOT IN (3, 5) THEN text END AS content FROM conversations"""
     sql["s3_reply_encode"] = f"""{cte('agent_rows')}, {LAST_ERROR}
         SELECT invocation_id, session_id, true AS decode_ok, sender, content FROM folded"""
-    sql["s4_channel_frames"] = f"""{cte('arrivals')} SELECT message_id, {CHANNEL} AS channel, session_id,
-        'system' AS sender, content FROM arrivals"""
+    sql["s4_channel_frames"] = f"""{cte('posts')} SELECT message_id, {CHANNEL} AS channel, session_id,
+        'system' AS sender, content FROM posts"""
     sql["s5_client_frames_ws"] = f"""{cte('client_lines')} SELECT line_id,
         CASE WHEN json_valid(line) THEN 'message' ELSE 'raw' END AS kind,
         CASE WHEN json_valid(line) THEN line ->> '$.session_id' END AS session_id,
@@ -220,7 +223,7 @@ def oracle_sql():
     sql["p3_frame_content"] = f"""{cte('client_lines')} SELECT line_id, CASE WHEN json_valid(line) THEN
         coalesce(CAST(json_extract(line, '$.data') AS VARCHAR), '{{}}') END AS content FROM client_lines"""
     sql["p4_primary_text"] = f"{cte('messages')}, {PARTS} SELECT msg_id, {PRIMARY} AS text FROM parts"
-    sql["p5_prompt_rendering"] = f"""{cte('turns')}, {PAIRS}, {past(4)}
+    sql["p5_prompt_rendering"] = f"""{cte('turns')}, {PAIRS}, {past()}
         SELECT session_id, turn, {_prompt()} AS prompt,
                'Todays date and time is: 2024-01-02 03:04:05' AS instruction
         FROM pairs JOIN past USING (session_id, turn)"""
@@ -256,11 +259,15 @@ def oracle_sql():
         {language('question')} <> {language('answer')} AS needs_translation FROM pairs)
         SELECT session_id, turn, needs_translation, CASE WHEN needs_translation THEN coalesce(translated, answer) ELSE answer END AS text
         FROM d LEFT JOIN translations USING (session_id, turn)"""
-    sql["g10_confidence"] = f"""{cte('turns')}, {PAIRS}, {past(4)}, sets AS (SELECT session_id, turn,
+    sql["g10_confidence"] = f"""{cte('turns')}, {PAIRS}, {past()}, sets AS (SELECT session_id, turn,
         list_distinct({words('answer')}) AS a, {words("question || ' ' || context")} AS s
         FROM pairs JOIN past USING (session_id, turn)),
       n AS (SELECT session_id, turn, len(a) AS n, len(list_intersect(a, s)) AS hit FROM sets)
       SELECT session_id, turn, CASE WHEN n = 0 OR hit * 3 < n THEN 'low' WHEN hit * 3 < n * 2 THEN 'medium' ELSE 'high' END AS confidence FROM n"""
+    sql["g10_confidence_long"] = sql["g10_confidence"].replace(cte("turns"), cte("long_turns")).replace(PAIRS, LONG_PAIRS).replace(
+        past(), past(turns="long_turns")).replace("JOIN past USING (session_id, turn)",
+                                                  "JOIN past ON pairs.turn = past.turn AND pairs.session_id IS NOT DISTINCT FROM past.session_id").replace(
+        "sets AS (SELECT session_id, turn,", "sets AS (SELECT pairs.session_id, pairs.turn,")
     sql["g10_normalise_label"] = f"""{cte('raw_labels')} SELECT doc_id, raw,
         CASE WHEN lower(trim(raw)) IN ('low', 'medium', 'high') THEN lower(trim(raw)) END AS label FROM raw_labels"""
     sql["g11_refusal_tags"] = f"""{cte('replies')}, r AS (SELECT msg_id,
@@ -268,15 +275,14 @@ def oracle_sql():
         SELECT msg_id, {_reply_kind('text')} AS reply_kind FROM r"""
     sql["g12_style_audit"] = _style(12)
     sql["j1_presence_gate"] = f"{GATED} SELECT * FROM gated"
-    sql["j2_subscriptions"] = f"""{cte('arrivals', 'subscriptions')} SELECT message_id, {CHANNEL} AS channel, subscriber_id
-        FROM arrivals JOIN subscriptions ON {CHANNEL} GLOB pattern"""
+    sql["j2_subscriptions"] = f"""{cte('posts', 'subscriptions')} SELECT message_id, {CHANNEL} AS channel, subscriber_id
+        FROM posts JOIN subscriptions ON {CHANNEL} GLOB pattern"""
     sql["j3_direct_delivery"] = f"""{cte('arrivals', 'presence_events')},
-      last AS (SELECT session_id, arg_max(kind, (ts, event_id)) AS kind, arg_max(event_id, (ts, event_id)) AS conn
-               FROM presence_events GROUP BY session_id),
-      open AS (SELECT session_id, conn FROM last WHERE kind = 'connect'),
-      fails AS (SELECT a.*, o.conn, min(CASE WHEN message_id % 50 = 7 THEN (ts, message_id) END)
-                  OVER (PARTITION BY a.session_id) AS first_fail
-                FROM arrivals a LEFT JOIN open o ON a.session_id = o.session_id),
+      last AS (SELECT session_id, ts, arg_max(kind, event_id) AS kind, max(event_id) AS event_id
+               FROM presence_events GROUP BY session_id, ts),
+      tried AS (SELECT a.*, CASE WHEN e.kind = 'connect' THEN e.event_id END AS conn
+                FROM arrivals a ASOF LEFT JOIN last e ON a.session_id = e.session_id AND a.ts >= e.ts),
+      fails AS (SELECT *, min(CASE WHEN message_id % 50 = 7 THEN (ts, message_id) END) OVER (PARTITION BY conn) AS first_fail FROM tried),
       judged AS (SELECT *, CASE WHEN conn IS NULL OR (first_fail IS NOT NULL AND (ts, message_id) > first_fail) THEN 'no_connection'
                  WHEN message_id % 50 = 7 THEN 'send_failed' ELSE 'delivered' END AS status FROM fails)
       SELECT message_id, session_id, status, CASE WHEN status <> 'no_connection' THEN conn END AS connection_id FROM judged"""
@@ -288,10 +294,16 @@ def oracle_sql():
       r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s)
       SELECT * FROM r WHERE rank <= 5"""
     sql["a1_reply_fold"] = f"{cte('agent_rows')}, {LAST_ERROR} SELECT * FROM folded"
+    sql["a1_reply_pieces"] = f"""{cte('agent_rows')}, marked AS (SELECT *, {APPENDS} AS appends, CAST(floor(seq / 4) AS BIGINT) AS chunk,
+        max(CASE WHEN NOT {APPENDS} AND error_code IS NOT NULL THEN seq END)
+          OVER (PARTITION BY session_id, invocation_id, CAST(floor(seq / 4) AS BIGINT)) AS error_at FROM agent_rows)
+      SELECT session_id, invocation_id, chunk, max(error_at) IS NOT NULL AS reset, coalesce(
+        string_agg(coalesce(text, content_str), '' ORDER BY seq) FILTER (WHERE appends AND (error_at IS NULL OR seq > error_at)), '') AS text
+      FROM marked GROUP BY ALL"""
     sql["a1_reply_fold_failed"] = f"""{cte('agent_rows', 'failed_runs')}, {LAST_ERROR} SELECT session_id, invocation_id, sender,
         CASE WHEN invocation_id IN (SELECT invocation_id FROM failed_runs) THEN 'system_error' ELSE content END AS content FROM folded"""
-    sql["a2_receiver_counts"] = f"""{cte('arrivals', 'subscriptions')} SELECT message_id, {CHANNEL} AS channel,
-        count(subscriber_id) AS n_receivers FROM arrivals LEFT JOIN subscriptions ON {CHANNEL} GLOB pattern GROUP BY ALL"""
+    sql["a2_receiver_counts"] = f"""{cte('posts', 'subscriptions')} SELECT message_id, {CHANNEL} AS channel,
+        count(subscriber_id) AS n_receivers FROM posts LEFT JOIN subscriptions ON {CHANNEL} GLOB pattern GROUP BY ALL"""
     sql["a3_outcome_report"] = f"""WITH g AS ({sql['g6_guard_chain']}), t AS ({sql['g5_tool_call_admission']}),
       d AS ({sql['s6_outcome_split']}), m AS ({cte('messages')} SELECT msg_id, text FROM messages),
       o AS (SELECT 'guard' AS stage, CASE WHEN is_blocked THEN reason WHEN final_text <> text THEN 'modified' ELSE 'passed' END AS reason
@@ -302,10 +314,16 @@ def oracle_sql():
     sql["w1_pending_user_turns"] = f"""{cte('turns')} SELECT session_id, turn, text FROM (SELECT *, row_number() OVER (
         PARTITION BY session_id ORDER BY turn DESC) AS n FROM turns) WHERE n = 1 AND role = 'user'"""
     sql["w2_qa_pairs"] = f"{cte('turns')}, {PAIRS} SELECT * FROM pairs"
-    sql["w3_history"] = f"{cte('turns')}, {past(HISTORY_TURNS)} SELECT * FROM past"
+    sql["w3_history"] = f"{cte('turns')}, {past()} SELECT * FROM past"
     sql["w3_history_offsets"] = f"""{cte('turns')} SELECT session_id, turn, count(*) OVER w AS n_turns_before,
         CAST(coalesce(sum(length(text)) OVER w, 0) AS BIGINT) AS n_chars_before FROM turns
         WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+    sql["w2_qa_pairs_long"] = f"{cte('long_turns')}, {LONG_PAIRS} SELECT * FROM pairs"
+    sql["w3_history_long"] = f"{cte('long_turns')}, {past(20, 'long_turns')} SELECT * FROM past"
+    sql["w3_history_offsets_long"] = sql["w3_history_offsets"].replace(cte("turns"), cte("long_turns")).replace("FROM turns", "FROM long_turns")
+    sql["w3_transcript_pieces"] = f"""{cte('long_turns')} SELECT session_id, CAST(floor(turn / {8 * LONG_CHUNK}) AS BIGINT) AS piece,
+        min(turn) AS first_turn, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text
+        FROM long_turns GROUP BY ALL"""
     sql["w4_delivery_attempts"] = ATTEMPTS
     sql["w5_presence_intervals"] = f"""{cte('presence_events')}, {INTERVALS}
         SELECT session_id, connection_id, start_ts, end_ts FROM intervals"""
@@ -321,11 +339,10 @@ def oracle_sql():
              closed_blocked, CASE WHEN failed THEN {lit(PROFANITY_ERROR_REASON)} WHEN closed_blocked THEN 'Digits detected' ELSE '' END AS closed_reason
       FROM j"""
     # A stream over the whole input answers the same question as its batch twin.
-    sql["t1_envelope_stream"] = f"""{GATED}, judged AS (SELECT *, CASE WHEN message_id % 31 = 0 THEN 'decode_error'
-          WHEN NOT online THEN 'offline' END AS reason FROM gated)
-      SELECT message_id, session_id, reason, CASE WHEN reason IS NULL THEN {CHANNEL} END AS channel,
-             CASE WHEN reason IS NULL THEN 'delivered' ELSE 'retry' END AS outcome,
-             CASE WHEN reason IS NULL THEN content END AS content FROM judged"""
+    sql["t1_envelope_stream"] = f"""WITH judged AS ({OUTCOMES.format(failed="message_id % 10 = 0")})
+      SELECT message_id, judged.session_id, reason, outcome, delivery_attempt,
+             CASE WHEN reason IS NULL THEN 'user_' || coalesce(judged.session_id, 'None') END AS channel,
+             CASE WHEN reason IS NULL THEN event_type END AS content FROM judged JOIN events ON message_id = event_id"""
     sql["t2_presence_stream"] = sql["j1_presence_gate"]
     sql["t3_sliding_presence_stream"] = GAPS
     sql["t4_redelivery_stream"] = ATTEMPTS

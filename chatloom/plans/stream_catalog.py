@@ -9,8 +9,8 @@ from chatloom.plans.catalog import query
 from chatloom.streaming import messages, presence, redelivery
 from chatloom.streaming.runner import flush_ts, run_bounded, stream_session
 
-# Longer than the span of the test data: a message only counts as pending at the end.
-NO_MORE_ATTEMPTS_S = 3650 * 86400
+# Attempts of the test data are up to four months apart.
+PENDING_AFTER_S = 200 * 86400
 
 
 def _stamped(df):
@@ -30,13 +30,13 @@ def t1_envelope_stream(spark, d):
     own = stream_session(spark)
 
     def build(side):
-        queued = fx.arrival_envelopes(_arrivals(own, d)).drop("delivery_attempt")
+        queued = fx.arrival_envelopes(_arrivals(own, d)).withColumn("publish_failed", F.col("message_id") % 10 == 0)
         return messages.envelope_outcomes(queued, _presence_events(own, d), side=side)
 
     done = run_bounded(own, build, presence.presence_flush(flush_ts()), messages.outcome_sink)
     out = spark.read.schema("message_id bigint, session_id string, channel string, value string, reason string, "
-                            "batch bigint, outcome string").parquet(done.path)
-    return out.select("message_id", "session_id", "channel", "outcome", "reason",
+                            "delivery_attempt bigint, batch bigint, outcome string").parquet(done.path)
+    return out.select("message_id", "session_id", "channel", "outcome", "reason", "delivery_attempt",
                       F.get_json_object("value", "$.data.content").alias("content"))
 
 
@@ -58,7 +58,7 @@ def t3_sliding_presence_stream(spark, d):
     own = stream_session(spark)
 
     def build(side):
-        rows = _arrivals(own, d).filter("session_id IS NOT NULL").select("session_id", "ts")
+        rows = _stamped(fx.view(own, d, "posts", fx.stream)).filter("session_id IS NOT NULL").select("session_id", "ts")
         return presence.presence_sliding(rows.unionByName(side))
 
     done = run_bounded(own, build, {"session_id": F.lit(""), "ts": flush_ts()})
@@ -77,7 +77,7 @@ def t4_redelivery_stream(spark, d):
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         keys = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), cents]
         tie = F.concat(*[F.lpad(k.cast("string"), 20, "0") for k in keys])
-        return redelivery.redelivery_stream(attempts.withColumn("tie", tie), idle_s=NO_MORE_ATTEMPTS_S, side=side)
+        return redelivery.redelivery_stream(attempts.withColumn("tie", tie), pending_after_s=PENDING_AFTER_S, side=side)
 
     return spark.read.parquet(run_bounded(own, build, redelivery.redelivery_flush(flush_ts())).path)
 
@@ -104,4 +104,4 @@ def t6_reply_fold_stream(spark, d):
 
     flush = {"session_id": F.lit(""), "invocation_id": F.lit(-1).cast("bigint"), "seq": F.lit(0).cast("bigint"),
              "is_final": F.lit(False), "has_content": F.lit(False), "ts": flush_ts()}
-    return spark.read.parquet(run_bounded(own, build, flush).path)
+    return messages.replies_of_pieces(spark.read.parquet(run_bounded(own, build, flush).path).filter("invocation_id <> -1"))

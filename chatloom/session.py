@@ -35,10 +35,14 @@ def build_session(app_name="chatloom", master=None, shuffle_partitions=None, con
 def shared_folder(spark, purpose):
     """A new sub-folder of the folder the cluster shares between its machines.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without one
-    (a local test) gets a temporary folder.
+    The folder comes from ``spark.checkpoint.dir`` or the context's checkpoint folder;
+    only a local session without one, as in tests, gets a temporary folder. On a cluster
+    every machine would write to a disk of its own, so a missing folder is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = os.path.join(tempfile.gettempdir(), "chatloom-checkpoints")
     return f"{root.rstrip('/')}/chatloom/{purpose}-{uuid.uuid4().hex}"

@@ -7,6 +7,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from chatloom.operators.delivery import MAX_ATTEMPTS, PUSH_RETRY, outcome_columns
 from chatloom.streaming.presence import bucket_count
 
+RETENTION_S = 7 * 86400  # how long a settled message is remembered; far beyond the longest delay of a policy
+
 _STATE_SCHEMA = ("message array<long>, n array<long>, settled array<boolean>, last_us array<long>, "
                  "message_id array<long>, us array<long>, tie array<string>, ok array<boolean>")
 _OUT_SCHEMA = "message_id long, n_seen long, first_ok long"
@@ -48,7 +50,7 @@ def _report(rows):
                          "first_ok": rows["first_ok"].astype("Int64").array})
 
 
-def _track(max_attempts, idle_us):
+def _track(max_attempts, retention_us, pending_us):
     """Handler of one bucket of messages; attempts wait until the watermark has passed them."""
     def handle(key, frames, state):
         parts = [f[_COLUMNS] for f in frames]
@@ -70,40 +72,51 @@ def _track(max_attempts, idle_us):
         # Of what waits, only attempts that can still count are kept.
         finished = known.index[known["settled"].astype(bool)]
         waiting = waiting[~waiting["message_id"].isin(finished)].groupby("message_id", sort=False).head(max_attempts)
-        idle = (known["last_us"] + idle_us <= watermark_us) & ~known.index.isin(waiting["message_id"])
-        pending = known[idle & ~known["settled"].astype(bool)]
-        if len(pending):
-            yield _report(pending.assign(first_ok=None))
-        known = known[~idle]
+        # A settled message is remembered for a while, so that a repeat is not reported again;
+        # an open one keeps its count until it is settled or asked for as pending.
+        settled, silent = known["settled"].astype(bool), ~known.index.isin(waiting["message_id"])
+        forgotten = settled & silent & (known["last_us"] + retention_us <= watermark_us)
+        if pending_us is not None:
+            idle = ~settled & silent & (known["last_us"] + pending_us <= watermark_us)
+            if idle.any():
+                yield _report(known[idle].assign(first_ok=None))
+            forgotten |= idle
+        known = known[~forgotten]
         if not len(known) and not len(waiting):
             state.remove()
             return
         state.update((known.index.astype("int64").tolist(), known["n"].astype("int64").tolist(), known["settled"].astype(bool).tolist(),
                       known["last_us"].astype("int64").tolist(), waiting["message_id"].astype("int64").tolist(),
                       waiting["us"].astype("int64").tolist(), waiting["tie"].tolist(), waiting["ok"].astype(bool).tolist()))
-        wakes = waiting["us"].tolist()[:1] + ([known["last_us"].min() + idle_us] if len(known) else [])
-        state.setTimeoutTimestamp(max(int(min(wakes)) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        done = known["settled"].astype(bool)
+        wakes = waiting["us"].tolist()[:1] + ([known.loc[done, "last_us"].min() + retention_us] if done.any() else [])
+        if pending_us is not None and not done.all():
+            wakes.append(known.loc[~done, "last_us"].min() + pending_us)
+        if wakes:
+            state.setTimeoutTimestamp(max(int(min(wakes)) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
     return handle
 
 
-def redelivery_stream(attempts, max_attempts=MAX_ATTEMPTS, policy=PUSH_RETRY, idle_s=None, delay="1 hour", buckets=None, side=None):
+def redelivery_stream(attempts, max_attempts=MAX_ATTEMPTS, policy=PUSH_RETRY, retention_s=RETENTION_S, pending_after_s=None,
+                      delay="1 hour", buckets=None, side=None):
     """Outcome of each message of a stream of attempts (message_id, ts, tie, ok).
 
     Attempts are taken in order of (``ts``, ``tie``) once the watermark has passed
-    them. A message is reported when it is delivered or has failed for good, and as
-    pending when no attempt came for ``idle_s`` seconds (by default the longest delay
-    of the policy). Before the shuffle each task keeps only the first attempts of a
-    message, so one with very many attempts stays small.
+    them. A message is reported once, when it is delivered or has failed for good,
+    however far apart its attempts are; for ``retention_s`` seconds after its last attempt
+    a repeat of it is ignored. With ``pending_after_s`` a message without an attempt for
+    so long is reported as pending and its count given up. Before the shuffle each task
+    keeps only the first attempts of a message, so one with very many stays small.
     """
-    idle_s = policy.maximum_s if idle_s is None else idle_s
+    pending_us = None if pending_after_s is None else int(pending_after_s * 1_000_000)
     rows = attempts.select("message_id", "ts", F.unix_micros("ts").alias("us"), "tie", "ok")
     if side is not None:
         rows = rows.unionByName(side)
     combined = rows.mapInPandas(_first_attempts(max_attempts), rows.schema)
     keyed = combined.withColumn("bucket", F.pmod(F.xxhash64("message_id"), F.lit(buckets or bucket_count(rows))))
     counted = (keyed.withWatermark("ts", delay).groupBy("bucket")
-               .applyInPandasWithState(_track(max_attempts, int(idle_s * 1_000_000)), _OUT_SCHEMA, _STATE_SCHEMA, "append",
+               .applyInPandasWithState(_track(max_attempts, int(retention_s * 1_000_000), pending_us), _OUT_SCHEMA, _STATE_SCHEMA, "append",
                                        GroupStateTimeout.EventTimeTimeout))
     n_used, outcome, delay_s = outcome_columns(F.col("n_seen"), F.col("first_ok"), max_attempts, policy)
     return counted.select("message_id", n_used.alias("n_used"), outcome.alias("outcome"), delay_s.alias("next_delay_s"))

@@ -1,8 +1,10 @@
 """Running a streaming job to the end of a bounded input."""
 
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from chatloom.session import shared_folder
 
@@ -40,23 +42,48 @@ class Finished:
     dropped_late: int
 
 
-def _late_rows(query):
-    dropped = 0
-    for progress in query.recentProgress:
-        for operator in progress["stateOperators"] or []:
-            dropped += operator["numRowsDroppedByWatermark"]
-    return dropped
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that a query's operators dropped as late, over all of its progress reports."""
+
+    def __init__(self):
+        self.dropped, self.done = {}, {}
+
+    def onQueryStarted(self, event):
+        self.done.setdefault(str(event.runId), threading.Event())
+
+    def onQueryProgress(self, event):
+        run = str(event.progress.runId)
+        self.dropped[run] = self.dropped.get(run, 0) + sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.done.setdefault(str(event.runId), threading.Event()).set()
+
+    def of(self, query):
+        """Late rows of a query that has ended; its end is reported after its last progress."""
+        run = str(query.runId)
+        if not self.done.setdefault(run, threading.Event()).wait(60):
+            raise TimeoutError("the end of the query was not reported")
+        return self.dropped.get(run, 0)
 
 
 def run_available(stream, path, checkpoint, foreach_batch=None):
     """Process all input there is and stop; returns the number of late rows."""
+    late = LateRows()
+    streams = stream.sparkSession.streams
+    streams.addListener(late)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if foreach_batch is None:
         query = writer.format("parquet").outputMode("append").start(path)
     else:
         query = writer.outputMode("append").foreachBatch(foreach_batch).start()
-    query.awaitTermination()
-    return _late_rows(query)
+    try:
+        query.awaitTermination()
+        return late.of(query)
+    finally:
+        streams.removeListener(late)
 
 
 def run_bounded(spark, build, flush_row=None, foreach_batch=None):

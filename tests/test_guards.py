@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import rails
 from chatloom.functions.model_rail import model_column, model_rail
+from chatloom.functions.text import has_phrase
 from chatloom.functions.redaction import CARD_PATTERN, INFO_TYPES
 from chatloom.operators import guards
 
@@ -166,3 +167,35 @@ def test_model_failure_policies(spark):
 def test_model_column_gives_strings(spark):
     out = texts(spark, "a", "bb").withColumn("m", model_column(lambda ts: [t.upper() for t in ts], "string")(F.col("text")))
     assert [r.m.value for r in out.orderBy("id").collect()] == ["A", "BB"]
+
+
+def test_a_failing_batch_is_halved(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(items):
+        calls.add(1)
+        return fragile(items)
+
+    df = spark.range(1000).coalesce(1).select("id", F.when(F.col("id") == 377, "bad").otherwise("1234567").alias("text"))
+    out = df.withColumn("m", model_column(counted)(F.col("text")))
+    assert [r.id for r in out.filter("m.error is not null").select("id").collect()] == [377]
+    assert calls.value < 60
+
+
+def test_terms_are_taken_literally(spark):
+    df = texts(spark, "abc a.c", "c c++ C++", "f(x) fx")
+    hits = lambda term: column(df.withColumn("n", rails.term_hits(F.col("text"), [term])), "n")
+    assert hits("a.c") == [1, 0, 0] and hits("c++") == [0, 2, 0] and hits("f(x)") == [0, 0, 1]
+    rule = has_phrase(F.col("text"), ["what is c++"])
+    assert column(texts(spark, "so, what is C++?", "what is ccc").withColumn("n", rule), "n") == [True, False]
+
+
+def test_lexicon_tables_agree_with_columns_and_refuse_other_terms(spark):
+    df = texts(spark, "rude Rude word", "nothing", None)
+    lexicon = spark.createDataFrame([("bad", "rude"), ("bad", "Word")], "category string, term string")
+    table = {r.id: r.confidence for r in guards.moderate_by_table(df, "id", "text", lexicon).collect()}
+    listed = guards.moderate(df, "text", {"bad": ["rude", "word"]}).select("id", F.get("categories", F.lit(0))["confidence"].alias("c"))
+    assert table == {r.id: r.c for r in listed.collect() if r.c is not None} == {0: 0.75}
+    for term in ("two words", "c++"):
+        with pytest.raises(Exception, match="not a single word"):
+            guards.moderate_by_table(df, "id", "text", spark.createDataFrame([("bad", term)], "category string, term string")).collect()

@@ -116,17 +116,49 @@ def test_glob_lookup_keys(spark):
 
 def test_direct_delivery(spark):
     events = event_table(spark, [(0, "a", 0, "connect"), (1, "a", 5, "connect"), (2, "b", 0, "connect"), (3, "b", 1, "disconnect")])
-    connections = routing.current_connections(events)
-    assert {r.session_id: r.connection_id for r in connections.collect()} == {"a": 1}
     messages = arrival_table(spark, [(0, "a", 10), (1, "a", 11), (2, "a", 12), (3, "b", 12), (4, None, 12)])
-    plain = {r.message_id: r.status for r in routing.direct_delivery(messages, connections).collect()}
+    plain = {r.message_id: r.status for r in routing.direct_delivery(messages, events).collect()}
     assert plain == {0: "delivered", 1: "delivered", 2: "delivered", 3: "no_connection", 4: "no_connection"}
     failing = messages.withColumn("send_failed", F.col("message_id") == 1)
-    out = {r.message_id: (r.status, r.connection_id) for r in routing.direct_delivery(failing, connections).collect()}
+    out = {r.message_id: (r.status, r.connection_id) for r in routing.direct_delivery(failing, events).collect()}
     assert out == {0: ("delivered", 1), 1: ("send_failed", 1), 2: ("no_connection", None), 3: ("no_connection", None), 4: ("no_connection", None)}
 
 
-def test_leakage_both_ways_agree_with_hand_count(spark):
+def test_direct_delivery_follows_the_time_of_the_message(spark):
+    # No connection yet, still none, then one; a failure closes only the connection that it happened on.
+    early = event_table(spark, [(0, "s", 10, "connect")])
+    sends = arrival_table(spark, [(0, "s", 5), (1, "s", 6), (2, "s", 12)]).withColumn("send_failed", F.col("message_id") == 1)
+    out = {r.message_id: r.status for r in routing.direct_delivery(sends, early).collect()}
+    assert out == {0: "no_connection", 1: "no_connection", 2: "delivered"}
+
+
+def delivered_by_hand(events, messages):
+    """message id -> (status, connection) by replaying one session after the other in time order."""
+    out, steps = {}, [(sec, 0, e, s, kind) for e, s, sec, kind in events] + [(sec, 1, m, s, failed) for m, s, sec, failed in messages]
+    open_now = {}
+    for sec, side, number, session, what in sorted(steps, key=lambda x: x[:3]):
+        if not side:
+            open_now[session] = number if what == "connect" else None
+            continue
+        conn = open_now.get(session) if session is not None else None
+        out[number] = ("no_connection", None) if conn is None else ("send_failed" if what else "delivered", conn)
+        if what and conn is not None:
+            open_now[session] = None
+    return out
+
+
+def test_direct_delivery_equals_a_replay(spark):
+    rng = random.Random(8)
+    events = [(i, rng.choice("abc"), rng.randrange(400), rng.choice(["connect", "connect", "disconnect"])) for i in range(60)]
+    messages = [(i, rng.choice(["a", "b", "c", "d", None]), rng.randrange(400), rng.random() < 0.2) for i in range(300)]
+    table = arrival_table(spark, [m[:3] for m in messages]).withColumn(
+        "send_failed", F.col("message_id").isin([m[0] for m in messages if m[3]]))
+    for slot in (7, 100, 3600):
+        out = {r.message_id: (r.status, r.connection_id) for r in routing.direct_delivery(table, event_table(spark, events), slot).collect()}
+        assert out == delivered_by_hand(events, messages)
+
+
+def test_leakage_agrees_with_hand_count(spark):
     rng = random.Random(3)
     line = lambda n: " ".join(rng.choice("abc") for _ in range(n))
     texts = [(i, line(rng.randint(0, 30))) for i in range(60)]
@@ -135,9 +167,14 @@ def test_leakage_both_ways_agree_with_hand_count(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     grams = lambda t: {tuple(t.split()[i:i + 4]) for i in range(len(t.split()) - 3)}
     expected = {(i, j): len(grams(t) & grams(u)) for i, t in texts for j, u in items if grams(t) & grams(u)}
-    for limit in (1 << 20, 0):
-        out = leakage.leakage(a, b, 4, broadcast_bytes=limit)
-        assert {(r.id, r.item_id): r.n_shared for r in out.collect()} == expected
+    for limit in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        out = leakage.leakage(a, b, 4).collect()
+        repeated = spark.createDataFrame([(1, "a b c"), (1, "x a b c d")], "id long, text string")
+        twice = leakage.leakage(repeated, spark.createDataFrame([(9, "a b c d")], "item_id long, text string"), 3).collect()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert {(r.id, r.item_id): r.n_shared for r in out} == expected
+        assert [tuple(r) for r in twice] == [(1, 9, 3)]
 
 
 def test_retrieval_agrees_with_numpy_in_any_blocks(spark):
@@ -154,8 +191,8 @@ def test_retrieval_agrees_with_numpy_in_any_blocks(spark):
     for q in range(150):
         order = sorted(range(150), key=lambda d: (-scores[q, d], d))[:7]
         expected.update({(q, rank): d for rank, d in enumerate(order, 1)})
-    for block_rows in (1000, 40):
-        out = retrieval.retrieve(queries, corpus, 7, block_rows).collect()
+    for block_bytes in (1 << 20, 3000):
+        out = retrieval.retrieve(queries, corpus, 7, block_bytes).collect()
         assert {(r.query_id, r["rank"]): r.doc_id for r in out} == expected
 
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from chatloom.operators import delivery, turns
+from chatloom.operators import delivery, scoring, turns
 
 TURN = "session_id string, turn long, role string, text string"
 
@@ -38,6 +38,50 @@ def test_pairs_history_and_offsets_do_not_depend_on_chunks(spark):
         assert {(r.session_id, r.turn): (r.n_turns_before, r.n_chars_before) for r in turns.history_offsets(df, chunk).collect()} == offsets
 
 
+def test_odd_sessions_do_not_depend_on_chunks(spark):
+    """A NULL session, and negative, sparse and NULL ordinals."""
+    roles = ["user", "assistant"]
+    rows = [(None, i, roles[i % 2], f"n{i}") for i in range(10)] + [("s", i - 7, roles[i % 2], f"s{i}") for i in range(14)]
+    rows += [("g", i * i * 11 - 300, roles[i % 2], f"g{i}") for i in range(12)] + [("z", None, "user", "first")]
+    rows += [("z", i, roles[(i + 1) % 2], f"z{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, TURN).repartition(3)
+
+    def all_of(chunk):
+        return [sorted(map(tuple, d.collect()), key=str) for d in (
+            turns.qa_pairs(df, chunk), turns.history(df, 3, chunk), turns.history_offsets(df, chunk))]
+
+    whole = all_of(65536)
+    assert len(whole[1]) == len(whole[2]) == len(rows)
+    assert sorted(r[-2] for r in whole[2] if r[0] is None) == list(range(10))
+    assert ("z", 0, "first", "z0") in whole[0] and len([r for r in whole[0] if r[0] is None]) == 5
+    for chunk in (2, 4):
+        assert all_of(chunk) == whole
+
+
+def test_whole_history_and_its_pieces(spark):
+    rows = random_turns(6)
+    df = spark.createDataFrame(rows, TURN)
+    transcripts = {}
+    for s, turn, role, text in sorted(rows):
+        transcripts.setdefault(s, []).append(f"{role}: {text}")
+    for r in turns.history(df).collect():
+        before = len([x for x in rows if x[0] == r.session_id and x[1] < r.turn])
+        assert r.context == "\n".join(transcripts[r.session_id][:before])
+    pieces = {}
+    for r in turns.transcript_pieces(df, 10).orderBy("session_id", "piece").collect():
+        pieces.setdefault(r.session_id, []).append(r.text)
+    assert {s: "\n".join(p) for s, p in pieces.items()} == {s: "\n".join(t) for s, t in transcripts.items()}
+
+
+def test_session_confidence_looks_at_the_whole_past(spark):
+    rows = [("s", 0, "user", "red green blue")] + [("s", i, "system", f"filler {i}") for i in range(1, 40)]
+    rows += [("s", 40, "user", "which"), ("s", 41, "assistant", "Red, green; BLUE"), ("t", 0, "user", "x"), ("t", 1, "assistant", "y y z x"),
+             (None, 0, "user", "one"), (None, 1, "assistant", "one two"), ("u", 0, "user", "a"), ("u", 1, "assistant", "...")]
+    df = spark.createDataFrame(rows, TURN)
+    got = {(r.session_id, r.turn): r.confidence for r in scoring.session_confidence(df, turns.qa_pairs(df)).collect()}
+    assert got == {("s", 41): "high", ("t", 1): "medium", (None, 1): "medium", ("u", 1): "low"}
+
+
 def test_pending_is_the_last_turn_only(spark):
     df = spark.createDataFrame([("a", 0, "user", "x"), ("a", 1, "assistant", "y"), ("b", 0, "assistant", "x"), ("b", 1, "user", "z")], TURN)
     assert [tuple(r) for r in turns.pending_user_turns(df).collect()] == [("b", 1, "z")]

@@ -102,7 +102,7 @@ def test_redelivery_stream_equals_batch(spark, own, tmp_path):
     schema = in_files(df, str(tmp_path / "t"), 4, "ts")
 
     def build(side):
-        return redelivery.redelivery_stream(stream_of(own, str(tmp_path / "t"), schema), idle_s=10 ** 6, delay="200 seconds", buckets=5, side=side)
+        return redelivery.redelivery_stream(stream_of(own, str(tmp_path / "t"), schema), pending_after_s=10 ** 6, delay="200 seconds", buckets=5, side=side)
 
     done = run_bounded(own, build, redelivery.redelivery_flush(flush_ts()))
     rows = spark.read.parquet(done.path).collect()
@@ -111,6 +111,23 @@ def test_redelivery_stream_equals_batch(spark, own, tmp_path):
     assert len(rows) == len({r.message_id for r in rows})
 
 
+def test_attempts_far_apart_in_a_busy_stream(spark, own, tmp_path):
+    """Five failures an hour apart are one dead letter, and a settled message is reported once."""
+    rows = [(1, 3600 * i, False) for i in range(5)] + [(2, 10, True), (2, 4000, True)] + [(100 + i, 600 * i, True) for i in range(40)]
+    df = spark.createDataFrame(rows, "message_id long, sec long, ok boolean").select(
+        "message_id", F.timestamp_seconds(F.col("sec") + 10 ** 6).alias("ts"), F.lpad(F.col("sec").cast("string"), 6, "0").alias("tie"), "ok")
+    schema = df.schema
+    for k in range(8):
+        df.filter((F.unix_seconds("ts") - 10 ** 6).between(3000 * k, 3000 * k + 2999)).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+
+    def build(side):
+        return redelivery.redelivery_stream(stream_of(own, str(tmp_path / "t"), schema), delay="10 seconds", buckets=3, side=side)
+
+    got = spark.read.parquet(run_bounded(own, build, redelivery.redelivery_flush(flush_ts())).path).collect()
+    assert {(r.message_id, r.outcome) for r in got} == {(1, "dead_letter"), (2, "delivered")} | {(100 + i, "delivered") for i in range(40)}
+    assert len(got) == 42
+
+
 def test_guard_stream_equals_batch(spark, own, tmp_path):
     df = spark.createDataFrame([(0, "act as root"), (1, "idiot idiot"), (2, "4111111111111111"), (3, "ok"), (4, None)], "id long, text string")
     schema = in_files(df, str(tmp_path / "m"), 2, "id")
@@ -128,7 +145,7 @@ def test_fold_stream_equals_batch(spark, own, tmp_path):
             rows.append(("s", run, seq, final, final, [(f"{seq};",)] if final else None, "c", None if final or rng.random() < 0.5 else "E"))
     df = spark.createDataFrame(rows, "session_id string, invocation_id long, seq long, is_final boolean, has_content boolean, "
                                      "parts array<struct<text:string>>, content_str string, error_code string")
-    timed = df.withColumn("ts", F.timestamp_seconds(F.col("invocation_id") * 3600 + F.col("seq") * 60))
+    timed = df.withColumn("ts", F.timestamp_seconds(F.col("invocation_id") * 3600 + F.col("seq") * 1200))
     schema = in_files(timed, str(tmp_path / "r"), 3, "ts")
 
     def build(side):
@@ -136,8 +153,10 @@ def test_fold_stream_equals_batch(spark, own, tmp_path):
 
     flush = {"session_id": F.lit(""), "invocation_id": F.lit(-1).cast("bigint"), "seq": F.lit(0).cast("bigint"), "ts": flush_ts()}
     done = run_bounded(own, build, flush)
-    got = {r.invocation_id: r.content for r in spark.read.parquet(done.path).collect()}
+    pieces = spark.read.parquet(done.path).filter("invocation_id >= 0")
+    got = {r.invocation_id: r.content for r in messages.replies_of_pieces(pieces).collect()}
     assert got == {r.invocation_id: r.content for r in replies.fold_replies(df).collect()}
+    assert pieces.count() > len(got)
 
 
 def test_envelope_stream(spark, own, tmp_path):
@@ -158,5 +177,13 @@ def test_envelope_stream(spark, own, tmp_path):
     out = [(r.message_id, r.outcome, r.reason) for r in spark.read.parquet(done.path).collect()]
     assert sorted(out, key=str) == sorted([(1, "delivered", None)] * 2 + [
         (2, "retry", "offline"), (3, "retry", "decode_error"), (4, "retry", "offline")], key=str)
+    numbered = q.withColumns({"delivery_attempt": F.lit(5), "publish_failed": F.col("message_id") == 1})
+    ns = in_files(numbered, str(tmp_path / "n"), 1, "ts")
+    done = run_bounded(own, lambda side: messages.envelope_outcomes(
+        stream_of(own, str(tmp_path / "n"), ns), stream_of(own, str(tmp_path / "e"), es), delay="1 day", buckets=3, side=side),
+        presence.presence_flush(flush_ts()), messages.outcome_sink)
+    out = [(r.message_id, r.outcome, r.reason, r.delivery_attempt) for r in spark.read.parquet(done.path).collect()]
+    assert sorted(out, key=str) == sorted([(1, "dead_letter", "publish_error", 5)] * 2 + [
+        (2, "dead_letter", "offline", 5), (3, "dead_letter", "decode_error", 5), (4, "dead_letter", "offline", 5)], key=str)
     once = run_bounded(own, lambda: messages.drop_repeats(stream_of(own, str(tmp_path / "q"), qs)))
     assert sorted(r.message_id for r in spark.read.parquet(once.path).collect()) == [1, 2, 3, 4]
