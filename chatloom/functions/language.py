@@ -36,8 +36,3 @@ def detect_language(col, stop_words=None):
         return F.when(F.array_max(counts) > 0, F.element_at(codes, at)).otherwise(UNDETERMINED)
 
     return F.coalesce(bound(evidence(col, stop_words), best), F.lit(UNDETERMINED))
-
-
-def decoded(col):
-    """Text of a binary column; detection and translation accept bytes."""
-    return F.decode(col, "utf-8")

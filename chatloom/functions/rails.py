@@ -19,7 +19,7 @@ REFUSAL_TEXT = ("I'm designed to follow my instructions carefully. "
 PROFANITY_CATEGORY = "Profanity"
 PROFANITY_THRESHOLD = 0.5
 
-# Role changes and instruction resets that the policy names.
+# Role changes and instruction resets that the policy names; the third is quoted from it, a fixed value.
 JAILBREAK_RULES = [
     "act as",
     "you are",
@@ -159,18 +159,6 @@ class DeidentifyRail(GuardRail):
         return modifies(may_hold(text, self.info_types) & (changed != text), changed)
 
 
-class CategoriesRail(GuardRail):
-    """Profanity decision over a categories column that was computed before."""
-
-    name = "categories"
-
-    def __init__(self, categories, threshold=PROFANITY_THRESHOLD):
-        self.column, self.threshold = categories, threshold
-
-    def process(self, text):
-        return blocks(category_confidence(self.column) > self.threshold, PROFANITY_REASON)
-
-
 def chain(text, outcomes):
     """Merge outcomes that all saw the same text.
 

@@ -372,6 +372,12 @@ def w4_delivery_attempts(spark, d):
     return delivery.delivery_attempts(fx.view(spark, d, "attempts"), ATTEMPT_ORDER)
 
 
+@query
+def w4_publish_retry(spark, d):
+    tried = delivery.delivery_attempts(fx.view(spark, d, "attempts"), ATTEMPT_ORDER, 8, delivery.PUBLISH_RETRY)
+    return tried.withColumn("next_delay_s", F.round("next_delay_s", 6))
+
+
 @query
 def w5_presence_intervals(spark, d):
     return _intervals(spark, d)

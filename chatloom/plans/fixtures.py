@@ -111,6 +111,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
+BATCH_BYTES = 256 * 1024 * 1024  # of a stream's micro-batch
+
 _schemas = {}
 
 
@@ -123,9 +125,9 @@ def table(spark, sf_dir, name):
 
 
 def stream(spark, sf_dir, name):
-    """A table as a bounded stream. The pattern fits a single file and a folder of files."""
+    """A table as a bounded stream, so many bytes a micro-batch. The pattern fits a single file and a folder of files."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _source(sql):

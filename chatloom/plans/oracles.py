@@ -325,6 +325,8 @@ def oracle_sql():
         min(turn) AS first_turn, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text
         FROM long_turns GROUP BY ALL"""
     sql["w4_delivery_attempts"] = ATTEMPTS
+    sql["w4_publish_retry"] = ATTEMPTS.replace("attempt_no <= 5", "attempt_no <= 8").replace("n >= 5", "n >= 8").replace(
+        "n < 5 THEN least(300.0::DOUBLE, 10.0 * pow(2.0, n - 1))", "n < 8 THEN round(least(60.0::DOUBLE, 0.1 * pow(1.3, n - 1)), 6)")
     sql["w5_presence_intervals"] = f"""{cte('presence_events')}, {INTERVALS}
         SELECT session_id, connection_id, start_ts, end_ts FROM intervals"""
     sql["t3_sliding_presence_batch"] = GAPS

@@ -2,8 +2,6 @@
 
 from pyspark.sql import types as T
 
-PART = T.StructType([T.StructField("text", T.StringType())])
-
 CHAT_REQUEST = T.StructType([
     T.StructField("request_id", T.LongType()),
     T.StructField("user_id", T.StringType()),
@@ -22,30 +20,3 @@ ENVELOPE = T.StructType([
     ])),
     T.StructField("subscription", T.StringType()),
 ])
-
-REPLY = T.StructType([
-    T.StructField("sender", T.StringType()),
-    T.StructField("content", T.StringType()),
-])
-
-GUARD_RESULT = T.StructType([
-    T.StructField("is_blocked", T.BooleanType()),
-    T.StructField("blocked_reason", T.StringType()),
-    T.StructField("modified_text", T.StringType()),
-])
-
-CATEGORIES = T.ArrayType(T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-]))
-
-AGENT_EVENT = T.StructType([
-    T.StructField("session_id", T.StringType()),
-    T.StructField("invocation_id", T.LongType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("is_final", T.BooleanType()),
-    T.StructField("has_content", T.BooleanType()),
-    T.StructField("parts", T.ArrayType(PART)),
-    T.StructField("content_str", T.StringType()),
-    T.StructField("error_code", T.StringType()),
-])

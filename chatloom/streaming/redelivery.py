@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from chatloom.operators.delivery import MAX_ATTEMPTS, PUSH_RETRY, outcome_columns
-from chatloom.streaming.presence import bucket_count
 
+BUCKETS_PER_PARTITION = 16  # state groups per shuffle partition; a bucket keeps the counts of its open messages
 RETENTION_S = 7 * 86400  # how long a settled message is remembered; far beyond the longest delay of a policy
 
 _STATE_SCHEMA = ("message array<long>, n array<long>, settled array<boolean>, last_us array<long>, "
@@ -114,7 +114,8 @@ def redelivery_stream(attempts, max_attempts=MAX_ATTEMPTS, policy=PUSH_RETRY, re
     if side is not None:
         rows = rows.unionByName(side)
     combined = rows.mapInPandas(_first_attempts(max_attempts), rows.schema)
-    keyed = combined.withColumn("bucket", F.pmod(F.xxhash64("message_id"), F.lit(buckets or bucket_count(rows))))
+    buckets = buckets or BUCKETS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = combined.withColumn("bucket", F.pmod(F.xxhash64("message_id"), F.lit(buckets)))
     counted = (keyed.withWatermark("ts", delay).groupBy("bucket")
                .applyInPandasWithState(_track(max_attempts, int(retention_s * 1_000_000), pending_us), _OUT_SCHEMA, _STATE_SCHEMA, "append",
                                        GroupStateTimeout.EventTimeTimeout))

@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin at the smallest scale, and the shape of its plan."""
 
+import re
+
 import pytest
 
 from __spark_entry__ import entry
@@ -35,6 +37,8 @@ def test_query_equals_twin(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
 def test_plan_has_no_cross_join_and_no_global_window(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # A sum over a table meets in one place as one row per task.
+    plan = re.sub(r"Exchange SinglePartition(?=[^\n]*\n[^\n]*Aggregate\(keys=\[\], functions=\[partial_)", "", plan)
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Exchange SinglePartition", "BatchEvalPython"):
         assert bad not in plan
     # Spread tables come in once per reference, and only needed columns are read.

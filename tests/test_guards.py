@@ -71,7 +71,7 @@ def test_one_hit_passes_and_two_block(spark):
 def test_last_of_repeated_categories_counts(spark):
     df = spark.sql("SELECT 0 AS id, array(named_struct('name', 'Profanity', 'confidence', 0.9D), "
                    "named_struct('name', 'Profanity', 'confidence', 0.1D)) AS categories, '' AS text")
-    outcome = rails.CategoriesRail(F.col("categories")).process(F.col("text"))
+    outcome = rails.ProfanityRail(categories=lambda text: F.col("categories")).process(F.col("text"))
     assert df.select(outcome.is_blocked).first()[0] is False
 
 
