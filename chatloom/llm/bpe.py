@@ -125,6 +125,24 @@ def _bytes(coder, ids):
         return None
 
 
+def round_trip(docs, rank_file, pattern, id_col="doc_id", text_col="text"):
+    """``encode`` and ``decode`` in one pass: id column, ``n_tokens``, ``ids``, ``decoded``.
+
+    One worker holds the vocabulary for both, where the two in a row need a worker each.
+    """
+    def run(batches):
+        coder = encoding(rank_file, pattern)
+        for part in slices(batches, 1, BLOCK_BYTES // 2):
+            found = [encode_text(coder, t or "").astype("<u4").tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary()),
+                 pa.array([_bytes(coder, x) for x in found], pa.binary())], [id_col, "n_tokens", "ids", "decoded"])
+
+    source = docs.select(F.col(id_col), F.col(text_col))
+    kind = source.schema[id_col].dataType.simpleString()
+    return source.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary, decoded binary")
+
+
 def digests(tokens):
     """``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of encoded and decoded rows."""
     return tokens.select(

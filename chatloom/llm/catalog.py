@@ -19,8 +19,7 @@ def query(fn):
 @query
 def op1_byte_bpe(spark, d):
     """Encode every document, decode the ids, and give digests of both."""
-    ids = bpe.encode(table(spark, d, "documents"), RANK_FILE, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(ids, RANK_FILE, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.round_trip(table(spark, d, "documents"), RANK_FILE, public_tokenizers.PATTERN))
 
 
 @query

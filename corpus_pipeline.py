@@ -48,8 +48,7 @@ def source_mix(spark, docs, sf_dir):
 
 def token_ids(spark, docs, sf_dir):
     """Token ids of every row: ``doc_id``, ``n_tokens``, digests of the ids and of the decoded bytes."""
-    ids = bpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(ids, RANK_FILE, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.round_trip(docs, RANK_FILE, public_tokenizers.PATTERN))
 
 
 STAGES = [

@@ -55,7 +55,9 @@ def test_nulls_repeats_extra_columns_and_empty_tables(spark, coder):
     got = sorted(map(tuple, bpe.decode(ids, RANK_FILE, PATTERN).drop("ids").collect()), key=str)
     n = len(coder.encode_ordinary("Hello"))
     assert got == sorted([(1, 0, b""), (1, n, b"Hello"), (2, 0, b""), (2, 0, b""), (None, n, b"Hello")], key=str)
-    assert bpe.encode(docs.limit(0), RANK_FILE, PATTERN).count() == 0
+    at_once = bpe.round_trip(docs, RANK_FILE, PATTERN).select("doc_id", "n_tokens", "decoded")
+    assert sorted(map(tuple, at_once.collect()), key=str) == got
+    assert bpe.encode(docs.limit(0), RANK_FILE, PATTERN).count() == bpe.round_trip(docs.limit(0), RANK_FILE, PATTERN).count() == 0
     odd = ids.limit(1).select(F.lit(b"\xff\xff\xff\xff").alias("ids")).union(ids.limit(1).select(F.lit(b"abc")))
     assert [r.decoded for r in bpe.decode(odd, RANK_FILE, PATTERN).collect()] == [None, None]
 
