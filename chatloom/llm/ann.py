@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chatloom.llm.columns import with_checkpoints
+
 #: Number of curves, directions of each, and bits of a direction.
 CURVES, DIRECTIONS, BITS = 8, 8, 6
 #: Queries compared with all rows to measure the window, chosen by a digest of their id.
@@ -211,7 +213,7 @@ def nearest(vectors, k=20, every=20, id_col="vec_id", vector_col="embedding"):
     row that is repeated counts once. Other columns are not read.
     """
     spark = vectors.sparkSession
-    rows, size = valid(vectors, id_col, vector_col)
+    rows, size = valid(with_checkpoints(vectors), id_col, vector_col)
     result = "query_id bigint, rank int, vec_id bigint, score double"
     if not size:
         return spark.createDataFrame([], result)

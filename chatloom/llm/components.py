@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from chatloom.llm.columns import with_checkpoints
+
 
 def _star(edges, small):
     """One pass: every node sends its smallest neighbour to (large) greater or (small) not greater neighbours.
@@ -27,7 +29,7 @@ def components(edges, most_rounds=60):
     without a link to another node are not in the result.
     """
     low, high = F.least("u", "v"), F.greatest("u", "v")
-    edges = edges.select(high.alias("u"), low.alias("v")).where("u <> v").distinct().checkpoint()
+    edges = with_checkpoints(edges).select(high.alias("u"), low.alias("v")).where("u <> v").distinct().checkpoint()
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         after = _star(_star(both, small=False), small=True).checkpoint()

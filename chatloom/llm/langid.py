@@ -5,10 +5,9 @@ probabilities (languages x buckets) has a fixed number of buckets and is broadca
 check of its size; texts are scored in batches as sparse rows of bucket numbers.
 """
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import functions as F
 
 from chatloom.llm.columns import row_sums, slices
@@ -25,7 +24,7 @@ MAX_LANGUAGES = 512
 BLOCK_BYTES = 2 << 20
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 

@@ -14,6 +14,8 @@ and per block one of sums; these are joined back, so a large source is never gat
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chatloom.llm.columns import with_checkpoints
+
 #: Halvings of the exponent's interval.
 BISECTIONS = 40
 #: Weights are rounded to this many parts, so that equal inputs give equal budgets anywhere.
@@ -138,7 +140,7 @@ def mix_sources(docs, budget=None, most_entropy=None, most_repeats=4.0, carry=Fa
         return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"),
                            token_count(text_col).alias("n_tokens"), *more)
 
-    light = counted().checkpoint()
+    light = with_checkpoints(counted()).checkpoint()
     mix = weights(source_totals(light), budget, most_entropy, most_repeats).checkpoint()
     rows = counted(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if carry else light
     return realised(rows, light, mix)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from chatloom.llm.columns import slices, utf8
+from chatloom.llm.columns import slices, utf8, with_checkpoints
 from chatloom.llm.components import components
 from chatloom.llm.shingles import mix, shingle_sets
 
@@ -267,7 +267,7 @@ def near_duplicates(docs, width=5, percent=80, id_col="doc_id", text_col="text")
     without an id takes no part: null ``component_id``, kept. Other columns are not read.
     """
     plan = Plan(width, percent)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = with_checkpoints(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     drawn = sketches(docs, plan).checkpoint()
     classes = drawn.where("fa is not null and id is not null").groupBy("fa", "fb").agg(
         F.min("id").alias("id"), F.min_by("sig", "id").alias("sig"), F.first("n_shingles").alias("n_shingles")).checkpoint()

@@ -13,6 +13,8 @@ from collections import namedtuple
 
 from pyspark.sql import functions as F
 
+from chatloom.llm.columns import with_checkpoints
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Words of letters, with marks around them.
@@ -180,7 +182,7 @@ def judge(docs, id_col="doc_id", text_col="text", rules=RULES):
     gives an empty result.
     """
     names = [f"vote_{r.name}" for r in rules]
-    rows = measures(docs, id_col, text_col).withColumns(
+    rows = measures(with_checkpoints(docs), id_col, text_col).withColumns(
         {"base_failed": base_failed(), **{n: vote(r) for n, r in zip(names, rules)}}).checkpoint()
     model = fit(rows, names)
     return rows.withColumn("quality", posterior(model, names)).withColumn(
