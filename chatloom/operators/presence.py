@@ -90,6 +90,11 @@ def presence_gate(arrivals, intervals, slot_s=TTL_S):
     return flagged.filter("online").drop("online"), flagged.filter("NOT online").drop("online")
 
 
+def write_gate(arrivals, intervals, path, slot_s=TTL_S, mode="append"):
+    """Write all arrivals once, in one folder for ``online`` true and one for false."""
+    with_online(arrivals, intervals, slot_s).write.mode(mode).partitionBy("online").parquet(path)
+
+
 def gap_sessions(arrivals, gap_s=SLIDING_TTL_S, slot_s=3600):
     """Online spans when every message keeps its session online for ``gap_s`` seconds.
 

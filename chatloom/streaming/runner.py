@@ -41,6 +41,16 @@ class Finished:
     path: str
     dropped_late: int
 
+    def delete(self, spark):
+        """Remove the rows, once they have been read."""
+        _delete(spark, self.path)
+
+
+def _delete(spark, path):
+    """Remove a folder that a bounded run has made."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
 
 class LateRows(StreamingQueryListener):
     """Adds up the rows that a query's operators dropped as late, over all of its progress reports."""
@@ -93,13 +103,16 @@ def run_bounded(spark, build, flush_row=None, foreach_batch=None):
     future. It must not come before the end of the input, so it is put into a side
     folder of its own after the first run, and the same query is run once more.
     ``build`` gets the side stream, with the columns of ``flush_row``, to unite with
-    its input; without a ``flush_row`` it gets nothing and runs once.
+    its input; without a ``flush_row`` it gets nothing and runs once. Checkpoint and side
+    folder are removed at the end; the rows stay until ``Finished.delete``.
     """
     root = shared_folder(spark, "stream")
     path, checkpoint, side = f"{root}/out", f"{root}/checkpoint", f"{root}/flush"
     sink = None if foreach_batch is None else foreach_batch(path)
     if flush_row is None:
-        return Finished(path, run_available(build(), path, checkpoint, sink))
+        done = Finished(path, run_available(build(), path, checkpoint, sink))
+        _delete(spark, checkpoint)
+        return done
     row = spark.range(1).select(*[c.alias(n) for n, c in flush_row.items()])
     row.limit(0).write.parquet(side)
 
@@ -108,7 +121,10 @@ def run_bounded(spark, build, flush_row=None, foreach_batch=None):
 
     late = start()
     row.write.mode("append").parquet(side)
-    return Finished(path, late + start())
+    done = Finished(path, late + start())
+    _delete(spark, checkpoint)
+    _delete(spark, side)
+    return done
 
 
 def flush_ts():

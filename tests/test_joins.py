@@ -205,3 +205,9 @@ def test_report_levels(spark):
 def test_ngrams_of_words_are_used_for_leakage(spark):
     df = spark.createDataFrame([("A, b C d",)], "text string")
     assert df.select(ngrams(words(F.col("text")), 4).alias("g")).first().g == ["a b c d"]
+
+
+def test_gate_is_written_once(spark, tmp_path):
+    arrivals, events = arrival_table(spark, [(0, "a", 5), (1, "a", 9000), (2, None, 5)]), event_table(spark, [(0, "a", 0, "connect")])
+    presence.write_gate(arrivals, presence.presence_intervals(events), str(tmp_path / "gate"))
+    assert {(r.message_id, r.online) for r in spark.read.parquet(str(tmp_path / "gate")).collect()} == {(0, "true"), (1, "false"), (2, "false")}

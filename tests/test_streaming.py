@@ -1,5 +1,6 @@
 """Streams over several files, some out of order, against their batch twins."""
 
+import os
 import random
 
 import pytest
@@ -187,3 +188,7 @@ def test_envelope_stream(spark, own, tmp_path):
         (2, "dead_letter", "offline", 5), (3, "dead_letter", "decode_error", 5), (4, "dead_letter", "offline", 5)], key=str)
     once = run_bounded(own, lambda: messages.drop_repeats(stream_of(own, str(tmp_path / "q"), qs)))
     assert sorted(r.message_id for r in spark.read.parquet(once.path).collect()) == [1, 2, 3, 4]
+    root = once.path.removeprefix("file:").rsplit("/", 1)[0]
+    assert os.listdir(root) == ["out"]
+    once.delete(spark)
+    assert os.listdir(root) == []
