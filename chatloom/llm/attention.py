@@ -82,24 +82,25 @@ def forward(p, inputs):
     return hidden, (x, q, k, v, scores, mixed)
 
 
-def class_logs(p, hidden):
-    """Log probabilities of the output classes for hidden vectors."""
-    logits = hidden @ p["out"]
-    logits += p["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def probabilities(p, hidden):
+    """Probabilities of the output classes for hidden vectors."""
+    out = hidden @ p["out"]
+    out += p["bias"]
+    out -= out.max(axis=1, keepdims=True)
+    np.exp(out, out=out)
+    out /= out.sum(axis=1, keepdims=True)
+    return out
 
 
 def gradients(p, inputs, targets, valid):
     """Mean loss over valid positions and its gradients; ``targets`` are output classes."""
     hidden, (x, q, k, v, a, mixed) = forward(p, inputs)
-    logs = class_logs(p, hidden)
-    at, want = np.flatnonzero(valid.ravel()), targets.ravel()
-    n = max(1, len(at))
-    loss = -logs[at, want[at]].sum() / n
-    d = np.exp(logs)
-    d[np.arange(len(d)), want] -= 1
-    d *= (valid.ravel() / n).astype(np.float32)[:, None]
+    d = probabilities(p, hidden)
+    rows, want, counts = np.arange(len(d)), targets.ravel(), valid.ravel()
+    n = max(1, int(counts.sum()))
+    loss = -np.log(np.maximum(d[rows, want][counts], 1e-30)).sum() / n
+    d[rows, want] -= 1
+    d *= (counts / n).astype(d.dtype)[:, None]
     g = {"out": hidden.T @ d, "bias": d.sum(axis=0)}
     dy = d @ p["out"].T
     g["wo"] = mixed.reshape(-1, WIDTH).T @ dy
@@ -114,8 +115,11 @@ def gradients(p, inputs, targets, valid):
         g[w] = flat_x.T @ part
         dx = dx + part @ p[w].T
     g["place"] = dx.reshape(x.shape).sum(axis=0)
+    # Rows of one input class are added up behind one another.
+    order = np.argsort(inputs.ravel(), kind="stable")
+    classes, first = np.unique(inputs.ravel()[order], return_index=True)
     g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], inputs.ravel(), dx)
+    g["embed"][classes] = np.add.reduceat(dx[order], first)
     return loss, g
 
 
@@ -185,33 +189,50 @@ def _exp(x):
     return np.exp(x, out=x)
 
 
-def target_logs(p, inputs, valid, classes):
-    """Log probabilities of the target ``classes`` at the valid positions, with as few passes over memory as it takes."""
-    x = p["embed"][inputs] + p["place"]
-    flat_x = x.reshape(-1, WIDTH)
-    both = (flat_x @ np.concatenate([p["wq"] * np.float32(WIDTH ** -0.5), p["wk"], p["wv"] @ p["wo"]], axis=1)).reshape(*inputs.shape, -1)
-    weights = both[..., :WIDTH] @ both[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
-    _exp(weights)
-    weights *= _SEEN
-    mixed = weights @ both[..., 2 * WIDTH:]
-    mixed /= weights @ _ONES[:WINDOW]
-    hidden = (x + mixed).reshape(-1, WIDTH)[valid.ravel()]
-    logits = hidden @ p["out"]
-    logits += p["bias"]
-    found = logits[np.arange(len(logits)), classes].astype(np.float64)
-    np.clip(found, -BOUND, BOUND, out=found)
-    return found - np.log((_exp(logits) @ _ONES[:OUT_CLASSES])[:, 0])
-
-
-def log_probabilities(p, vocabulary, ids, lengths, batch=64):
+class Scorer:
+    """Log probabilities of windows, with its work space kept from call to call."""
+
+    def __init__(self, p, windows):
+        self.p, self.rows = p, windows * WINDOW
+        self.into = np.concatenate([p["wq"] * np.float32(WIDTH ** -0.5), p["wk"], p["wv"] @ p["wo"]], axis=1)
+        self.x = np.empty((self.rows, WIDTH), np.float32)
+        self.both = np.empty((self.rows, 3 * WIDTH), np.float32)
+        self.weights = np.empty((windows, WINDOW, WINDOW), np.float32)
+        self.logits = np.empty((self.rows, OUT_CLASSES), np.float32)
+
+    def target_logs(self, inputs, valid, classes):
+        """Log probabilities of the target ``classes`` at the valid positions."""
+        p, n = self.p, len(inputs)
+        flat_x, both, weights = self.x[:n * WINDOW], self.both[:n * WINDOW], self.weights[:n]
+        np.take(p["embed"], inputs.ravel(), axis=0, out=flat_x, mode="clip")
+        x = flat_x.reshape(n, WINDOW, WIDTH)
+        x += p["place"]
+        np.matmul(flat_x, self.into, out=both)
+        both = both.reshape(n, WINDOW, -1)
+        np.matmul(both[..., :WIDTH], both[..., WIDTH:2 * WIDTH].transpose(0, 2, 1), out=weights)
+        _exp(weights)
+        weights *= _SEEN
+        mixed = weights @ both[..., 2 * WIDTH:]
+        mixed /= weights @ _ONES[:WINDOW]
+        mixed += x
+        hidden = mixed.reshape(-1, WIDTH)[valid.ravel()]
+        logits = np.matmul(hidden, p["out"], out=self.logits[:len(hidden)])
+        logits += p["bias"]
+        np.clip(logits, -BOUND, BOUND, out=logits)
+        found = logits[np.arange(len(logits)), classes].astype(np.float64)
+        np.exp(logits, out=logits)
+        return found - np.log((logits @ _ONES[:OUT_CLASSES])[:, 0])
+
+
+def log_probabilities(p, vocabulary, ids, lengths, batch=96):
     """Natural log probability of each text of ``lengths`` ids, its end included."""
     laid = Laid(ids, lengths, vocabulary)
     text, first, scored = windows_of(lengths)
-    total = np.zeros(len(lengths))
+    total, scorer = np.zeros(len(lengths)), Scorer(p, batch)
     for row in range(0, len(text), batch):
         own = slice(row, row + batch)
         inputs, targets, valid = laid.windows(text[own], first[own], scored[own])
         want = targets[valid]
-        found = target_logs(p, inputs, valid, vocabulary.out_class[want]) + vocabulary.within[want]
+        found = scorer.target_logs(inputs, valid, vocabulary.out_class[want]) + vocabulary.within[want]
         total += np.bincount(np.repeat(text[own], valid.sum(axis=1)), found, len(lengths))
     return total

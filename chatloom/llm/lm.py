@@ -100,11 +100,9 @@ def _prepared(docs, head, rank_file, pattern):
         run, "doc_id bigint, held_out boolean, n_words bigint, head_sum double, head_known bigint, rare binary, ids binary")
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def _lowered(text):
-    return (text or "").translate(_LOWER)
+    """The text with A-Z in lower case; on bytes, where only these letters change."""
+    return (text or "").encode().lower().decode()
 
 
 def _blocks(batches, kind, columns):
