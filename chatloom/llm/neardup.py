@@ -26,6 +26,8 @@ from chatloom.llm.shingles import mix, shingle_sets
 BLOCK_BYTES = 2 << 20
 #: Sets that are compared as one block: so many, or so many shingles together.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 21
+#: Most ids that are broadcast, 16 bytes each.
+BROADCAST_IDS = 1 << 21
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
 #: A pair at the similarity limit is missed by all bands with at most this probability.
@@ -130,6 +132,15 @@ def _agreeing(pairs, classes, plan):
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _counted(ids):
+    """Ids, written and counted, and marked for broadcast while they are at most ``BROADCAST_IDS``.
+
+    Then the texts that are joined with them need not be shuffled; beyond, they are.
+    """
+    ids = ids.checkpoint()
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _items(docs, ids, plan):
     """The full sets of the documents named in ``ids``: ``id``, ``items``, a row for each id."""
     def sets(batches):
@@ -137,7 +148,7 @@ def _items(docs, ids, plan):
             yield pa.RecordBatch.from_arrays(
                 [found_ids, pa.array([s.tobytes() for s in found], pa.binary())], ["id", "items"])
 
-    rows = docs.join(ids.distinct(), "id", "left_semi").select("id", "text").mapInArrow(sets, "id bigint, items binary")
+    rows = docs.join(_counted(ids.distinct()), "id", "left_semi").select("id", "text").mapInArrow(sets, "id bigint, items binary")
     return rows.dropDuplicates(["id"])
 
 
@@ -295,6 +306,9 @@ def deduplicated(docs, width=5, percent=80, id_col="doc_id", text_col="text"):
     it is; rows without an id stay.
     """
     found = near_duplicates(docs, width, percent, id_col, text_col)
-    ids = found.where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    one = docs.join(ids, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ids = found.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_n"))
+    ids = _counted(ids)
+    # Only rows that repeat an id are compared with each other.
+    once = docs.join(ids.where("_n = 1").select(id_col), id_col, "left_semi")
+    more = docs.join(ids.where("_n > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
