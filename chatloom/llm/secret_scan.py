@@ -8,7 +8,8 @@ at a time, so that a step is one array lookup for all of them.
 
 A stretch ends at a byte that sends every state back to the start; no match can contain
 such a byte. A stretch in which a rule is accepted is looked at again with the exact
-patterns, which gives the leftmost, non-overlapping spans.
+patterns, which gives the leftmost, non-overlapping spans. A private key goes on over many
+lines: the automaton finds its first line, the exact pattern then runs on the whole text.
 """
 
 import functools
@@ -26,8 +27,9 @@ BLOCK_BYTES = 4 << 20
 
 #: ``pattern``: what the automaton looks for, the start of what ``exact`` matches up to where
 #: counting characters would only multiply states. ``exact``: spans within a stretch; ``group``
-#: must have ``least`` characters. Kinds are listed in output order.
-Rule = namedtuple("Rule", "kind pattern exact group least")
+#: must have ``least`` characters. ``whole``: spans are looked for in the whole text, as they go
+#: on over the ends of stretches. Kinds are listed in output order.
+Rule = namedtuple("Rule", "kind pattern exact group least whole", defaults=[False])
 
 _WORDS = "(password|passwd|secret|token|api_?key)"
 _ASSIGN = r"""["']?\x20*[:=]\x20*["']?"""
@@ -37,13 +39,23 @@ def _caseless(words):
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
 
 
+_KEY_BEGIN = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: From BEGIN to the END line, whatever stands between, but not over another BEGIN or END.
+_KEY_TO_END = "[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+#: Without an END line: header fields and lines of base64, also with line ends as escapes; a last
+#: line may be short, if it is padded, alone on its line, or at the end of the text.
+_KEY_GAP = r"""(?:[\s>"',#*|]|\\[rn])++"""
+_KEY_LINES = (rf"(?:{_KEY_GAP}[A-Z][A-Za-z]*-[A-Z][A-Za-z]*:[^\r\n\\]*+)*+(?:{_KEY_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++"
+              rf"(?:{_KEY_GAP}(?:[A-Za-z0-9+/]{{1,15}}={{1,2}}|(?:[A-Za-z0-9+/]{{4}}){{1,3}}(?=\s*?(?:\n|\\[rn]|\Z))|[A-Za-z0-9+/]{{1,15}}\Z))?"
+              rf"|{_KEY_GAP}[A-Za-z0-9+/]{{1,15}}\Z")
+
 RULES = (
     Rule("assign", _caseless(_WORDS) + _ASSIGN + "[A-Za-z0-9+/_.=-]",
          _caseless(_WORDS) + _ASSIGN + "([A-Za-z0-9+/_.=-]+)", 2, 12),
     Rule("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", "[0-9a-f]{16}", "[0-9a-f]+", 0, 16),
     # Further kinds of the method. Their shapes are public formats of keys.
-    Rule("key_block", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("key_block", _KEY_BEGIN, f"{_KEY_BEGIN}(?:{_KEY_TO_END}|{_KEY_LINES})?", 0, 1, True),
     Rule("web_token", "eyJ[A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     Rule("forge_token", "gh[oprsu]_[A-Za-z0-9]", "gh[oprsu]_[A-Za-z0-9]{30,}", 0, 1),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
@@ -264,17 +276,21 @@ def spans(texts, rules=RULES):
         return found
     starts, stops, seen = hits(data, at[1:], automaton)
     row_of = np.searchsorted(at, starts, side="right") - 1
-    points = None
+    points, searched = None, set()
     for start, stop, bits, row in sorted(zip(starts.tolist(), stops.tolist(), seen.tolist(), row_of.tolist())):
         if points is None or points[0] != row:
             lead = (data[at[row]:at[row + 1]] & 0xC0) != 0x80
             points = row, np.concatenate([[0], np.cumsum(lead)])
         piece = data[start:stop].tobytes()
         for kind, rule in enumerate(rules):
-            if bits >> kind & 1:
-                for m in exact[kind].finditer(piece):
+            if bits >> kind & 1 and (row, kind) not in searched:
+                lead, where = start - at[row], piece
+                if rule.whole:  # once per text
+                    searched.add((row, kind))
+                    lead, where = 0, data[at[row]:at[row + 1]].tobytes()
+                for m in exact[kind].finditer(where):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        a, b = points[1][start - at[row] + np.array(m.span())].tolist()
+                        a, b = points[1][lead + np.array(m.span())].tolist()
                         found[row].append((a, kind, b))
     return [sorted(f) for f in found]
 

@@ -82,3 +82,27 @@ def test_redaction(spark):
     got = secret_scan.redact(docs)
     assert got.columns == docs.columns
     assert [r.text for r in got.orderBy("doc_id").collect()] == ["a [SECRET], b", None, "clean"]
+
+
+KEY = ["MIIEpAIBAAKCAQEA" + "qW3/+Zb9" * 6, "x7Yk2LmN" * 8, "R5tGh8Jk" * 8, "Pq4sVw=="]
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+
+
+def redacted(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in secret_scan.redact(docs).orderBy("doc_id").collect()]
+
+
+def test_nothing_of_a_private_key_stays(spark):
+    lines = "\n".join(KEY)
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011AABB\n\n"
+    texts = [f"é before\n{BEGIN}\n{body}\n{END}\nafter the key" for body in (lines, lines.replace("\n", "\r\n"), fields + lines, "1: " + lines)]
+    texts += [f"é before\n{(BEGIN + chr(10) + lines + chr(10) + END).replace(chr(10), '%sn' % chr(92))}\nafter the key",
+              f"é before\n{BEGIN}\n{lines}\nafter the key", f"é before\n{BEGIN}\n{fields}{lines}\nafter the key"]
+    assert redacted(spark, texts) == ["é before\n[SECRET]\nafter the key"] * len(texts)
+    cut = f"a {BEGIN}\n{lines}"
+    for length in range(len(f"a {BEGIN}\n"), len(cut) + 1):  # a text that ends within the key
+        assert [(a, b) for a, k, b in secret_scan.spans(pa.array([cut[:length]]))[0] if k == 3] == [(2, len(cut[:length].rstrip()))]
+    two = f"{BEGIN}\n{lines}\n{END}\nbetween\n{BEGIN}\n{lines}\n{END}"
+    assert redacted(spark, [two, f"The line {BEGIN} begins a key.", f"{BEGIN}\n{lines}\n\n{two}"]) == [
+        "[SECRET]\nbetween\n[SECRET]", "The line [SECRET] begins a key.", "[SECRET]\n\n[SECRET]\nbetween\n[SECRET]"]
