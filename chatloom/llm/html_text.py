@@ -74,7 +74,7 @@ _SPACE = re.compile(r"[ \t\n\r\f\v\xa0\s]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _HEADING = re.compile(r"h[1-6]$")
 
-#: ``aside``: within a region that is no main text; ``main``: within an article or main element.
+#: ``aside``: within a region that is no main text; ``main``: number of the outermost article or main element around it, or 0.
 Block = namedtuple("Block", "text heading links aside main")
 
 
@@ -100,7 +100,7 @@ class _Reader:
     def __init__(self):
         self.blocks, self.open = [], []
         self.parts, self.linked = [], 0
-        self.asides = self.mains = self.anchors = 0
+        self.asides = self.mains = self.anchors = self.main = 0
         self.heading = False
 
     def text(self, data):
@@ -113,7 +113,7 @@ class _Reader:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append(Block(text, self.heading, self.linked, self.asides > 0, self.mains > 0))
+                self.blocks.append(Block(text, self.heading, self.linked, self.asides > 0, self.main if self.mains else 0))
         self.parts, self.linked = [], 0
 
     def start(self, name, attributes):
@@ -134,6 +134,7 @@ class _Reader:
         aside = name in ASIDE or name not in UNMARKED and bool(attributes.strip()) and _marked(attributes)
         self.open.append((name, aside))
         self.asides += aside
+        self.main += name in MAIN and not self.mains
         self.mains += name in MAIN
         self.anchors += name == "a"
         self.heading = self.heading or bool(_HEADING.match(name))
@@ -207,46 +208,74 @@ def first_pass(block):
         return BAD
     if len(block.text) < SHORT:
         return BAD if block.links and not block.main else SHORT_BLOCK
-    words = [w.lower() for w in _WORD.findall(block.text)]
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    stops = _stops(block)
     if stops >= MANY_STOPS:
-        return GOOD if len(block.text) > LONG or block.main else NEAR
+        return GOOD if len(block.text) > LONG else NEAR
     if stops >= FEW_STOPS:
         return NEAR
-    # Without function words it may be a list or a table; inside an article that is still text.
+    # Without function words it may be a list or a table; inside an article its neighbours decide.
     return NEAR if block.main else BAD
 
 
+def _stops(block):
+    """Share of stop words among the words of a block."""
+    words = [w.lower() for w in _WORD.findall(block.text)]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _with_prose(found, first):
+    """Numbers of the article and main elements that hold more prose than one short block has."""
+    prose = {}
+    for b, k in zip(found, first):
+        if b.main and k in (GOOD, NEAR) and _stops(b) >= MANY_STOPS:
+            prose[b.main] = prose.get(b.main, 0) + len(b.text)
+    return {number for number, length in prose.items() if length > LONG}
+
+
 def labels(found):
     """Whether each block is main text.
 
     Undecided blocks take the label of the nearest decided block: with good on both sides
     good, with bad on both sides bad, and between them that of the nearer one, good when
-    both are equally near. An article or main element names the place of the text: its
-    own blocks count as good neighbours and nothing outside of it is text. Without any
-    decided block, or any good one, the undecided ones are the text.
+    both are equally near. An article or main element with prose is evidence: its undecided
+    blocks have their neighbours within it, not among its marked regions, and are text
+    where it has none; undecided blocks outside need good prose outside. Without any good
+    block, the undecided ones are the text, those of article and main elements first.
     """
     first = [first_pass(b) for b in found]
-    has_main = any(b.main and k != BAD for b, k in zip(found, first))
-    if has_main:  # an article names its place: outside of it nothing is main text
-        return [b.main and k != BAD for b, k in zip(found, first)]
-    if not any(k in (GOOD, BAD) for k in first):
-        return [True] * len(found)
+    trusted = _with_prose(found, first)
+    if not trusted and GOOD not in first:  # nothing reads as prose: undecided blocks are all there is
+        inside = any(b.main and k != BAD for b, k in zip(found, first))
+        return [k != BAD and (b.main > 0 or not inside) for b, k in zip(found, first)]
+    out, places = [False] * len(found), {}
+    for i, b in enumerate(found):
+        if b.main not in trusted:
+            places.setdefault(0, []).append(i)
+        elif not b.aside:
+            places.setdefault(b.main, []).append(i)
+    for number, own in places.items():
+        for i, keep in zip(own, _second_pass([first[i] for i in own], number > 0)):
+            out[i] = keep
+    return out
+
+
+def _second_pass(first, is_main):
+    """Whether each block of one place is text, by its own label or that of its decided neighbours."""
+    if GOOD not in first:
+        return [is_main and k != BAD for k in first]
     decided = [k if k in (GOOD, BAD) else None for k in first]
     left, last = [], (None, None)
     for i, k in enumerate(decided):
         last = (k, i) if k else last
         left.append(last)
-    right, last = [None] * len(found), (None, None)
-    for i in range(len(found) - 1, -1, -1):
+    right, last = [None] * len(first), (None, None)
+    for i in range(len(first) - 1, -1, -1):
         last = (decided[i], i) if decided[i] else last
         right[i] = last
-    if GOOD not in decided:  # nothing reads as prose: near-good blocks are all there is
-        return [k in (NEAR, SHORT_BLOCK) for k in first]
     out = []
-    for i, k in enumerate(first):
+    for i in range(len(first)):
         if decided[i]:
-            out.append(k == GOOD)
+            out.append(decided[i] == GOOD)
             continue
         (a, x), (b, y) = left[i], right[i]
         if a == b or b is None or a is None:

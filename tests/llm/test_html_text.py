@@ -81,3 +81,23 @@ def test_edge_cases(spark):
     want = "\n".join(f"{line(PROSE)} {i}" for i in range(3000))
     assert got == sorted([(1, None, "", 0), (2, "u", "", 0), (3, "u", want, len(want)), (3, "u", want, len(want)), (None, "v", "x", 1)], key=str)
     assert extract(pages.limit(0)).count() == 0
+
+
+TEASERS = "".join(f"<article class=card><h2><a href=/{i}>Another story of the day</a></h2><p>What the birds did in garden {i}.</p>"
+                  f"<a href=/{i}>Read the whole story</a></article>" for i in range(4))
+
+
+@pytest.mark.parametrize("body", [
+    f"{TEASERS}<div class=content>{ARTICLE}</div>{TEASERS}", f"<div class=content>{ARTICLE}</div><div>{TEASERS}</div>",
+    f"<article><p>{PROSE}</p><p>Short one.</p></article><div class=more><p>{OTHER}</p></div>",
+    f"<main><p>{PROSE}</p><p>Short one.</p><p>{OTHER}</p>{TEASERS}</main>"])
+def test_good_prose_beside_an_article_stays_and_teasers_go(body):
+    got = main_text(f"<body><nav><a href=/>Home of the page</a></nav>{body}</body>").split("\n")
+    assert [x for x in got if x != "A title"] == [line(PROSE), "Short one.", line(OTHER)]
+
+
+def test_an_article_of_paragraphs_that_are_not_long():
+    near = "The garden was full of flowers and it was on the hill that is by the river."
+    links = "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(4))
+    page = f"<ul>{links}</ul><article><h1>A title</h1>{f'<p>{near}</p>' * 5}</article><ul>{links}</ul><div>{PROSE}</div>"
+    assert main_text(page) == "\n".join(["A title", *[near] * 5, line(PROSE)])
