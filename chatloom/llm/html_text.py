@@ -58,6 +58,10 @@ share sharing social comment comments commentlist disqus reply replies respond d
 modal popup overlay newsletter subscribe subscription signup login search footer header masthead toolbar widget widgets copyright disclaimer
 contentinfo form dialog hidden
 """.split())
+#: Marks of texts by readers, which may be longer than the page's own.
+READERS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: A mark beside other words is overruled where its regions hold more than this share of the page's good text.
+MOST = 0.5
 #: First words that say something about a region's surroundings.
 _ABOUT = frozenset("has with without no is".split())
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -74,34 +78,35 @@ _SPACE = re.compile(r"[ \t\n\r\f\v\xa0\s]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _HEADING = re.compile(r"h[1-6]$")
 
-#: ``aside``: within a region that is no main text; ``main``: number of the outermost article or main element around it, or 0.
-Block = namedtuple("Block", "text heading links aside main")
+#: ``aside``: within a hidden region or one whose element is no main text; ``marks``: those of the regions around it; ``main``: number of the outermost article or main element around it, or 0.
+Block = namedtuple("Block", "text heading links aside main marks")
 
 
 def _marked(attributes):
-    """Whether a start tag names a region that is no main text, or hides it."""
+    """Whether a start tag hides its region, and the names by which it says that it is no main text."""
+    hides, names = False, []
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = [w.lower() for w in _NAME_WORD.findall(token)]
                 if words and words[0] not in _ABOUT and (words[0] in MARKS or words[-1] in MARKS):
-                    return True
+                    names.append(" ".join(words))
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            hides = True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
-            return True
-    return False
+            hides = True
+    return hides, names
 
 
 class _Reader:
-    """Collects the blocks of a page; open elements are (name, kind of region)."""
+    """Collects the blocks of a page; open elements are (name, kind of region, marks)."""
 
     def __init__(self):
         self.blocks, self.open = [], []
         self.parts, self.linked = [], 0
         self.asides = self.mains = self.anchors = self.main = 0
-        self.heading = False
+        self.heading, self.marks = False, []
 
     def text(self, data):
         if data:
@@ -113,7 +118,8 @@ class _Reader:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append(Block(text, self.heading, self.linked, self.asides > 0, self.main if self.mains else 0))
+                self.blocks.append(Block(text, self.heading, self.linked, self.asides > 0, self.main if self.mains else 0,
+                                         frozenset(self.marks)))
         self.parts, self.linked = [], 0
 
     def start(self, name, attributes):
@@ -131,8 +137,10 @@ class _Reader:
                 self._close_sibling(CLOSES["p"])
         if name in VOID or attributes.rstrip().endswith("/") and name not in INLINE | BREAKS_P:
             return
-        aside = name in ASIDE or name not in UNMARKED and bool(attributes.strip()) and _marked(attributes)
-        self.open.append((name, aside))
+        hides, marks = _marked(attributes) if name not in UNMARKED and attributes.strip() else (False, [])
+        aside = name in ASIDE or hides
+        self.open.append((name, aside, len(marks)))
+        self.marks += marks
         self.asides += aside
         self.main += name in MAIN and not self.mains
         self.mains += name in MAIN
@@ -159,12 +167,13 @@ class _Reader:
                 return
 
     def _close_to(self, depth):
-        for name, aside in self.open[depth:]:
+        for name, aside, marks in self.open[depth:]:
             self.asides -= aside
+            del self.marks[len(self.marks) - marks:]
             self.mains -= name in MAIN
             self.anchors -= name == "a"
         del self.open[depth:]
-        self.heading = any(_HEADING.match(name) for name, _ in self.open)
+        self.heading = any(_HEADING.match(name) for name, *_ in self.open)
 
 
 def blocks(page):
@@ -232,6 +241,37 @@ def _with_prose(found, first):
     return {number for number, length in prose.items() if length > LONG}
 
 
+def _judged(found):
+    """Blocks whose ``aside`` also says whether a mark around them holds, without those that are overruled.
+
+    A mark is evidence. One beside other words, as in ``sidebar-right`` or ``elementor-widget``,
+    is overruled where its regions hold most of the good text of the page, or any of it when
+    nothing unmarked reads as prose. One of mark words only, or of texts by readers, is overruled
+    where all text lies in its regions.
+    """
+    if not any(b.marks for b in found):
+        return found
+    first = [first_pass(b) for b in found]
+    good, held, around = 0, {}, {}
+    text = [i for i, k in enumerate(first) if k != BAD]
+    for i in text:
+        length = len(found[i].text) * (first[i] == GOOD)
+        good += length
+        for mark in found[i].marks:
+            held[mark] = held.get(mark, 0) + length
+            around[mark] = around.get(mark, 0) + 1
+    bare = any(not found[i].marks and first[i] in (GOOD, NEAR) for i in text)
+    overruled = set()
+    for mark, length in held.items():
+        words = set(mark.split())
+        if words <= MARKS or words & READERS:
+            if around[mark] == len(text):
+                overruled.add(mark)
+        elif length > MOST * good or length and not bare:
+            overruled.add(mark)
+    return [b._replace(aside=b.aside or bool(b.marks - overruled)) for b in found]
+
+
 def labels(found):
     """Whether each block is main text.
 
@@ -242,6 +282,7 @@ def labels(found):
     where it has none; undecided blocks outside need good prose outside. Without any good
     block, the undecided ones are the text, those of article and main elements first.
     """
+    found = _judged(found)
     first = [first_pass(b) for b in found]
     trusted = _with_prose(found, first)
     if not trusted and GOOD not in first:  # nothing reads as prose: undecided blocks are all there is

@@ -101,3 +101,24 @@ def test_an_article_of_paragraphs_that_are_not_long():
     links = "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(4))
     page = f"<ul>{links}</ul><article><h1>A title</h1>{f'<p>{near}</p>' * 5}</article><ul>{links}</ul><div>{PROSE}</div>"
     assert main_text(page) == "\n".join(["A title", *[near] * 5, line(PROSE)])
+
+
+@pytest.mark.parametrize("name", ["container sidebar-right", "search-results", "social-policy", "form-page", "widget", "discussion"])
+def test_marked_wrappers_of_the_whole_text(name):
+    inner = f"<div class=ad>{PROSE}</div>{ARTICLE}<div class='cookie-notice'>{OTHER}</div>"
+    assert main_text(f"<body><nav><a href=/>Home</a></nav><div class='{name}'>{inner}</div></body>") == WANT
+    assert main_text(f"<body><nav><a href=/>Home</a></nav><div id='{name.split()[-1]}'><article>{inner}</article></div></body>") == WANT
+
+
+def test_marked_wrappers_of_each_block():
+    def page(*names):
+        return "".join(f"<div class='{n} {n}-{i}'>{p}</div>" for i, (n, p) in enumerate(zip(names, [
+            "<h1>A title</h1>", f"<p>{PROSE}</p>", "<p>Short one.</p>", f"<p>{OTHER}</p>"])))
+    for names in (["elementor-widget"] * 4, ["text-widget", "text-widget", "image-widget", "image-widget"]):
+        assert main_text(f"<body>{page(*names)}<div id=sidebar><p>{PROSE}</p></div></body>") == WANT
+
+
+def test_comments_longer_than_the_article_stay_out():
+    comments = f"<div class='comments-area'>{f'<p>{OTHER}</p>' * 20}</div>"
+    assert main_text(f"<body><div><p>{PROSE}</p></div>{comments}</body>") == line(PROSE)
+    assert main_text(f"<body><article><p>{PROSE}</p>{comments}</article></body>") == line(PROSE)
