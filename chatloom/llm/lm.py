@@ -2,9 +2,9 @@
 
 Word counts cover all training texts. They are added up per task, then over the corpus;
 the most frequent words, a bounded number, are broadcast, and the others are joined by
-word. The attention model learns subword ids: every task trains a copy on a fixed share of
-the windows of its training texts and the copies are averaged, weighted by their windows,
-so that what is learned from grows with the corpus. Texts are scored in overlapping
+word. The attention model learns subword ids: every task trains a copy on all windows of its
+training texts, part by part, and the copies are averaged, weighted by their windows, so
+that what is learned from grows with the corpus. Texts are scored in overlapping
 windows, each subword once.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm import attention, bpe
 from chatloom.llm.columns import slices, utf8
-from chatloom.llm.shingles import mix, word_hashes
+from chatloom.llm.shingles import word_hashes
 from chatloom.session import shared_folder
 
 #: Text bytes, and subword ids, that are worked on at a time.
@@ -26,8 +26,6 @@ BLOCK_BYTES, BLOCK_IDS = 2 << 20, 1 << 19
 HEAD_WORDS = 1 << 16
 #: Added to each word count.
 SMOOTHING = 0.1
-#: One window in so many is trained on.
-WINDOW_SHARE = 16
 #: Rounds of training and averaging.
 ROUNDS = 2
 #: Windows of a task that are trained on together; a longer task trains on one such part after another.
@@ -132,50 +130,39 @@ def _id_counts(rows, kind, size):
     return counts
 
 
-def _windows(rows, kind, vocabulary):
-    """The windows that are trained on, chosen by their content's place: ``inputs``, ``targets``, ``valid``."""
-    def run(batches):
-        words = vocabulary.value
-        for part, ids, lengths in _blocks(batches, kind, 1):
-            key = part.column(0).to_numpy()
-            text, first, scored = attention.windows_of(lengths)
-            chosen = mix(mix(key.astype(np.uint64))[text] + first.astype(np.uint64)) % np.uint64(WINDOW_SHARE) == 0
-            inputs, targets, valid = attention.Laid(ids, lengths, words).windows(text[chosen], first[chosen], scored[chosen] * 0)
-            classes = words.out_class[targets].astype(np.uint8)
-            yield pa.RecordBatch.from_pydict({
-                "inputs": pa.array([x.tobytes() for x in inputs.astype("<u2")], pa.binary()),
-                "targets": pa.array([x.tobytes() for x in classes], pa.binary()),
-                "valid": pa.array([x.tobytes() for x in valid], pa.binary())})
-
-    return rows.select("row", "ids").mapInArrow(run, "inputs binary, targets binary, valid binary")
-
-
-def _trained(windows, parameters):
-    """One round: parameters averaged over tasks and parts, weighted by their windows; None without windows."""
-    spark = windows.sparkSession
-    shared = spark.sparkContext.broadcast(parameters)
-
-    def learn(rows):
-        inputs, targets, valid = (np.frombuffer(b"".join(c), k).reshape(-1, attention.WINDOW) for c, k in zip(zip(*rows), ("<u2", "u1", "?")))
-        p = attention.train(shared.value, (inputs.astype(np.int64), targets.astype(np.int64), valid))
-        return attention.flat(p) * len(rows), float(len(rows))
+def _parts(batches, kind, words):
+    """All windows of the texts of a task as (inputs, targets, valid), at most ``PART_WINDOWS`` at a time."""
+    held, n = [], 0
+    for _, ids, lengths in _blocks(batches, kind, 0):
+        text, first, scored = attention.windows_of(lengths)
+        laid, start = attention.Laid(ids, lengths, words), 0
+        while start < len(text):
+            own = slice(start, start + PART_WINDOWS - n)
+            inputs, targets, valid = laid.windows(text[own], first[own], scored[own] * 0)
+            held.append((inputs.astype(np.uint16), words.out_class[targets].astype(np.uint8), valid))
+            start, n = start + len(inputs), n + len(inputs)
+            if n == PART_WINDOWS:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _trained(rows, kind, vocabulary, parameters):
+    """One round over training texts: parameters averaged over tasks and parts, weighted by their windows; None without texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(parameters)
 
     def run(batches):
-        total, weight, rows = 0.0, 0.0, []
-        for batch in batches:
-            rows += zip(*(c.to_pylist() for c in batch.columns))
-            while len(rows) >= PART_WINDOWS:
-                p, n = learn(rows[:PART_WINDOWS])
-                total, weight, rows = total + p, weight + n, rows[PART_WINDOWS:]
-        if rows:
-            p, n = learn(rows)
-            total, weight = total + p, weight + n
+        total, weight = 0.0, 0.0
+        for inputs, targets, valid in _parts(batches, kind, vocabulary.value):
+            p = attention.train(shared.value, (inputs.astype(np.int64), targets.astype(np.int64), valid))
+            total, weight = total + attention.flat(p) * len(inputs), weight + len(inputs)
         if weight:
             yield pa.RecordBatch.from_pydict({
                 "at": pa.array(np.arange(len(total) + 1, dtype=np.int32)), "value": pa.array(np.append(total, weight))})
 
     # A number of values that the model fixes, whatever the number of tasks.
-    sums = windows.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").toArrow()
+    sums = rows.select("ids").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").toArrow()
     values = sums.column("value").to_numpy()
     return attention.unflat(values[:-1] / values[-1], parameters) if len(values) else None
 
@@ -235,10 +222,8 @@ def score(docs, rank_file, pattern, id_col="doc_id", text_col="text"):
     training = texts.where("not held_out")
     vocabulary = attention.Vocabulary(_id_counts(training, kind, vocabulary_size))
     parameters, shared = attention.initial(vocabulary), spark.sparkContext.broadcast(vocabulary)
-    _windows(training, kind, shared).write.parquet(f"{folder}/windows")
-    windows = spark.read.parquet(f"{folder}/windows")
     for _ in range(ROUNDS):
-        parameters = _trained(windows, parameters) or parameters
+        parameters = _trained(training, kind, shared, parameters) or parameters
 
     logs = _scores(texts, kind, shared, spark.sparkContext.broadcast(parameters))
     ends = counts.where(F.col("word") == int(END_WORD)).first()

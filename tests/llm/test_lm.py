@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from chatloom.llm import attention, bpe, lm
 from chatloom.llm.catalog import QUERIES, RANK_FILE
@@ -115,3 +116,24 @@ def test_gradients_by_differences():
             sides.append(attention.gradients(p, inputs, targets, valid)[0])
         p[name][place] = keep
         assert abs((sides[0] - sides[1]) / 2e-4 - g[name][place]) < 1e-3 * max(0.01, abs(g[name][place])), name
+
+
+def test_every_window_of_the_training_texts_is_learned(spark, monkeypatch):
+    _, vocabulary, _ = small()
+    rng, lengths = np.random.default_rng(5), [0, 5, 31, 200, 7, 3000]
+    texts = [rng.integers(0, 2999, n).astype("<u2") for n in lengths]
+    monkeypatch.setattr(lm, "PART_WINDOWS", 50)
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([x.tobytes() for x in texts], pa.binary())})
+    parts = list(lm._parts([batch], "<u2", vocabulary))
+    assert [len(x) for x, _, _ in parts[:-1]] == [50] * (len(parts) - 1)
+    text, first, scored = attention.windows_of(np.array(lengths))
+    want = attention.Laid(np.concatenate(texts), np.array(lengths), vocabulary).windows(text, first, scored * 0)
+    for got, whole in zip(map(np.concatenate, zip(*parts)), (want[0], vocabulary.out_class[want[1]], want[2])):
+        assert (got == whole).all()
+    # One short text, whatever its place, trains the model.
+    for k in range(4):
+        docs = spark.createDataFrame([(1, "the birds of the garden " * 4 + str(k))], "doc_id long, text string")
+        score = lm.score(docs, RANK_FILE, public_tokenizers.PATTERN).first().score
+        with monkeypatch.context() as m:
+            m.setattr(lm, "ROUNDS", 0)
+            assert score > lm.score(docs, RANK_FILE, public_tokenizers.PATTERN).first().score
