@@ -7,12 +7,29 @@ from chatloom.operators.presence import from_epoch_us
 from chatloom.plans import fixtures as fx
 from chatloom.plans.catalog import query
 from chatloom.streaming import messages, presence, redelivery
-from chatloom.streaming.runner import flush_ts, run_bounded, stream_session
+from chatloom.streaming.runner import FLUSH_TIME, flush_ts, run_bounded, stream_session
 
 # Attempts of the test data are up to four months apart.
 PENDING_AFTER_S = 200 * 86400
 
 
+def _span(rows):
+    """Seconds that cover the disorder of a table whose files come in any order: from its first to its last ``ts`` and an hour."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    row = rows.agg(F.min(at).alias("first"), F.max(at).alias("last"), F.unix_seconds(flush_ts()).alias("flush")).first()
+    span = 3600 if row['first'] is None else row['last'] - row['first'] + 3600
+    if row['last'] is not None and row['last'] + span + PENDING_AFTER_S > row['flush']:
+        raise ValueError(f"a table over {span} seconds is not released by a row at {FLUSH_TIME}")
+    return span
+
+
+def _whole(done):
+    """The path of a finished stream that has dropped no row as late."""
+    if done.dropped_late:
+        raise RuntimeError(f"{done.dropped_late} rows came too late to count")
+    return done.path
+
+
 def _stamped(df):
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -28,14 +45,15 @@ def _presence_events(own, d):
 @query
 def t1_envelope_stream(spark, d):
     own = stream_session(spark)
+    delay = f"{_span(fx.view(own, d, 'posts'))} seconds"
 
     def build(side):
         queued = fx.arrival_envelopes(_arrivals(own, d)).withColumn("publish_failed", F.col("message_id") % 10 == 0)
-        return messages.envelope_outcomes(queued, _presence_events(own, d), side=side)
+        return messages.envelope_outcomes(queued, _presence_events(own, d), delay=delay, side=side)
 
     done = run_bounded(own, build, presence.presence_flush(flush_ts()), messages.outcome_sink)
     out = spark.read.schema("message_id bigint, session_id string, channel string, value string, reason string, "
-                            "delivery_attempt bigint, batch bigint, outcome string").parquet(done.path)
+                            "delivery_attempt bigint, batch bigint, outcome string").parquet(_whole(done))
     return out.select("message_id", "session_id", "channel", "outcome", "reason", "delivery_attempt",
                       F.get_json_object("value", "$.data.content").alias("content"))
 
@@ -43,27 +61,29 @@ def t1_envelope_stream(spark, d):
 @query
 def t2_presence_stream(spark, d):
     own = stream_session(spark)
+    delay = f"{_span(fx.view(own, d, 'posts'))} seconds"
 
     def build(side):
         arrivals = _arrivals(own, d).withColumnRenamed("content", "payload")
-        return presence.presence_stream(arrivals, _presence_events(own, d), side=side)
+        return presence.presence_stream(arrivals, _presence_events(own, d), delay=delay, side=side)
 
     done = run_bounded(own, build, presence.presence_flush(flush_ts()))
-    return spark.read.parquet(done.path).select(
+    return spark.read.parquet(_whole(done)).select(
         "message_id", "session_id", from_epoch_us(F.col("us")).alias("ts"), F.col("payload").alias("content"), "online")
 
 
 @query
 def t3_sliding_presence_stream(spark, d):
     own = stream_session(spark)
+    delay = f"{_span(fx.view(own, d, 'posts'))} seconds"
 
     def build(side):
         rows = _stamped(fx.view(own, d, "posts", fx.stream)).filter("session_id IS NOT NULL").select("session_id", "ts")
-        return presence.presence_sliding(rows.unionByName(side))
+        return presence.presence_sliding(rows.unionByName(side), delay=delay)
 
     done = run_bounded(own, build, {"session_id": F.lit(""), "ts": flush_ts()})
     # Micro-seconds do not depend on the time zone of the reading session.
-    return spark.read.parquet(done.path).select(
+    return spark.read.parquet(_whole(done)).select(
         "session_id", from_epoch_us(F.unix_micros("start_ts")).alias("start_ts"),
         from_epoch_us(F.unix_micros("end_ts")).alias("end_ts"), "n_messages")
 
@@ -71,15 +91,17 @@ def t3_sliding_presence_stream(spark, d):
 @query
 def t4_redelivery_stream(spark, d):
     own = stream_session(spark)
+    span = _span(fx.view(own, d, "attempts"))
 
     def build(side):
         attempts = _stamped(fx.view(own, d, "attempts", fx.stream))
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         keys = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), cents]
         tie = F.concat(*[F.lpad(k.cast("string"), 20, "0") for k in keys])
-        return redelivery.redelivery_stream(attempts.withColumn("tie", tie), pending_after_s=PENDING_AFTER_S, side=side)
+        return redelivery.redelivery_stream(attempts.withColumn("tie", tie), retention_s=span, pending_after_s=PENDING_AFTER_S,
+                                            delay=f"{span} seconds", side=side)
 
-    return spark.read.parquet(run_bounded(own, build, redelivery.redelivery_flush(flush_ts())).path)
+    return spark.read.parquet(_whole(run_bounded(own, build, redelivery.redelivery_flush(flush_ts()))))
 
 
 @query
@@ -96,12 +118,13 @@ def t5_guard_stream(spark, d):
 @query
 def t6_reply_fold_stream(spark, d):
     own = stream_session(spark)
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("invocation_id") * 60 + F.col("seq"))
+    delay = f"{_span(fx.view(own, d, 'agent_rows').withColumn('ts', ts))} seconds"
 
     def build(side):
         rows = fx.agent_events(fx.view(own, d, "agent_rows", fx.stream))
-        ts = F.timestamp_seconds(F.lit(1704067200) + F.col("invocation_id") * 60 + F.col("seq"))
-        return messages.fold_stream(rows.withColumn("ts", ts).unionByName(side, allowMissingColumns=True))
+        return messages.fold_stream(rows.withColumn("ts", ts).unionByName(side, allowMissingColumns=True), delay=delay)
 
     flush = {"session_id": F.lit(""), "invocation_id": F.lit(-1).cast("bigint"), "seq": F.lit(0).cast("bigint"),
              "is_final": F.lit(False), "has_content": F.lit(False), "ts": flush_ts()}
-    return messages.replies_of_pieces(spark.read.parquet(run_bounded(own, build, flush).path).filter("invocation_id <> -1"))
+    return messages.replies_of_pieces(spark.read.parquet(_whole(run_bounded(own, build, flush))).filter("invocation_id <> -1"))

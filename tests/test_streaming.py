@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import rails
 from chatloom.operators import delivery, presence as batch_presence, replies
 from chatloom.operators.guards import apply_guards
+from chatloom.plans import catalog, fixtures, stream_catalog  # noqa: F401
 from chatloom.streaming import messages, presence, redelivery
 from chatloom.streaming.runner import flush_ts, run_bounded, stream_session
 from tests.test_joins import arrival_table, event_table, random_presence
@@ -192,3 +193,13 @@ def test_envelope_stream(spark, own, tmp_path):
     assert os.listdir(root) == ["out"]
     once.delete(spark)
     assert os.listdir(root) == []
+
+
+@pytest.mark.parametrize("name, table, column", [
+    ("t4_redelivery_stream", "lineitem", "l_shipdate"), ("t3_sliding_presence_stream", "events", "ts"), ("t6_reply_fold_stream", "conversations", "conv_id")])
+def test_files_in_any_order_lose_nothing(spark, tmp_path, monkeypatch, name, table, column):
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/{table}.parquet").repartitionByRange(3, F.desc(column)).write.parquet(f"{tmp_path}/{table}.parquet")
+    want = sorted(map(tuple, catalog.QUERIES[name](spark, sf).collect()), key=str)
+    monkeypatch.setattr(fixtures, "BATCH_BYTES", 1)  # a file a batch
+    assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=str) == want
