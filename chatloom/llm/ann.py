@@ -7,7 +7,9 @@
    (curve, index); a row's place in that order is its rank.
 3. A query meets the rows whose rank is near its own on each curve. Rows are dealt into
    blocks of equal numbers of ranks, so no vector, however frequent its surroundings, makes
-   a block larger than others. Blocks are searched exactly, in double precision.
+   a block larger than others. A block is bounded in bytes, whatever the window; queries are
+   dealt into blocks of their own, and every pair of blocks within the window is one group,
+   searched exactly, in double precision.
 4. The finds of all curves are merged and ranked.
 
 Inner products are turned into distances by one more coordinate: rows get
@@ -34,6 +36,8 @@ SAMPLE = 128
 RECALL = 0.955
 #: Windows are never narrower than this, to each side.
 LEAST_WINDOW = 256
+#: Bytes of the vectors, in double precision, of a block of rows or of queries at most.
+BLOCK_BYTES = 32 << 20
 
 
 def hilbert_index(cells, bits):
@@ -67,17 +71,21 @@ def hilbert_index(cells, bits):
 class Curves:
     """Directions and shifts of all curves for vectors of ``size`` components, none longer than ``longest``."""
 
-    def __init__(self, size, longest, mean, spread, seed=17):
+    def __init__(self, size, longest, mean, spread, extra_mean=0.0, extra_spread=0.0, seed=17):
         rng = np.random.default_rng(seed)
         self.longest = longest
         self.maps = [np.linalg.qr(rng.normal(size=(size + 1, size + 1)))[0][:, :min(DIRECTIONS, size + 1)] for _ in range(CURVES)]
         self.shifts = [rng.uniform(0, 1, m.shape[1]) for m in self.maps]
-        self.mean, self.spread = np.append(mean, 0.0), max(spread, 1e-300)
+        spread = max(spread, 1e-300)
+        # The extra coordinate by its own mean, and by its own spread where this is the larger one.
+        self.mean, self.spread = np.append(mean, extra_mean), np.append(np.full(size, spread), max(spread, extra_spread))
 
     def keys(self, vectors, query):
         """(n, curves) indices; one more coordinate makes inner products distances."""
         extra = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(0, self.longest ** 2 - (vectors ** 2).sum(axis=1)))
         wide = (np.column_stack([vectors, extra]) - self.mean) / self.spread
+        if query:  # one very long vector puts all rows far from 0, at the same place; queries stay beside them
+            wide[:, -1] = np.maximum(wide[:, -1], -3.0)
         out = np.empty((len(vectors), CURVES), np.int64)
         for c, (directions, shift) in enumerate(zip(self.maps, self.shifts)):
             # Most projections lie within three spreads of the mean; those beyond share the outer cells.
@@ -126,7 +134,11 @@ def _shape(classes, size):
     parts = classes.select("v").mapInArrow(run, "total array<double>, squares double, n bigint, longest double")
     sums = parts.agg(F.array(*[F.sum(F.get("total", F.lit(k))) for k in range(size)]), F.sum("squares"), F.sum("n"), F.max("longest")).first()
     mean = np.array(sums[0]) / sums[2]
-    return math.sqrt(sums[3]), mean, math.sqrt(max(0.0, sums[1] / sums[2] - (mean ** 2).sum()) / size)
+    spread = math.sqrt(max(0.0, sums[1] / sums[2] - (mean ** 2).sum()) / size)
+    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    extra = F.sqrt(F.greatest(F.lit(0.0), F.lit(float(sums[3])) - squared))
+    own = classes.agg(F.avg(extra), F.stddev_pop(extra)).first()
+    return math.sqrt(sums[3]), mean, spread, own[0], own[1]
 
 
 def _ranked(classes, searched, curves):
@@ -225,17 +237,23 @@ def nearest(vectors, k=20, every=20, id_col="vec_id", vector_col="embedding"):
         return spark.createDataFrame([], result)
     ranked = _ranked(classes, searched, Curves(size, *_shape(classes, size))).checkpoint()
     window = _window(classes, searched, ranked, k + 1)
-    block = max(1, math.ceil(window / 2))
+    block = max(1, min(math.ceil(window / 2), BLOCK_BYTES // (8 * size)))
+    # Queries are dealt by their own ranks, too: a pair of blocks is a group where a window reaches from one to the other.
+    ask = max(1, BLOCK_BYTES // (8 * size))
+    place, asked_by = F.floor(F.col("rank") / block), F.floor(F.col("rank") / ask)
     low, high = F.floor((F.col("rank") - window) / block), F.floor((F.col("rank") + window) / block)
-    blocks = F.when(F.col("is_query"), F.sequence(low, high)).otherwise(F.array(F.floor(F.col("rank") / block)))
-    dealt = ranked.select("id", "is_query", F.explode(blocks).alias("block")).distinct().join(classes.select("id", "v"), "id")
+    first, last = F.floor((place * block - window) / ask), F.floor(((place + 1) * block + window - 1) / ask)
+    pairs = F.when(F.col("is_query"), F.transform(F.sequence(low, high), lambda x: F.struct(x.alias("block"), asked_by.alias("asked")))) \
+        .otherwise(F.transform(F.sequence(first, last), lambda x: F.struct(place.alias("block"), x.alias("asked"))))
+    dealt = ranked.select("id", "is_query", F.explode(pairs).alias("p")).select("id", "is_query", "p.block", "p.asked").distinct().join(
+        classes.select("id", "v"), "id")
 
     def search(part):
         query = part.column("is_query").to_numpy()
         ids, vectors = part.column("id").to_numpy(), matrix(part.column("v"))
         return pa.table(_finds((ids[~query], vectors[~query]), ids[query], vectors[query], k + 1))
 
-    finds = dealt.groupBy("block").applyInArrow(search, "q bigint, id bigint, score double")
+    finds = dealt.groupBy("block", "asked").applyInArrow(search, "q bigint, id bigint, score double")
     best = _nearest(finds, k + 1).join(classes.select("id", "ids"), "id").select("q", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return asked.join(best, "q").where("query_id <> vec_id").withColumn("rank", F.row_number().over(order)).where(

@@ -85,3 +85,24 @@ def test_rows_that_take_no_part(spark):
     assert ann.nearest(table.limit(0)).count() == 0
     assert ann.nearest(table.where("vec_id = 7")).count() == 0
     assert ann.nearest(table.where("vec_id = 20")).count() == 0
+
+
+def test_one_very_long_vector_and_small_blocks(spark, monkeypatch):
+    """The window stays narrow beside one vector a thousand times as long, and no group exceeds a block of rows and one of queries."""
+    monkeypatch.setattr(ann, "LEAST_WINDOW", 16)
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 8 * 12 * 64)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 12))
+    rows = [(i, (centres[rng.integers(60)] + 0.1 * rng.normal(size=12)).tolist()) for i in range(3000)] + [(3001, [1000.0] + [0.0] * 11)]
+    windows, measure, search, seen = [], ann._window, ann._finds, spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(ann, "_window", lambda *a: windows.append(measure(*a)) or windows[-1])
+
+    def bounded(rows, query_ids, queries, k):
+        if len(query_ids) != ann.SAMPLE and (len(rows[0]) > 64 or len(query_ids) > 64):
+            seen.add(1)
+        return search(rows, query_ids, queries, k)
+
+    monkeypatch.setattr(ann, "_finds", bounded)
+    got, want = found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))), exact(rows)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in best}) for q, best in want.items()) >= 0.9 * sum(map(len, want.values()))
+    assert seen.value == 0 and windows[0] < 600
