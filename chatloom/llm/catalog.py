@@ -1,8 +1,9 @@
 """The operators as named queries over their whole tables, with production parameters."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from chatloom.llm import ann, bpe, html_text, langid, lm, mixing, neardup, quality, secret_scan, warc
+from chatloom.llm import ann, bpe, html_text, langid, lm, mixing, neardup, negatives, part_codes, quality, secret_scan, vector_dedup, vector_sql, warc
 from chatloom.llm.columns import table
 
 QUERIES = {}
@@ -80,6 +81,30 @@ def op10_warc_packages(spark, d):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_hard_negatives(spark, d):
+    """Rows of other labels that score just below an anchor's positives; every seventh row has a wrong label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.mine(table(spark, d, "embeddings").withColumn("label", label))
+
+
+@query
+def op12_vector_near_duplicates(spark, d):
+    """Links and component of every vector by cosines of at least 0.93 within a label."""
+    return vector_dedup.near_duplicates(table(spark, d, "embeddings"), least=0.93)
+
+
+@query
+def op13_part_codes(spark, d):
+    """Four bytes for every vector, by codebooks of 256 entries for each quarter."""
+    vectors = table(spark, d, "embeddings")
+    books = part_codes.train(vectors)
+    return part_codes.digests(part_codes.encode(vectors, books), books)
+
+
+ORACLES["op11_hard_negatives"] = vector_sql.HARD_NEGATIVES
+ORACLES["op12_vector_near_duplicates"] = vector_sql.NEAR_DUPLICATES
+ORACLES["op13_part_codes"] = vector_sql.part_codes()
 ORACLES["op10_warc_packages"] = """
 WITH p AS (
     SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
