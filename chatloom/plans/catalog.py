@@ -378,6 +378,13 @@ def w4_publish_retry(spark, d):
     return tried.withColumn("next_delay_s", F.round("next_delay_s", 6))
 
 
+@query
+def w4_held_attempts(spark, d):
+    """The delay policy at work on attempts that come within seconds of each other."""
+    order = ["at_s", "l_linenumber", "l_partkey", "l_suppkey", "cents"]
+    return delivery.held_attempts(fx.view(spark, d, "bursts"), order, "at_s")
+
+
 @query
 def w5_presence_intervals(spark, d):
     return _intervals(spark, d)

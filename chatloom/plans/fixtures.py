@@ -55,6 +55,12 @@ SQL = {
         SELECT l_orderkey AS message_id, l_shipdate AS ts, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
                l_returnflag = 'N' AND l_orderkey % 3 <> 0 AS ok
         FROM {lineitem}""",
+    # The same attempts within minutes of each other, so that the delays of a policy matter.
+    "bursts": """
+        SELECT l_orderkey AS message_id, 1704067200 + l_orderkey * 3 + l_linenumber * 7 + (l_partkey % 5) * 40 AS at_s,
+               l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+               l_returnflag = 'N' AND l_orderkey % 3 <> 0 AS ok
+        FROM {lineitem}""",
     # Some finals carry no text part, only a whole content.
     "agent_rows": """
         SELECT CAST(conv_id AS STRING) AS session_id, conv_id AS invocation_id, turn AS seq,

@@ -180,6 +180,18 @@ ATTEMPTS = f"""{cte('attempts')}, ranked AS (SELECT message_id, ok, row_number()
              CASE WHEN first_ok IS NULL AND n < 5 THEN least(300.0::DOUBLE, 10.0 * pow(2.0, n - 1)) END AS next_delay_s
       FROM tallied"""
 
+HELD = f"""{cte('bursts')}, ranked AS (SELECT message_id, ok, at_s, row_number() OVER (PARTITION BY message_id
+        ORDER BY at_s, l_linenumber, l_partkey, l_suppkey, cents) AS n FROM bursts),
+      ahead AS (SELECT *, [0, 10, 30, 70, 150][n] AS waits FROM ranked WHERE n <= 5),
+      held AS (SELECT *, max(at_s - waits) OVER (PARTITION BY message_id ORDER BY n) + waits AS takes_place FROM ahead),
+      tallied AS (SELECT message_id, count(*) AS n, min(CASE WHEN ok THEN n END) AS first_ok,
+                  list(takes_place ORDER BY n) AS times FROM held GROUP BY message_id)
+      SELECT message_id, coalesce(first_ok, n) AS n_used,
+             CASE WHEN first_ok IS NOT NULL THEN 'delivered' WHEN n >= 5 THEN 'dead_letter' ELSE 'pending' END AS outcome,
+             CAST(times[coalesce(first_ok, n)] AS BIGINT) AS at_s,
+             CASE WHEN first_ok IS NULL AND n < 5 THEN CAST(times[n] + [10, 20, 40, 80, 160][n] AS BIGINT) END AS next_at_s
+      FROM tallied"""
+
 CHANNEL = "'user_' || coalesce(session_id, 'None')"
 
 OUTCOMES = f"""{GATED}, queued AS (SELECT *, message_id % 6 + 1 AS delivery_attempt FROM gated),
@@ -327,6 +339,7 @@ def oracle_sql():
     sql["w4_delivery_attempts"] = ATTEMPTS
     sql["w4_publish_retry"] = ATTEMPTS.replace("attempt_no <= 5", "attempt_no <= 8").replace("n >= 5", "n >= 8").replace(
         "n < 5 THEN least(300.0::DOUBLE, 10.0 * pow(2.0, n - 1))", "n < 8 THEN round(least(60.0::DOUBLE, 0.1 * pow(1.3, n - 1)), 6)")
+    sql["w4_held_attempts"] = sql["t4_held_redelivery_stream"] = HELD
     sql["w5_presence_intervals"] = f"""{cte('presence_events')}, {INTERVALS}
         SELECT session_id, connection_id, start_ts, end_ts FROM intervals"""
     sql["t3_sliding_presence_batch"] = GAPS

@@ -7,20 +7,11 @@ from chatloom.operators.presence import from_epoch_us
 from chatloom.plans import fixtures as fx
 from chatloom.plans.catalog import query
 from chatloom.streaming import messages, presence, redelivery
+from chatloom.streaming.replay import run_replayed
 from chatloom.streaming.runner import FLUSH_TIME, flush_ts, run_bounded, stream_session
 
-# Attempts of the test data are up to four months apart.
-PENDING_AFTER_S = 200 * 86400
-
-
-def _span(rows):
-    """Seconds that cover the disorder of a table whose files come in any order: from its first to its last ``ts`` and an hour."""
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    row = rows.agg(F.min(at).alias("first"), F.max(at).alias("last"), F.unix_seconds(flush_ts()).alias("flush")).first()
-    span = 3600 if row['first'] is None else row['last'] - row['first'] + 3600
-    if row['last'] is not None and row['last'] + span + PENDING_AFTER_S > row['flush']:
-        raise ValueError(f"a table over {span} seconds is not released by a row at {FLUSH_TIME}")
-    return span
+# A burst of attempts is over after this.
+PENDING_AFTER_S = 86400
 
 
 def _whole(done):
@@ -30,28 +21,47 @@ def _whole(done):
     return done.path
 
 
-def _stamped(df):
-    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+def _span(rows):
+    """Seconds from the first to the last ``ts``: a message of the table may wait so long for its next attempt."""
+    row = rows.agg(*[F.unix_seconds(at) for at in (F.min("ts"), F.max("ts"), F.max(flush_ts()))]).first()
+    span = 0 if row[0] is None else row[1] - row[0] + 1
+    if row[0] is not None and row[1] + span > row[2]:
+        raise ValueError(f"messages open for {span} seconds are not released by a row at {FLUSH_TIME}")
+    return span
 
 
-def _arrivals(own, d):
-    return _stamped(fx.view(own, d, "arrivals", fx.stream))
+# All streams get their rows in the order of time, so they wait no longer than a live source would need.
+DELAY = "1 minute"
 
 
-def _presence_events(own, d):
-    return _stamped(fx.view(own, d, "presence_events", fx.stream))
+def _posts(own, d):
+    """Every event with its time; arrivals and presence events are taken out of the same stream."""
+    rows = fx.table(own, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _of(read, name):
+    """A derived input from the stream of posts."""
+    rows = read()
+    return rows.sparkSession.sql(fx.SQL[name], events=rows)
+
+
+def _presence_run(own, d, build, foreach_batch=None):
+    posts = _posts(own, d)
+    busy = presence.busy_sessions(fx.view(own, d, "arrivals"))
+    return run_replayed(own, posts, lambda read, side: build(_of(read, "arrivals"), _of(read, "presence_events"), busy, side),
+                        presence.presence_flush(flush_ts()), foreach_batch)
 
 
 @query
 def t1_envelope_stream(spark, d):
     own = stream_session(spark)
-    delay = f"{_span(fx.view(own, d, 'posts'))} seconds"
 
-    def build(side):
-        queued = fx.arrival_envelopes(_arrivals(own, d)).withColumn("publish_failed", F.col("message_id") % 10 == 0)
-        return messages.envelope_outcomes(queued, _presence_events(own, d), delay=delay, side=side)
+    def build(arrivals, events, busy, side):
+        queued = fx.arrival_envelopes(arrivals).withColumn("publish_failed", F.col("message_id") % 10 == 0)
+        return messages.envelope_outcomes(queued, events, delay=DELAY, busy=busy, side=side)
 
-    done = run_bounded(own, build, presence.presence_flush(flush_ts()), messages.outcome_sink)
+    done = _presence_run(own, d, build, messages.outcome_sink)
     out = spark.read.schema("message_id bigint, session_id string, channel string, value string, reason string, "
                             "delivery_attempt bigint, batch bigint, outcome string").parquet(_whole(done))
     return out.select("message_id", "session_id", "channel", "outcome", "reason", "delivery_attempt",
@@ -61,13 +71,8 @@ def t1_envelope_stream(spark, d):
 @query
 def t2_presence_stream(spark, d):
     own = stream_session(spark)
-    delay = f"{_span(fx.view(own, d, 'posts'))} seconds"
-
-    def build(side):
-        arrivals = _arrivals(own, d).withColumnRenamed("content", "payload")
-        return presence.presence_stream(arrivals, _presence_events(own, d), delay=delay, side=side)
-
-    done = run_bounded(own, build, presence.presence_flush(flush_ts()))
+    done = _presence_run(own, d, lambda arrivals, events, busy, side: presence.presence_stream(
+        arrivals.withColumnRenamed("content", "payload"), events, delay=DELAY, busy=busy, side=side))
     return spark.read.parquet(_whole(done)).select(
         "message_id", "session_id", from_epoch_us(F.col("us")).alias("ts"), F.col("payload").alias("content"), "online")
 
@@ -75,13 +80,12 @@ def t2_presence_stream(spark, d):
 @query
 def t3_sliding_presence_stream(spark, d):
     own = stream_session(spark)
-    delay = f"{_span(fx.view(own, d, 'posts'))} seconds"
 
-    def build(side):
-        rows = _stamped(fx.view(own, d, "posts", fx.stream)).filter("session_id IS NOT NULL").select("session_id", "ts")
-        return presence.presence_sliding(rows.unionByName(side), delay=delay)
+    def build(read, side):
+        rows = _of(read, "posts").filter("session_id IS NOT NULL").select("session_id", "ts")
+        return presence.presence_sliding(rows.unionByName(side), delay=DELAY)
 
-    done = run_bounded(own, build, {"session_id": F.lit(""), "ts": flush_ts()})
+    done = run_replayed(own, _posts(own, d), build, {"session_id": F.lit(""), "ts": flush_ts()})
     # Micro-seconds do not depend on the time zone of the reading session.
     return spark.read.parquet(_whole(done)).select(
         "session_id", from_epoch_us(F.unix_micros("start_ts")).alias("start_ts"),
@@ -91,17 +95,37 @@ def t3_sliding_presence_stream(spark, d):
 @query
 def t4_redelivery_stream(spark, d):
     own = stream_session(spark)
-    span = _span(fx.view(own, d, "attempts"))
+    attempts = fx.view(own, d, "attempts")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    keys = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), cents]
+    tie = F.concat(*[F.lpad(k.cast("string"), 20, "0") for k in keys])
+    rows = attempts.select("message_id", F.col("ts").cast("timestamp").alias("ts"), tie.alias("tie"), "ok")
+
+    # What is open at the end of the table is pending; nothing is given up, and no settled message forgotten, before.
+    span = _span(rows)
 
-    def build(side):
-        attempts = _stamped(fx.view(own, d, "attempts", fx.stream))
-        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-        keys = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), cents]
-        tie = F.concat(*[F.lpad(k.cast("string"), 20, "0") for k in keys])
-        return redelivery.redelivery_stream(attempts.withColumn("tie", tie), retention_s=span, pending_after_s=PENDING_AFTER_S,
-                                            delay=f"{span} seconds", side=side)
+    def build(read, side):
+        return redelivery.redelivery_stream(read(), retention_s=span, pending_after_s=span, delay=DELAY, side=side)
 
-    return spark.read.parquet(_whole(run_bounded(own, build, redelivery.redelivery_flush(flush_ts()))))
+    done = run_replayed(own, rows, build, redelivery.redelivery_flush(flush_ts()))
+    return spark.read.parquet(_whole(done)).drop("at_us")
+
+
+@query
+def t4_held_redelivery_stream(spark, d):
+    """The delay policy at work: attempts of a message come within seconds of each other and are held."""
+    own = stream_session(spark)
+    bursts = fx.view(own, d, "bursts")
+    tie = F.concat(*[F.lpad(F.col(c).cast("string"), 20, "0") for c in ("l_linenumber", "l_partkey", "l_suppkey", "cents")])
+    rows = bursts.select("message_id", F.timestamp_seconds("at_s").alias("ts"), tie.alias("tie"), "ok")
+
+    def build(read, side):
+        return redelivery.redelivery_stream(read(), hold=True, pending_after_s=PENDING_AFTER_S, delay=DELAY, side=side)
+
+    done = run_replayed(own, rows, build, redelivery.redelivery_flush(flush_ts()))
+    at = F.call_function("div", F.col("at_us"), F.lit(1_000_000).cast("bigint"))
+    return spark.read.parquet(_whole(done)).select(
+        "message_id", "n_used", "outcome", at.alias("at_s"), (at + F.col("next_delay_s").cast("bigint")).alias("next_at_s"))
 
 
 @query
@@ -119,12 +143,8 @@ def t5_guard_stream(spark, d):
 def t6_reply_fold_stream(spark, d):
     own = stream_session(spark)
     ts = F.timestamp_seconds(F.lit(1704067200) + F.col("invocation_id") * 60 + F.col("seq"))
-    delay = f"{_span(fx.view(own, d, 'agent_rows').withColumn('ts', ts))} seconds"
-
-    def build(side):
-        rows = fx.agent_events(fx.view(own, d, "agent_rows", fx.stream))
-        return messages.fold_stream(rows.withColumn("ts", ts).unionByName(side, allowMissingColumns=True), delay=delay)
-
+    rows = fx.agent_events(fx.view(own, d, "agent_rows")).withColumn("ts", ts)
     flush = {"session_id": F.lit(""), "invocation_id": F.lit(-1).cast("bigint"), "seq": F.lit(0).cast("bigint"),
              "is_final": F.lit(False), "has_content": F.lit(False), "ts": flush_ts()}
-    return messages.replies_of_pieces(spark.read.parquet(_whole(run_bounded(own, build, flush))).filter("invocation_id <> -1"))
+    done = run_replayed(own, rows, lambda read, side: messages.fold_stream(read().unionByName(side, allowMissingColumns=True), delay=DELAY), flush)
+    return messages.replies_of_pieces(spark.read.parquet(_whole(done)).filter("invocation_id <> -1"))

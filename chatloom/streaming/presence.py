@@ -1,113 +1,115 @@
-"""Presence of sessions on a stream."""
+"""Presence of sessions on a stream: state and timers of each session."""
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from chatloom.operators.presence import SLIDING_TTL_S, TTL_S
 
 DISCONNECT, CONNECT, ARRIVAL = 0, 1, 2
-SHARDS = 8       # parts of a session's arrivals, so that a busy session is spread over tasks
-BUCKETS_PER_PARTITION = 16  # state groups per shuffle partition; more of them keep each one smaller
+BUSY_ROWS = 200_000  # arrivals of a session that one state holds; a busier session gets several
 
-_STATE_SCHEMA = ("open_session array<string>, open_shard array<int>, open_us array<long>, session array<string>, "
-                 "shard array<int>, us array<long>, id array<long>, kind array<int>, payload array<string>")
 _OUT_SCHEMA = "session_id string, message_id long, us long, payload string, online boolean"
-_COLUMNS = ["session", "shard", "us", "id", "kind", "payload"]
 
 
-def _decide(rows, ttl_us):
-    """Online flags of arrivals and the connects still standing, for rows of many sessions.
+def gate(rows, connected_us, ttl_us):
+    """Online flags of (us, id, kind, payload) rows of one session, and the time of the connect that still stands.
 
-    Each arrival takes the last connect or disconnect before it in its session. At the
-    same time, connects and disconnects in id order come before arrivals.
+    An arrival is online when the last event before it is a connect within its lifetime.
+    At the same time, connects and disconnects in id order come before arrivals.
     """
-    rows = rows.assign(late=rows["kind"] == ARRIVAL).sort_values(["session", "shard", "us", "late", "id"], kind="stable")
-    kind, us = rows["kind"].to_numpy(dtype=np.int64), rows["us"].to_numpy(dtype=np.int64)
-    place = np.arange(len(rows))
-    group = rows.groupby(["session", "shard"], sort=False).ngroup().to_numpy()
-    first = np.r_[True, group[1:] != group[:-1]]
-    start = np.maximum.accumulate(np.where(first, place, 0))
-    last_event = np.maximum.accumulate(np.where(kind != ARRIVAL, place, -1))
-    known = last_event >= start
-    at = np.where(known, last_event, 0)
-    standing = known & (kind[at] == CONNECT)
-    online = standing & (us < us[at] + ttl_us)
-    arrivals = kind == ARRIVAL
-    ends = np.r_[first[1:], True] & standing
-    return rows[arrivals], online[arrivals], rows.iloc[at[ends]]
-
-
-def _gate(ttl_us):
-    """Handler of one bucket of sessions: decides arrivals whose past is complete.
-
-    Rows wait until the watermark has passed them, because a micro-batch may bring
-    them in any order. Of the past only connects that still stand are kept.
+    flags = []
+    for us, key, kind, payload in sorted(rows, key=lambda r: (r[0], r[2] == ARRIVAL, r[1])):
+        if kind == ARRIVAL:
+            flags.append((key, us, payload, connected_us is not None and us < connected_us + ttl_us))
+        else:
+            connected_us = us if kind == CONNECT else None
+    return flags, connected_us
+
+
+class PresenceGate(StatefulProcessor):
+    """The state of one session, or of one part of a busy one.
+
+    Rows wait in a list until the watermark has passed them, because a micro-batch may bring
+    them in any order; of the past only the connect that stands is kept. A timer wakes the
+    session for its first waiting row, or to forget a connect whose lifetime is over.
     """
-    def handle(key, frames, state):
-        parts = [f[_COLUMNS] for f in frames]
-        if state.exists:
-            held = state.get
-            opened = pd.DataFrame({"session": held[0], "shard": held[1], "us": held[2]})
-            parts.append(opened.assign(id=-1, kind=CONNECT, payload=None))
-            parts.append(pd.DataFrame(dict(zip(_COLUMNS, held[3:]))))
-        rows = pd.concat([p for p in parts if len(p)])
-        watermark_ms = state.getCurrentWatermarkMs()
-        passed = rows["us"] <= watermark_ms * 1000
-        ready, waiting = rows[passed], rows[~passed]
-        opened = ready.iloc[:0]
-        if len(ready):
-            arrivals, online, opened = _decide(ready, ttl_us)
-            opened = opened[opened["us"] + ttl_us > watermark_ms * 1000]
-            if len(arrivals):
-                yield pd.DataFrame({"session_id": arrivals["session"].to_numpy(), "message_id": arrivals["id"].to_numpy(),
-                                    "us": arrivals["us"].to_numpy(), "payload": arrivals["payload"].to_numpy(), "online": online})
-        if not len(waiting) and not len(opened):
-            state.remove()
-            return
-        state.update((*[opened[c].tolist() for c in ("session", "shard", "us")], *[waiting[c].tolist() for c in _COLUMNS]))
-        wake_us = min([waiting["us"].min()] if len(waiting) else (opened["us"] + ttl_us).tolist())
-        state.setTimeoutTimestamp(max(int(wake_us) // 1000 + 1, watermark_ms + 1))
-
-    return handle
-
-
-def bucket_count(df):
-    """Number of state groups; like that of the partitions, fixed for the life of a checkpoint."""
-    return BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def presence_rows(arrivals, events, shards=SHARDS):
-    """Arrivals and presence events as one stream of sharded session rows."""
+
+    def __init__(self, ttl_us):
+        self.ttl_us = ttl_us
+
+    def init(self, handle):
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, id bigint, kind int, payload string")
+        self.standing = handle.getValueState("standing", "us bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(r.us, r.id, r.kind, r.payload) for r in rows]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(r[0] for r in new) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get())
+        ready, later = [r for r in rows if r[0] <= passed_us], [tuple(r) for r in rows if r[0] > passed_us]
+        standing = self.standing.get()
+        flags, connected_us = gate(ready, standing[0] if standing else None, self.ttl_us)
+        if connected_us is not None and connected_us + self.ttl_us <= passed_us:
+            connected_us = None
+        if ready:
+            self.waiting.put(later) if later else self.waiting.clear()
+        if connected_us is not None:
+            self.standing.update((connected_us,))
+        elif standing:
+            self.standing.clear()
+        if later or connected_us is not None:
+            wake_us = min(r[0] for r in later) if later else connected_us + self.ttl_us
+            self.handle.registerTimer(max(wake_us, passed_us) // 1000 + 1)
+        for message, us, payload, online in flags:
+            yield Row(session_id=key[0], message_id=message, us=us, payload=payload, online=online)
+
+    def close(self):
+        pass
+
+
+def busy_sessions(arrivals, most=BUSY_ROWS):
+    """(session, parts) of sessions with more than ``most`` arrivals in a table like the one to come."""
+    counts = arrivals.filter("session_id IS NOT NULL").groupBy(F.col("session_id").alias("session")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") > most).select("session", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+
+
+def presence_rows(arrivals, events, busy=None):
+    """Arrivals and presence events as one stream of rows by session and part."""
     us = F.unix_micros("ts")
     left = arrivals.select(
-        F.col("session_id").alias("session"), F.pmod(F.xxhash64("message_id"), F.lit(shards)).cast("int").alias("shard"),
-        "ts", us.alias("us"), F.col("message_id").alias("id"), F.lit(ARRIVAL).alias("kind"), "payload")
+        F.col("session_id").alias("session"), "ts", us.alias("us"), F.col("message_id").alias("id"), F.lit(ARRIVAL).alias("kind"), "payload")
     right = events.select(
-        F.col("session_id").alias("session"), F.explode(F.array(*[F.lit(s) for s in range(shards)])).alias("shard"),
-        "ts", us.alias("us"), F.col("event_id").alias("id"),
-        F.when(F.col("kind") == "connect", CONNECT).otherwise(DISCONNECT).alias("kind"),
-        F.lit(None).cast("string").alias("payload"))
-    return left.unionByName(right)
+        F.col("session_id").alias("session"), "ts", us.alias("us"), F.col("event_id").alias("id"),
+        F.when(F.col("kind") == "connect", CONNECT).otherwise(DISCONNECT).alias("kind"), F.lit(None).cast("string").alias("payload"))
+    if busy is None:
+        return left.withColumn("part", F.lit(0)).unionByName(right.withColumn("part", F.lit(0)))
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(busy, "session", "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    right = right.join(busy, "session", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.drop("parts").unionByName(right.drop("parts"))
 
 
-def presence_stream(arrivals, events, ttl_s=TTL_S, delay="1 hour", shards=SHARDS, buckets=None, side=None):
+def presence_stream(arrivals, events, ttl_s=TTL_S, delay="1 hour", busy=None, side=None):
     """Streaming gate: each arrival of (message_id, session_id, ts, payload) with ``online``.
 
     ``ts`` is a timestamp with time zone. Rows more than ``delay`` behind are dropped
     and counted by the query's progress. Arrivals without a session are offline and
-    need no state. Sessions share the state of a bucket, which is worked on as one table;
-    more ``buckets`` keep each one smaller. The connects and disconnects of a session, few next to its
-    arrivals, go to every shard. ``side`` is an optional stream of further rows.
+    need no state. Every session has state and timers of its own; ``busy`` names sessions
+    whose arrivals are spread over several states (``busy_sessions``), to each of which
+    their connects and disconnects go, few next to their arrivals. ``side`` is an optional
+    stream of further rows.
     """
-    rows = presence_rows(arrivals.filter("session_id IS NOT NULL"), events, shards)
+    rows = presence_rows(arrivals.filter("session_id IS NOT NULL"), events, busy)
     if side is not None:
         rows = rows.unionByName(side)
-    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("session", "shard"), F.lit(buckets or bucket_count(rows))))
-    gated = (keyed.withWatermark("ts", delay).groupBy("bucket")
-             .applyInPandasWithState(_gate(ttl_s * 1_000_000), _OUT_SCHEMA, _STATE_SCHEMA, "append",
-                                     GroupStateTimeout.EventTimeTimeout))
+    gated = (rows.withWatermark("ts", delay).groupBy("session", "part")
+             .transformWithState(PresenceGate(ttl_s * 1_000_000), _OUT_SCHEMA, "append", "EventTime"))
     stateless = arrivals.filter("session_id IS NULL").select(
         "session_id", "message_id", F.unix_micros("ts").alias("us"), "payload", F.lit(False).alias("online"))
     return gated.unionByName(stateless)
@@ -115,7 +117,7 @@ def presence_stream(arrivals, events, ttl_s=TTL_S, delay="1 hour", shards=SHARDS
 
 def presence_flush(ts):
     """A row that moves the watermark and decides nothing."""
-    return {"session": F.lit(""), "shard": F.lit(0), "ts": ts, "us": F.unix_micros(ts), "id": F.lit(-1).cast("bigint"),
+    return {"session": F.lit(""), "part": F.lit(0), "ts": ts, "us": F.unix_micros(ts), "id": F.lit(-1).cast("bigint"),
             "kind": F.lit(DISCONNECT), "payload": F.lit(None).cast("string")}
 
 

@@ -1,21 +1,17 @@
-"""Delivery attempts on a stream."""
+"""Delivery attempts on a stream: state and timers of each message."""
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from chatloom.operators.delivery import MAX_ATTEMPTS, PUSH_RETRY, outcome_columns
 
-BUCKETS_PER_PARTITION = 16  # state groups per shuffle partition; a bucket keeps the counts of its open messages
 RETENTION_S = 7 * 86400  # how long a settled message is remembered; far beyond the longest delay of a policy
 
-_STATE_SCHEMA = ("message array<long>, n array<long>, settled array<boolean>, last_us array<long>, "
-                 "message_id array<long>, us array<long>, tie array<string>, ok array<boolean>")
-_OUT_SCHEMA = "message_id long, n_seen long, first_ok long"
-_KNOWN, _COLUMNS = ["message", "n", "settled", "last_us"], ["message_id", "us", "tie", "ok"]
+_OUT_SCHEMA = "message_id long, n_seen long, first_ok long, at_us long"
 
 
-def _first_attempts(max_attempts):
+def first_attempts(max_attempts):
     """Keep the first attempts of each message within a batch; later ones cannot matter."""
     def combine(batches):
         for batch in batches:
@@ -23,104 +19,100 @@ def _first_attempts(max_attempts):
     return combine
 
 
-def _advance(known, ready, max_attempts):
-    """Add attempts to the counts of their messages.
+class Redelivery(StatefulProcessor):
+    """The state of one message: attempts so far, whether it is settled, and attempts that wait.
 
-    ``known`` has one row per message (n, settled, last_us). Returns it updated, with
-    ``first_ok`` and ``news`` for messages that were settled by these attempts.
+    An attempt waits until the watermark has passed it and, with ``delays_us`` (the pause
+    after each failure), until the pause after the failure before it is over: an attempt
+    that comes sooner is held, and takes place when the pause ends. A timer wakes the message
+    for its first waiting attempt, to forget it once settled, or to give it up as pending.
     """
-    ready = ready.sort_values(["message_id", "us", "tie"])
-    before = known["n"].reindex(ready["message_id"]).fillna(0).to_numpy(dtype="int64")
-    place = ready.groupby("message_id").cumcount().to_numpy() + 1 + before
-    ready = ready.assign(place=place, hit=pd.Series(place, index=ready.index).where(ready["ok"] & (place <= max_attempts)))
-    per = ready.groupby("message_id").agg(n=("place", "max"), first_ok=("hit", "min"), last_us=("us", "max"))
-    out = known.reindex(known.index.union(per.index))
-    was_settled = out["settled"].eq(True)
-    out["n"] = per["n"].reindex(out.index).fillna(out["n"]).astype("int64").clip(upper=max_attempts)
-    out["last_us"] = per["last_us"].reindex(out.index).fillna(out["last_us"]).astype("int64")
-    out["first_ok"] = per["first_ok"].reindex(out.index)
-    done = out["first_ok"].notna() | (out["n"] >= max_attempts)
-    out["news"] = done & ~was_settled
-    out["settled"] = done | was_settled
-    return out
-
-
-def _report(rows):
-    return pd.DataFrame({"message_id": rows.index.to_numpy(dtype="int64"), "n_seen": rows["n"].to_numpy(dtype="int64"),
-                         "first_ok": rows["first_ok"].astype("Int64").array})
-
-
-def _track(max_attempts, retention_us, pending_us):
-    """Handler of one bucket of messages; attempts wait until the watermark has passed them."""
-    def handle(key, frames, state):
-        parts = [f[_COLUMNS] for f in frames]
-        known = pd.DataFrame({c: [] for c in _KNOWN})
-        if state.exists:
-            held = state.get
-            known = pd.DataFrame(dict(zip(_KNOWN, held[:4])))
-            parts.append(pd.DataFrame(dict(zip(_COLUMNS, held[4:]))))
-        known = known.set_index("message")
-        parts = [p for p in parts if len(p)]
-        rows = pd.concat(parts) if parts else pd.DataFrame({c: [] for c in _COLUMNS})
-        watermark_us = state.getCurrentWatermarkMs() * 1000
-        passed = rows["us"] <= watermark_us
-        waiting = rows[~passed].sort_values(["us", "tie"])
-        if passed.any():
-            known = _advance(known, rows[passed].astype({"ok": bool}), max_attempts)
-            if known["news"].any():
-                yield _report(known[known["news"]])
+
+    def __init__(self, max_attempts, delays_us, retention_us, pending_us):
+        self.max_attempts, self.delays_us, self.retention_us, self.pending_us = max_attempts, delays_us, retention_us, pending_us
+
+    def init(self, handle):
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, tie string, ok boolean")
+        self.seen = handle.getValueState("seen", "n bigint, settled boolean, at_us bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        seen = self.seen.get()
+        if seen and seen[1]:
+            return iter(())  # a repeat of a settled message
+        new = sorted((r.us, r.tie, r.ok) for r in rows)[:self.max_attempts]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(new[0][0] // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        n, settled, at_us = self.seen.get() or (0, False, 0)
+        rows = [] if settled else sorted(map(tuple, self.waiting.get()))
+        if not n and not rows:
+            return  # an earlier timer has done it all
+        taken, news = 0, None
+        for us, _, ok in rows:
+            takes_place = max(us, at_us + self.delays_us[n - 1]) if n and self.delays_us else us
+            if takes_place > passed_us:
+                break
+            n, at_us, taken = n + 1, takes_place, taken + 1
+            settled = ok or n >= self.max_attempts
+            if settled:
+                news = Row(message_id=key[0], n_seen=n, first_ok=n if ok else None, at_us=at_us)
+                break
         # Of what waits, only attempts that can still count are kept.
-        finished = known.index[known["settled"].astype(bool)]
-        waiting = waiting[~waiting["message_id"].isin(finished)].groupby("message_id", sort=False).head(max_attempts)
-        # A settled message is remembered for a while, so that a repeat is not reported again;
-        # an open one keeps its count until it is settled or asked for as pending.
-        settled, silent = known["settled"].astype(bool), ~known.index.isin(waiting["message_id"])
-        forgotten = settled & silent & (known["last_us"] + retention_us <= watermark_us)
-        if pending_us is not None:
-            idle = ~settled & silent & (known["last_us"] + pending_us <= watermark_us)
-            if idle.any():
-                yield _report(known[idle].assign(first_ok=None))
-            forgotten |= idle
-        known = known[~forgotten]
-        if not len(known) and not len(waiting):
-            state.remove()
-            return
-        state.update((known.index.astype("int64").tolist(), known["n"].astype("int64").tolist(), known["settled"].astype(bool).tolist(),
-                      known["last_us"].astype("int64").tolist(), waiting["message_id"].astype("int64").tolist(),
-                      waiting["us"].astype("int64").tolist(), waiting["tie"].tolist(), waiting["ok"].astype(bool).tolist()))
-        done = known["settled"].astype(bool)
-        wakes = waiting["us"].tolist()[:1] + ([known.loc[done, "last_us"].min() + retention_us] if done.any() else [])
-        if pending_us is not None and not done.all():
-            wakes.append(known.loc[~done, "last_us"].min() + pending_us)
-        if wakes:
-            state.setTimeoutTimestamp(max(int(min(wakes)) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
-    return handle
-
-
-def redelivery_stream(attempts, max_attempts=MAX_ATTEMPTS, policy=PUSH_RETRY, retention_s=RETENTION_S, pending_after_s=None,
-                      delay="1 hour", buckets=None, side=None):
-    """Outcome of each message of a stream of attempts (message_id, ts, tie, ok).
+        later = [] if settled else rows[taken:taken + self.max_attempts - n]
+        given_up = False
+        if settled:
+            wake_us = at_us + self.retention_us
+            given_up = wake_us <= passed_us
+        elif later:
+            wake_us = max(later[0][0], at_us + self.delays_us[n - 1]) if n and self.delays_us else later[0][0]
+        else:
+            wake_us = None if self.pending_us is None else at_us + self.pending_us
+            given_up = wake_us is not None and wake_us <= passed_us
+            if given_up:
+                news = Row(message_id=key[0], n_seen=n, first_ok=None, at_us=at_us)
+        if given_up:
+            self.seen.clear()
+            self.waiting.clear()
+        else:
+            if taken:
+                self.seen.update((n, settled, at_us))
+            if taken or len(later) < len(rows):
+                self.waiting.put(later) if later else self.waiting.clear()
+            if wake_us is not None:
+                self.handle.registerTimer(max(wake_us, passed_us) // 1000 + 1)
+        if news is not None:
+            yield news
+
+    def close(self):
+        pass
+
+
+def redelivery_stream(attempts, max_attempts=MAX_ATTEMPTS, policy=PUSH_RETRY, hold=False, retention_s=RETENTION_S, pending_after_s=None,
+                      delay="1 hour", side=None):
+    """Outcome of each message of a stream of attempts (message_id, ts, tie, ok), with its time ``at_us``.
 
     Attempts are taken in order of (``ts``, ``tie``) once the watermark has passed
-    them. A message is reported once, when it is delivered or has failed for good,
+    them; with ``hold`` the policy acts, and one that comes before the pause after a failure is
+    over takes place when it is. A message is reported once, when it is delivered or has failed for good,
     however far apart its attempts are; for ``retention_s`` seconds after its last attempt
     a repeat of it is ignored. With ``pending_after_s`` a message without an attempt for
     so long is reported as pending and its count given up. Before the shuffle each task
     keeps only the first attempts of a message, so one with very many stays small.
     """
-    pending_us = None if pending_after_s is None else int(pending_after_s * 1_000_000)
     rows = attempts.select("message_id", "ts", F.unix_micros("ts").alias("us"), "tie", "ok")
     if side is not None:
         rows = rows.unionByName(side)
-    combined = rows.mapInPandas(_first_attempts(max_attempts), rows.schema)
-    buckets = buckets or BUCKETS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = combined.withColumn("bucket", F.pmod(F.xxhash64("message_id"), F.lit(buckets)))
-    counted = (keyed.withWatermark("ts", delay).groupBy("bucket")
-               .applyInPandasWithState(_track(max_attempts, int(retention_s * 1_000_000), pending_us), _OUT_SCHEMA, _STATE_SCHEMA, "append",
-                                       GroupStateTimeout.EventTimeTimeout))
+    combined = rows.mapInPandas(first_attempts(max_attempts), rows.schema)
+    pauses = [int(s * 1_000_000) for s in policy.seconds(max_attempts - 1)] if hold else None
+    pending_us = None if pending_after_s is None else int(pending_after_s * 1_000_000)
+    counted = (combined.withWatermark("ts", delay).groupBy("message_id")
+               .transformWithState(Redelivery(max_attempts, pauses, int(retention_s * 1_000_000), pending_us), _OUT_SCHEMA, "append", "EventTime"))
     n_used, outcome, delay_s = outcome_columns(F.col("n_seen"), F.col("first_ok"), max_attempts, policy)
-    return counted.select("message_id", n_used.alias("n_used"), outcome.alias("outcome"), delay_s.alias("next_delay_s"))
+    return counted.select("message_id", n_used.alias("n_used"), outcome.alias("outcome"), delay_s.alias("next_delay_s"), "at_us")
 
 
 def redelivery_flush(ts):

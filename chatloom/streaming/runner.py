@@ -36,34 +36,45 @@ def stream_session(spark):
 
 @dataclass(frozen=True)
 class Finished:
-    """Where a finished stream wrote its rows, and how many came too late to count."""
+    """Where a finished stream wrote its rows, how many came too late to count, and the most rows its state held after a batch."""
 
     path: str
     dropped_late: int
+    state_rows: int = 0
 
     def delete(self, spark):
         """Remove the rows, once they have been read."""
-        _delete(spark, self.path)
+        delete(spark, self.path)
 
 
-def _delete(spark, path):
+@dataclass(frozen=True)
+class Seen:
+    """What the progress reports of one run add up to."""
+
+    dropped: int
+    state_rows: int
+
+
+def delete(spark, path):
     """Remove a folder that a bounded run has made."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-class LateRows(StreamingQueryListener):
-    """Adds up the rows that a query's operators dropped as late, over all of its progress reports."""
+class Reports(StreamingQueryListener):
+    """Adds up the rows that a query's operators dropped as late, and the most they held, over all of its progress reports."""
 
     def __init__(self):
-        self.dropped, self.done = {}, {}
+        self.seen, self.done = {}, {}
 
     def onQueryStarted(self, event):
         self.done.setdefault(str(event.runId), threading.Event())
 
     def onQueryProgress(self, event):
         run = str(event.progress.runId)
-        self.dropped[run] = self.dropped.get(run, 0) + sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+        operators, before = event.progress.stateOperators, self.seen.get(run, Seen(0, 0))
+        self.seen[run] = Seen(before.dropped + sum(o.numRowsDroppedByWatermark for o in operators),
+                              max(before.state_rows, sum(o.numRowsTotal for o in operators)))
 
     def onQueryIdle(self, event):
         pass
@@ -72,18 +83,18 @@ class LateRows(StreamingQueryListener):
         self.done.setdefault(str(event.runId), threading.Event()).set()
 
     def of(self, query):
-        """Late rows of a query that has ended; its end is reported after its last progress."""
+        """What a query that has ended has reported; its end is reported after its last progress."""
         run = str(query.runId)
         if not self.done.setdefault(run, threading.Event()).wait(60):
             raise TimeoutError("the end of the query was not reported")
-        return self.dropped.get(run, 0)
+        return self.seen.get(run, Seen(0, 0))
 
 
 def run_available(stream, path, checkpoint, foreach_batch=None):
-    """Process all input there is and stop; returns the number of late rows."""
-    late = LateRows()
+    """Process all input there is and stop; returns what was ``Seen``."""
+    reports = Reports()
     streams = stream.sparkSession.streams
-    streams.addListener(late)
+    streams.addListener(reports)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if foreach_batch is None:
         query = writer.format("parquet").outputMode("append").start(path)
@@ -91,9 +102,9 @@ def run_available(stream, path, checkpoint, foreach_batch=None):
         query = writer.outputMode("append").foreachBatch(foreach_batch).start()
     try:
         query.awaitTermination()
-        return late.of(query)
+        return reports.of(query)
     finally:
-        streams.removeListener(late)
+        streams.removeListener(reports)
 
 
 def run_bounded(spark, build, flush_row=None, foreach_batch=None):
@@ -110,21 +121,21 @@ def run_bounded(spark, build, flush_row=None, foreach_batch=None):
     path, checkpoint, side = f"{root}/out", f"{root}/checkpoint", f"{root}/flush"
     sink = None if foreach_batch is None else foreach_batch(path)
     if flush_row is None:
-        done = Finished(path, run_available(build(), path, checkpoint, sink))
-        _delete(spark, checkpoint)
-        return done
+        seen = run_available(build(), path, checkpoint, sink)
+        delete(spark, checkpoint)
+        return Finished(path, seen.dropped, seen.state_rows)
     row = spark.range(1).select(*[c.alias(n) for n, c in flush_row.items()])
     row.limit(0).write.parquet(side)
 
     def start():
         return run_available(build(spark.readStream.schema(row.schema).parquet(side)), path, checkpoint, sink)
 
-    late = start()
+    first = start()
     row.write.mode("append").parquet(side)
-    done = Finished(path, late + start())
-    _delete(spark, checkpoint)
-    _delete(spark, side)
-    return done
+    last = start()
+    delete(spark, checkpoint)
+    delete(spark, side)
+    return Finished(path, first.dropped + last.dropped, max(first.state_rows, last.state_rows))
 
 
 def flush_ts():

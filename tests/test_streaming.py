@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from chatloom.functions import rails
 from chatloom.operators import delivery, presence as batch_presence, replies
 from chatloom.operators.guards import apply_guards
-from chatloom.plans import catalog, fixtures, stream_catalog  # noqa: F401
-from chatloom.streaming import messages, presence, redelivery
+from chatloom.plans import catalog, stream_catalog  # noqa: F401
+from chatloom.streaming import messages, presence, redelivery, replay
 from chatloom.streaming.runner import flush_ts, run_bounded, stream_session
 from tests.test_joins import arrival_table, event_table, random_presence
 from tests.test_messages import b64
@@ -46,9 +46,12 @@ def test_presence_stream_equals_batch(spark, own, tmp_path):
     e, a = event_table(spark, events), arrival_table(spark, arrivals).withColumn("payload", F.col("message_id").cast("string"))
     es, as_ = in_files(stamped(e), str(tmp_path / "e"), 3, "ts"), in_files(stamped(a), str(tmp_path / "a"), 3, "ts")
 
+    busy = presence.busy_sessions(a, 20)
+    assert busy.agg(F.max("parts")).first()[0] > 1
+
     def build(side):
         return presence.presence_stream(stream_of(own, str(tmp_path / "a"), as_), stream_of(own, str(tmp_path / "e"), es),
-                                        900, "1 day", shards=3, buckets=5, side=side)
+                                        900, "1 day", busy=busy, side=side)
 
     done = run_bounded(own, build, presence.presence_flush(flush_ts()))
     assert done.dropped_late == 0
@@ -68,7 +71,7 @@ def test_late_rows_are_counted(spark, own, tmp_path):
 
     def attempts(side):
         rows = read().select("message_id", "ts", F.lit("").alias("tie"), F.lit(True).alias("ok"))
-        return redelivery.redelivery_stream(rows, delay="1 minute", buckets=2, side=side)
+        return redelivery.redelivery_stream(rows, delay="1 minute", side=side)
 
     done = run_bounded(own, attempts, redelivery.redelivery_flush(flush_ts()))
     assert done.dropped_late == 1
@@ -104,7 +107,7 @@ def test_redelivery_stream_equals_batch(spark, own, tmp_path):
     schema = in_files(df, str(tmp_path / "t"), 4, "ts")
 
     def build(side):
-        return redelivery.redelivery_stream(stream_of(own, str(tmp_path / "t"), schema), pending_after_s=10 ** 6, delay="200 seconds", buckets=5, side=side)
+        return redelivery.redelivery_stream(stream_of(own, str(tmp_path / "t"), schema), pending_after_s=10 ** 6, delay="200 seconds", side=side)
 
     done = run_bounded(own, build, redelivery.redelivery_flush(flush_ts()))
     rows = spark.read.parquet(done.path).collect()
@@ -123,7 +126,7 @@ def test_attempts_far_apart_in_a_busy_stream(spark, own, tmp_path):
         df.filter((F.unix_seconds("ts") - 10 ** 6).between(3000 * k, 3000 * k + 2999)).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
 
     def build(side):
-        return redelivery.redelivery_stream(stream_of(own, str(tmp_path / "t"), schema), delay="10 seconds", buckets=3, side=side)
+        return redelivery.redelivery_stream(stream_of(own, str(tmp_path / "t"), schema), delay="10 seconds", side=side)
 
     got = spark.read.parquet(run_bounded(own, build, redelivery.redelivery_flush(flush_ts())).path).collect()
     assert {(r.message_id, r.outcome) for r in got} == {(1, "dead_letter"), (2, "delivered")} | {(100 + i, "delivered") for i in range(40)}
@@ -173,7 +176,7 @@ def test_envelope_stream(spark, own, tmp_path):
 
     def build(side):
         return messages.envelope_outcomes(stream_of(own, str(tmp_path / "q"), qs), stream_of(own, str(tmp_path / "e"), es),
-                                          delay="1 day", buckets=3, side=side)
+                                          delay="1 day", side=side)
 
     done = run_bounded(own, build, presence.presence_flush(flush_ts()), messages.outcome_sink)
     out = [(r.message_id, r.outcome, r.reason) for r in spark.read.parquet(done.path).collect()]
@@ -182,7 +185,7 @@ def test_envelope_stream(spark, own, tmp_path):
     numbered = q.withColumns({"delivery_attempt": F.lit(5), "publish_failed": F.col("message_id") == 1})
     ns = in_files(numbered, str(tmp_path / "n"), 1, "ts")
     done = run_bounded(own, lambda side: messages.envelope_outcomes(
-        stream_of(own, str(tmp_path / "n"), ns), stream_of(own, str(tmp_path / "e"), es), delay="1 day", buckets=3, side=side),
+        stream_of(own, str(tmp_path / "n"), ns), stream_of(own, str(tmp_path / "e"), es), delay="1 day", side=side),
         presence.presence_flush(flush_ts()), messages.outcome_sink)
     out = [(r.message_id, r.outcome, r.reason, r.delivery_attempt) for r in spark.read.parquet(done.path).collect()]
     assert sorted(out, key=str) == sorted([(1, "dead_letter", "publish_error", 5)] * 2 + [
@@ -197,9 +200,104 @@ def test_envelope_stream(spark, own, tmp_path):
 
 @pytest.mark.parametrize("name, table, column", [
     ("t4_redelivery_stream", "lineitem", "l_shipdate"), ("t3_sliding_presence_stream", "events", "ts"), ("t6_reply_fold_stream", "conversations", "conv_id")])
-def test_files_in_any_order_lose_nothing(spark, tmp_path, monkeypatch, name, table, column):
+def test_files_in_any_order_lose_nothing(spark, tmp_path, name, table, column):
     sf = "/root/testdata/sf0.001"
     spark.read.parquet(f"{sf}/{table}.parquet").repartitionByRange(3, F.desc(column)).write.parquet(f"{tmp_path}/{table}.parquet")
     want = sorted(map(tuple, catalog.QUERIES[name](spark, sf).collect()), key=str)
-    monkeypatch.setattr(fixtures, "BATCH_BYTES", 1)  # a file a batch
     assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=str) == want
+
+
+def test_gate_by_hand():
+    c, d, a = presence.CONNECT, presence.DISCONNECT, presence.ARRIVAL
+    rows = [(5, 1, a, "x"), (5, 9, c, None), (7, 2, d, None), (7, 3, a, "y"), (6, 4, a, "z"), (20, 5, c, None), (30, 6, a, "w"), (29, 7, a, None)]
+    flags, connected = presence.gate(rows, None, 10)
+    assert flags == [(1, 5, "x", True), (4, 6, "z", True), (3, 7, "y", False), (7, 29, None, True), (6, 30, "w", False)] and connected == 20
+    assert presence.gate([(3, 1, a, "x")], 0, 10) == ([(1, 3, "x", True)], 0)
+
+
+def shuffled_files(df, folder, n):
+    df.repartition(n, F.hash("ts")).write.parquet(folder)
+
+
+def test_replay_of_shuffled_files_holds_the_delay_not_the_table(spark, own, tmp_path, monkeypatch):
+    """Each slice is a run that goes on from the checkpoint of the one before, as after a restart."""
+    monkeypatch.setattr(replay, "LEAST_SLICES", 5)
+    rows = [(i, f"s{i % 50}", 10 * i) for i in range(4000)]
+    a = arrival_table(spark, rows).withColumn("payload", F.lit("p"))
+    e = event_table(spark, [(i, f"s{i}", 500 * i, "connect") for i in range(50)] + [(100 + i, f"s{i}", 500 * i + 700, "disconnect") for i in range(0, 50, 2)])
+    both = stamped(a.select("message_id", "session_id", "ts", "payload", F.lit("arrival").alias("kind")).unionByName(
+        e.select(F.col("event_id").alias("message_id"), "session_id", "ts", F.lit(None).cast("string").alias("payload"), "kind")))
+    shuffled_files(both, str(tmp_path / "b"), 5)
+
+    def build(read, side):
+        arrivals = read().filter("kind = 'arrival'").drop("kind")
+        events = read().filter("kind <> 'arrival'").select(F.col("message_id").alias("event_id"), "session_id", "ts", "kind")
+        return presence.presence_stream(arrivals, events, 900, "1 minute", side=side)
+
+    done = replay.run_replayed(own, own.read.parquet(str(tmp_path / "b")), build, presence.presence_flush(flush_ts()))
+    expected = batch_presence.with_online(a, batch_presence.presence_intervals(e, 900))
+    got = {r.message_id: r.online for r in spark.read.parquet(done.path).collect()}
+    assert got == {r.message_id: r.online for r in expected.collect()} and sum(got.values()) > 20
+    assert done.dropped_late == 0
+    # A slice is 800 rows; between the runs only connects that stand and the rows of the delay are held.
+    assert 0 < done.state_rows < 1500
+
+
+def test_replay_of_an_empty_table(spark, own, tmp_path):
+    a = stamped(arrival_table(spark, [(1, "s", 0)]).limit(0)).withColumn("payload", F.lit("p"))
+    e = stamped(event_table(spark, [(1, "s", 0, "connect")]).limit(0))
+
+    def build(read, side):
+        events = own.readStream.schema(e.schema).parquet(side_folder)
+        return presence.presence_stream(read(), events, side=side)
+
+    side_folder = str(tmp_path / "e")
+    e.write.parquet(side_folder)
+    done = replay.run_replayed(own, a, build, presence.presence_flush(flush_ts()))
+    assert spark.read.schema("message_id long").parquet(done.path).count() == 0
+
+
+def test_redelivery_state_is_forgotten_by_timers(spark, own, monkeypatch):
+    """Settled messages go after the retention, pending ones after theirs; a repeat after that starts anew."""
+    hour = 3600
+    rows = [(1, 0, True), (1, hour, False), (1, 50 * hour, True), (2, 0, False), (2, 30 * hour, False)] + [(100 + i, i * hour, True) for i in range(80)]
+    df = spark.createDataFrame(rows, "message_id long, sec long, ok boolean").select(
+        "message_id", F.timestamp_seconds(F.col("sec") + 10 ** 6).alias("ts"), F.lpad(F.col("sec").cast("string"), 6, "0").alias("tie"), "ok")
+
+    def build(read, side):
+        return redelivery.redelivery_stream(read(), retention_s=5 * hour, pending_after_s=10 * hour, delay="0 seconds", side=side)
+
+    monkeypatch.setattr(replay, "LEAST_SLICES", 7)
+    done = replay.run_replayed(own, df, build, redelivery.redelivery_flush(flush_ts()))
+    got = [tuple(r)[:3] for r in spark.read.parquet(done.path).collect() if r.message_id < 100]
+    assert sorted(got) == [(1, 1, "delivered"), (1, 1, "delivered"), (2, 1, "pending"), (2, 1, "pending")]
+    assert done.state_rows < 60
+
+
+def held_by_hand(rows, waits=(10, 20, 40, 80, 160), most=5):
+    out = {}
+    for message in {r[0] for r in rows}:
+        at, n, outcome = None, 0, "pending"
+        for sec, ok in sorted((s, o) for m, s, o in rows if m == message)[:most]:
+            at = sec if at is None else max(sec, at + waits[n - 1])
+            n += 1
+            if ok or n == most:
+                outcome = "delivered" if ok else "dead_letter"
+                break
+        out[message] = (n, outcome, at, at + waits[n - 1] if outcome == "pending" else None)
+    return out
+
+
+def test_held_attempts_batch_and_stream(spark, own, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.randrange(60), t, rng.random() < 0.2) for t in rng.sample(range(2000), 400)]
+    want = held_by_hand(rows)
+    table = spark.createDataFrame(rows, "message_id long, sec long, ok boolean")
+    got = delivery.held_attempts(table, ["sec"], "sec").collect()
+    assert {r.message_id: (r.n_used, r.outcome, r.at_s, r.next_at_s) for r in got} == want
+    timed = table.select("message_id", F.timestamp_seconds("sec").alias("ts"), F.lpad(F.col("sec").cast("string"), 6, "0").alias("tie"), "ok")
+    done = replay.run_replayed(own, timed, lambda read, side: redelivery.redelivery_stream(
+        read(), hold=True, pending_after_s=10 ** 6, delay="0 seconds", side=side), redelivery.redelivery_flush(flush_ts()))
+    got = spark.read.parquet(done.path).collect()
+    assert {r.message_id: (r.n_used, r.outcome, r.at_us // 10 ** 6) for r in got} == {m: w[:3] for m, w in want.items()}
+    assert done.dropped_late == 0 and len(got) == len(want)
