@@ -358,6 +358,8 @@ def oracle_sql():
       SELECT message_id, judged.session_id, reason, outcome, delivery_attempt,
              CASE WHEN reason IS NULL THEN 'user_' || coalesce(judged.session_id, 'None') END AS channel,
              CASE WHEN reason IS NULL THEN event_type END AS content FROM judged JOIN events ON message_id = event_id"""
+    sql["s2_queue_log_stream"] = sql["s2_envelope_decode"]
+    sql["s3_queue_log_sink"] = sql["s3_reply_encode"]
     sql["t2_presence_stream"] = sql["j1_presence_gate"]
     sql["t3_sliding_presence_stream"] = GAPS
     sql["t4_redelivery_stream"] = ATTEMPTS

@@ -3,12 +3,16 @@
 from pyspark.sql import functions as F
 
 from chatloom.functions import rails
+from chatloom.operators import replies
 from chatloom.operators.presence import from_epoch_us
 from chatloom.plans import fixtures as fx
 from chatloom.plans.catalog import query
+from chatloom.session import shared_folder
+from chatloom.sources import envelopes as env
+from chatloom.sources import queue_log
 from chatloom.streaming import messages, presence, redelivery
 from chatloom.streaming.replay import run_replayed
-from chatloom.streaming.runner import FLUSH_TIME, flush_ts, run_bounded, stream_session
+from chatloom.streaming.runner import FLUSH_TIME, delete, flush_ts, run_available, run_bounded, stream_session
 
 # A burst of attempts is over after this.
 PENDING_AFTER_S = 86400
@@ -53,6 +57,35 @@ def _presence_run(own, d, build, foreach_batch=None):
                         presence.presence_flush(flush_ts()), foreach_batch)
 
 
+@query
+def s2_queue_log_stream(spark, d):
+    """Envelopes published to a log by three writes, read from it as a stream and decoded."""
+    queue_log.register(spark)
+    log = shared_folder(spark, "queue")
+    flat = env.flatten_envelopes(fx.envelopes(fx.table(spark, d, "conversations")))
+    published = queue_log.log_rows(flat, F.col("messageId"), F.to_timestamp("publishTime"))
+    for part in range(3):
+        published.where(F.pmod(F.xxhash64("messageId"), F.lit(3)) == part).write.format("envelope_log").mode("append").save(log)
+    done = run_bounded(spark, lambda: env.decode_envelopes(spark.readStream.format("envelope_log").load(log)))
+    delete(spark, log)
+    return spark.read.parquet(done.path).select(
+        F.col("messageId").alias("message_id"), "session_id", "decode_ok",
+        F.get_json_object("payload", "$.sender").alias("sender"), F.get_json_object("payload", "$.content").alias("content"))
+
+
+@query
+def s3_queue_log_sink(spark, d):
+    """Replies published to a log, carried to a second log by a stream, and read from there."""
+    queue_log.register(spark)
+    first, second = shared_folder(spark, "queue"), shared_folder(spark, "queue")
+    encoded = env.encode_replies(replies.fold_replies(fx.agent_events(fx.view(spark, d, "agent_rows"))))
+    queue_log.log_rows(encoded, F.col("invocation_id")).write.format("envelope_log").mode("append").save(first)
+    run_available(spark.readStream.format("envelope_log").load(first), second, shared_folder(spark, "stream"), fmt="envelope_log")
+    decoded = env.decode_envelopes(spark.read.format("envelope_log").load(second))
+    return decoded.select(F.col("messageId").cast("long").alias("invocation_id"), "session_id", "decode_ok",
+                          F.get_json_object("payload", "$.sender").alias("sender"), F.get_json_object("payload", "$.content").alias("content"))
+
+
 @query
 def t1_envelope_stream(spark, d):
     own = stream_session(spark)

@@ -90,14 +90,14 @@ class Reports(StreamingQueryListener):
         return self.seen.get(run, Seen(0, 0))
 
 
-def run_available(stream, path, checkpoint, foreach_batch=None):
+def run_available(stream, path, checkpoint, foreach_batch=None, fmt="parquet"):
     """Process all input there is and stop; returns what was ``Seen``."""
     reports = Reports()
     streams = stream.sparkSession.streams
     streams.addListener(reports)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if foreach_batch is None:
-        query = writer.format("parquet").outputMode("append").start(path)
+        query = writer.format(fmt).outputMode("append").start(path)
     else:
         query = writer.outputMode("append").foreachBatch(foreach_batch).start()
     try:
