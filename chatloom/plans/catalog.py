@@ -11,7 +11,7 @@ from chatloom.functions.model_rail import model_column, model_rail
 from chatloom.functions.redaction import INFO_TYPES
 from chatloom.functions.text import date_instruction, primary_text, render
 from chatloom.operators import (
-    delivery, guards, leakage, presence, replies, report, retrieval, routing, scoring, sessions, translation, turns,
+    delivery, guards, leakage, moderation, presence, replies, report, retrieval, routing, scoring, sessions, translation, turns,
 )
 from chatloom.plans import fixtures as fx
 from chatloom.sources import envelopes as env
@@ -194,6 +194,18 @@ def g3_profanity_guard(spark, d):
         "msg_id", "o.is_blocked", F.col("o.blocked_reason").alias("reason"))
 
 
+@query
+def g3_learned_moderation(spark, d):
+    """The threshold rule on the confidence of a model learned from labelled documents."""
+    docs = fx.table(spark, d, "documents")
+    model = moderation.learn(docs, fx.table(spark, d, "labels"), "doc_id", "toxic")
+    outcome = rails.ProfanityRail(categories=lambda text: F.col("categories")).process(F.col("text")).struct()
+    scored = docs.select("doc_id", "text", model.categories(F.col("text")).alias("categories"))
+    return scored.select(F.col("doc_id").alias("msg_id"), moderation.fold(F.col("doc_id")).alias("fold"),
+                         F.round(rails.category_confidence(F.col("categories")), 4).alias("confidence"), outcome.alias("o")).select(
+        "msg_id", "fold", "confidence", "o.is_blocked", F.col("o.blocked_reason").alias("reason"))
+
+
 @query
 def g4_jailbreak_screen(spark, d):
     return guards.jailbreak_screen(_messages(spark, d), "text", rails.JailbreakRail()).select("msg_id", "refused", "reply")
