@@ -113,3 +113,20 @@ def test_query_against_brute_force(spark):
     got = QUERIES["op6_minhash_near_duplicates"](spark, SF).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 85)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Rows (5, A), (5, B) and (3, B with one more word): B is linked with its copy, A with nothing."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, a, 1), (5, b, 2), (3, b + " more", 3), (5, a, 4), (7, "", 5), (7, None, 6), (7, " ", 7), (None, a, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 3, 90).collect()), key=str)
+    assert got == sorted([(5, 58, 5, True), (5, 58, 3, False), (3, 59, 3, True), (5, 58, 5, True), (7, 0, 7, True), (7, 0, 7, True),
+                          (7, 0, 7, True), (None, 58, None, True)], key=str)
+    kept = neardup.deduplicated(docs, 3, 90)
+    assert kept.columns == docs.columns
+    assert sorted({(r.doc_id, r.text) for r in kept.collect()}, key=str) == sorted(
+        {(5, a), (3, b + " more"), (None, a), (7, " ")} | {(r.doc_id, r.text) for r in kept.collect() if r.doc_id == 7}, key=str)
+    assert sum(r.doc_id == 5 for r in kept.collect()) == 1
+    exact = spark.createDataFrame([(5, a), (5, b), (3, b)], "doc_id long, text string")
+    assert sorted(map(tuple, neardup.deduplicated(exact, 3, 90).collect())) == [(3, b), (5, a)]
