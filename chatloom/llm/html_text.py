@@ -9,7 +9,7 @@ the page is read, from element names and from the words of class and id.
 
 import html
 import re
-from collections import namedtuple
+from collections import Counter, namedtuple
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -32,16 +32,20 @@ al como con de del el ella en entre era es esta este ha la las lo los más mi no
 SHORT, LONG = 70, 200
 #: Shares of stop words among the words: below the first a block has none, from the second on it reads as prose.
 FEW_STOPS, MANY_STOPS = 0.05, 0.20
+#: Words of a page from which function words are learned at least, their greatest length and number.
+LEAST_WORDS, SHORT_WORD, FUNCTION_WORDS = 40, 4, 30
 #: A block with a larger share of link characters is bad.
 LINKED = 0.5
 
 #: Elements whose whole content is no text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object embed applet canvas audio video map head "
-                   "select option optgroup datalist textarea button title".split())
+                   "select option optgroup datalist textarea button title label".split())
 #: Elements whose content is not main text.
-ASIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
+ASIDE = frozenset("nav header footer aside menu dialog".split())
+#: Elements that are evidence against their content, as marks are: a whole page may stand in one.
+WEAK = {"form": "form element", "fieldset": "fieldset element"}
 #: Elements that do not break a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small "
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
 #: Elements without content or end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,16 +74,22 @@ MAIN = frozenset(["article", "main"])
 #: Elements that stand for the whole page or its text, whatever their class says.
 UNMARKED = frozenset(["html", "body", "main"])
 
+#: A quote begins a string only right after an equals sign; anywhere else it is a character like others.
+_VALUE = r"""=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>)|\Z)"""
 _TAG = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+    rf"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|{_VALUE})*+)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=>/]+)\s*+(?:=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]++)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0\s]+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Letters of scripts that are written without spaces: Han, Kana, Thai, Lao, Khmer, Burmese.
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
+_UNSPACED_RUN = re.compile(_UNSPACED.pattern + "+")
 _HEADING = re.compile(r"h[1-6]$")
 
-#: ``aside``: within a hidden region or one whose element is no main text; ``marks``: those of the regions around it; ``main``: number of the outermost article or main element around it, or 0.
-Block = namedtuple("Block", "text heading links aside main marks")
+#: ``aside``: within a hidden region or one whose element is no main text; ``marks``: those of the regions around it; ``main``: number of the outermost article or main element around it, or 0;
+#: ``stops`` and ``size``: share of function words, and length in characters of spaced scripts, once they are known.
+Block = namedtuple("Block", "text heading links aside main marks stops size", defaults=[0.0, 0])
 
 
 def _marked(attributes):
@@ -100,13 +110,19 @@ def _marked(attributes):
 
 
 class _Reader:
-    """Collects the blocks of a page; open elements are (name, kind of region, marks)."""
+    """Collects the blocks of a page; open elements are (name, kind of region, marks).
+
+    Work per tag does not depend on the depth: names open since the last element that breaks
+    a block are counted, and an end tag without a partner is known at once.
+    """
 
     def __init__(self):
         self.blocks, self.open = [], []
         self.parts, self.linked = [], 0
-        self.asides = self.mains = self.anchors = self.main = 0
-        self.heading, self.marks = False, []
+        self.asides = self.mains = self.anchors = self.headings = self.main = 0
+        self.marks, self.around = Counter(), frozenset()
+        self.names = Counter()
+        self.levels = [(-1, Counter())]  # depth of each open element that breaks a block, and the inline names open in it
 
     def text(self, data):
         if data:
@@ -118,8 +134,9 @@ class _Reader:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append(Block(text, self.heading, self.linked, self.asides > 0, self.main if self.mains else 0,
-                                         frozenset(self.marks)))
+                if self.around is None:
+                    self.around = frozenset(self.marks)
+                self.blocks.append(Block(text, self.headings > 0, self.linked, self.asides > 0, self.main if self.mains else 0, self.around))
         self.parts, self.linked = [], 0
 
     def start(self, name, attributes):
@@ -138,47 +155,60 @@ class _Reader:
         if name in VOID or attributes.rstrip().endswith("/") and name not in INLINE | BREAKS_P:
             return
         hides, marks = _marked(attributes) if name not in UNMARKED and attributes.strip() else (False, [])
+        if name in WEAK:
+            marks = [*marks, WEAK[name]]
         aside = name in ASIDE or hides
-        self.open.append((name, aside, len(marks)))
-        self.marks += marks
+        if name in INLINE:
+            self.levels[-1][1][name] += 1
+        else:
+            self.levels.append((len(self.open), Counter()))
+        self.open.append((name, aside, marks))
+        self.names[name] += 1
+        if marks:
+            self.marks.update(marks)
+            self.around = None
         self.asides += aside
         self.main += name in MAIN and not self.mains
         self.mains += name in MAIN
         self.anchors += name == "a"
-        self.heading = self.heading or bool(_HEADING.match(name))
+        self.headings += bool(_HEADING.match(name))
 
     def _close_sibling(self, names):
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth][0]
-            if name in names:
-                self._close_to(depth)
-                return
-            if name not in INLINE:
-                return
+        depth = self.levels[-1][0]
+        if depth >= 0 and self.open[depth][0] in names:
+            self._close_to(depth)
 
     def end(self, name):
         if name not in INLINE:
             self.end_block()
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == name:
-                self._close_to(depth)
-                return
-            if name in INLINE and self.open[depth][0] not in INLINE:
-                return
+        if not (self.levels[-1][1] if name in INLINE else self.names)[name]:
+            return
+        depth = len(self.open) - 1
+        while self.open[depth][0] != name:
+            depth -= 1
+        self._close_to(depth)
 
     def _close_to(self, depth):
         for name, aside, marks in self.open[depth:]:
             self.asides -= aside
-            del self.marks[len(self.marks) - marks:]
+            if marks:
+                self.marks.subtract(marks)
+                self.marks += Counter()
+                self.around = None
             self.mains -= name in MAIN
             self.anchors -= name == "a"
+            self.headings -= bool(_HEADING.match(name))
+            self.names[name] -= 1
+            if name in INLINE and self.levels[-1][0] < depth:
+                self.levels[-1][1][name] -= 1
         del self.open[depth:]
-        self.heading = any(_HEADING.match(name) for name, *_ in self.open)
+        while self.levels[-1][0] >= depth:
+            self.levels.pop()
 
 
 def blocks(page):
     """The text blocks of a page in order."""
-    reader, at, end = _Reader(), 0, len(page)
+    reader, at, end, unclosed = _Reader(), 0, len(page), set()
     while at < end:
         tag = _TAG.search(page, at)
         if not tag:
@@ -196,10 +226,13 @@ def blocks(page):
             if name not in INLINE:
                 reader.end_block()
             if name not in VOID and not tag[3].rstrip().endswith("/"):
-                closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                # What has no end tag from here on has none further on.
+                closing = None if name in unclosed else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 if closing:
                     at = closing.end()
-                elif name in ("script", "style", "textarea"):
+                else:
+                    unclosed.add(name)
+                if not closing and name in ("script", "style", "textarea"):
                     at = end
         else:
             reader.start(name, tag[3])
@@ -210,34 +243,60 @@ def blocks(page):
 GOOD, BAD, SHORT_BLOCK, NEAR = "good", "bad", "short", "near"
 
 
+def _learned(found):
+    """Function words of a page that has few of the known ones: its most frequent short words, or characters.
+
+    Scripts without spaces are read by characters. Short pages, and pages in known languages, have none.
+    """
+    words = [w for b in found if not b.aside and b.links <= LINKED * len(b.text) for w in _words(b.text)]
+    if len(words) < LEAST_WORDS or sum(w in STOP_WORDS for w in words) >= FEW_STOPS * len(words):
+        return frozenset()
+    counts = Counter(w for w in words if len(w) <= SHORT_WORD)
+    return frozenset(w for w, n in counts.most_common(FUNCTION_WORDS) if n >= 3)
+
+
+def _words(text):
+    """Words in lower case; of scripts without spaces, the characters."""
+    if _UNSPACED.search(text):
+        return [c for w in _WORD.findall(text) for c in (w if _UNSPACED.match(w) else [w.lower()])]
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def measured(found):
+    """The blocks with their shares of function words and their sizes."""
+    stops, out = STOP_WORDS | _learned(found), []
+    for b in found:
+        words = _words(b.text)
+        # A character of a script without spaces says about as much as two or three others.
+        size = len(b.text) + sum(len(m) for m in _UNSPACED_RUN.findall(b.text)) * 3 // 2
+        out.append(b._replace(stops=sum(w in stops for w in words) / max(1, len(words)), size=size))
+    return out
+
+
 def first_pass(block):
     """Good, bad, or undecided: short, or near good without being sure of it."""
     letters = len(block.text.replace(" ", ""))
-    if block.aside or block.links > LINKED * letters:
+    if block.aside:
         return BAD
-    if len(block.text) < SHORT:
+    if block.links > LINKED * letters:
+        # Prose that is one link, in an article: its neighbours decide.
+        return NEAR if block.main and block.size >= SHORT and block.stops >= MANY_STOPS else BAD
+    if block.size < SHORT:
         return BAD if block.links and not block.main else SHORT_BLOCK
-    stops = _stops(block)
-    if stops >= MANY_STOPS:
-        return GOOD if len(block.text) > LONG else NEAR
-    if stops >= FEW_STOPS:
+    if block.stops >= MANY_STOPS:
+        return GOOD if block.size > LONG else NEAR
+    if block.stops >= FEW_STOPS:
         return NEAR
     # Without function words it may be a list or a table; inside an article its neighbours decide.
     return NEAR if block.main else BAD
 
 
-def _stops(block):
-    """Share of stop words among the words of a block."""
-    words = [w.lower() for w in _WORD.findall(block.text)]
-    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
-
-
 def _with_prose(found, first):
     """Numbers of the article and main elements that hold more prose than one short block has."""
     prose = {}
     for b, k in zip(found, first):
-        if b.main and k in (GOOD, NEAR) and _stops(b) >= MANY_STOPS:
-            prose[b.main] = prose.get(b.main, 0) + len(b.text)
+        if b.main and k in (GOOD, NEAR) and b.stops >= MANY_STOPS:
+            prose[b.main] = prose.get(b.main, 0) + b.size
     return {number for number, length in prose.items() if length > LONG}
 
 
@@ -255,7 +314,7 @@ def _judged(found):
     good, held, around = 0, {}, {}
     text = [i for i, k in enumerate(first) if k != BAD]
     for i in text:
-        length = len(found[i].text) * (first[i] == GOOD)
+        length = found[i].size * (first[i] == GOOD)
         good += length
         for mark in found[i].marks:
             held[mark] = held.get(mark, 0) + length
@@ -282,7 +341,7 @@ def labels(found):
     where it has none; undecided blocks outside need good prose outside. Without any good
     block, the undecided ones are the text, those of article and main elements first.
     """
-    found = _judged(found)
+    found = _judged(measured(found))
     first = [first_pass(b) for b in found]
     trusted = _with_prose(found, first)
     if not trusted and GOOD not in first:  # nothing reads as prose: undecided blocks are all there is

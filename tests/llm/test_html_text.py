@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -122,3 +123,48 @@ def test_comments_longer_than_the_article_stay_out():
     comments = f"<div class='comments-area'>{f'<p>{OTHER}</p>' * 20}</div>"
     assert main_text(f"<body><div><p>{PROSE}</p></div>{comments}</body>") == line(PROSE)
     assert main_text(f"<body><article><p>{PROSE}</p>{comments}</article></body>") == line(PROSE)
+
+
+SAYING = "It is one of the things that we have seen in the town and they were with us for a long time as it was said. "
+RUSSIAN = "В лесу и на реке было тихо, и он не знал, что делать, но потом по дороге к дому он увидел, как на поле и в саду с утра работали люди. "
+CHINESE = "我在北京的时候，他们说这是一个很大的城市，有很多人，也有很多好吃的东西，我不知道在哪里的。"
+
+
+@pytest.mark.parametrize("page, want", [
+    # a quote begins a string only after an equals sign
+    (f"<article><p title=it's>{SAYING * 8}</p></article>", SAYING * 8),
+    (f'<article><p data-a=b"c>{SAYING * 8}</p></article>', SAYING * 8),
+    (f"""<article><p "title='a>b' x = "c>d" y=">">{SAYING * 8}</p></article>""", SAYING * 8),
+    # a page within one form; controls and labels go
+    (f"<body><form id=aspnetForm><label>Name</label><select><option>a</select><p>{SAYING * 6}</p></form></body>", SAYING * 6),
+    # a form beside the text
+    (f"<body><p>{SAYING * 6}</p><form><p>Sign up here for our letter and we will send it to you.</p></form></body>", SAYING * 6),
+    # languages without a word list, with and without spaces
+    (f"<body><ul><li><a href=x>Меню</a></ul><p>{RUSSIAN * 4}</p></body>", RUSSIAN * 4),
+    (f"<body><ul><li><a href=x>首页</a></ul><p>{CHINESE * 6}</p></body>", CHINESE * 6),
+    # a linked paragraph of prose inside an article
+    (f"<article><p>{SAYING * 4}</p><p><a href=x>{SAYING * 2}</a></p><p>{SAYING * 4}</p></article>", f"{SAYING * 4}\n{SAYING * 2}\n{SAYING * 4}"),
+])
+def test_pages_that_lost_text(page, want):
+    assert main_text(page) == "\n".join(line.strip() for line in want.split("\n"))
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 4000 + "<b>x</b>" * 4000, "<a>" * 16000 + "</i>" * 16000, "<svg>x" * 16000, "<div>" + "<b>" * 16000 + "<li>y</li>" * 16000,
+    "<div class=ad>" * 6000 + "<p>x</p>" * 6000, "<i><div>" + "<a>" * 16000 + "</i>" * 16000, "<p " + '="a' * 40000, "<p " + "a='" * 40000])
+def test_time_grows_with_the_page(page):
+    started = time.process_time()
+    main_text(page)
+    assert time.process_time() - started < 2
+
+
+def test_page_set_without_article(spark):
+    """Pages of the test tables with the article renamed: the second pass finds the same text from density alone, but for few blocks."""
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect() if r.html]
+    same = total = 0
+    for page in rows:
+        want = main_text(page).split("\n")
+        got = main_text(re.sub(r"<(/?)article", r"<\1div", page)).split("\n")
+        same += len(set(want) & set(got))
+        total += len(set(want) | set(got))
+    assert same >= 0.8 * total
