@@ -4,7 +4,7 @@ The rules are small regular expressions over bytes. They are compiled to one
 nondeterministic automaton, made deterministic by subset construction and minimised by
 partition refinement. The result is an array of transitions and an array that says which
 rules a state accepts. Many stretches of text are advanced in lockstep, one byte of each
-at a time, so that a step is one array lookup for all of them.
+at a time, so that a step is one array lookup for all of them; long stretches are cut into parts.
 
 A stretch ends at a byte that sends every state back to the start; no match can contain
 such a byte. A stretch in which a rule is accepted is looked at again with the exact
@@ -24,6 +24,8 @@ from chatloom.llm.columns import slices, utf8
 
 #: Text bytes that are scanned in lockstep.
 BLOCK_BYTES = 4 << 20
+#: Bytes from which a stretch is scanned in parts, bytes of a part, and parts at a time.
+LONG, PART, PARTS = 4096, 512, 8192
 
 #: ``pattern``: what the automaton looks for, the start of what ``exact`` matches up to where
 #: counting characters would only multiply states. ``exact``: spans within a stretch; ``group``
@@ -242,26 +244,88 @@ def hits(data, ends, automaton):
     order = np.argsort(-length, kind="stable")
     order = order[:np.searchsorted(-length[order], -4, side="right")]
     start, stop, length = start[order], stop[order], length[order]
-    state = np.full(len(start), automaton.start, np.int32)
+    long = int(np.searchsorted(-length, -LONG, side="left"))
     seen = np.zeros(len(start), np.int64)
+    for k in range(long):
+        seen[k] = _long(data[start[k]:stop[k]], automaton)
+    state = np.full(len(start) - long, automaton.start, np.int32)
     bits = automaton.accepts
     accepting = bits != 0
-    live, t = len(start), 0
-    falling = -length
+    first, found_in, live, t = start[long:], seen[long:], len(start) - long, 0
+    falling = -length[long:]
     while live:
         live = int(np.searchsorted(falling, -t, side="left"))  # stretches longer than t
         if not live:
             break
-        here = automaton.step.take(state[:live] + data.take(start[:live] + t))
+        here = automaton.step.take(state[:live] + data.take(first[:live] + t))
         state[:live] = here
         found = np.flatnonzero(accepting.take(here >> 8))
         if len(found):
-            seen[found] |= bits.take(here[found] >> 8)
+            found_in[found] |= bits.take(here[found] >> 8)
         t += 1
     kept = np.flatnonzero(seen)
     return start[kept], stop[kept], seen[kept]
 
 
+def _long(data, automaton):
+    """Rule bits of one long stretch: parts of it advance in lockstep, and are then put right from their true entry states."""
+    seen, entry = 0, automaton.start
+    for at in range(0, len(data), PART * PARTS):
+        path = paths(data[at:at + PART * PARTS], entry, automaton)
+        entry = int(path[-1]) * 256
+        seen |= int(np.bitwise_or.reduce(automaton.accepts[np.unique(path)]))
+    return seen
+
+
+def paths(data, entry, automaton):
+    """The state (without its factor) after each byte of a stretch that is entered in the state ``entry``.
+
+    All parts but the first start as if nothing stood before them. A part whose true entry state, the last one
+    of the part before, is another runs again until both runs agree, which is soon: what a state
+    remembers is short. Where it is not, as within an endless run of one kind of character, the
+    parts behind are tried from the same entry state at once.
+    """
+    n = -(-len(data) // PART)
+    rows = np.zeros((n, PART), np.uint8)
+    rows.ravel()[:len(data)] = data
+    size = np.full(n, PART)
+    size[-1] = len(data) - (n - 1) * PART
+    path = np.empty((PART, n), np.int16)
+    start = np.full(n, automaton.start, np.int32)
+    start[0] = entry
+
+    def run(parts, again):
+        state, t = start[parts], 0
+        while len(parts):
+            state = automaton.step.take(state + rows[parts, t])
+            now = (state >> 8).astype(np.int16)
+            if again:
+                open_ = now != path[t, parts]
+                parts, state, now = parts[open_], state[open_], now[open_]
+            path[t, parts] = now
+            t += 1
+            if t == PART:
+                break
+            more = size[parts] > t
+            if not more.all():
+                parts, state = parts[more], state[more]
+
+    run(np.arange(n), False)
+    rounds = 0
+    while True:
+        true = np.append(start[0], path[size - 1, np.arange(n)][:-1].astype(np.int32) * 256)
+        wrong = np.flatnonzero(true != start)
+        if not len(wrong):
+            return path.T.ravel()[:len(data)]
+        if rounds >= 2:  # everything up to the first wrong part is settled; its entry is a guess for all behind it
+            wrong = np.arange(wrong[0], n)
+            true[wrong] = true[wrong[0]]
+            wrong = wrong[start[wrong] != true[wrong]]
+        start[wrong] = true[wrong]
+        run(wrong, True)
+        rounds += 1
+
+
 @functools.lru_cache(maxsize=4)
 def _exact(rules):
     return [re.compile(rule.exact.encode()) for rule in rules]
@@ -330,8 +394,8 @@ def digests(found):
 def redact(docs, text_col="text", mark="[SECRET]", rules=RULES, length_col=None):
     """The rows with every secret in the text replaced by a mark; all columns keep their place.
 
-    Overlapping spans are replaced as one. A null text stays null. ``length_col`` gets the
-    code points of a text that changed.
+    Overlapping spans are replaced as one. A null text stays null. ``length_col``, where there is
+    such a column, gets the code points of a text that changed.
     """
     names = docs.columns
     at = names.index(text_col)
@@ -345,7 +409,7 @@ def redact(docs, text_col="text", mark="[SECRET]", rules=RULES, length_col=None)
                     changed.append(row)
             columns = list(part.columns)
             columns[at] = pa.array(texts, columns[at].type)
-            if length_col:
+            if length_col in names:
                 place = names.index(length_col)
                 lengths = columns[place].to_pylist()
                 for row in changed:
