@@ -62,6 +62,18 @@ def has_phrase(text, phrases):
     return holds_any(text, longest) & text.rlike(phrase_pattern(phrases))
 
 
+def run_hashes(tokens, n):
+    """A hash of every run of ``n`` tokens, in order and with repeats; empty for shorter inputs.
+
+    Each token is hashed once, and a run is the hash of its tokens' hashes, so no run is written out.
+    """
+    def of(hashes):
+        runs = F.transform(F.sequence(F.lit(0), F.size(hashes) - n), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
+        return F.when(F.size(hashes) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(F.transform(tokens, lambda w: F.xxhash64(w)), of)
+
+
 def primary_text(parts):
     """First non-empty ``text`` of a parts array, ``''`` when there is none."""
     non_empty = F.filter(parts, lambda p: p["text"] != "")

@@ -298,6 +298,11 @@ def j4_leakage(spark, d):
     return leakage.leakage(_messages(spark, d), fx.table(spark, d, "benchmark"), 8, text_id="msg_id")
 
 
+@query
+def j4_protected_passages(spark, d):
+    return leakage.passages(_messages(spark, d), fx.table(spark, d, "benchmark"), 8, text_id="msg_id")
+
+
 @query
 def j5_retrieval(spark, d):
     return retrieval.retrieve(fx.view(spark, d, "queries"), fx.view(spark, d, "corpus"), 5)

@@ -301,6 +301,14 @@ def oracle_sql():
     sql["j4_leakage"] = f"""{cte('messages')}, t AS ({_grams('msg_id', 'text', 'messages')}),
         p AS ({_grams('item_id', 'text', 'benchmark')})
         SELECT msg_id, item_id, count(*) AS n_shared FROM t JOIN p USING (gram) GROUP BY msg_id, item_id"""
+
+    sql["j4_protected_passages"] = f"""{cte('messages')}, p AS ({_grams('item_id', 'text', 'benchmark')}),
+      w AS (SELECT msg_id, {words("text")} AS ws FROM messages),
+      g AS (SELECT msg_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (
+            SELECT msg_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+      h AS (SELECT msg_id, item_id, i, i - row_number() OVER (PARTITION BY msg_id, item_id ORDER BY i) AS island FROM g JOIN p USING (gram))
+      SELECT msg_id, item_id, min(i) - 1 AS first_word, max(i) + 6 AS last_word, max(i) - min(i) + 8 AS n_words
+      FROM h GROUP BY msg_id, item_id, island"""
     sql["j5_retrieval"] = f"""{cte('queries', 'corpus')}, s AS (SELECT query_id, doc_id,
         round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM queries q, corpus c),
       r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s)

@@ -202,6 +202,14 @@ def test_report_levels(spark):
     assert out == {("a", "x", 0): 2, ("a", "y", 0): 1, ("b", "x", 0): 1, ("a", None, 1): 3, ("b", None, 1): 1, (None, None, 3): 4}
 
 
+def test_passages_by_hand(spark):
+    items = spark.createDataFrame([(1, "a b c d e"), (2, "x y z"), (3, None), (4, "q")], "item_id long, text string")
+    texts = [(1, "A b, c! d e f"), (2, "a b c - b c d"), (3, "x y z x y z"), (4, None), (5, "a b"), (6, "a b c q q c d e"), (7, "")]
+    got = leakage.passages(spark.createDataFrame(texts, "id long, text string"), items, 3).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 0, 4, 5), (2, 1, 0, 2, 3), (2, 1, 3, 5, 3), (3, 2, 0, 2, 3), (3, 2, 3, 5, 3), (6, 1, 0, 2, 3), (6, 1, 5, 7, 3)]
+    assert leakage.passages(spark.createDataFrame([], "id long, text string"), items, 3).count() == 0
+
+
 def test_ngrams_of_words_are_used_for_leakage(spark):
     df = spark.createDataFrame([("A, b C d",)], "text string")
     assert df.select(ngrams(words(F.col("text")), 4).alias("g")).first().g == ["a b c d"]
