@@ -11,7 +11,9 @@ from chatloom.plans.oracles import oracle_sql
 from tests.compare import differences, duck
 
 SF = "/root/testdata/sf0.001"
-STREAMS = {n for n in QUERIES if n.endswith("_stream")}
+STREAMS = {n for n in QUERIES if n.endswith("_stream")} | {"s3_queue_log_sink"}
+# Learned by rounds over the table, which SQL cannot express; see test_moderation.
+LEARNED = {"g3_learned_moderation"}
 
 
 @pytest.fixture(scope="module")
@@ -20,18 +22,18 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(QUERIES) == set(oracle_sql())
+    assert set(QUERIES) - LEARNED == set(oracle_sql())
 
 
 def test_entry(spark):
     assert entry(spark).columns == ["msg_id", "is_blocked", "reason", "final_text"]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - LEARNED))
 def test_query_equals_twin(spark, con, name):
     found, rows = differences(QUERIES[name](spark, SF), con, oracle_sql()[name])
     assert found == []
-    assert rows > 0 or name == "j4_leakage"
+    assert rows > 0 or name in ("j4_leakage", "j4_protected_passages")
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
