@@ -1,53 +1,88 @@
 """A small causal self-attention model over classes of subword ids, in numpy.
 
-A position sees itself and the positions before it in its window. The output is a
-distribution over classes of ids; within a class an id has its share of the training
-counts. Frequent ids are classes of their own.
+A position sees itself and the positions before it in its window. The output has two
+levels: a group of classes, then a class of the group, so that a position costs the logits
+of both levels and not those of all classes. What attention finds is added to the log
+probabilities of groups and classes after the id before, which are counted over all
+training texts; within a class an id has its counted share after the id before.
 """
 
+import zlib
+
 import numpy as np
 
 #: Width of the hidden vectors, and positions of a window.
 WIDTH, WINDOW = 16, 32
 #: Positions that a window repeats from the one before it, as context only.
 OVERLAP = 8
-#: Classes at the input and at the output, and how many of them hold one frequent id each.
+#: Classes at the input, and how many of them hold one frequent id each.
 IN_CLASSES, IN_OWN = 1024, 960
-OUT_CLASSES, OUT_OWN = 192, 144
+#: Groups at the output, classes of each, and classes that hold one frequent id each.
+GROUPS, MEMBERS, OUT_OWN = 16, 16, 192
+#: Ids whose counts after each input class are kept; the last slot holds all others.
+SLOTS = 2048
+#: Windows of a step of training, and its rate.
+STEP_WINDOWS, RATE = 256, 0.02
 
-NAMES = ("embed", "place", "wq", "wk", "wv", "wo", "out", "bias")
+NAMES = ("embed", "place", "into", "wo", "groups", "members")
 
 
 class Vocabulary:
-    """Classes of ids from their counts; the last id ends a text, and comes before its first token."""
+    """Classes and slots of ids from their counts; the last id ends a text, and comes before its first token."""
 
     def __init__(self, counts):
-        counts = np.asarray(counts, np.float64) + 0.5
+        counts = np.asarray(counts, np.float64) + 0.05
         self.end = len(counts) - 1
         order = np.lexsort([np.arange(len(counts)), -counts])
         place = np.empty(len(counts), np.int64)
         place[order] = np.arange(len(counts))
-        self.in_class = np.where(place < IN_OWN, place, IN_OWN + place % (IN_CLASSES - IN_OWN)).astype(np.int32)
-        # The ids behind the frequent ones are cut into classes of about equal mass.
-        rest = counts[order[OUT_OWN:]]
-        mass = (np.cumsum(rest) - rest / 2) / max(rest.sum(), 1e-9)
-        shared = OUT_OWN + np.minimum((mass * (OUT_CLASSES - OUT_OWN)).astype(np.int64), OUT_CLASSES - OUT_OWN - 1)
-        out = np.empty(len(counts), np.int32)
-        out[order[:OUT_OWN]] = np.arange(min(OUT_OWN, len(counts)))
-        out[order[OUT_OWN:]] = shared
-        self.out_class = out
-        self.within = np.log(counts / np.bincount(out, counts, OUT_CLASSES)[out])
-        self.start_bias = np.log(np.maximum(np.bincount(out, counts, OUT_CLASSES), 0.5) / counts.sum()).astype(np.float32)
-
-
-def initial(vocabulary, seed=23):
+        self.in_class = np.where(place < IN_OWN, place, IN_OWN + place % (IN_CLASSES - IN_OWN)).astype(np.uint16)
+        self.slot = np.minimum(place, SLOTS - 1).astype(np.uint16)
+        mass = np.bincount(self.slot, counts, SLOTS)
+        # The share of an id in its slot, and of a slot among all ids.
+        self.in_slot = np.log(counts / mass[self.slot]).astype(np.float32)
+        self.share = mass / mass.sum()
+        # The slots behind the frequent ones are cut into classes of about equal mass.
+        classes, rest = GROUPS * MEMBERS - OUT_OWN, mass[OUT_OWN:]
+        middle = (np.cumsum(rest) - rest / 2) / max(rest.sum(), 1e-9)
+        self.slot_class = np.arange(SLOTS)
+        self.slot_class[OUT_OWN:] = OUT_OWN + np.minimum((middle * classes).astype(np.int64), classes - 1)
+        self.slot_class = self.slot_class.astype(np.uint8)
+        self.pairs(np.zeros((IN_CLASSES, SLOTS)))
+
+    def pairs(self, counts):
+        """Take in how often each slot came after each input class.
+
+        A slot that came after few others falls back on its share among all ids; the
+        weight of that is the number of different slots seen after the input class.
+        """
+        back = (counts > 0).sum(axis=1, keepdims=True) + 1.0
+        chance = (counts + back * self.share) / (counts.sum(axis=1, keepdims=True) + back)
+        first = np.unique(self.slot_class, return_index=True)
+        classes = np.full((IN_CLASSES, GROUPS * MEMBERS), 1e-12)
+        classes[:, first[0]] = np.maximum(np.add.reduceat(chance, first[1], axis=1), 1e-12)
+        groups = classes.reshape(IN_CLASSES, GROUPS, MEMBERS).sum(axis=2)
+        self.group_logs = np.log(groups).astype(np.float32)
+        self.member_logs = np.log(classes.reshape(IN_CLASSES, GROUPS, MEMBERS) / groups[..., None]).astype(np.float32).reshape(-1, MEMBERS)
+        self.slot_logs = np.log(np.maximum(chance, 1e-300) / classes[:, self.slot_class]).astype(np.float32)
+
+    def within(self, before, ids):
+        """Log probability of ids within their classes after input classes ``before``."""
+        slot = self.slot[ids]
+        return self.slot_logs[before, slot] + self.in_slot[ids]
+
+    def out_class(self, ids):
+        return self.slot_class[self.slot[ids]]
+
+
+def initial(seed=23):
     rng = np.random.default_rng(seed)
 
     def draw(*shape):
         return (rng.normal(size=shape) / np.sqrt(WIDTH)).astype(np.float32)
 
-    return {"embed": draw(IN_CLASSES, WIDTH), "place": 0.3 * draw(WINDOW, WIDTH), "wq": draw(WIDTH, WIDTH), "wk": draw(WIDTH, WIDTH),
-            "wv": draw(WIDTH, WIDTH), "wo": draw(WIDTH, WIDTH), "out": 0.3 * draw(WIDTH, OUT_CLASSES), "bias": vocabulary.start_bias.copy()}
+    return {"embed": draw(IN_CLASSES, WIDTH), "place": 0.3 * draw(WINDOW, WIDTH), "into": draw(WIDTH, 3 * WIDTH), "wo": draw(WIDTH, WIDTH),
+            "groups": np.zeros((WIDTH, GROUPS), np.float32), "members": np.zeros((GROUPS, WIDTH, MEMBERS), np.float32)}
 
 
 def flat(parameters):
@@ -63,85 +98,139 @@ def unflat(values, like):
     return out
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Exponents are held within these bounds instead of being shifted by their maximum.
+BOUND = 60
 
 
-def forward(p, inputs):
-    """Hidden vectors of (n, WINDOW) input classes, and what the backward pass needs."""
-    x = p["embed"][inputs] + p["place"]
-    flat_x = x.reshape(-1, WIDTH)
-    q, k, v = ((flat_x @ p[w]).reshape(x.shape) for w in ("wq", "wk", "wv"))
-    scores = q @ k.transpose(0, 2, 1)
-    scores *= np.float32(WIDTH ** -0.5)
-    scores += _MASK
-    scores -= scores.max(axis=2, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(axis=2, keepdims=True)
-    mixed = scores @ v
-    hidden = flat_x + mixed.reshape(-1, WIDTH) @ p["wo"]
-    return hidden, (x, q, k, v, scores, mixed)
-
-
-def probabilities(p, hidden):
-    """Probabilities of the output classes for hidden vectors."""
-    out = hidden @ p["out"]
-    out += p["bias"]
-    out -= out.max(axis=1, keepdims=True)
-    np.exp(out, out=out)
-    out /= out.sum(axis=1, keepdims=True)
+def _exp(x):
+    np.clip(x, -BOUND, BOUND, out=x)
+    return np.exp(x, out=x)
+
+
+def _with(values, last):
+    """The values with one more column."""
+    out = np.empty((*values.shape[:-1], values.shape[-1] + 1), values.dtype)
+    out[..., :-1], out[..., -1] = values, last
     return out
 
 
-def gradients(p, inputs, targets, valid):
+def forward(p, inputs):
+    """Hidden vectors of (n, WINDOW) input classes, and what the backward pass needs."""
+    x = np.take(p["embed"], inputs, axis=0)
+    x += p["place"]
+    rows = x.reshape(-1, WIDTH)
+    both = (rows @ p["into"]).reshape(*inputs.shape, 3 * WIDTH)
+    q, k, v = both[..., :WIDTH] * x.dtype.type(WIDTH ** -0.5), both[..., WIDTH:2 * WIDTH], _with(both[..., 2 * WIDTH:], 1)
+    weights = _exp(q @ k.transpose(0, 2, 1))
+    weights *= _SEEN
+    # The last column of the values is one, so that the sums of weights come along.
+    mixed = weights @ v
+    sums = mixed[..., -1:]
+    mixed = mixed[..., :-1] / sums
+    return rows + mixed.reshape(-1, WIDTH) @ p["wo"], (x, q, k, v, weights, mixed, sums)
+
+
+class _Runs:
+    """Rows put in the order of a small number, and where the rows of each number lie."""
+
+    def __init__(self, numbers, size):
+        self.order = np.argsort(numbers, kind="stable")
+        stops = np.cumsum(np.bincount(numbers, minlength=size)).tolist()
+        self.parts = [(g, slice(a, b)) for g, a, b in zip(range(size), [0, *stops], stops) if b > a]
+
+
+def _levels(p, vocabulary, hidden, before, classes):
+    """Exponents of both levels for target ``classes``: of groups in the order of rows, of members by group."""
+    groups = hidden @ p["groups"]
+    groups += vocabulary.group_logs[before]
+    target = classes // MEMBERS
+    runs = _Runs(target, GROUPS)
+    sorted_hidden = hidden[runs.order]
+    members = vocabulary.member_logs[(before.astype(np.int32) * GROUPS + target)[runs.order]].astype(hidden.dtype, copy=False)
+    for g, own in runs.parts:
+        members[own] += sorted_hidden[own] @ p["members"][g]
+    rows = np.arange(len(classes))
+    np.clip(groups, -BOUND, BOUND, out=groups)
+    np.clip(members, -BOUND, BOUND, out=members)
+    member = (classes % MEMBERS)[runs.order]
+    found = (groups[rows, target], members[rows, member])
+    np.exp(groups, out=groups)
+    np.exp(members, out=members)
+    ones = np.ones((max(GROUPS, MEMBERS), 1), hidden.dtype)
+    return groups, groups @ ones[:GROUPS], members, members @ ones[:MEMBERS], target, member, runs, sorted_hidden, found
+
+
+def class_logs(p, vocabulary, hidden, before, classes):
+    """Log probability of target ``classes``."""
+    _, group_sums, _, member_sums, _, _, runs, _, (group, member) = _levels(p, vocabulary, hidden, before, classes)
+    logs = group.astype(np.float64) - np.log(group_sums[:, 0])
+    logs[runs.order] += member - np.log(member_sums[:, 0])
+    return logs
+
+
+def gradients(p, vocabulary, inputs, targets, valid):
     """Mean loss over valid positions and its gradients; ``targets`` are output classes."""
-    hidden, (x, q, k, v, a, mixed) = forward(p, inputs)
-    d = probabilities(p, hidden)
-    rows, want, counts = np.arange(len(d)), targets.ravel(), valid.ravel()
+    hidden, (x, q, k, v, weights, mixed, sums) = forward(p, inputs)
+    classes, counts = targets.ravel(), valid.ravel()
     n = max(1, int(counts.sum()))
-    loss = -np.log(np.maximum(d[rows, want][counts], 1e-30)).sum() / n
-    d[rows, want] -= 1
-    d *= (counts / n).astype(d.dtype)[:, None]
-    g = {"out": hidden.T @ d, "bias": d.sum(axis=0)}
-    dy = d @ p["out"].T
-    g["wo"] = mixed.reshape(-1, WIDTH).T @ dy
-    dmixed = (dy @ p["wo"].T).reshape(x.shape)
-    da = dmixed @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dmixed
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH ** -0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    flat_x, dx = x.reshape(-1, WIDTH), dy
-    for w, part in (("wq", dq), ("wk", dk), ("wv", dv)):
-        part = part.reshape(-1, WIDTH)
-        g[w] = flat_x.T @ part
-        dx = dx + part @ p[w].T
+    d, group_sums, e, member_sums, target, member, runs, by_group, (group, of_group) = _levels(p, vocabulary, hidden, inputs.ravel(), classes)
+    rows, scale = np.arange(len(classes)), (counts / n).astype(hidden.dtype)
+    by_scale = scale[runs.order]
+    loss = scale @ (np.log(group_sums[:, 0]) - group) + by_scale @ (np.log(member_sums[:, 0]) - of_group)
+    d *= scale[:, None] / group_sums
+    d[rows, target] -= scale
+    e *= by_scale[:, None] / member_sums
+    e[rows, member] -= by_scale
+    g = {"groups": hidden.T @ d, "members": np.zeros_like(p["members"])}
+    back = d[runs.order] @ p["groups"].T
+    for number, part in runs.parts:
+        g["members"][number] = by_group[part].T @ e[part]
+        back[part] += e[part] @ p["members"][number].T
+    dx = np.empty_like(hidden)
+    dx[runs.order] = back
+    g["wo"] = mixed.reshape(-1, WIDTH).T @ dx
+    dmixed = (dx @ p["wo"].T).reshape(x.shape) / sums
+    # One more column takes the mean over the weights off.
+    dweights = _with(dmixed, -np.einsum("abc,abc->ab", dmixed, mixed)) @ v.transpose(0, 2, 1)
+    dweights *= weights
+    dboth = np.empty((*inputs.shape, 3 * WIDTH), x.dtype)
+    np.matmul(dweights, k, out=dboth[..., :WIDTH])
+    dboth[..., :WIDTH] *= x.dtype.type(WIDTH ** -0.5)
+    np.matmul(dweights.transpose(0, 2, 1), q, out=dboth[..., WIDTH:2 * WIDTH])
+    np.matmul(weights.transpose(0, 2, 1), dmixed, out=dboth[..., 2 * WIDTH:])
+    dboth = dboth.reshape(-1, 3 * WIDTH)
+    g["into"] = x.reshape(-1, WIDTH).T @ dboth
+    dx += dboth @ p["into"].T
     g["place"] = dx.reshape(x.shape).sum(axis=0)
     # Rows of one input class are added up behind one another.
     order = np.argsort(inputs.ravel(), kind="stable")
-    classes, first = np.unique(inputs.ravel()[order], return_index=True)
+    found, first = np.unique(inputs.ravel()[order], return_index=True)
     g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][classes] = np.add.reduceat(dx[order], first)
+    g["embed"][found] = np.add.reduceat(dx[order], first)
     return loss, g
 
 
-def train(p, windows, batch=32, passes=1, rate=0.01):
-    """A copy of the parameters after passes of Adam over (inputs, targets, valid) windows."""
-    inputs, targets, valid = windows
-    p = {n: x.copy() for n, x in p.items()}
-    m, s = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
-    rng, step = np.random.default_rng(len(inputs)), 0
-    total = passes * -(-len(inputs) // batch)
-    for _ in range(passes):
-        order = rng.permutation(len(inputs))
-        for start in range(0, len(order), batch):
-            rows = order[start:start + batch]
-            _, g = gradients(p, inputs[rows], targets[rows], valid[rows])
-            step += 1
-            pace = rate * (1 - step / (total + 1)) + rate / 20
+class Trainer:
+    """A copy of the parameters that goes on learning, by Adam, from one part of windows to the next."""
+
+    def __init__(self, p, vocabulary, rate=RATE):
+        self.p, self.vocabulary, self.rate, self.step = {n: x.copy() for n, x in p.items()}, vocabulary, rate, 0
+        self.mean, self.square = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
+
+    def learn(self, inputs, targets, valid):
+        """Every window once, in an order that the windows themselves decide."""
+        order = np.random.default_rng(zlib.crc32(targets.tobytes())).permutation(len(inputs))
+        for start in range(0, len(order), STEP_WINDOWS):
+            rows = order[start:start + STEP_WINDOWS]
+            _, g = gradients(self.p, self.vocabulary, inputs[rows], targets[rows], valid[rows])
+            self.step += 1
+            pace = self.rate / (1 + self.step / 100) ** 0.5 / (1 - 0.9 ** self.step)
             for n in NAMES:
-                m[n] += 0.1 * (g[n] - m[n])
-                s[n] += 0.01 * (g[n] ** 2 - s[n])
-                p[n] -= (pace * (m[n] / (1 - 0.9 ** step)) / (np.sqrt(s[n] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
-    return p
+                m, s = self.mean[n], self.square[n]
+                m += 0.1 * (g[n] - m)
+                s += 0.01 * (g[n] ** 2 - s)
+                self.p[n] -= (pace * m / (np.sqrt(s / (1 - 0.99 ** self.step)) + 1e-8)).astype(np.float32)
 
 
 def windows_of(lengths):
@@ -170,6 +259,11 @@ class Laid:
         sequence[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths) + 1] = ids
         self.inputs, self.ids = vocabulary.in_class[sequence], sequence
 
+    def steps(self):
+        """The input class and the target id of every step, once."""
+        n = len(self.ids) - WINDOW - 1
+        return self.inputs[:n], self.ids[1:n + 1]
+
     def windows(self, text, first, scored):
         """Input classes, target ids and validity of windows."""
         position = (first[:, None] + np.arange(WINDOW)).astype(np.int32)
@@ -178,61 +272,16 @@ class Laid:
         return self.inputs[at], self.ids[at + 1], valid
 
 
-_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-_ONES = np.ones((512, 1), np.float32)
-#: Exponents are held within these bounds instead of being shifted by their maximum.
-BOUND = np.float32(60)
-
-
-def _exp(x):
-    np.clip(x, -BOUND, BOUND, out=x)
-    return np.exp(x, out=x)
-
-
-class Scorer:
-    """Log probabilities of windows, with its work space kept from call to call."""
-
-    def __init__(self, p, windows):
-        self.p, self.rows = p, windows * WINDOW
-        self.into = np.concatenate([p["wq"] * np.float32(WIDTH ** -0.5), p["wk"], p["wv"] @ p["wo"]], axis=1)
-        self.x = np.empty((self.rows, WIDTH), np.float32)
-        self.both = np.empty((self.rows, 3 * WIDTH), np.float32)
-        self.weights = np.empty((windows, WINDOW, WINDOW), np.float32)
-        self.logits = np.empty((self.rows, OUT_CLASSES), np.float32)
-
-    def target_logs(self, inputs, valid, classes):
-        """Log probabilities of the target ``classes`` at the valid positions."""
-        p, n = self.p, len(inputs)
-        flat_x, both, weights = self.x[:n * WINDOW], self.both[:n * WINDOW], self.weights[:n]
-        np.take(p["embed"], inputs.ravel(), axis=0, out=flat_x, mode="clip")
-        x = flat_x.reshape(n, WINDOW, WIDTH)
-        x += p["place"]
-        np.matmul(flat_x, self.into, out=both)
-        both = both.reshape(n, WINDOW, -1)
-        np.matmul(both[..., :WIDTH], both[..., WIDTH:2 * WIDTH].transpose(0, 2, 1), out=weights)
-        _exp(weights)
-        weights *= _SEEN
-        mixed = weights @ both[..., 2 * WIDTH:]
-        mixed /= weights @ _ONES[:WINDOW]
-        mixed += x
-        hidden = mixed.reshape(-1, WIDTH)[valid.ravel()]
-        logits = np.matmul(hidden, p["out"], out=self.logits[:len(hidden)])
-        logits += p["bias"]
-        np.clip(logits, -BOUND, BOUND, out=logits)
-        found = logits[np.arange(len(logits)), classes].astype(np.float64)
-        np.exp(logits, out=logits)
-        return found - np.log((logits @ _ONES[:OUT_CLASSES])[:, 0])
-
-
-def log_probabilities(p, vocabulary, ids, lengths, batch=96):
+def log_probabilities(p, vocabulary, ids, lengths, batch=STEP_WINDOWS):
     """Natural log probability of each text of ``lengths`` ids, its end included."""
     laid = Laid(ids, lengths, vocabulary)
     text, first, scored = windows_of(lengths)
-    total, scorer = np.zeros(len(lengths)), Scorer(p, batch)
+    total = np.zeros(len(lengths))
     for row in range(0, len(text), batch):
         own = slice(row, row + batch)
         inputs, targets, valid = laid.windows(text[own], first[own], scored[own])
-        want = targets[valid]
-        found = scorer.target_logs(inputs, valid, vocabulary.out_class[want]) + vocabulary.within[want]
+        want, before = targets[valid], inputs[valid]
+        hidden = forward(p, inputs)[0][valid.ravel()]
+        found = class_logs(p, vocabulary, hidden, before, vocabulary.out_class(want)) + vocabulary.within(before, want)
         total += np.bincount(np.repeat(text[own], valid.sum(axis=1)), found, len(lengths))
     return total

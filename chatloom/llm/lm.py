@@ -2,10 +2,11 @@
 
 Word counts cover all training texts. They are added up per task, then over the corpus;
 the most frequent words, a bounded number, are broadcast, and the others are joined by
-word. The attention model learns subword ids: every task trains a copy on all windows of its
-training texts, part by part, and the copies are averaged, weighted by their windows, so
-that what is learned from grows with the corpus. Texts are scored in overlapping
-windows, each subword once.
+word. The attention model learns subword ids. It stands on counts of neighbouring ids over
+all training texts, a table of fixed size. Then every task trains a copy on all windows of its
+training texts, which goes on learning from part to part, and the copies are averaged,
+weighted by their windows, so that what is learned from grows with the corpus. Texts are
+scored in overlapping windows, each subword once.
 """
 
 import hashlib
@@ -28,8 +29,8 @@ HEAD_WORDS = 1 << 16
 SMOOTHING = 0.1
 #: Rounds of training and averaging.
 ROUNDS = 2
-#: Windows of a task that are trained on together; a longer task trains on one such part after another.
-PART_WINDOWS = 1 << 15
+#: Windows of a task that are put in random order together; a task goes on from one such part to the next.
+PART_WINDOWS = 1 << 13
 
 #: Hash that stands for the end of a text.
 END_WORD = np.int64(int.from_bytes(hashlib.sha256(b"end of text").digest()[:8], "little", signed=True))
@@ -130,6 +131,24 @@ def _id_counts(rows, kind, size):
     return counts
 
 
+def _pair_counts(rows, kind, vocabulary):
+    """How often each slot of ids comes after each input class in training texts: a table whose size the model fixes."""
+    size = attention.IN_CLASSES * attention.SLOTS
+
+    def run(batches):
+        total, words = np.zeros(size, np.int64), vocabulary.value
+        for _, ids, lengths in _blocks(batches, kind, 0):
+            inputs, targets = attention.Laid(ids, lengths, words).steps()
+            total += np.bincount(inputs.astype(np.int64) * attention.SLOTS + words.slot[targets], minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+
+    found = rows.select("ids").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size, np.float32)
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return counts.reshape(attention.IN_CLASSES, attention.SLOTS)
+
+
 def _parts(batches, kind, words):
     """All windows of the texts of a task as (inputs, targets, valid), at most ``PART_WINDOWS`` at a time."""
     held, n = [], 0
@@ -139,7 +158,7 @@ def _parts(batches, kind, words):
         while start < len(text):
             own = slice(start, start + PART_WINDOWS - n)
             inputs, targets, valid = laid.windows(text[own], first[own], scored[own] * 0)
-            held.append((inputs.astype(np.uint16), words.out_class[targets].astype(np.uint8), valid))
+            held.append((inputs, words.out_class(targets), valid))
             start, n = start + len(inputs), n + len(inputs)
             if n == PART_WINDOWS:
                 yield tuple(map(np.concatenate, zip(*held)))
@@ -149,17 +168,17 @@ def _parts(batches, kind, words):
 
 
 def _trained(rows, kind, vocabulary, parameters):
-    """One round over training texts: parameters averaged over tasks and parts, weighted by their windows; None without texts."""
+    """One round over training texts: parameters averaged over tasks, weighted by their windows; None without texts."""
     shared = rows.sparkSession.sparkContext.broadcast(parameters)
 
     def run(batches):
-        total, weight = 0.0, 0.0
+        trainer, weight = attention.Trainer(shared.value, vocabulary.value), 0
         for inputs, targets, valid in _parts(batches, kind, vocabulary.value):
-            p = attention.train(shared.value, (inputs.astype(np.int64), targets.astype(np.int64), valid))
-            total, weight = total + attention.flat(p) * len(inputs), weight + len(inputs)
+            trainer.learn(inputs, targets, valid)
+            weight += len(inputs)
         if weight:
-            yield pa.RecordBatch.from_pydict({
-                "at": pa.array(np.arange(len(total) + 1, dtype=np.int32)), "value": pa.array(np.append(total, weight))})
+            values = np.append(attention.flat(trainer.p) * weight, weight)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(values), dtype=np.int32)), "value": pa.array(values)})
 
     # A number of values that the model fixes, whatever the number of tasks.
     sums = rows.select("ids").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").toArrow()
@@ -202,7 +221,8 @@ def score(docs, rank_file, pattern, id_col="doc_id", text_col="text"):
     ``base_score`` and ``score`` (log10 probabilities of the text by word unigrams and by the
     attention model), ``n_subwords``. A null text is empty and is only its end; a row
     without an id is held out; repeated rows train and are scored like others; other
-    columns are not read. Without training rows nothing is known and the model is as drawn.
+    columns are not read. Without training rows nothing is known and
+    the model is as drawn.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), is_held_out(id_col).alias("held_out"))
@@ -221,7 +241,8 @@ def score(docs, rank_file, pattern, id_col="doc_id", text_col="text"):
     texts = spark.read.parquet(f"{folder}/texts")
     training = texts.where("not held_out")
     vocabulary = attention.Vocabulary(_id_counts(training, kind, vocabulary_size))
-    parameters, shared = attention.initial(vocabulary), spark.sparkContext.broadcast(vocabulary)
+    vocabulary.pairs(_pair_counts(training, kind, spark.sparkContext.broadcast(vocabulary)))
+    parameters, shared = attention.initial(), spark.sparkContext.broadcast(vocabulary)
     for _ in range(ROUNDS):
         parameters = _trained(training, kind, shared, parameters) or parameters
 

@@ -52,6 +52,17 @@ def test_query_on_all_documents(spark):
             np.add.at(counts, ids[r.doc_id] + [coder.n_vocab], 1)
     logs = np.log10(counts / counts.sum())
     assert sum(r.score for r in held) > sum(logs[ids[r.doc_id] + [coder.n_vocab]].sum() for r in held)
+    # It also beats pairs of subwords, interpolated with their counts at the best of several weights.
+    pairs, firsts = Counter(), Counter()
+    for r in got:
+        if not r.held_out:
+            line = [coder.n_vocab, *ids[r.doc_id], coder.n_vocab]
+            pairs.update(zip(line, line[1:]))
+            firsts.update(line[:-1])
+    lines = [[coder.n_vocab, *ids[r.doc_id], coder.n_vocab] for r in held]
+    assert sum(r.score for r in held) > max(
+        sum(math.log10(w * pairs[a, b] / max(1, firsts[a]) + (1 - w) * 10 ** logs[b]) for line in lines for a, b in zip(line, line[1:]))
+        for w in (0.5, 0.6, 0.7, 0.8, 0.9, 0.95))
 
 
 def test_edge_cases_with_a_small_head(spark, monkeypatch):
@@ -69,7 +80,8 @@ def test_edge_cases_with_a_small_head(spark, monkeypatch):
 def small():
     rng = np.random.default_rng(3)
     vocabulary = attention.Vocabulary(rng.integers(0, 50, 3000))
-    p = {n: x + 0.2 * rng.normal(size=x.shape).astype(np.float32) for n, x in attention.initial(vocabulary).items()}
+    vocabulary.pairs(rng.integers(0, 40, (attention.IN_CLASSES, attention.SLOTS)) * (rng.random((attention.IN_CLASSES, attention.SLOTS)) < 0.02))
+    p = {n: x + 0.2 * rng.normal(size=x.shape).astype(np.float32) for n, x in attention.initial().items()}
     return rng, vocabulary, p
 
 
@@ -86,34 +98,68 @@ def test_each_id_is_scored_once_with_its_context():
             if place >= first + attention.WINDOW:
                 first += attention.WINDOW - attention.OVERLAP
             seen = [vocabulary.end if k == 0 else text[k - 1] for k in range(first, place + 1)]
-            x = p["embed"][vocabulary.in_class[seen]] + p["place"][:len(seen)]
-            scores = (x[-1] @ p["wq"]) @ (x @ p["wk"]).T / math.sqrt(attention.WIDTH)
+            before = vocabulary.in_class[seen].astype(int)
+            x = p["embed"][before] + p["place"][:len(seen)]
+            wq, wk, wv = np.split(p["into"], 3, axis=1)
+            scores = (x[-1] @ wq) @ (x @ wk).T / math.sqrt(attention.WIDTH)
             weights = np.exp(scores - scores.max())
-            hidden = x[-1] + (weights / weights.sum()) @ (x @ p["wv"]) @ p["wo"]
-            logits = hidden @ p["out"] + p["bias"]
-            best = logits.max()
-            want += logits[vocabulary.out_class[text[place]]] - best - np.log(np.exp(logits - best).sum()) + vocabulary.within[text[place]]
+            hidden = x[-1] + (weights / weights.sum()) @ (x @ wv) @ p["wo"]
+            group, member = divmod(int(vocabulary.out_class(text[place])), attention.MEMBERS)
+            for logits, own in ((hidden @ p["groups"] + vocabulary.group_logs[before[-1]], group),
+                                (hidden @ p["members"][group] + vocabulary.member_logs[before[-1] * attention.GROUPS + group], member)):
+                want += logits[own] - np.log(np.exp(logits.astype(np.float64)).sum())
+            want += vocabulary.within(before[-1], text[place])
         assert abs(want - logs) < 1e-3 * max(1, abs(want))
 
 
 def test_probabilities_sum_to_one():
     _, vocabulary, _ = small()
-    assert abs(np.bincount(vocabulary.out_class, np.exp(vocabulary.within)).sum() - len(np.unique(vocabulary.out_class))) < 1e-9
+    ids, p = np.arange(3000), attention.initial()
+    for before in (0, 7, attention.IN_CLASSES - 1):
+        # The heads start at zero, so a new model is the table of neighbouring ids.
+        logs = attention.class_logs(p, vocabulary, np.zeros((3000, attention.WIDTH), np.float32), np.full(3000, before), vocabulary.out_class(ids))
+        assert abs(np.exp(logs + vocabulary.within(before, ids)).sum() - 1) < 1e-4
+
+
+def test_table_of_neighbours_by_brute_force():
+    rng = np.random.default_rng(9)
+    counts, slots = rng.integers(0, 50, 3000), attention.SLOTS
+    vocabulary = attention.Vocabulary(counts)
+    texts = [rng.integers(0, 3000, n) for n in (0, 1, 40, 500)]
+    laid = attention.Laid(np.concatenate(texts), np.array([len(t) for t in texts]), vocabulary)
+    pairs = Counter((int(vocabulary.in_class[a]), int(vocabulary.slot[b]))
+                    for t in texts for a, b in zip([vocabulary.end, *t], [*t, vocabulary.end]))
+    inputs, targets = laid.steps()
+    assert Counter(zip(inputs.tolist(), vocabulary.slot[targets].tolist())) == pairs
+    table = np.zeros((attention.IN_CLASSES, slots))
+    for (a, b), n in pairs.items():
+        table[a, b] = n
+    vocabulary.pairs(table)
+    smoothed = counts + 0.05
+    for before in (int(vocabulary.in_class[texts[3][5]]), int(vocabulary.in_class[vocabulary.end])):
+        seen = {b: n for (a, b), n in pairs.items() if a == before}
+        for i in (int(texts[3][6]), 11, 2998):
+            slot = int(vocabulary.slot[i])
+            mass = sum(smoothed[j] for j in range(3000) if vocabulary.slot[j] == slot)
+            chance = (seen.get(slot, 0) + (len(seen) + 1) * mass / smoothed.sum()) / (sum(seen.values()) + len(seen) + 1)
+            one = np.array([i])
+            logs = attention.class_logs(attention.initial(), vocabulary, np.zeros((1, attention.WIDTH), np.float32), np.array([before]), vocabulary.out_class(one))
+            assert abs(logs[0] + vocabulary.within(before, i) - math.log(chance * smoothed[i] / mass)) < 1e-4
 
 
 def test_gradients_by_differences():
-    rng, _, p = small()
+    rng, vocabulary, p = small()
     p = {n: x.astype(np.float64) for n, x in p.items()}
-    inputs, targets = rng.integers(0, attention.IN_CLASSES, (3, attention.WINDOW)), rng.integers(0, attention.OUT_CLASSES, (3, attention.WINDOW))
+    inputs, targets = rng.integers(0, attention.IN_CLASSES, (3, attention.WINDOW)), rng.integers(0, attention.GROUPS * attention.MEMBERS, (3, attention.WINDOW))
     valid = rng.random(inputs.shape) < 0.8
-    _, g = attention.gradients(p, inputs, targets, valid)
+    _, g = attention.gradients(p, vocabulary, inputs, targets, valid)
     for name in attention.NAMES:
         place = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
         keep = p[name][place]
         sides = []
         for step in (1e-4, -1e-4):
             p[name][place] = keep + step
-            sides.append(attention.gradients(p, inputs, targets, valid)[0])
+            sides.append(attention.gradients(p, vocabulary, inputs, targets, valid)[0])
         p[name][place] = keep
         assert abs((sides[0] - sides[1]) / 2e-4 - g[name][place]) < 1e-3 * max(0.01, abs(g[name][place])), name
 
@@ -128,7 +174,7 @@ def test_every_window_of_the_training_texts_is_learned(spark, monkeypatch):
     assert [len(x) for x, _, _ in parts[:-1]] == [50] * (len(parts) - 1)
     text, first, scored = attention.windows_of(np.array(lengths))
     want = attention.Laid(np.concatenate(texts), np.array(lengths), vocabulary).windows(text, first, scored * 0)
-    for got, whole in zip(map(np.concatenate, zip(*parts)), (want[0], vocabulary.out_class[want[1]], want[2])):
+    for got, whole in zip(map(np.concatenate, zip(*parts)), (want[0], vocabulary.out_class(want[1]), want[2])):
         assert (got == whole).all()
     # One short text, whatever its place, trains the model.
     for k in range(4):
