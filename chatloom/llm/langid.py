@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts are gathered over all labelled rows, per task first. The matrix of log
-probabilities (languages x buckets) has a fixed number of buckets and is broadcast with a
-check of its size; texts are scored in batches as sparse rows of bucket numbers.
+probabilities (languages x buckets) has a fixed number of buckets. It is broadcast in parts
+of a bounded number of languages; texts meet one part after the other, in batches as
+sparse rows of bucket numbers, and carry the best language so far.
 """
 
 import numpy as np
@@ -18,8 +19,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 #: Added to each count.
 SMOOTHING = 0.5
-#: Most languages that fit the broadcast matrix: 512 x 65,536 single floats are 128 MB.
-MAX_LANGUAGES = 512
+#: Languages of a part of the broadcast matrix: 512 x 65,536 single floats are 128 MB.
+PART_LANGUAGES = 512
 #: Text bytes that are worked on at a time.
 BLOCK_BYTES = 2 << 20
 
@@ -82,7 +83,7 @@ def train(labelled, lang_col="lang", text_col="text"):
     return partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-class Model:
+class Part:
     """Sorted languages and the log probability of each bucket in each of them."""
 
     def __init__(self, counts):
@@ -91,19 +92,6 @@ class Model:
         table = np.array([counts[g] for g in self.languages], float).reshape(len(self.languages), BUCKETS) + SMOOTHING
         self.logs = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
-    @classmethod
-    def collect(cls, counts):
-        """Bring the counts to the driver: at most ``MAX_LANGUAGES`` x ``BUCKETS`` numbers, checked first."""
-        totals = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("own"))
-        found = {}
-        for row in totals.toLocalIterator():
-            if len(found) == MAX_LANGUAGES:
-                raise ValueError(f"more than {MAX_LANGUAGES} languages: the matrix would not fit a broadcast")
-            own = found.setdefault(row.lang, np.zeros(BUCKETS, np.int64))
-            at = np.array([(x.bucket, x.n) for x in row.own], np.int64)
-            own[at[:, 0]] = at[:, 1]
-        return cls(found)
-
     def scores(self, texts):
         """Log likelihood of each text in each language."""
         total = np.zeros((len(texts), len(self.languages)))
@@ -113,17 +101,69 @@ class Model:
         return total
 
 
-def _predicted(texts, model):
-    """Language and score of each text."""
-    rows = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
-    langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    if rows:
-        logs = model.scores([texts[i] for i in rows])
-        best = logs.argmax(axis=1)
-        scores[rows] = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-        for i, b in zip(rows, best):
-            langs[i] = model.languages[b]
-    return langs, scores
+class Model:
+    """All languages, sorted, and the broadcast parts of the matrix in their order."""
+
+    def __init__(self, languages, parts):
+        self.languages, self.parts = languages, parts
+
+    @classmethod
+    def collect(cls, counts):
+        """Bring the counts to the driver, ``PART_LANGUAGES`` languages at a time, and broadcast each part."""
+        totals = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("own")).orderBy("lang")
+        context = counts.sparkSession.sparkContext
+        languages, parts, found = [], [], {}
+        for row in totals.toLocalIterator():
+            own = found.setdefault(row.lang, np.zeros(BUCKETS, np.int64))
+            at = np.array([(x.bucket, x.n) for x in row.own], np.int64)
+            own[at[:, 0]] = at[:, 1]
+            languages.append(row.lang)
+            if len(found) == PART_LANGUAGES:
+                parts.append(context.broadcast(Part(found)))
+                found = {}
+        if found:
+            parts.append(context.broadcast(Part(found)))
+        return cls(languages, parts)
+
+
+_TOP, _MASS, _LANG = "__top", "__mass", "__lang"
+
+
+def _judged(docs, model, text_col):
+    """Rows with the best language so far, its log likelihood, and the sum of all likelihoods as a multiple of its own.
+
+    A text without letters, and every text when no language was learned, gets nulls.
+    """
+    at, names = docs.columns.index(text_col), [*docs.columns, _LANG, _TOP, _MASS]
+    none = {_LANG: F.lit(None).cast("string"), _TOP: F.lit(None).cast("double"), _MASS: F.lit(None).cast("double")}
+    rows = docs.select("*", *[c.alias(n) for n, c in none.items()])
+
+    def against(part):
+        def run(batches):
+            for batch in slices(batches, at, BLOCK_BYTES):
+                texts = batch.column(at).to_pylist()
+                own = [i for i, t in enumerate(texts) if has_letter(t)]
+                langs = batch.column(len(names) - 3).to_pylist()
+                tops, masses = (np.array(batch.column(len(names) - k).to_pylist(), float) for k in (2, 1))
+                if own:
+                    logs = part.value.scores([texts[i] for i in own])
+                    best, new = logs.argmax(axis=1), logs.max(axis=1)
+                    mass = np.exp(logs - new[:, None]).sum(axis=1)
+                    old, before = tops[own], masses[own]
+                    first = np.isnan(old)
+                    top = np.where(first, new, np.fmax(old, new))
+                    masses[own] = mass * np.exp(new - top) + np.where(first, 0.0, before * np.exp(np.where(first, top, old) - top))
+                    tops[own] = top
+                    for i, b, better in zip(own, best, first | (new > old)):
+                        if better:
+                            langs[i] = part.value.languages[b]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-3], pa.array(langs, pa.string()), pa.array(tops, from_pandas=True), pa.array(masses, from_pandas=True)], names)
+        return run
+
+    for part in model.parts:
+        rows = rows.mapInArrow(against(part), rows.schema)
+    return rows
 
 
 def predict(docs, model, id_col="doc_id", text_col="text"):
@@ -133,17 +173,8 @@ def predict(docs, model, id_col="doc_id", text_col="text"):
     that sorts first. A text that is null or has no letter, and every text when no
     language was learned, gets ``und`` and score 0. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for part in slices(batches, 1, BLOCK_BYTES):
-            langs, scores = _predicted(part.column(1).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(langs, pa.string()), pa.array(scores)], [id_col, "lang_pred", "score"])
-
-    source = docs.select(F.col(id_col), F.col(text_col))
-    kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    rows = _judged(docs.select(F.col(id_col), F.col(text_col)), model, text_col)
+    return rows.select(id_col, F.coalesce(_LANG, F.lit(UNDETERMINED)).alias("lang_pred"), F.coalesce(1 / F.col(_MASS), F.lit(0.0)).alias("score"))
 
 
 def accepted(docs, model, least, text_col="text"):
@@ -151,18 +182,13 @@ def accepted(docs, model, least, text_col="text"):
 
     Undetermined texts are rejected; while no language was learned, texts with a letter stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if model.languages:
+        return _judged(docs, model, text_col).where(1 / F.col(_MASS) >= least).select(*docs.columns)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for part in slices(batches, at, BLOCK_BYTES):
-            texts = part.column(at).to_pylist()
-            if shared.value.languages:
-                langs, scores = _predicted(texts, shared.value)
-                keep = [g != UNDETERMINED and s >= least for g, s in zip(langs, scores)]
-            else:
-                keep = [has_letter(t) for t in texts]
-            yield part.filter(pa.array(keep, pa.bool_()))
+            yield part.filter(pa.array([has_letter(t) for t in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

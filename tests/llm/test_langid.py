@@ -3,7 +3,6 @@
 import zlib
 
 import numpy as np
-import pytest
 
 from chatloom.llm import langid
 from chatloom.llm.catalog import QUERIES
@@ -68,8 +67,20 @@ def test_ties_go_to_the_first_language(spark):
     assert {(r.lang_pred, r.score) for r in langid.predict(docs, model).collect()} == {("a", 0.5)}
 
 
-def test_too_many_languages_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
-    docs = spark.createDataFrame([(1, "abc", "b"), (2, "abc", "a")], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError):
-        langid.Model.collect(langid.train(docs))
+def test_parts_of_languages_give_what_one_matrix_gives(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    whole = langid.fit(docs)
+    want = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, whole).collect()}
+    kept = {r.doc_id for r in langid.accepted(docs, whole, 0.9).collect()}
+    for size in (1, 2):
+        monkeypatch.setattr(langid, "PART_LANGUAGES", size)
+        model = langid.fit(docs)
+        assert model.languages == whole.languages and len(model.parts) == -(-len(model.languages) // size) > 1
+        got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+        assert {r.doc_id for r in langid.accepted(docs, model, 0.9).collect()} == kept
+    monkeypatch.setattr(langid, "PART_LANGUAGES", 1)
+    same = spark.createDataFrame([(1, "abc", "b"), (2, "abc", "a")], "doc_id long, text string, lang string")
+    model = langid.Model.collect(langid.train(same))
+    assert {(r.lang_pred, r.score) for r in langid.predict(same, model).collect()} == {("a", 0.5)}

@@ -1,5 +1,6 @@
 """The pipeline stage by stage against brute-force versions of the stages."""
 
+import math
 from collections import Counter
 
 import corpus_pipeline
@@ -13,8 +14,9 @@ def brute(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(docs)
     rows = [r.asDict() for r in docs.collect()]
-    langs, scores = langid._predicted([r["text"] for r in rows], model)
-    rows = [r for r, g, s in zip(rows, langs, scores) if g != "und" and s >= 0.5]
+    (part,), rows = model.parts, [r for r in rows if langid.has_letter(r["text"])]
+    logs = part.value.scores([r["text"] for r in rows])
+    rows = [r for r, own in zip(rows, logs) if 1 / sum(math.exp(x - max(own)) for x in own) >= 0.5]
     component = {i: c for i, _, c in test_neardup.brute([(r["doc_id"], r["text"]) for r in rows], 5, 80)}
     rows = [r for r in rows if component[r["doc_id"]] == r["doc_id"]]
     for r in rows:
