@@ -11,6 +11,7 @@ estimation only needs how often each combination of votes occurs, which is at mo
 import math
 from collections import namedtuple
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chatloom.llm.columns import with_checkpoints
@@ -136,32 +137,24 @@ def fit(voted, names):
     3^rules of them, come to the driver with their frequencies. Without any rows the model
     is its prior belief.
     """
-    patterns = sorted((row[:-1], row[-1]) for row in map(tuple, voted.groupBy(*names).agg(F.count("*")).collect()))
-    prior, good, bad = GOOD, [ON_GOOD] * len(names), [ON_BAD] * len(names)
+    found = sorted(map(tuple, voted.groupBy(*names).agg(F.count("*")).collect()))
+    votes = np.array([row[:-1] for row in found], np.int64).reshape(-1, len(names)) + 1
+    times = np.array([row[-1] for row in found], np.float64)
+    rules, beliefs = np.arange(len(names)), BELIEF * np.array([[ON_GOOD], [ON_BAD]], np.float64).repeat(len(names), axis=1)
+    prior, sides = GOOD, beliefs / beliefs.sum(axis=2, keepdims=True)
     for rounds in range(1, MOST_ROUNDS + 1):
-        counts = [[[BELIEF * p for p in belief] for _ in names] for belief in (ON_GOOD, ON_BAD)]
-        weights = [BELIEF * GOOD, BELIEF * (1 - GOOD)]
-        for votes, n in patterns:
-            p = _posterior(prior, good, bad, votes)
-            for side, share in ((0, n * p), (1, n * (1 - p))):
-                weights[side] += share
-                for k, v in enumerate(votes):
-                    counts[side][k][v + 1] += share
-        after = weights[0] / sum(weights), *[[tuple(c / sum(row) for c in row) for row in side] for side in counts]
-        change = max(abs(x - y) for x, y in zip(_flat(after), _flat((prior, good, bad))))
-        prior, good, bad = after
+        ratio = np.log(sides[0] / sides[1])
+        odds = math.log(prior / (1 - prior)) + ratio[rules, votes].sum(axis=1)
+        good = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+        shares = np.stack([times * good, times * (1 - good)])
+        weights = BELIEF * np.array([GOOD, 1 - GOOD]) + shares.sum(axis=1)
+        counts = beliefs + np.stack([[[share[column == v].sum() for v in range(3)] for column in votes.T] for share in shares])
+        after = weights[0] / weights.sum(), counts / counts.sum(axis=2, keepdims=True)
+        change = max(abs(after[0] - prior), np.abs(after[1] - sides).max())
+        prior, sides = float(after[0]), after[1]
         if change < TOLERANCE:
             break
-    return LabelModel(prior, good, bad, rounds)
-
-
-def _flat(model):
-    return [model[0], *(p for side in model[1:] for row in side for p in row)]
-
-
-def _posterior(prior, good, bad, votes):
-    odds = math.log(prior / (1 - prior)) + sum(math.log(g[v + 1] / b[v + 1]) for g, b, v in zip(good, bad, votes))
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+    return LabelModel(prior, *[[tuple(row) for row in side] for side in sides.tolist()], rounds)
 
 
 def posterior(model, names):

@@ -1,7 +1,9 @@
 """Base measures against plain Python, the label model against plain Python, verdicts against labels."""
 
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -55,6 +57,45 @@ def test_verdicts_against_labels(spark):
     assert sum(bad) <= 0.05 * len(bad)
 
 
+def chance_of_good(prior, good, bad, votes):
+    odds = math.log(prior / (1 - prior)) + sum(math.log(g[v + 1] / b[v + 1]) for g, b, v in zip(good, bad, votes))
+    return 1 / (1 + math.exp(-odds))
+
+
+def plain_model(rows):
+    """Expectation-maximisation over votes, written out."""
+    k = len(rows[0])
+    prior, good, bad = quality.GOOD, [quality.ON_GOOD] * k, [quality.ON_BAD] * k
+    patterns = Counter(rows)
+    for _ in range(quality.MOST_ROUNDS):
+        weights = [quality.BELIEF * quality.GOOD, quality.BELIEF * (1 - quality.GOOD)]
+        counts = [[[quality.BELIEF * p for p in on] for _ in range(k)] for on in (quality.ON_GOOD, quality.ON_BAD)]
+        for votes, n in patterns.items():
+            p = chance_of_good(prior, good, bad, votes)
+            for side, share in ((0, n * p), (1, n * (1 - p))):
+                weights[side] += share
+                for rule, v in enumerate(votes):
+                    counts[side][rule][v + 1] += share
+        last = prior, good, bad
+        prior = weights[0] / sum(weights)
+        good, bad = ([[c / sum(row) for c in row] for row in side] for side in counts)
+        moved = [abs(x - y) for a, b in zip((good, bad), last[1:]) for r, s in zip(a, b) for x, y in zip(r, s)]
+        if max(abs(prior - last[0]), *moved) < quality.TOLERANCE:
+            break
+    return prior, good, bad
+
+
+def test_verdicts_by_a_plain_model(spark):
+    rows = QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.001")
+    names = [f"vote_{r.name}" for r in quality.RULES]
+    measured = quality.measures(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).withColumns(
+        {n: quality.vote(r) for n, r in zip(names, quality.RULES)}).collect()
+    model = plain_model([tuple(r[n] for n in names) for r in measured])
+    want = {r.doc_id: chance_of_good(*model, [r[n] for n in names]) >= quality.KEEP_FROM and not (
+        r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in measured}
+    assert {r.doc_id: r.kept for r in rows.collect()} == want and len(set(want.values())) == 2
+
+
 def test_label_model_recovers_planted_rates(spark):
     rng, rows = random.Random(9), []
     for _ in range(4000):
@@ -63,11 +104,14 @@ def test_label_model_recovers_planted_rates(spark):
                           (-1 if rng.random() < 0.7 else rng.choice([0, 1])) for _ in range(5)))
     names = [f"r{k}" for k in range(5)]
     model = quality.fit(spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names)), names)
+    prior, good, bad = plain_model(rows)
+    assert abs(model.prior - prior) < 1e-9
+    assert all(abs(x - y) < 1e-9 for a, b in ((model.good, good), (model.bad, bad)) for r, s in zip(a, b) for x, y in zip(r, s))
     assert abs(model.prior - 0.7) < 0.03
     assert all(abs(g[2] - 0.9) < 0.03 and abs(b[0] - 0.7) < 0.05 for g, b in zip(model.good, model.bad))
     sample = spark.createDataFrame(rows[:50], ", ".join(f"{n} int" for n in names))
     for r in sample.withColumn("p", quality.posterior(model, names)).collect():
-        assert abs(r.p - quality._posterior(model.prior, model.good, model.bad, [r[n] for n in names])) < 1e-9
+        assert abs(r.p - chance_of_good(model.prior, model.good, model.bad, [r[n] for n in names])) < 1e-9
 
 
 def test_edge_cases(spark):
