@@ -1,5 +1,10 @@
 """Rails backed by a model: a vectorised scoring function over batches of texts."""
 
+import sys
+import types
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -41,6 +46,86 @@ def model_column(fn, returns="double"):
     return run
 
 
+def _loaded(key, load):
+    """The model of this worker process. Functions come to a task as copies with globals of their own, so a module made for it keeps the models."""
+    models = sys.modules.setdefault("_models_of_worker", types.ModuleType("_models_of_worker")).__dict__
+    if key not in models:
+        models[key] = load()
+    return models[key]
+
+
+class Breaker:
+    """Calls to a model with a budget of retries, stopped for a while after failures in a row.
+
+    A call that fails is tried again while the task has retries left. After ``trip`` calls
+    in a row that failed the breaker opens: the next ``rest`` texts are refused without
+    a call. Then one call is let through; if it fails too, the breaker opens again.
+    """
+
+    OPEN = "BreakerOpen: the model failed too often"
+
+    def __init__(self, fn, retries, trip, rest):
+        self.fn, self.retries, self.trip, self.rest = fn, retries, trip, rest
+        self.failed, self.resting = 0, 0
+
+    def call(self, texts):
+        """(results, None), or (None, error); an open breaker gives its own error."""
+        if self.resting > 0:
+            self.resting -= len(texts)
+            return None, self.OPEN
+        while True:
+            try:
+                results = list(self.fn(texts))
+                if len(results) != len(texts):
+                    raise ValueError("the model returned a different number of results")
+                self.failed = 0
+                return results, None
+            except Exception as error:
+                self.failed += 1
+                if self.failed >= self.trip:
+                    self.resting = self.rest
+                    return None, f"{type(error).__name__}: {error}"
+                if not self.retries:
+                    return None, f"{type(error).__name__}: {error}"
+                self.retries -= 1
+
+
+def worker_model_column(load, returns="double", retries=100, trip=50, rest=10_000):
+    """Like ``model_column`` for a model that is dear to load: ``load()`` gives the function over texts.
+
+    It runs once per worker process, however many tasks and batches that process gets. A
+    task has ``retries`` repeated calls and a ``Breaker`` of its own. A batch that fails is halved as
+    in ``model_column``; halving one bad text out of a batch takes about as many failed
+    calls as the batch has binary digits, each followed by one that works, so ``trip`` lies
+    above that. Texts met while the breaker is open have its error. An error of ``load`` fails the task.
+    """
+    key = uuid.uuid4().hex
+
+    @F.pandas_udf(f"value {returns}, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        breaker = Breaker(_loaded(key, load), retries, trip, rest)
+        for texts in batches:
+            values, errors = [None] * len(texts), [None] * len(texts)
+            wanted = [i for i, t in enumerate(texts) if t is not None]
+            todo = [wanted] if wanted else []
+            while todo:
+                part = todo.pop()
+                results, error = breaker.call([texts.iat[i] for i in part])
+                if error is None:
+                    for i, value in zip(part, results):
+                        values[i] = value
+                elif len(part) == 1 or error == Breaker.OPEN:
+                    for i in part:
+                        errors[i] = error
+                else:
+                    todo += [part[len(part) // 2:], part[:len(part) // 2]]
+            numeric = returns in ("double", "float")
+            yield pd.DataFrame({"value": pd.Series(values, dtype="float64" if numeric else "object"),
+                                "error": pd.Series(errors, dtype="object")})
+
+    return run
+
+
 class ModelRail(GuardRail):
     """Blocks when the model's confidence is strictly above the threshold.
 

@@ -48,13 +48,25 @@ def with_running_total(df, key, order, totals, chunk=CHUNK_ROWS):
     ``totals`` maps a name to the column to sum. Only one row per chunk takes part
     in the window over the whole session.
     """
+    summed = _with_running(df, key, order, totals, chunk, F.sum)
+    return summed.select(*df.columns, *[
+        (F.coalesce(n, F.lit(0)) + F.coalesce(f"__{n}", F.lit(0))).alias(n) for n in totals])
+
+
+def with_running_max(df, key, order, columns, chunk=CHUNK_ROWS):
+    """Add the largest value over all rows before each row of a session (NULL for the first)."""
+    found = _with_running(df, key, order, columns, chunk, F.max)
+    return found.select(*df.columns, *[F.greatest(n, f"__{n}").alias(n) for n in columns])
+
+
+def _with_running(df, key, order, columns, chunk, fold):
+    """Per name the fold over earlier rows of the chunk, and as ``__name`` that over earlier chunks."""
     chunked = _chunked(df, order, chunk)
     before = Window.partitionBy(key, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = chunked.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in totals.items()})
+    inside = chunked.withColumns({n: fold(c).over(before) for n, c in columns.items()})
 
-    per_chunk = chunked.groupBy(key, _CHUNK).agg(*[F.sum(c).alias(f"__{n}") for n, c in totals.items()])
+    per_chunk = chunked.groupBy(key, _CHUNK).agg(*[fold(c).alias(f"__{n}") for n, c in columns.items()])
     earlier = Window.partitionBy(key).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.select(
-        F.col(key).alias("__key"), F.col(_CHUNK).alias("__of"), *[F.sum(f"__{n}").over(earlier).alias(f"__{n}") for n in totals])
-    joined = inside.join(offsets, F.col(key).eqNullSafe(F.col("__key")) & (F.col(_CHUNK) == F.col("__of")), "left")
-    return joined.select(*df.columns, *[(F.col(n) + F.coalesce(F.col(f"__{n}"), F.lit(0))).alias(n) for n in totals])
+        F.col(key).alias("__key"), F.col(_CHUNK).alias("__of"), *[fold(f"__{n}").over(earlier).alias(f"__{n}") for n in columns])
+    return inside.join(offsets, F.col(key).eqNullSafe(F.col("__key")) & (F.col(_CHUNK) == F.col("__of")), "left")

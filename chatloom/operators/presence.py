@@ -8,6 +8,8 @@ most one slot further when a slot is as long as the lifetime.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chatloom.operators.chunks import with_running_max, with_running_total
+
 TTL_S = 6000          # fixed value: lifetime of a connection in seconds
 SLIDING_TTL_S = 60    # fixed value: lifetime that each message refreshes
 SLOTS_PER_WINDOW = 4  # lifetimes per slot of the interval job: 1.25 copies of each event
@@ -62,6 +64,44 @@ def presence_intervals(events, ttl_s=TTL_S, slots=SLOTS_PER_WINDOW):
             .filter("start_ts < end_ts"))
 
 
+def online_spans(intervals, slot_s=TTL_S * SLOTS_PER_WINDOW):
+    """Intervals of a session that meet or overlap as one: ``session_id``, ``start_ts``, ``end_ts``, ``n_intervals``.
+
+    A session is cut into slots of time; only one row per slot takes part in the windows
+    over the whole session. Intervals without a border or with nothing in them are left out;
+    those without a session count as one session.
+    """
+    slot = slot_s * 1_000_000
+    starts = (intervals.filter("start_ts < end_ts").groupBy("session_id", "start_ts")
+              .agg(F.max("end_ts").alias("end_ts"), F.count("*").alias("n")).withColumn("__at", epoch_us(F.col("start_ts"))))
+    reached = with_running_max(starts, "session_id", "__at", {"__reach": F.col("end_ts")}, slot)
+    opens = reached.withColumn("__opens", F.when(F.col("__reach") >= F.col("start_ts"), 0).otherwise(1))
+    numbered = with_running_total(opens, "session_id", "__at", {"__before": F.col("__opens")}, slot)
+    return (numbered.groupBy("session_id", (F.col("__before") + F.col("__opens")).alias("__span"))
+            .agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("n").alias("n_intervals")).drop("__span"))
+
+
+def online_over_time(spans, slot_s=3600):
+    """How many sessions are online from each change on: ``ts``, ``came``, ``left``, ``online``.
+
+    Spans of one session must not meet or overlap, as ``online_spans`` gives them. Time is cut into slots;
+    a slot begins with the spans that reach over its begin, which are counted by themselves,
+    so no window runs over all times. Shorter slots spread busy times and repeat long spans more often.
+    """
+    borders = spans.select("session_id", F.explode(F.array(
+        F.struct(F.col("start_ts").alias("ts"), F.lit(1).alias("step")), F.struct(F.col("end_ts").alias("ts"), F.lit(-1).alias("step")))).alias("b"))
+    changes = (borders.groupBy("b.ts").agg(F.count_if(F.col("b.step") > 0).alias("came"), F.count_if(F.col("b.step") < 0).alias("left"))
+               .withColumn("__slot", _slot(F.col("ts"), slot_s)))
+    # A span that ends with the begin of a slot stands before that slot and leaves in it.
+    first, last = _slot(F.col("start_ts"), slot_s) + 1, _slot(F.col("end_ts"), slot_s)
+    standing = (spans.filter(first <= last).select(F.explode(F.sequence(first, last)).alias("__slot"))
+                .groupBy("__slot").agg(F.count("*").alias("__standing")))
+    so_far = Window.partitionBy("__slot").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = changes.join(standing, "__slot", "left")
+    online = F.coalesce("__standing", F.lit(0)) + F.sum(F.col("came") - F.col("left")).over(so_far)
+    return opened.select("ts", "came", "left", online.alias("online"))
+
+
 def with_online(arrivals, intervals, slot_s=TTL_S):
     """Add ``online``: whether an interval of the session holds the arrival time.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import confidence as label_functions
 from chatloom.functions import frames as frame_functions
 from chatloom.functions import language, rails
-from chatloom.functions.model_rail import model_column, model_rail
+from chatloom.functions.model_rail import model_column, model_rail, worker_model_column
 from chatloom.functions.redaction import INFO_TYPES
 from chatloom.functions.text import date_instruction, primary_text, render
 from chatloom.operators import (
@@ -407,6 +407,16 @@ def w5_presence_intervals(spark, d):
     return _intervals(spark, d)
 
 
+@query
+def w5_online_spans(spark, d):
+    return presence.online_spans(_intervals(spark, d))
+
+
+@query
+def w5_online_over_time(spark, d):
+    return presence.online_over_time(presence.online_spans(_intervals(spark, d)))
+
+
 @query
 def t3_sliding_presence_batch(spark, d):
     return presence.gap_sessions(fx.view(spark, d, "posts"))
@@ -446,3 +456,24 @@ def u2_model_rail(spark, d):
     return both.select("msg_id", F.col("scored.error").isNotNull().alias("failed"),
                        F.col("o.is_blocked").alias("open_blocked"), F.col("o.blocked_reason").alias("open_reason"),
                        F.col("c.is_blocked").alias("closed_blocked"), F.col("c.blocked_reason").alias("closed_reason"))
+
+
+class ColdModel:
+    """Stands for a model in a process of its own, whose first call after loading fails."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def __call__(self, texts):
+        self.calls += 1
+        if self.calls == 1:
+            raise ConnectionError("not ready")
+        return example_model(texts)
+
+
+@query
+def u2_worker_model(spark, d):
+    """A model loaded once per worker; its first failure costs a retry, texts it cannot read keep their error."""
+    # Single texts are to blame here, not the model: their failures in a row never open the breaker.
+    scored = _messages(spark, d).withColumn("scored", worker_model_column(ColdModel, trip=1 << 62)(F.col("text")))
+    return scored.select("msg_id", F.round("scored.value", 6).alias("digit_share"), F.col("scored.error").alias("error"))

@@ -70,6 +70,13 @@ INTERVALS = """intervals AS (SELECT * FROM (
                  coalesce(lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id), ts + INTERVAL 6000 SECOND)) AS end_ts
     FROM presence_events) WHERE kind = 'connect' AND start_ts < end_ts)"""
 
+SPANS = """reached AS (SELECT *, max(end_ts) OVER (PARTITION BY session_id ORDER BY start_ts, connection_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM intervals),
+  numbered AS (SELECT *, sum(CASE WHEN reach >= start_ts THEN 0 ELSE 1 END)
+    OVER (PARTITION BY session_id ORDER BY start_ts, connection_id) AS span FROM reached),
+  spans AS (SELECT session_id, min(start_ts) AS start_ts, max(end_ts) AS end_ts, count(*) AS n_intervals
+    FROM numbered GROUP BY session_id, span)"""
+
 ONLINE = """EXISTS (SELECT 1 FROM intervals i WHERE i.session_id = a.session_id
     AND a.ts >= i.start_ts AND a.ts < i.end_ts)"""
 
@@ -350,6 +357,12 @@ def oracle_sql():
     sql["w4_held_attempts"] = sql["t4_held_redelivery_stream"] = HELD
     sql["w5_presence_intervals"] = f"""{cte('presence_events')}, {INTERVALS}
         SELECT session_id, connection_id, start_ts, end_ts FROM intervals"""
+    sql["w5_online_spans"] = f"""{cte('presence_events')}, {INTERVALS}, {SPANS}
+        SELECT session_id, start_ts, end_ts, n_intervals FROM spans"""
+    sql["w5_online_over_time"] = f"""{cte('presence_events')}, {INTERVALS}, {SPANS},
+        borders AS (SELECT start_ts AS ts, 1 AS step FROM spans UNION ALL SELECT end_ts, -1 FROM spans),
+        changes AS (SELECT ts, count(*) FILTER (WHERE step > 0) AS came, count(*) FILTER (WHERE step < 0) AS "left" FROM borders GROUP BY ts)
+        SELECT ts, came, "left", CAST(sum(came - "left") OVER (ORDER BY ts) AS BIGINT) AS online FROM changes"""
     sql["t3_sliding_presence_batch"] = GAPS
     sql["u1_custom_rail"] = f"""{cte('messages')}, s AS (SELECT msg_id,
         text || CASE WHEN msg_id % 7 = 0 THEN '!!!' ELSE '' END AS text FROM messages)
@@ -361,6 +374,9 @@ def oracle_sql():
       SELECT msg_id, failed, open_blocked, CASE WHEN open_blocked THEN 'Digits detected' ELSE '' END AS open_reason,
              closed_blocked, CASE WHEN failed THEN {lit(PROFANITY_ERROR_REASON)} WHEN closed_blocked THEN 'Digits detected' ELSE '' END AS closed_reason
       FROM j"""
+    sql["u2_worker_model"] = f"""{cte('messages')} SELECT msg_id,
+        CASE WHEN NOT contains(text, '|') THEN round(len(regexp_extract_all(text, '[0-9]')) / greatest(length(text), 1), 6) END AS digit_share,
+        CASE WHEN contains(text, '|') THEN 'ValueError: cannot read tables' END AS error FROM messages"""
     # A stream over the whole input answers the same question as its batch twin.
     sql["t1_envelope_stream"] = f"""WITH judged AS ({OUTCOMES.format(failed="message_id % 10 = 0")})
       SELECT message_id, judged.session_id, reason, outcome, delivery_attempt,

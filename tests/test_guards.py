@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatloom.functions import rails
-from chatloom.functions.model_rail import model_column, model_rail
+from chatloom.functions.model_rail import Breaker, model_column, model_rail, worker_model_column
 from chatloom.functions.text import has_phrase
 from chatloom.functions.redaction import CARD_PATTERN, INFO_TYPES
 from chatloom.operators import guards
@@ -199,3 +199,53 @@ def test_lexicon_tables_agree_with_columns_and_refuse_other_terms(spark):
     for term in ("two words", "c++"):
         with pytest.raises(Exception, match="not a single word"):
             guards.moderate_by_table(df, "id", "text", spark.createDataFrame([("bad", term)], "category string, term string")).collect()
+
+
+def test_breaker_retries_opens_rests_and_tries_again():
+    down, calls = [True], []
+
+    def model(texts):
+        calls.append(len(texts))
+        if down[0]:
+            raise OSError("down")
+        return [len(t) for t in texts]
+
+    breaker = Breaker(model, retries=1, trip=3, rest=4)
+    assert breaker.call(["a"]) == (None, "OSError: down") and len(calls) == 2   # one retry, then none is left
+    assert breaker.call(["a"]) == (None, "OSError: down") and len(calls) == 3   # the third failure in a row opens
+    assert [breaker.call(["a", "b"])[1] for _ in range(2)] == [Breaker.OPEN] * 2 and len(calls) == 3
+    assert breaker.call(["a"]) == (None, "OSError: down") and len(calls) == 4   # a trial fails and opens again
+    assert breaker.call(["a"] * 4)[1] == Breaker.OPEN
+    down[0] = False
+    assert breaker.call(["a", "bcd"]) == ([1, 3], None) and breaker.failed == 0
+    assert Breaker(lambda ts: [], retries=0, trip=9, rest=1).call(["a"])[1].startswith("ValueError")
+
+
+def test_a_worker_loads_its_model_once(spark, tmp_path):
+    def load():
+        import os
+        with open(f"{tmp_path}/loads", "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda ts: [float(len(t)) for t in ts]
+
+    df = spark.range(4000).repartition(16).select("id", F.when(F.col("id") % 7 != 0, F.col("id").cast("string")).alias("text"))
+    column = worker_model_column(load)
+    for _ in range(2):
+        out = df.withColumn("m", column(F.col("text"))).collect()
+        assert all(r.m.value == (len(r.text) if r.text else None) and r.m.error is None for r in out) and len(out) == 4000
+    loads = (tmp_path / "loads").read_text().split()
+    assert len(loads) == len(set(loads)) < 32  # 32 tasks ran
+
+
+def test_a_dead_model_is_left_alone(spark, tmp_path):
+    def load():
+        def model(ts):
+            with open(f"{tmp_path}/calls", "a") as f:
+                f.write("x")
+            raise OSError("down")
+        return model
+
+    df = spark.range(3000).coalesce(1).select("id", F.lit("t").alias("text"))
+    out = df.withColumn("m", worker_model_column(load, retries=2, trip=5, rest=1 << 40)(F.col("text"))).collect()
+    assert {r.m.error for r in out} <= {Breaker.OPEN, "OSError: down"} and all(r.m.value is None for r in out)
+    assert len((tmp_path / "calls").read_text()) == 5 and sum(r.m.error == Breaker.OPEN for r in out) > 2900

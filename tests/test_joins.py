@@ -55,6 +55,31 @@ def test_gate_agrees_with_hand_count_for_any_slots(spark):
         assert out == {i: s is not None and online_by_hand(events, s, t, 900) for i, s, t in arrivals}
 
 
+def test_presence_over_time_by_hand(spark):
+    for seed, slot_s, span_slot in ((4, 3600, 24000), (5, 100, 500), (6, 50, 1)):
+        rng = random.Random(seed)
+        rows = [(rng.choice(["hot"] * 5 + ["a", None]), s := rng.randrange(0, 20000, 50), s + rng.randrange(-50, 900, 50)) for _ in range(300)]
+        table = spark.createDataFrame(
+            [(i, at(a), at(b)) for i, a, b in rows], "session_id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+        want = []
+        for session in ("hot", "a", None):
+            own = []
+            for a, b in sorted((a, b) for i, a, b in rows if i == session and a < b):
+                if own and own[-1][1] >= a:
+                    own[-1] = [own[-1][0], max(own[-1][1], b), own[-1][2] + 1]
+                else:
+                    own.append([a, b, 1])
+            want += [(session, *x) for x in own]
+        spans = presence.online_spans(table, span_slot)
+        seconds = lambda t: (t - START).total_seconds()
+        assert sorted(((r.session_id, seconds(r.start_ts), seconds(r.end_ts), r.n_intervals) for r in spans.collect()), key=str) == sorted(
+            ((i, float(a), float(b), n) for i, a, b, n in want), key=str)
+        got = {seconds(r.ts): (r.came, r.left, r.online) for r in presence.online_over_time(spans, slot_s).collect()}
+        assert got == {t: (sum(a == t for _, a, _, _ in want), sum(b == t for _, _, b, _ in want), sum(a <= t < b for _, a, b, _ in want))
+                       for t in {t for _, a, b, _ in want for t in (a, b)}}
+        assert presence.online_over_time(presence.online_spans(table.limit(0))).count() == 0
+
+
 def spans_by_hand(arrivals, gap):
     out = []
     for session in {s for _, s, _ in arrivals if s is not None}:
