@@ -129,16 +129,18 @@ class Model:
 _TOP, _MASS, _LANG = "__top", "__mass", "__lang"
 
 
-def _judged(docs, model, text_col):
-    """Rows with the best language so far, its log likelihood, and the sum of all likelihoods as a multiple of its own.
+def _judged(docs, model, text_col, keep):
+    """Columns ``keep`` of all rows with the best language so far, its log likelihood, and the sum of all likelihoods as a multiple of its own.
 
     A text without letters, and every text when no language was learned, gets nulls.
     """
     at, names = docs.columns.index(text_col), [*docs.columns, _LANG, _TOP, _MASS]
     none = {_LANG: F.lit(None).cast("string"), _TOP: F.lit(None).cast("double"), _MASS: F.lit(None).cast("double")}
     rows = docs.select("*", *[c.alias(n) for n, c in none.items()])
+    if not model.parts:
+        return rows.select(*keep, *none)
 
-    def against(part):
+    def against(part, places):
         def run(batches):
             for batch in slices(batches, at, BLOCK_BYTES):
                 texts = batch.column(at).to_pylist()
@@ -158,12 +160,14 @@ def _judged(docs, model, text_col):
                         if better:
                             langs[i] = part.value.languages[b]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-3], pa.array(langs, pa.string()), pa.array(tops, from_pandas=True), pa.array(masses, from_pandas=True)], names)
+                    [*[batch.column(k) for k in places], pa.array(langs, pa.string()), pa.array(tops, from_pandas=True), pa.array(masses, from_pandas=True)],
+                    [*[names[k] for k in places], *names[-3:]])
         return run
 
-    for part in model.parts:
-        rows = rows.mapInArrow(against(part), rows.schema)
-    return rows
+    for part in model.parts[:-1]:
+        rows = rows.mapInArrow(against(part, range(len(names) - 3)), rows.schema)
+    # Texts that nobody asked for stay behind in the last pass.
+    return rows.mapInArrow(against(model.parts[-1], [docs.columns.index(c) for c in keep]), rows.select(*keep, *none).schema)
 
 
 def predict(docs, model, id_col="doc_id", text_col="text"):
@@ -173,7 +177,7 @@ def predict(docs, model, id_col="doc_id", text_col="text"):
     that sorts first. A text that is null or has no letter, and every text when no
     language was learned, gets ``und`` and score 0. Other columns are not read.
     """
-    rows = _judged(docs.select(F.col(id_col), F.col(text_col)), model, text_col)
+    rows = _judged(docs.select(F.col(id_col), F.col(text_col)), model, text_col, [id_col])
     return rows.select(id_col, F.coalesce(_LANG, F.lit(UNDETERMINED)).alias("lang_pred"), F.coalesce(1 / F.col(_MASS), F.lit(0.0)).alias("score"))
 
 
@@ -183,7 +187,7 @@ def accepted(docs, model, least, text_col="text"):
     Undetermined texts are rejected; while no language was learned, texts with a letter stay.
     """
     if model.languages:
-        return _judged(docs, model, text_col).where(1 / F.col(_MASS) >= least).select(*docs.columns)
+        return _judged(docs, model, text_col, docs.columns).where(1 / F.col(_MASS) >= least).select(*docs.columns)
     at = docs.columns.index(text_col)
 
     def run(batches):
