@@ -34,6 +34,10 @@ def _span(rows):
     return span
 
 
+def _buckets(rows):
+    return redelivery.buckets_for(rows.agg(F.approx_count_distinct("message_id")).first()[0])
+
+
 # All streams get their rows in the order of time, so they wait no longer than a live source would need.
 DELAY = "1 minute"
 
@@ -135,10 +139,10 @@ def t4_redelivery_stream(spark, d):
     rows = attempts.select("message_id", F.col("ts").cast("timestamp").alias("ts"), tie.alias("tie"), "ok")
 
     # What is open at the end of the table is pending; nothing is given up, and no settled message forgotten, before.
-    span = _span(rows)
+    span, buckets = _span(rows), _buckets(rows)
 
     def build(read, side):
-        return redelivery.redelivery_stream(read(), retention_s=span, pending_after_s=span, delay=DELAY, side=side)
+        return redelivery.redelivery_stream(read(), retention_s=span, pending_after_s=span, delay=DELAY, side=side, buckets=buckets)
 
     done = run_replayed(own, rows, build, redelivery.redelivery_flush(flush_ts()))
     return spark.read.parquet(_whole(done)).drop("at_us")
@@ -151,9 +155,10 @@ def t4_held_redelivery_stream(spark, d):
     bursts = fx.view(own, d, "bursts")
     tie = F.concat(*[F.lpad(F.col(c).cast("string"), 20, "0") for c in ("l_linenumber", "l_partkey", "l_suppkey", "cents")])
     rows = bursts.select("message_id", F.timestamp_seconds("at_s").alias("ts"), tie.alias("tie"), "ok")
+    buckets = _buckets(rows)
 
     def build(read, side):
-        return redelivery.redelivery_stream(read(), hold=True, pending_after_s=PENDING_AFTER_S, delay=DELAY, side=side)
+        return redelivery.redelivery_stream(read(), hold=True, pending_after_s=PENDING_AFTER_S, delay=DELAY, side=side, buckets=buckets)
 
     done = run_replayed(own, rows, build, redelivery.redelivery_flush(flush_ts()))
     at = F.call_function("div", F.col("at_us"), F.lit(1_000_000).cast("bigint"))

@@ -1,31 +1,104 @@
-"""Delivery attempts on a stream: state and timers of each message."""
+"""Delivery attempts on a stream: state and timers of buckets of messages."""
 
-from pyspark.sql import Row
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from chatloom.operators.delivery import MAX_ATTEMPTS, PUSH_RETRY, outcome_columns
 
 RETENTION_S = 7 * 86400  # how long a settled message is remembered; far beyond the longest delay of a policy
+BUCKETS = 8192  # of a stream whose number of messages is not known
+BUCKET_MESSAGES, LEAST_BUCKETS = 8192, 64  # that one bucket remembers, where the number is known; buckets for the tasks
+NO_ID = -1  # the bucket of messages without an id
 
-_OUT_SCHEMA = "message_id long, n_seen long, first_ok long, at_us long"
+_OUT_SCHEMA = "message_id long, n_seen long, ok boolean, at_us long"
+_SEEN = pa.schema([("message_id", pa.int64()), ("n", pa.int64()), ("settled", pa.bool_()), ("at_us", pa.int64())])
+_WAITING = pa.schema([("message_id", pa.int64()), ("us", pa.int64()), ("tie", pa.string()), ("ok", pa.bool_())])
+_ORDER = ["message_id", "us", "tie", "ok"]
 
 
 def first_attempts(max_attempts):
     """Keep the first attempts of each message within a batch; later ones cannot matter."""
     def combine(batches):
         for batch in batches:
-            yield batch.sort_values(["us", "tie"]).groupby("message_id", sort=False).head(max_attempts)
+            yield batch.sort_values(["us", "tie", "ok"]).groupby(["bucket", "message_id"], sort=False).head(max_attempts)
     return combine
 
 
+def settle(seen, waiting, passed_us, max_attempts, delays_us, retention_us, pending_us):
+    """Let the attempts that the watermark has passed take place, for many messages at once.
+
+    ``seen`` (message_id, n, settled, at_us) are messages with attempts so far, ``waiting`` their attempts to
+    come in the order of ``_ORDER``. With ``delays_us`` (the pause after each failure) an attempt that comes before the
+    pause is over takes place when it is. Gives both tables as they are from now on, the messages to report,
+    and the time at which something is due next, or None.
+    """
+    ids = np.union1d(seen["message_id"], waiting["message_id"])
+    n, at, settled, good = (np.zeros(len(ids), t) for t in (np.int64, np.int64, bool, bool))
+    place = np.searchsorted(ids, seen["message_id"])
+    n[place], at[place], settled[place] = seen["n"], seen["at_us"], seen["settled"]
+    was_settled = settled.copy()
+    key, us, ok = (waiting[c].to_numpy() for c in ("message_id", "us", "ok"))
+    pos, end = np.searchsorted(key, ids, "left"), np.searchsorted(key, ids, "right")
+    pauses = None if delays_us is None else np.array(delays_us, np.int64)
+
+    def next_us(which):
+        at_least = us[pos[which]]
+        if pauses is None:
+            return at_least
+        last = np.maximum(n[which], 1) - 1
+        return np.where(n[which] > 0, np.maximum(at_least, at[which] + pauses[last]), at_least)
+
+    for _ in range(max_attempts):
+        open_now = np.flatnonzero(~settled & (pos < end))
+        takes_place = next_us(open_now)
+        due = takes_place <= passed_us
+        now = open_now[due]
+        if not len(now):
+            break
+        good[now] = ok[pos[now]]
+        n[now] += 1
+        at[now] = takes_place[due]
+        pos[now] += 1
+        settled[now] = good[now] | (n[now] >= max_attempts)
+
+    later = ~settled & (pos < end)
+    wake = np.full(len(ids), np.iinfo(np.int64).max)
+    wake[settled] = at[settled] + retention_us
+    wake[later] = next_us(np.flatnonzero(later))
+    if pending_us is not None:
+        wake[~settled & ~later] = at[~settled & ~later] + pending_us
+    given_up = ~later & (wake <= passed_us)
+    news = (settled & ~was_settled) | (given_up & ~settled)
+    told = pd.DataFrame({"message_id": ids[news], "n_seen": n[news], "ok": settled[news] & good[news], "at_us": at[news]})
+
+    kept = (n > 0) & ~given_up
+    seen = pd.DataFrame({"message_id": ids[kept], "n": n[kept], "settled": settled[kept], "at_us": at[kept]})
+    # Of what waits, only attempts that can still count are kept.
+    owner, row = np.searchsorted(ids, key), np.arange(len(key))
+    waiting = waiting[later[owner] & (row >= pos[owner]) & (row < pos[owner] + max_attempts - n[owner])]
+    due_us = wake[kept | later].min(initial=np.iinfo(np.int64).max)
+    return seen, waiting, told, None if due_us == np.iinfo(np.int64).max else int(due_us)
+
+
+def _packed(rows, schema):
+    return pa.RecordBatch.from_pandas(rows, schema, preserve_index=False).serialize().to_pybytes()
+
+
+def _unpacked(data, schema):
+    if data is None:
+        return schema.empty_table().to_pandas()
+    return pa.ipc.read_record_batch(pa.py_buffer(bytes(data)), schema).to_pandas()
+
+
 class Redelivery(StatefulProcessor):
-    """The state of one message: attempts so far, whether it is settled, and attempts that wait.
+    """The state of one bucket of messages: attempts so far, whether each is settled, and attempts that wait.
 
-    An attempt waits until the watermark has passed it and, with ``delays_us`` (the pause
-    after each failure), until the pause after the failure before it is over: an attempt
-    that comes sooner is held, and takes place when the pause ends. A timer wakes the message
-    for its first waiting attempt, to forget it once settled, or to give it up as pending.
+    An attempt waits until the watermark has passed it and, with ``delays_us``, until the pause
+    after the failure before it is over. One timer wakes the bucket for whatever is due first: a waiting
+    attempt, a settled message to forget, or one to give up as pending.
     """
 
     def __init__(self, max_attempts, delays_us, retention_us, pending_us):
@@ -33,66 +106,54 @@ class Redelivery(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, tie string, ok boolean")
-        self.seen = handle.getValueState("seen", "n bigint, settled boolean, at_us bigint")
+        self.state = handle.getValueState("messages", "wake_ms bigint, seen binary, waiting binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        seen = self.seen.get()
-        if seen and seen[1]:
-            return iter(())  # a repeat of a settled message
-        new = sorted((r.us, r.tie, r.ok) for r in rows)[:self.max_attempts]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(new[0][0] // 1000 + 1)
+        new = pd.concat([r[_ORDER] for r in rows])
+        wake_ms, seen, waiting = self.state.get() or (None, None, None)
+        known = _unpacked(seen, _SEEN)
+        new = new[~new["message_id"].isin(known["message_id"][known["settled"]])]  # no repeats of settled messages
+        if len(new):
+            first_ms = int(new["us"].min()) // 1000 + 1
+            if wake_ms is None or first_ms < wake_ms:
+                if wake_ms is not None:
+                    self.handle.deleteTimer(wake_ms)
+                wake_ms = first_ms
+                self.handle.registerTimer(wake_ms)
+            held = pd.concat([_unpacked(waiting, _WAITING), new]) if waiting is not None else new
+            held = held.sort_values(_ORDER).groupby("message_id", sort=False).head(self.max_attempts)
+            self.state.update((wake_ms, seen, _packed(held, _WAITING)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
-        n, settled, at_us = self.seen.get() or (0, False, 0)
-        rows = [] if settled else sorted(map(tuple, self.waiting.get()))
-        if not n and not rows:
-            return  # an earlier timer has done it all
-        taken, news = 0, None
-        for us, _, ok in rows:
-            takes_place = max(us, at_us + self.delays_us[n - 1]) if n and self.delays_us else us
-            if takes_place > passed_us:
-                break
-            n, at_us, taken = n + 1, takes_place, taken + 1
-            settled = ok or n >= self.max_attempts
-            if settled:
-                news = Row(message_id=key[0], n_seen=n, first_ok=n if ok else None, at_us=at_us)
-                break
-        # Of what waits, only attempts that can still count are kept.
-        later = [] if settled else rows[taken:taken + self.max_attempts - n]
-        given_up = False
-        if settled:
-            wake_us = at_us + self.retention_us
-            given_up = wake_us <= passed_us
-        elif later:
-            wake_us = max(later[0][0], at_us + self.delays_us[n - 1]) if n and self.delays_us else later[0][0]
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        wake_ms, seen, waiting = self.state.get() or (None, None, None)
+        if wake_ms is None or wake_ms > watermark_ms:
+            return
+        passed_us = watermark_ms * 1000
+        seen, waiting, told, due_us = settle(_unpacked(seen, _SEEN), _unpacked(waiting, _WAITING), passed_us,
+                                             self.max_attempts, self.delays_us, self.retention_us, self.pending_us)
+        if len(seen) or len(waiting):
+            wake_ms = None if due_us is None else max(due_us, passed_us) // 1000 + 1
+            if wake_ms is not None:
+                self.handle.registerTimer(wake_ms)
+            self.state.update((wake_ms, _packed(seen, _SEEN) if len(seen) else None, _packed(waiting, _WAITING) if len(waiting) else None))
         else:
-            wake_us = None if self.pending_us is None else at_us + self.pending_us
-            given_up = wake_us is not None and wake_us <= passed_us
-            if given_up:
-                news = Row(message_id=key[0], n_seen=n, first_ok=None, at_us=at_us)
-        if given_up:
-            self.seen.clear()
-            self.waiting.clear()
-        else:
-            if taken:
-                self.seen.update((n, settled, at_us))
-            if taken or len(later) < len(rows):
-                self.waiting.put(later) if later else self.waiting.clear()
-            if wake_us is not None:
-                self.handle.registerTimer(max(wake_us, passed_us) // 1000 + 1)
-        if news is not None:
-            yield news
+            self.state.clear()
+        if len(told):
+            yield told if key[0] != NO_ID else told.assign(message_id=pd.array([None] * len(told), "Int64"))
 
     def close(self):
         pass
 
 
+def buckets_for(messages):
+    """How many buckets a stream needs that remembers about so many messages at a time."""
+    return max(LEAST_BUCKETS, -(-messages // BUCKET_MESSAGES))
+
+
 def redelivery_stream(attempts, max_attempts=MAX_ATTEMPTS, policy=PUSH_RETRY, hold=False, retention_s=RETENTION_S, pending_after_s=None,
-                      delay="1 hour", side=None):
+                      delay="1 hour", side=None, buckets=BUCKETS):
     """Outcome of each message of a stream of attempts (message_id, ts, tie, ok), with its time ``at_us``.
 
     Attempts are taken in order of (``ts``, ``tie``) once the watermark has passed
@@ -102,17 +163,25 @@ def redelivery_stream(attempts, max_attempts=MAX_ATTEMPTS, policy=PUSH_RETRY, ho
     a repeat of it is ignored. With ``pending_after_s`` a message without an attempt for
     so long is reported as pending and its count given up. Before the shuffle each task
     keeps only the first attempts of a message, so one with very many stays small.
+
+    Messages share state and timer by ``buckets``, a number that is fixed for the life of a checkpoint: a bucket
+    is read and written once per micro-batch that has something for it, about 25 bytes for each message it
+    remembers. Messages without an id count as one message, in a bucket of its own.
     """
-    rows = attempts.select("message_id", "ts", F.unix_micros("ts").alias("us"), "tie", "ok")
+    rows = attempts.select("message_id", "ts", F.unix_micros("ts").alias("us"), "tie", F.coalesce("ok", F.lit(False)).alias("ok"))
     if side is not None:
         rows = rows.unionByName(side)
+    own = F.pmod(F.xxhash64("message_id"), F.lit(buckets)).cast("int")
+    rows = rows.select(F.when(F.col("message_id").isNull(), NO_ID).otherwise(own).alias("bucket"),
+                       F.coalesce("message_id", F.lit(0)).cast("long").alias("message_id"), "ts", "us", "tie", "ok")
     combined = rows.mapInPandas(first_attempts(max_attempts), rows.schema)
-    pauses = [int(s * 1_000_000) for s in policy.seconds(max_attempts - 1)] if hold else None
+    pauses = [int(s * 1_000_000) for s in policy.seconds(max_attempts)] if hold else None
     pending_us = None if pending_after_s is None else int(pending_after_s * 1_000_000)
-    counted = (combined.withWatermark("ts", delay).groupBy("message_id")
-               .transformWithState(Redelivery(max_attempts, pauses, int(retention_s * 1_000_000), pending_us), _OUT_SCHEMA, "append", "EventTime"))
-    n_used, outcome, delay_s = outcome_columns(F.col("n_seen"), F.col("first_ok"), max_attempts, policy)
-    return counted.select("message_id", n_used.alias("n_used"), outcome.alias("outcome"), delay_s.alias("next_delay_s"), "at_us")
+    processor = Redelivery(max_attempts, pauses, int(retention_s * 1_000_000), pending_us)
+    told = (combined.withWatermark("ts", delay).groupBy("bucket")
+            .transformWithStateInPandas(processor, _OUT_SCHEMA, "append", "EventTime"))
+    n_used, outcome, delay_s = outcome_columns(F.col("n_seen"), F.when(F.col("ok"), F.col("n_seen")), max_attempts, policy)
+    return told.select("message_id", n_used.alias("n_used"), outcome.alias("outcome"), delay_s.alias("next_delay_s"), "at_us")
 
 
 def redelivery_flush(ts):

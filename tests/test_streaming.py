@@ -301,3 +301,19 @@ def test_held_attempts_batch_and_stream(spark, own, tmp_path):
     got = spark.read.parquet(done.path).collect()
     assert {r.message_id: (r.n_used, r.outcome, r.at_us // 10 ** 6) for r in got} == {m: w[:3] for m, w in want.items()}
     assert done.dropped_late == 0 and len(got) == len(want)
+
+
+def test_redelivery_state_is_shared_by_buckets(spark, own):
+    """Thousands of open messages cost a state and a timer per bucket, not per message; no id is a message of its own."""
+    rng = random.Random(9)
+    rows = [(rng.randrange(1500), t, rng.random() < 0.2) for t in range(4000)] + [(None, 10, False), (None, 3000, True), (0, 11, None)]
+    df = spark.createDataFrame(rows, "message_id long, sec long, ok boolean").select(
+        "message_id", F.timestamp_seconds(F.col("sec") + 10 ** 6).alias("ts"), F.lpad(F.col("sec").cast("string"), 6, "0").alias("tie"), "ok")
+    done = replay.run_replayed(own, df, lambda read, side: redelivery.redelivery_stream(
+        read(), pending_after_s=10 ** 6, delay="0 seconds", side=side, buckets=4), redelivery.redelivery_flush(flush_ts()))
+    got = spark.read.parquet(done.path).collect()
+    want = attempts_by_hand([(-1 if m is None else m, t, bool(ok)) for m, t, ok in rows])
+    assert {-1 if r.message_id is None else r.message_id: (r.outcome, r.n_used, r.next_delay_s) for r in got} == want
+    assert len(got) == len(want) and done.dropped_late == 0
+    # The state and the timer with its index, of four buckets and of that without an id.
+    assert done.state_rows <= 15
