@@ -56,8 +56,10 @@ def _of(read, name):
 
 def _presence_run(own, d, build, foreach_batch=None):
     posts = _posts(own, d)
-    busy = presence.busy_sessions(fx.view(own, d, "arrivals"))
-    return run_replayed(own, posts, lambda read, side: build(_of(read, "arrivals"), _of(read, "presence_events"), busy, side),
+    arrivals = fx.view(own, d, "arrivals")
+    # What the table tells of the stream to come: its busy sessions and how many buckets it needs.
+    known = {"busy": presence.busy_sessions(arrivals), "buckets": presence.buckets_for(arrivals.count())}
+    return run_replayed(own, posts, lambda read, side: build(_of(read, "arrivals"), _of(read, "presence_events"), known | {"side": side}),
                         presence.presence_flush(flush_ts()), foreach_batch)
 
 
@@ -94,9 +96,9 @@ def s3_queue_log_sink(spark, d):
 def t1_envelope_stream(spark, d):
     own = stream_session(spark)
 
-    def build(arrivals, events, busy, side):
+    def build(arrivals, events, more):
         queued = fx.arrival_envelopes(arrivals).withColumn("publish_failed", F.col("message_id") % 10 == 0)
-        return messages.envelope_outcomes(queued, events, delay=DELAY, busy=busy, side=side)
+        return messages.envelope_outcomes(queued, events, delay=DELAY, **more)
 
     done = _presence_run(own, d, build, messages.outcome_sink)
     out = spark.read.schema("message_id bigint, session_id string, channel string, value string, reason string, "
@@ -108,8 +110,8 @@ def t1_envelope_stream(spark, d):
 @query
 def t2_presence_stream(spark, d):
     own = stream_session(spark)
-    done = _presence_run(own, d, lambda arrivals, events, busy, side: presence.presence_stream(
-        arrivals.withColumnRenamed("content", "payload"), events, delay=DELAY, busy=busy, side=side))
+    done = _presence_run(own, d, lambda arrivals, events, more: presence.presence_stream(
+        arrivals.withColumnRenamed("content", "payload"), events, delay=DELAY, **more))
     return spark.read.parquet(_whole(done)).select(
         "message_id", "session_id", from_epoch_us(F.col("us")).alias("ts"), F.col("payload").alias("content"), "online")
 

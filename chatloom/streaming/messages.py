@@ -6,7 +6,7 @@ from chatloom.operators.guards import apply_guards
 from chatloom.operators.presence import TTL_S
 from chatloom.operators.replies import SENDER, fold_expression, folded_steps, with_steps
 from chatloom.sources.envelopes import channel_frames, decode_envelopes, with_outcome
-from chatloom.streaming.presence import presence_stream
+from chatloom.streaming.presence import BUCKETS, presence_stream
 
 
 def guard_stream(stream, col, rails):
@@ -19,7 +19,7 @@ def drop_repeats(envelopes, delay="1 hour"):
     return envelopes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["message_id"])
 
 
-def envelope_outcomes(envelopes, events, ttl_s=TTL_S, delay="1 hour", busy=None, side=None):
+def envelope_outcomes(envelopes, events, ttl_s=TTL_S, delay="1 hour", busy=None, side=None, buckets=BUCKETS):
     """Decode, gate and frame a stream of envelopes (message_id, ts, data, attributes).
 
     Optional columns are ``delivery_attempt`` (1 for the first) and ``publish_failed``; a
@@ -34,7 +34,7 @@ def envelope_outcomes(envelopes, events, ttl_s=TTL_S, delay="1 hour", busy=None,
     # What the outcome needs besides the payload waits together with it.
     carried = F.to_json(F.struct("payload", "delivery_attempt", "publish_failed"))
     gated = presence_stream(decoded.filter("decode_ok").select("message_id", "session_id", "ts", carried.alias("payload")),
-                            events, ttl_s, delay, busy, side)
+                            events, ttl_s, delay, busy, side, buckets)
     opened = F.from_json("payload", "payload string, delivery_attempt long, publish_failed boolean")
     readable = gated.withColumn("__held", opened).select(
         "message_id", "session_id", "__held.payload", "online", F.lit(True).alias("decode_ok"), "__held.delivery_attempt", "__held.publish_failed")

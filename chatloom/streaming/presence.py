@@ -1,38 +1,65 @@
-"""Presence of sessions on a stream: state and timers of each session."""
+"""Presence of sessions on a stream: state and timers of buckets of sessions."""
 
-from pyspark.sql import Row
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from chatloom.operators.presence import SLIDING_TTL_S, TTL_S
+from chatloom.streaming.packed import packed, unpacked
 
 DISCONNECT, CONNECT, ARRIVAL = 0, 1, 2
 BUSY_ROWS = 200_000  # arrivals of a session that one state holds; a busier session gets several
+BUCKETS = 8192  # of a stream whose number of arrivals is not known
+BUCKET_ROWS, LEAST_BUCKETS = 20_000, 64  # arrivals of a bucket, where their number is known; buckets for the tasks
 
 _OUT_SCHEMA = "session_id string, message_id long, us long, payload string, online boolean"
+_STANDING = pa.schema([("session", pa.string()), ("part", pa.int64()), ("us", pa.int64())])
+_WAITING = pa.schema([*_STANDING, ("id", pa.int64()), ("nameless", pa.bool_()), ("kind", pa.int64()), ("payload", pa.string())])
 
 
-def gate(rows, connected_us, ttl_us):
-    """Online flags of (us, id, kind, payload) rows of one session, and the time of the connect that still stands.
+def gates(rows, standing, ttl_us):
+    """The arrivals among ``rows`` of many sessions with ``online``, and the connects that still stand.
 
-    An arrival is online when the last event before it is a connect within its lifetime.
-    At the same time, connects and disconnects in id order come before arrivals.
+    An arrival is online when the last event of its session and part before it is a connect within its lifetime.
+    At the same time, connects and disconnects in id order come before arrivals. ``standing``
+    (session, part, us) are the connects from before.
     """
-    flags = []
-    for us, key, kind, payload in sorted(rows, key=lambda r: (r[0], r[2] == ARRIVAL, r[1])):
-        if kind == ARRIVAL:
-            flags.append((key, us, payload, connected_us is not None and us < connected_us + ttl_us))
-        else:
-            connected_us = us if kind == CONNECT else None
-    return flags, connected_us
+    before = standing.assign(id=np.iinfo(np.int64).min, nameless=False, kind=CONNECT, payload=None)
+    rows = pd.concat([before, rows], ignore_index=True) if len(before) else rows
+    session, part = pd.factorize(rows["session"])[0], rows["part"].to_numpy()
+    us, key, arrives = rows["us"].to_numpy(), rows["id"].to_numpy(), rows["kind"].to_numpy() == ARRIVAL
+    order = np.lexsort((key, arrives, us, part, session))
+    session, part, us, arrives = session[order], part[order], us[order], arrives[order]
+    connects = rows["kind"].to_numpy()[order] == CONNECT
+    at = np.arange(len(order))
+    first = np.ones(len(order), bool)
+    first[1:] = (session[1:] != session[:-1]) | (part[1:] != part[:-1])
+    start = np.maximum.accumulate(np.where(first, at, 0))
+    event = np.maximum.accumulate(np.where(arrives, -1, at))
+    stands = (event >= start) & connects[event]
+    online = stands & (us < us[event] + ttl_us)
+    flagged = rows.iloc[order[arrives]].assign(online=online[arrives])
+    last = np.append(first[1:], True)[:len(order)] & stands
+    return flagged, rows.iloc[order[event[last]]][_STANDING.names]
+
+
+def gate(rows, connected_us, ttl_us):
+    """Online flags of (us, id, kind, payload) rows of one session, and the time of the connect that still stands."""
+    one = pd.DataFrame(rows, columns=["us", "id", "kind", "payload"], dtype=object).astype({"us": int, "id": int, "kind": int})
+    before = pd.DataFrame([] if connected_us is None else [("", 0, connected_us)], columns=_STANDING.names)
+    flagged, standing = gates(one.assign(session="", part=0, nameless=False), before, ttl_us)
+    flags = list(zip(*(flagged[c].tolist() for c in ("id", "us", "payload", "online"))))
+    return flags, int(standing["us"].iloc[0]) if len(standing) else None
 
 
 class PresenceGate(StatefulProcessor):
-    """The state of one session, or of one part of a busy one.
+    """The state of one bucket of sessions, or of parts of busy ones.
 
-    Rows wait in a list until the watermark has passed them, because a micro-batch may bring
-    them in any order; of the past only the connect that stands is kept. A timer wakes the
-    session for its first waiting row, or to forget a connect whose lifetime is over.
+    Rows wait until the watermark has passed them, because a micro-batch may bring
+    them in any order; of the past only the connects that stand are kept. One timer wakes the
+    bucket for its first waiting row, or to forget a connect whose lifetime is over.
     """
 
     def __init__(self, ttl_us):
@@ -40,39 +67,53 @@ class PresenceGate(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, id bigint, kind int, payload string")
-        self.standing = handle.getValueState("standing", "us bigint")
+        self.state = handle.getValueState("sessions", "wake_ms bigint, standing binary, waiting binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [(r.us, r.id, r.kind, r.payload) for r in rows]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(r[0] for r in new) // 1000 + 1)
+        new = pd.concat([r[_WAITING.names] for r in rows])
+        wake_ms, standing, waiting = self.state.get() or (None, None, None)
+        first_ms = int(new["us"].min()) // 1000 + 1
+        if wake_ms is None or first_ms < wake_ms:
+            if wake_ms is not None:
+                self.handle.deleteTimer(wake_ms)
+            wake_ms = first_ms
+            self.handle.registerTimer(wake_ms)
+        held = new if waiting is None else pd.concat([unpacked(waiting, _WAITING), new])
+        self.state.update((wake_ms, standing, packed(held, _WAITING)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.waiting.get())
-        ready, later = [r for r in rows if r[0] <= passed_us], [tuple(r) for r in rows if r[0] > passed_us]
-        standing = self.standing.get()
-        flags, connected_us = gate(ready, standing[0] if standing else None, self.ttl_us)
-        if connected_us is not None and connected_us + self.ttl_us <= passed_us:
-            connected_us = None
-        if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
-        if connected_us is not None:
-            self.standing.update((connected_us,))
-        elif standing:
-            self.standing.clear()
-        if later or connected_us is not None:
-            wake_us = min(r[0] for r in later) if later else connected_us + self.ttl_us
-            self.handle.registerTimer(max(wake_us, passed_us) // 1000 + 1)
-        for message, us, payload, online in flags:
-            yield Row(session_id=key[0], message_id=message, us=us, payload=payload, online=online)
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        wake_ms, standing, waiting = self.state.get() or (None, None, None)
+        if wake_ms is None or wake_ms > watermark_ms:
+            return
+        passed_us = watermark_ms * 1000
+        rows = unpacked(waiting, _WAITING)
+        ready = rows["us"] <= passed_us
+        later = rows[~ready]
+        flagged, standing = gates(rows[ready], unpacked(standing, _STANDING), self.ttl_us)
+        standing = standing[standing["us"] + self.ttl_us > passed_us]
+        due_us = min([int(t) for t in (later["us"].min(), standing["us"].min() + self.ttl_us) if t == t], default=None)
+        if due_us is None:
+            self.state.clear()
+        else:
+            wake_ms = max(due_us, passed_us) // 1000 + 1
+            self.handle.registerTimer(wake_ms)
+            self.state.update((wake_ms, packed(standing, _STANDING), packed(later, _WAITING)))
+        if len(flagged):
+            named = flagged["id"].astype("Int64").mask(flagged["nameless"])
+            yield pd.DataFrame({"session_id": flagged["session"], "message_id": named, "us": flagged["us"],
+                                "payload": flagged["payload"], "online": flagged["online"]})
 
     def close(self):
         pass
 
 
+def buckets_for(arrivals):
+    """How many buckets a stream of about so many arrivals needs."""
+    return max(LEAST_BUCKETS, -(-arrivals // BUCKET_ROWS))
+
+
 def busy_sessions(arrivals, most=BUSY_ROWS):
     """(session, parts) of sessions with more than ``most`` arrivals in a table like the one to come."""
     counts = arrivals.filter("session_id IS NOT NULL").groupBy(F.col("session_id").alias("session")).agg(F.count(F.lit(1)).alias("n"))
@@ -95,21 +136,24 @@ def presence_rows(arrivals, events, busy=None):
     return left.drop("parts").unionByName(right.drop("parts"))
 
 
-def presence_stream(arrivals, events, ttl_s=TTL_S, delay="1 hour", busy=None, side=None):
+def presence_stream(arrivals, events, ttl_s=TTL_S, delay="1 hour", busy=None, side=None, buckets=BUCKETS):
     """Streaming gate: each arrival of (message_id, session_id, ts, payload) with ``online``.
 
     ``ts`` is a timestamp with time zone. Rows more than ``delay`` behind are dropped
     and counted by the query's progress. Arrivals without a session are offline and
-    need no state. Every session has state and timers of its own; ``busy`` names sessions
-    whose arrivals are spread over several states (``busy_sessions``), to each of which
-    their connects and disconnects go, few next to their arrivals. ``side`` is an optional
-    stream of further rows.
+    need no state. Sessions share state and timer by ``buckets``, a number that is fixed for the life of
+    a checkpoint; ``busy`` names sessions whose arrivals are spread over several buckets (``busy_sessions``), to
+    each of which their connects and disconnects go, few next to their arrivals. ``side`` is an
+    optional stream of further rows.
     """
     rows = presence_rows(arrivals.filter("session_id IS NOT NULL"), events, busy)
     if side is not None:
         rows = rows.unionByName(side)
-    gated = (rows.withWatermark("ts", delay).groupBy("session", "part")
-             .transformWithState(PresenceGate(ttl_s * 1_000_000), _OUT_SCHEMA, "append", "EventTime"))
+    rows = rows.withColumns({
+        "bucket": F.pmod(F.xxhash64("session", "part"), F.lit(buckets)).cast("int"), "part": F.coalesce("part", F.lit(0)),
+        "nameless": F.col("id").isNull(), "id": F.coalesce("id", F.lit(0)).cast("long")})
+    gated = (rows.withWatermark("ts", delay).groupBy("bucket")
+             .transformWithStateInPandas(PresenceGate(ttl_s * 1_000_000), _OUT_SCHEMA, "append", "EventTime"))
     stateless = arrivals.filter("session_id IS NULL").select(
         "session_id", "message_id", F.unix_micros("ts").alias("us"), "payload", F.lit(False).alias("online"))
     return gated.unionByName(stateless)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from chatloom.operators.delivery import MAX_ATTEMPTS, PUSH_RETRY, outcome_columns
+from chatloom.streaming.packed import packed, unpacked
 
 RETENTION_S = 7 * 86400  # how long a settled message is remembered; far beyond the longest delay of a policy
 BUCKETS = 8192  # of a stream whose number of messages is not known
@@ -83,16 +84,6 @@ def settle(seen, waiting, passed_us, max_attempts, delays_us, retention_us, pend
     return seen, waiting, told, None if due_us == np.iinfo(np.int64).max else int(due_us)
 
 
-def _packed(rows, schema):
-    return pa.RecordBatch.from_pandas(rows, schema, preserve_index=False).serialize().to_pybytes()
-
-
-def _unpacked(data, schema):
-    if data is None:
-        return schema.empty_table().to_pandas()
-    return pa.ipc.read_record_batch(pa.py_buffer(bytes(data)), schema).to_pandas()
-
-
 class Redelivery(StatefulProcessor):
     """The state of one bucket of messages: attempts so far, whether each is settled, and attempts that wait.
 
@@ -111,7 +102,7 @@ class Redelivery(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         new = pd.concat([r[_ORDER] for r in rows])
         wake_ms, seen, waiting = self.state.get() or (None, None, None)
-        known = _unpacked(seen, _SEEN)
+        known = unpacked(seen, _SEEN)
         new = new[~new["message_id"].isin(known["message_id"][known["settled"]])]  # no repeats of settled messages
         if len(new):
             first_ms = int(new["us"].min()) // 1000 + 1
@@ -120,9 +111,9 @@ class Redelivery(StatefulProcessor):
                     self.handle.deleteTimer(wake_ms)
                 wake_ms = first_ms
                 self.handle.registerTimer(wake_ms)
-            held = pd.concat([_unpacked(waiting, _WAITING), new]) if waiting is not None else new
+            held = pd.concat([unpacked(waiting, _WAITING), new]) if waiting is not None else new
             held = held.sort_values(_ORDER).groupby("message_id", sort=False).head(self.max_attempts)
-            self.state.update((wake_ms, seen, _packed(held, _WAITING)))
+            self.state.update((wake_ms, seen, packed(held, _WAITING)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -131,13 +122,13 @@ class Redelivery(StatefulProcessor):
         if wake_ms is None or wake_ms > watermark_ms:
             return
         passed_us = watermark_ms * 1000
-        seen, waiting, told, due_us = settle(_unpacked(seen, _SEEN), _unpacked(waiting, _WAITING), passed_us,
+        seen, waiting, told, due_us = settle(unpacked(seen, _SEEN), unpacked(waiting, _WAITING), passed_us,
                                              self.max_attempts, self.delays_us, self.retention_us, self.pending_us)
         if len(seen) or len(waiting):
             wake_ms = None if due_us is None else max(due_us, passed_us) // 1000 + 1
             if wake_ms is not None:
                 self.handle.registerTimer(wake_ms)
-            self.state.update((wake_ms, _packed(seen, _SEEN) if len(seen) else None, _packed(waiting, _WAITING) if len(waiting) else None))
+            self.state.update((wake_ms, packed(seen, _SEEN) if len(seen) else None, packed(waiting, _WAITING) if len(waiting) else None))
         else:
             self.state.clear()
         if len(told):

@@ -317,3 +317,35 @@ def test_redelivery_state_is_shared_by_buckets(spark, own):
     assert len(got) == len(want) and done.dropped_late == 0
     # The state and the timer with its index, of four buckets and of that without an id.
     assert done.state_rows <= 15
+
+
+def test_slices_are_cut_into_files(spark, monkeypatch):
+    """A slice is read by as many tasks as it has files, also in a table smaller than a slice may be."""
+    monkeypatch.setattr(replay, "FILE_BYTES", 1 << 10)
+    rows = spark.range(4000).select("id", F.timestamp_seconds("id").alias("ts"))
+    cut = replay.Replay(rows)
+    assert cut.slices == replay.LEAST_SLICES and len(cut.ranges) >= 8 * cut.slices
+    cut.delete()
+
+
+def test_presence_state_is_shared_by_buckets(spark, own):
+    """Many sessions cost a state and a timer per bucket, not per session; arrivals may lack an id."""
+    rng = random.Random(21)
+    arrivals = [(None if i % 50 == 0 else i, f"s{rng.randrange(600)}", rng.randrange(20000)) for i in range(3000)]
+    events = [(i, f"s{rng.randrange(600)}", rng.randrange(20000), rng.choice(["connect", "connect", "disconnect"])) for i in range(3000)]
+    a = arrival_table(spark, arrivals).withColumn("payload", F.concat_ws("/", "session_id", F.col("ts").cast("string")))
+    e = event_table(spark, events)
+    both = stamped(a.select("message_id", "session_id", "ts", "payload", F.lit("arrival").alias("kind")).unionByName(
+        e.select(F.col("event_id").alias("message_id"), "session_id", "ts", F.lit(None).cast("string").alias("payload"), "kind")))
+
+    def build(read, side):
+        told = read().filter("kind <> 'arrival'").select(F.col("message_id").alias("event_id"), "session_id", "ts", "kind")
+        return presence.presence_stream(read().filter("kind = 'arrival'").drop("kind"), told, 900, "1 minute", side=side, buckets=4)
+
+    done = replay.run_replayed(own, both, build, presence.presence_flush(flush_ts()))
+    rows = spark.read.parquet(done.path).collect()
+    expected = batch_presence.with_online(a, batch_presence.presence_intervals(e, 900)).collect()
+    got, want = (sorted((str(r.message_id), r.payload, r.online) for r in found) for found in (rows, expected))
+    assert got == want and done.dropped_late == 0 and 100 < sum(r.online for r in rows) < 2900
+    # The state and the timer with its index, of four buckets.
+    assert done.state_rows <= 12
