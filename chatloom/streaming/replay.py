@@ -14,7 +14,7 @@ from chatloom.session import shared_folder
 from chatloom.streaming.runner import Finished, delete, run_available
 
 #: Bytes of a slice, and of a file of it, by Spark's estimate of the input; slices at least, also where there is no estimate.
-#: A file is what one task reads and decodes, so files are small.
+#: A file is what one task reads and decodes, so files are small, and a slice has one for every core at least.
 SLICE_BYTES, FILE_BYTES, LEAST_SLICES = 1 << 30, 8 << 20, 4
 UNKNOWN = 1 << 62
 
@@ -33,7 +33,8 @@ class Replay:
         self.staged, self.input = f"{self.root}/staged", f"{self.root}/input"
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         self.slices = max(LEAST_SLICES, math.ceil(size / SLICE_BYTES)) if size < UNKNOWN else LEAST_SLICES
-        files = self.slices * (max(1, math.ceil(size / self.slices / FILE_BYTES)) if size < UNKNOWN else 1)
+        cores = self.spark.sparkContext.defaultParallelism
+        files = self.slices * max(cores, math.ceil(size / self.slices / FILE_BYTES) if size < UNKNOWN else 1)
         # One folder per range of time; equal times share one, so no slice reaches back.
         (df.repartitionByRange(files, ts).withColumn("__range", F.spark_partition_id())
          .write.partitionBy("__range").parquet(self.staged))

@@ -349,3 +349,10 @@ def test_presence_state_is_shared_by_buckets(spark, own):
     assert got == want and done.dropped_late == 0 and 100 < sum(r.online for r in rows) < 2900
     # The state and the timer with its index, of four buckets.
     assert done.state_rows <= 12
+
+
+def test_small_slices_have_a_file_for_every_core(spark):
+    """The estimate is of compressed bytes, and rows that are small there may cost much to decode."""
+    cut = replay.Replay(spark.range(4000).select("id", F.timestamp_seconds("id").alias("ts")))
+    assert len(cut.ranges) == cut.slices * spark.sparkContext.defaultParallelism
+    cut.delete()
