@@ -5,45 +5,91 @@ import types
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chatloom.functions.rails import PROFANITY_CATEGORY, PROFANITY_ERROR_REASON, PROFANITY_REASON, GuardRail, Outcome
 
 POLICIES = ("open", "closed")
+PIECE_BYTES = 2 << 20  # of texts that are held as Python strings at a time
+
+
+def _pieces(texts):
+    """Consecutive slices of an Arrow array of texts, of about ``PIECE_BYTES`` each; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        held = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + PIECE_BYTES, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def _results(texts, call, numeric, kind):
+    """struct<value, error> of one piece. ``call`` gives (results, None) or (None, error); a part that fails is halved."""
+    texts = texts.to_pylist()
+    values, errors = [None] * len(texts), [None] * len(texts)
+    wanted = [i for i, t in enumerate(texts) if t is not None]
+    todo = [wanted] if wanted else []
+    while todo:
+        part = todo.pop()
+        results, error = call([texts[i] for i in part])
+        if error is None:
+            for i, value in zip(part, results):
+                values[i] = value
+        elif len(part) == 1 or error == Breaker.OPEN:
+            for i in part:
+                errors[i] = error
+        else:
+            todo += [part[len(part) // 2:], part[:len(part) // 2]]
+    found = pa.array(np.array(values, np.float64), from_pandas=True) if numeric else pa.array(values, kind, from_pandas=True)
+    return pa.StructArray.from_arrays([found, pa.array(errors, pa.string())], ["value", "error"])
+
+
+def _column(start, returns):
+    """A function from a text column to struct<value, error>; ``start()`` gives a task its ``call``.
+
+    Spark bounds the batches of a task in rows, and in bytes far above a piece. They stay in
+    Arrow, and only a piece at a time is taken out as Python strings, which need up to four times the bytes.
+    """
+    def of(text):
+        numeric, kind = returns in ("double", "float"), to_arrow_type(T.DataType.fromDDL(returns))
+
+        @F.arrow_udf(f"value {returns}, error string")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            call = start()
+            for texts in batches:
+                for piece in _pieces(texts):
+                    yield _results(piece, call, numeric, kind)
+                texts = piece = None  # not held while the next batch is read
+
+        return run(text)
+
+    return of
 
 
 def model_column(fn, returns="double"):
-    """A Pandas UDF giving struct<value, error> of ``fn`` over a column.
+    """A function from a text column to struct<value, error> of ``fn``.
 
     ``fn`` maps a list of texts to a list of results of the type ``returns``: a
     confidence, a language code, a translation. A batch that fails is halved until the
     texts that fail are alone, so one bad text does not decide over the others and costs
-    about two calls per halving.
+    about two calls per halving. Lists are bounded in rows and in bytes of text.
     """
-    @F.pandas_udf(f"value {returns}, error string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        values, errors = [None] * len(texts), [None] * len(texts)
-        wanted = [i for i, t in enumerate(texts) if t is not None]
-        todo = [wanted] if wanted else []
-        while todo:
-            part = todo.pop()
-            try:
-                results = list(fn([texts.iat[i] for i in part]))
-                if len(results) != len(part):
-                    raise ValueError("the model returned a different number of results")
-                for i, value in zip(part, results):
-                    values[i] = value
-            except Exception as error:
-                if len(part) == 1:
-                    errors[part[0]] = f"{type(error).__name__}: {error}"
-                else:
-                    todo += [part[len(part) // 2:], part[:len(part) // 2]]
-        numeric = returns in ("double", "float")
-        return pd.DataFrame({"value": pd.Series(values, dtype="float64" if numeric else "object"),
-                             "error": pd.Series(errors, dtype="object")})
+    def call(texts):
+        try:
+            results = list(fn(texts))
+            if len(results) != len(texts):
+                raise ValueError("the model returned a different number of results")
+            return results, None
+        except Exception as error:
+            return None, f"{type(error).__name__}: {error}"
 
-    return run
+    return _column(lambda: call, returns)
 
 
 def _loaded(key, load):
@@ -100,30 +146,7 @@ def worker_model_column(load, returns="double", retries=100, trip=50, rest=10_00
     above that. Texts met while the breaker is open have its error. An error of ``load`` fails the task.
     """
     key = uuid.uuid4().hex
-
-    @F.pandas_udf(f"value {returns}, error string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        breaker = Breaker(_loaded(key, load), retries, trip, rest)
-        for texts in batches:
-            values, errors = [None] * len(texts), [None] * len(texts)
-            wanted = [i for i, t in enumerate(texts) if t is not None]
-            todo = [wanted] if wanted else []
-            while todo:
-                part = todo.pop()
-                results, error = breaker.call([texts.iat[i] for i in part])
-                if error is None:
-                    for i, value in zip(part, results):
-                        values[i] = value
-                elif len(part) == 1 or error == Breaker.OPEN:
-                    for i in part:
-                        errors[i] = error
-                else:
-                    todo += [part[len(part) // 2:], part[:len(part) // 2]]
-            numeric = returns in ("double", "float")
-            yield pd.DataFrame({"value": pd.Series(values, dtype="float64" if numeric else "object"),
-                                "error": pd.Series(errors, dtype="object")})
-
-    return run
+    return _column(lambda: Breaker(_loaded(key, load), retries, trip, rest).call, returns)
 
 
 class ModelRail(GuardRail):

@@ -249,3 +249,21 @@ def test_a_dead_model_is_left_alone(spark, tmp_path):
     out = df.withColumn("m", worker_model_column(load, retries=2, trip=5, rest=1 << 40)(F.col("text"))).collect()
     assert {r.m.error for r in out} <= {Breaker.OPEN, "OSError: down"} and all(r.m.value is None for r in out)
     assert len((tmp_path / "calls").read_text()) == 5 and sum(r.m.error == Breaker.OPEN for r in out) > 2900
+
+
+def test_models_get_lists_bounded_in_bytes(spark):
+    def model(ts):
+        held = sum(len(t.encode()) for t in ts)
+        return [f"{len(t)} {held}" for t in ts]
+
+    text = F.expr("if(id % 9 <> 0, repeat(if(id % 500 = 1, 'ü', 'x'), if(id = 700, 3000000, if(id % 9 = 1, 0, 5000))), null)")
+    df = spark.range(2000).coalesce(1).select("id", text.alias("text"))
+    for column in (model_column(model, "string"), worker_model_column(lambda: model, "string")):
+        out = df.withColumn("m", column(F.col("text"))).select("id", F.length("text").alias("n"), "m").collect()
+        assert len(out) == 2000 and all(r.m.error is None for r in out)
+        for r in out:
+            if r.n is None:
+                assert r.m.value is None
+            else:
+                n, held = map(int, r.m.value.split())
+                assert n == r.n and (held == 3_000_000 if r.id == 700 else held <= 2 << 20)
