@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 32 * 1024 * 1024  # of a block of vectors, as doubles
-TILE_QUERIES = 256  # queries scored at a time, so that a score tile stays small
+TILE_QUERIES = 256  # queries scored at a time at most
+TILE_BYTES = 8 * 1024 * 1024  # of the scores of a tile
+UNIT_ROWS = 4096  # vectors scaled at a time
 DECIMALS = 6
 
 
 def _unit_matrix(vectors):
-    """Rows of a list column scaled to length 1; a zero vector stays zero."""
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = flat.reshape(len(vectors), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+    """Rows of a chunked list column scaled to length 1, as one matrix; a zero vector stays zero."""
+    matrix, at = None, 0
+    for chunk in vectors.iterchunks():
+        for start in range(0, len(chunk), UNIT_ROWS):
+            part = chunk.slice(start, UNIT_ROWS)
+            rows = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+            norms = np.linalg.norm(rows, axis=1, keepdims=True)
+            if matrix is None:
+                matrix = np.zeros((len(vectors), rows.shape[1]))
+            np.divide(rows, norms, out=matrix[at:at + len(rows)], where=norms > 0)
+            at += len(rows)
+    return matrix
 
 
 def _best(scores, ids, k):
@@ -30,22 +39,28 @@ def _best(scores, ids, k):
 
 
 def _search_blocks(k):
-    """A task function: a block of queries and a block of corpus rows in, the ``k`` best of each query out."""
+    """A task function: a block of queries and a block of corpus rows in, the ``k`` best of each query out.
+
+    Besides the rows themselves a task holds the corpus block as one matrix and the scores
+    of a tile, whose size does not follow from that of the blocks.
+    """
     def search(queries, corpus):
         query_ids, ids = queries.column("query_id").to_numpy(), corpus.column("doc_id").to_numpy()
-        found_q, found_ids, found_scores = [], [], []
+        found_q, found_ids, found_scores = [query_ids[:0]], [ids[:0]], [np.empty(0)]
         if len(query_ids) and len(ids):
-            unit_queries = _unit_matrix(queries.column("__vec").combine_chunks())
-            unit_corpus = _unit_matrix(corpus.column("__vec").combine_chunks()).T
-            for at in range(0, len(query_ids), TILE_QUERIES):
-                scores = np.round(unit_queries[at:at + TILE_QUERIES] @ unit_corpus, DECIMALS) + 0.0
-                for query, own in zip(query_ids[at:at + TILE_QUERIES], scores):
-                    top = _best(own, ids, k)
-                    found_q.append(np.full(len(top), query))
-                    found_ids.append(ids[top])
-                    found_scores.append(own[top])
-        if not found_q:
-            found_q, found_ids, found_scores = [query_ids[:0]], [ids[:0]], [np.empty(0)]
+            unit_corpus = _unit_matrix(corpus.column("__vec")).T
+            rows = max(1, min(TILE_QUERIES, len(query_ids), TILE_BYTES // (8 * len(ids))))
+            tile = np.empty((rows, len(ids)))
+            for at in range(0, len(query_ids), rows):
+                own = query_ids[at:at + rows]
+                scores = np.matmul(_unit_matrix(queries.column("__vec").slice(at, rows)), unit_corpus, out=tile[:len(own)])
+                np.round(scores, DECIMALS, out=scores)
+                scores += 0.0
+                tops = [_best(row, ids, k) for row in scores]
+                sizes = [len(top) for top in tops]
+                found_q.append(np.repeat(own, sizes))
+                found_ids.append(ids[np.concatenate(tops)])
+                found_scores.append(scores[np.repeat(np.arange(len(own)), sizes), np.concatenate(tops)])
         return pa.table({"query_id": np.concatenate(found_q), "doc_id": np.concatenate(found_ids), "score": np.concatenate(found_scores)})
     return search
 

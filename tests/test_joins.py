@@ -1,7 +1,9 @@
 import datetime as dt
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chatloom.functions.globs import fixed_length, glob_regex, is_glob, literal_prefix
@@ -221,6 +223,32 @@ def test_retrieval_agrees_with_numpy_in_any_blocks(spark):
         assert {(r.query_id, r["rank"]): r.doc_id for r in out} == expected
 
 
+def test_retrieval_holds_little_beside_its_blocks():
+    rng = np.random.default_rng(1)
+    vectors, asked = rng.normal(size=(60_000, 4)), rng.normal(size=(300, 4))
+    vectors[7] = asked[5] = 0
+    ids = rng.permutation(60_000)
+
+    def chunked(x):  # in pieces, as Spark sends them
+        rows = pa.array(list(x.astype("float32")), pa.list_(pa.float32()))
+        return pa.chunked_array([rows.slice(at, 17_001) for at in range(0, len(rows), 17_001)])
+
+    corpus = pa.table({"doc_id": ids, "__vec": chunked(vectors)})
+    queries = pa.table({"query_id": np.arange(300), "__vec": chunked(asked)})
+    tracemalloc.start()
+    out = retrieval._search_blocks(5)(queries, corpus)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20  # a score of each of 256 queries with each row takes 123 MB
+    unit = [np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+            for x in (asked.astype("float32").astype(float), vectors.astype("float32").astype(float)) for n in [np.linalg.norm(x, axis=1, keepdims=True)]]
+    for q, got in enumerate(np.asarray(out.column("doc_id")).reshape(300, 5)):
+        scores = np.round(unit[0][q] @ unit[1].T, 6) + 0.0
+        assert (got == ids[np.lexsort((ids, -scores))[:5]]).all()
+    assert (np.asarray(out.column("query_id")) == np.repeat(np.arange(300), 5)).all()
+    assert retrieval._search_blocks(5)(queries.slice(0, 0), corpus).num_rows == 0 == retrieval._search_blocks(5)(queries, corpus.slice(0, 0)).num_rows
+
+
 def test_report_levels(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "x")], "stage string, reason string")
     out = {(r.stage, r.reason, r.level): r.n for r in report.outcome_report(rows).collect()}
