@@ -23,6 +23,8 @@ GROUPS, MEMBERS, OUT_OWN = 16, 16, 192
 SLOTS = 2048
 #: Windows of a step of training, and its rate.
 STEP_WINDOWS, RATE = 256, 0.02
+#: Windows whose arrays are worked on at a time.
+BLOCK_WINDOWS = 128
 
 NAMES = ("embed", "place", "into", "wo", "groups", "members")
 
@@ -69,7 +71,7 @@ class Vocabulary:
     def within(self, before, ids):
         """Log probability of ids within their classes after input classes ``before``."""
         slot = self.slot[ids]
-        return self.slot_logs[before, slot] + self.in_slot[ids]
+        return np.take(self.slot_logs, np.int64(SLOTS) * before + slot) + self.in_slot[ids]
 
     def out_class(self, ids):
         return self.slot_class[self.slot[ids]]
@@ -108,27 +110,31 @@ def _exp(x):
     return np.exp(x, out=x)
 
 
-def _with(values, last):
-    """The values with one more column."""
-    out = np.empty((*values.shape[:-1], values.shape[-1] + 1), values.dtype)
-    out[..., :-1], out[..., -1] = values, last
-    return out
+def _scaled(p):
+    """The input projection with the scale of the products of queries and keys in it."""
+    into = p["into"].copy()
+    into[:, :WIDTH] *= into.dtype.type(WIDTH ** -0.5)
+    return into
 
 
-def forward(p, inputs):
-    """Hidden vectors of (n, WINDOW) input classes, and what the backward pass needs."""
+def forward(p, inputs, start=0, into=None):
+    """Hidden vectors of the positions from ``start`` of (n, WINDOW) input classes, and what the backward pass needs."""
+    into = _scaled(p) if into is None else into
     x = np.take(p["embed"], inputs, axis=0)
     x += p["place"]
-    rows = x.reshape(-1, WIDTH)
-    both = (rows @ p["into"]).reshape(*inputs.shape, 3 * WIDTH)
-    q, k, v = both[..., :WIDTH] * x.dtype.type(WIDTH ** -0.5), both[..., WIDTH:2 * WIDTH], _with(both[..., 2 * WIDTH:], 1)
+    # One more column of the values is one, so that the sums of weights come along.
+    both = np.empty((*inputs.shape, 3 * WIDTH + 1), x.dtype)
+    np.matmul(x.reshape(-1, WIDTH), into, out=both.reshape(-1, 3 * WIDTH + 1)[:, :-1])
+    both[..., -1] = 1
+    q, k, v = both[:, start:, :WIDTH], both[..., WIDTH:2 * WIDTH], both[..., 2 * WIDTH:]
     weights = _exp(q @ k.transpose(0, 2, 1))
-    weights *= _SEEN
-    # The last column of the values is one, so that the sums of weights come along.
+    weights *= _SEEN[start:]
     mixed = weights @ v
     sums = mixed[..., -1:]
     mixed = mixed[..., :-1] / sums
-    return rows + mixed.reshape(-1, WIDTH) @ p["wo"], (x, q, k, v, weights, mixed, sums)
+    hidden = mixed.reshape(-1, WIDTH) @ p["wo"]
+    hidden.reshape(mixed.shape)[...] += x[:, start:]
+    return hidden, (x, q, k, v, weights, mixed, sums)
 
 
 class _Runs:
@@ -136,79 +142,96 @@ class _Runs:
 
     def __init__(self, numbers, size):
         self.order = np.argsort(numbers, kind="stable")
+        self.place = np.empty_like(self.order)
+        self.place[self.order] = np.arange(len(numbers))
         stops = np.cumsum(np.bincount(numbers, minlength=size)).tolist()
         self.parts = [(g, slice(a, b)) for g, a, b in zip(range(size), [0, *stops], stops) if b > a]
 
 
 def _levels(p, vocabulary, hidden, before, classes):
-    """Exponents of both levels for target ``classes``: of groups in the order of rows, of members by group."""
-    groups = hidden @ p["groups"]
-    groups += vocabulary.group_logs[before]
-    target = classes // MEMBERS
+    """Exponents of both levels for target ``classes``, one above the other: of groups in the order of rows, of members by group."""
+    n, before = len(classes), before.astype(np.intp)
+    target, member = np.divmod(classes, classes.dtype.type(MEMBERS))
     runs = _Runs(target, GROUPS)
-    sorted_hidden = hidden[runs.order]
-    members = vocabulary.member_logs[(before.astype(np.int32) * GROUPS + target)[runs.order]].astype(hidden.dtype, copy=False)
+    by_group = np.take(hidden, runs.order, axis=0)
+    values = np.empty((2 * n, MEMBERS), hidden.dtype)
+    np.matmul(hidden, p["groups"], out=values[:n])
     for g, own in runs.parts:
-        members[own] += sorted_hidden[own] @ p["members"][g]
-    rows = np.arange(len(classes))
-    np.clip(groups, -BOUND, BOUND, out=groups)
-    np.clip(members, -BOUND, BOUND, out=members)
-    member = (classes % MEMBERS)[runs.order]
-    found = (groups[rows, target], members[rows, member])
-    np.exp(groups, out=groups)
-    np.exp(members, out=members)
-    ones = np.ones((max(GROUPS, MEMBERS), 1), hidden.dtype)
-    return groups, groups @ ones[:GROUPS], members, members @ ones[:MEMBERS], target, member, runs, sorted_hidden, found
+        np.matmul(by_group[own], p["members"][g], out=values[n:][own])
+    values[:n] += np.take(vocabulary.group_logs, before, axis=0)
+    before *= GROUPS
+    before += target
+    values[n:] += np.take(vocabulary.member_logs, np.take(before, runs.order), axis=0)
+    np.clip(values, -BOUND, BOUND, out=values)
+    at = np.arange(0, 2 * n * MEMBERS, MEMBERS)
+    at[:n] += target
+    at[n:] += np.take(member, runs.order)
+    found = np.take(values, at)
+    np.exp(values, out=values)
+    return values, values @ np.ones(MEMBERS, hidden.dtype), at, runs, by_group, found
 
 
 def class_logs(p, vocabulary, hidden, before, classes):
     """Log probability of target ``classes``."""
-    _, group_sums, _, member_sums, _, _, runs, _, (group, member) = _levels(p, vocabulary, hidden, before, classes)
-    logs = group.astype(np.float64) - np.log(group_sums[:, 0])
-    logs[runs.order] += member - np.log(member_sums[:, 0])
-    return logs
+    _, sums, _, runs, _, found = _levels(p, vocabulary, hidden, before, classes)
+    logs = found - np.log(sums)
+    n = len(classes)
+    return logs[:n].astype(np.float64) + np.take(logs[n:], runs.place)
 
 
 def gradients(p, vocabulary, inputs, targets, valid):
-    """Mean loss over valid positions and its gradients; ``targets`` are output classes."""
-    hidden, (x, q, k, v, weights, mixed, sums) = forward(p, inputs)
-    classes, counts = targets.ravel(), valid.ravel()
-    n = max(1, int(counts.sum()))
-    d, group_sums, e, member_sums, target, member, runs, by_group, (group, of_group) = _levels(p, vocabulary, hidden, inputs.ravel(), classes)
-    rows, scale = np.arange(len(classes)), (counts / n).astype(hidden.dtype)
-    by_scale = scale[runs.order]
-    loss = scale @ (np.log(group_sums[:, 0]) - group) + by_scale @ (np.log(member_sums[:, 0]) - of_group)
-    d *= scale[:, None] / group_sums
-    d[rows, target] -= scale
-    e *= by_scale[:, None] / member_sums
-    e[rows, member] -= by_scale
-    g = {"groups": hidden.T @ d, "members": np.zeros_like(p["members"])}
-    back = d[runs.order] @ p["groups"].T
+    """Mean loss over valid positions and its gradients; ``targets`` are output classes.
+
+    Windows are worked on in blocks whose arrays stay in a core's cache.
+    """
+    n, into, loss = max(1, int(valid.sum())), _scaled(p), 0.0
+    g = {name: np.zeros_like(p[name]) for name in NAMES}
+    dx = np.empty((inputs.size, WIDTH), into.dtype)
+    for start in range(0, len(inputs), BLOCK_WINDOWS):
+        own = slice(start, start + BLOCK_WINDOWS)
+        loss += _add_gradients(g, dx[own.start * WINDOW:own.stop * WINDOW], p, into, vocabulary, inputs[own], targets[own], valid[own], n)
+    g["into"][:, :WIDTH] *= into.dtype.type(WIDTH ** -0.5)
+    # Rows of one input class are added up behind one another.
+    classes = inputs.ravel()
+    counts = np.bincount(classes, minlength=IN_CLASSES)
+    found = np.flatnonzero(counts)
+    g["embed"][found] = np.add.reduceat(np.take(dx, np.argsort(classes, kind="stable"), axis=0), (np.cumsum(counts) - counts)[found])
+    return loss, g
+
+
+def _add_gradients(g, dx, p, into, vocabulary, inputs, targets, valid, n):
+    """Add the gradients of a block to ``g``, those of the scaled projection for ``into``; ``dx`` takes those of the inputs."""
+    hidden, (x, q, k, v, weights, mixed, sums) = forward(p, inputs, 0, into)
+    e, level_sums, at, runs, by_group, found = _levels(p, vocabulary, hidden, inputs.ravel(), targets.ravel())
+    rows, scale = inputs.size, (valid.ravel() / n).astype(hidden.dtype)
+    scale = np.concatenate([scale, np.take(scale, runs.order)])
+    loss = scale @ (np.log(level_sums) - found)
+    e *= (scale / level_sums)[:, None]
+    e.reshape(-1)[at] -= scale
+    d, e = e[:rows], e[rows:]
+    g["groups"] += hidden.T @ d
+    back = np.empty_like(hidden)
     for number, part in runs.parts:
-        g["members"][number] = by_group[part].T @ e[part]
-        back[part] += e[part] @ p["members"][number].T
-    dx = np.empty_like(hidden)
-    dx[runs.order] = back
-    g["wo"] = mixed.reshape(-1, WIDTH).T @ dx
-    dmixed = (dx @ p["wo"].T).reshape(x.shape) / sums
+        g["members"][number] += by_group[part].T @ e[part]
+        np.matmul(e[part], p["members"][number].T, out=back[part])
+    np.matmul(d, p["groups"].T, out=dx)
+    dx += np.take(back, runs.place, axis=0)
+    g["wo"] += mixed.reshape(-1, WIDTH).T @ dx
     # One more column takes the mean over the weights off.
-    dweights = _with(dmixed, -np.einsum("abc,abc->ab", dmixed, mixed)) @ v.transpose(0, 2, 1)
+    dmixed = np.empty((*inputs.shape, WIDTH + 1), x.dtype)
+    np.divide((dx @ p["wo"].T).reshape(x.shape), sums, out=dmixed[..., :-1])
+    np.negative(np.einsum("abc,abc->ab", dmixed[..., :-1], mixed), out=dmixed[..., -1])
+    dweights = dmixed @ v.transpose(0, 2, 1)
     dweights *= weights
     dboth = np.empty((*inputs.shape, 3 * WIDTH), x.dtype)
     np.matmul(dweights, k, out=dboth[..., :WIDTH])
-    dboth[..., :WIDTH] *= x.dtype.type(WIDTH ** -0.5)
     np.matmul(dweights.transpose(0, 2, 1), q, out=dboth[..., WIDTH:2 * WIDTH])
-    np.matmul(weights.transpose(0, 2, 1), dmixed, out=dboth[..., 2 * WIDTH:])
+    np.matmul(weights.transpose(0, 2, 1), dmixed[..., :-1], out=dboth[..., 2 * WIDTH:])
     dboth = dboth.reshape(-1, 3 * WIDTH)
-    g["into"] = x.reshape(-1, WIDTH).T @ dboth
-    dx += dboth @ p["into"].T
-    g["place"] = dx.reshape(x.shape).sum(axis=0)
-    # Rows of one input class are added up behind one another.
-    order = np.argsort(inputs.ravel(), kind="stable")
-    found, first = np.unique(inputs.ravel()[order], return_index=True)
-    g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][found] = np.add.reduceat(dx[order], first)
-    return loss, g
+    g["into"] += x.reshape(-1, WIDTH).T @ dboth
+    dx += dboth @ into.T
+    g["place"] += dx.reshape(x.shape).sum(axis=0)
+    return loss
 
 
 class Trainer:
@@ -272,16 +295,21 @@ class Laid:
         return self.inputs[at], self.ids[at + 1], valid
 
 
-def log_probabilities(p, vocabulary, ids, lengths, batch=STEP_WINDOWS):
+def log_probabilities(p, vocabulary, ids, lengths, batch=BLOCK_WINDOWS):
     """Natural log probability of each text of ``lengths`` ids, its end included."""
-    laid = Laid(ids, lengths, vocabulary)
+    laid, into = Laid(ids, lengths, vocabulary), _scaled(p)
     text, first, scored = windows_of(lengths)
-    total = np.zeros(len(lengths))
-    for row in range(0, len(text), batch):
-        own = slice(row, row + batch)
-        inputs, targets, valid = laid.windows(text[own], first[own], scored[own])
-        want, before = targets[valid], inputs[valid]
-        hidden = forward(p, inputs)[0][valid.ravel()]
-        found = class_logs(p, vocabulary, hidden, before, vocabulary.out_class(want)) + vocabulary.within(before, want)
-        total += np.bincount(np.repeat(text[own], valid.sum(axis=1)), found, len(lengths))
-    return total
+    sums = np.empty(len(text))
+    # Positions that a later window repeats are only looked back at.
+    for start, windows in ((0, np.flatnonzero(scored == 0)), (OVERLAP, np.flatnonzero(scored))):
+        for row in range(0, len(windows), batch):
+            own = windows[row:row + batch]
+            inputs, targets, valid = laid.windows(text[own], first[own], scored[own])
+            hidden = forward(p, inputs, start, into)[0]
+            kept = np.flatnonzero(valid[:, start:])
+            before, want = inputs[:, start:].ravel()[kept], targets[:, start:].ravel()[kept]
+            if len(kept) < len(hidden):
+                hidden = np.take(hidden, kept, axis=0)
+            found = class_logs(p, vocabulary, hidden, before, vocabulary.out_class(want)) + vocabulary.within(before, want)
+            sums[own] = np.bincount(kept // (WINDOW - start), found, len(own))
+    return np.bincount(text, sums, len(lengths))

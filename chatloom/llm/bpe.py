@@ -14,7 +14,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
-from chatloom.llm.columns import slices
+from chatloom.llm.columns import slices, utf8
 
 #: Texts up to this many characters go to the encoder in one call.
 PIECE_CHARS = 1 << 16
@@ -25,6 +25,9 @@ BLOCK_BYTES = 4 << 20
 _WHITE = r"[\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LONG_WHITE = re.compile(_WHITE + "{1024,}")
 _EDGE = re.compile(r"(?<=\S)(?=[ \n])")
+# White space of one byte, also by Python's rules.
+_WHITE_BYTES = np.zeros(256, bool)
+_WHITE_BYTES[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 
 
 @functools.lru_cache(maxsize=4)
@@ -74,6 +77,62 @@ def encode_text(coder, text):
         for p, whole in pieces(text)])
 
 
+def _edges(data):
+    """Which bytes of UTF-8 data begin a stretch: a space or newline after a character that is surely no white space."""
+    edge = np.zeros(len(data), bool)
+    white = _WHITE_BYTES[data]
+    edge[1:] = ((data == 0x20) | (data == 0x0A))[1:] & ~white[:-1]
+    # White space of several bytes ends like other characters; no cut is made behind characters with the same first bytes.
+    at = np.flatnonzero(edge)
+    at = at[data[at - 1] >= 0x80]
+    before = data[at - 2].astype(np.uint16)
+    edge[at[before == 0xC2]] = False
+    at, before = at[at >= 3], before[at >= 3]
+    edge[at[np.isin(data[at - 3].astype(np.uint16) << 8 | before, (0xE19A, 0xE280, 0xE281, 0xE380))]] = False
+    return edge
+
+
+@functools.lru_cache(maxsize=4)
+def _token_bytes(coder):
+    """How many bytes each id stands for."""
+    out = np.zeros(coder.n_vocab, np.int64)
+    for token in coder.token_byte_values():
+        out[coder.encode_single_token(token)] = len(token)
+    return out
+
+
+def encode_rows(coder, data, at):
+    """Ids of many texts, behind one another, and how many each has; ``data`` is their UTF-8, ``at`` its n + 1 offsets.
+
+    The texts are cut at all places where no match of the split pattern can span the cut, so
+    that a stretch which occurs again, as most words do, is encoded once.
+    """
+    if not len(data):
+        return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+    inner = np.append(_edges(data), False)
+    edge = inner[:-1].copy()
+    edge[at[:-1][at[:-1] < len(data)]] = True
+    starts = np.flatnonzero(edge)
+    offsets = np.append(starts, len(data))
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    which, stretches = found.indices.to_numpy(), found.dictionary
+    first = np.empty(len(stretches), np.int64)
+    first[which[::-1]] = np.arange(len(starts))[::-1]
+    # Stretches that were cut at both ends within a text are given to the encoder in one call.
+    joint = inner[starts[first]] & inner[offsets[first + 1]] & ~np.isin(offsets[first + 1], at)
+    body, ends = utf8(stretches.filter(pa.array(joint)).cast(pa.large_string()))
+    together = encode_text(coder, body.tobytes().decode())
+    ends = np.searchsorted(np.cumsum(_token_bytes(coder)[together]), ends[1:], side="right")
+    alone = [encode_text(coder, x.decode()) for x in stretches.filter(pa.array(~joint)).to_pylist()]
+    pool, counts = np.concatenate([together, *alone]), np.empty(len(stretches), np.int64)
+    counts[joint], counts[~joint] = np.diff(ends, prepend=0), [len(x) for x in alone]
+    begin = np.empty(len(stretches), np.int64)
+    begin[joint], begin[~joint] = ends - counts[joint], len(together) + np.cumsum(counts[~joint]) - counts[~joint]
+    total = np.append(0, np.cumsum(counts[which]))
+    ids = pool[np.repeat(begin[which] - total[:-1], counts[which]) + np.arange(total[-1])]
+    return ids, np.diff(total[np.searchsorted(starts, at)])
+
+
 def encode(docs, rank_file, pattern, id_col="doc_id", text_col="text"):
     """Token ids of every text: id column, ``n_tokens`` long, ``ids`` binary.
 

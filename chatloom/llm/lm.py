@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chatloom.llm import attention, bpe
-from chatloom.llm.columns import slices, utf8
+from chatloom.llm.columns import LOWER, slices, utf8
 from chatloom.llm.shingles import word_hashes
 from chatloom.session import shared_folder
 
@@ -88,11 +88,12 @@ def _prepared(docs, head, rank_file, pattern):
             sums, numbers, rare, rows = known.split(words, stops)
             ends = np.searchsorted(rows[rare], np.arange(part.num_rows), side="right")
             rare_words = words[rare]
-            ids = [bpe.encode_text(coder, _lowered(t)) for t in part.column(1).to_pylist()]
+            ids, lengths = bpe.encode_rows(coder, LOWER[data], at)
+            ids, id_ends = ids.astype("<u4" if coder.n_vocab > 0xFFFF else "<u2"), np.cumsum(lengths)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(np.diff(np.concatenate([[0], stops]))), pa.array(sums), pa.array(numbers),
                  pa.array([rare_words[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)], pa.binary()),
-                 pa.array([x.astype("<u4" if coder.n_vocab > 0xFFFF else "<u2").tobytes() for x in ids], pa.binary())],
+                 pa.array([ids[a:b].tobytes() for a, b in zip(id_ends - lengths, id_ends)], pa.binary())],
                 ["doc_id", "held_out", "n_words", "head_sum", "head_known", "rare", "ids"])
 
     return docs.mapInArrow(

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,21 @@ def test_query_against_brute_force(spark, coder):
         want.append((r.doc_id, len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(),
                      hashlib.sha256((r.text or "").encode()).hexdigest()))
     assert sorted(map(tuple, QUERIES["op1_byte_bpe"](spark, sf).collect())) == sorted(want)
+
+
+def test_stretches_that_occur_again_are_encoded_once(coder, monkeypatch):
+    whites = "\x85\xa0\u1680\u2000\u200a\u2028\u202f\u205f\u3000\x1c\t\n "
+    rng = random.Random(8)
+    rows = ["", *texts(), " the", "the", "the ", "\n", "", "x" * 3000, "a" + " " * 2000 + "b", " \n" * 700, "a\u201c \u201d b", "日本 語",
+            *["".join(rng.choices(whites + "ab\u2014é漢", k=60)) for _ in range(300)], "the cat sat on the mat " * 500, ""]
+    given, whole = [], bpe.encode_text
+    monkeypatch.setattr(bpe, "encode_text", lambda c, t: given.append(len(t)) or whole(c, t))
+    for part in (rows, rows[-2:], rows[:1], ["é a"], []):
+        data = [t.encode() for t in part]
+        at = np.cumsum([0, *map(len, data)])
+        ids, lengths = bpe.encode_rows(coder, np.frombuffer(b"".join(data), np.uint8), at)
+        ends = np.cumsum(lengths)
+        assert [ids[b - n:b].tolist() for b, n in zip(ends, lengths)] == [coder.encode_ordinary(t) for t in part]
+        if part == rows[-2:]:
+            assert sum(given) < 100
+        given.clear()

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -164,6 +165,48 @@ def test_gradients_by_differences():
         assert abs((sides[0] - sides[1]) / 2e-4 - g[name][place]) < 1e-3 * max(0.01, abs(g[name][place])), name
 
 
+def test_a_step_in_blocks_has_the_gradients_of_the_whole(monkeypatch):
+    rng, vocabulary, p = small()
+    p = {n: x.astype(np.float64) for n, x in p.items()}
+    inputs, targets = rng.integers(0, attention.IN_CLASSES, (256, attention.WINDOW)), rng.integers(0, attention.GROUPS * attention.MEMBERS, (256, attention.WINDOW))
+    valid = rng.random(inputs.shape) < 0.8
+    found = []
+    for block in (256, 100, 1):
+        monkeypatch.setattr(attention, "BLOCK_WINDOWS", block)
+        found.append(attention.gradients(p, vocabulary, inputs, targets, valid))
+    for loss, g in found[1:]:
+        assert abs(loss - found[0][0]) < 1e-9
+        assert all(np.abs(g[n] - found[0][1][n]).max() < 1e-12 for n in attention.NAMES)
+
+
+def test_a_step_holds_the_arrays_of_one_block():
+    rng, vocabulary, p = small()
+    inputs, targets = rng.integers(0, attention.IN_CLASSES, (1024, attention.WINDOW)), rng.integers(0, attention.GROUPS * attention.MEMBERS, (1024, attention.WINDOW))
+    peaks = []
+    for n in (256, 1024):
+        tracemalloc.start()
+        attention.gradients(p, vocabulary, inputs[:n], targets[:n], np.ones((n, attention.WINDOW), bool))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    # Four times the windows add the gradients of their inputs, sorted and unsorted, and not four times the rest.
+    assert peaks[1] < 2.5 * peaks[0]
+
+
+def test_repeated_positions_are_only_looked_back_at(monkeypatch):
+    rng, vocabulary, p = small()
+    lengths, made, forward = np.array([31, 55, 200]), [], attention.forward
+
+    def counted(*args):
+        out = forward(*args)
+        made.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(attention, "forward", counted)
+    attention.log_probabilities(p, vocabulary, rng.integers(0, 2999, lengths.sum()).astype(np.uint16), lengths)
+    windows = len(attention.windows_of(lengths)[0])
+    assert sum(made) == windows * attention.WINDOW - (windows - len(lengths)) * attention.OVERLAP
+
+
 def test_every_window_of_the_training_texts_is_learned(spark, monkeypatch):
     _, vocabulary, _ = small()
     rng, lengths = np.random.default_rng(5), [0, 5, 31, 200, 7, 3000]
